@@ -1,0 +1,22 @@
+"""Query registry: name -> (Spark plan, reference SQL or None)."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Plan = Callable[[SparkSession, str], DataFrame]
+
+PLANS: dict[str, Plan] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
+    def add(plan: Plan) -> Plan:
+        PLANS[name] = plan
+        if sql is not None:
+            SQL[name] = sql
+        return plan
+
+    return add
