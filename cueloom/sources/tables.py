@@ -199,7 +199,7 @@ def vote(spark: SparkSession, sf_dir: str) -> DataFrame:
         d.alias("line"),
         t.alias("w"),
         F.when(d % 11 == 0, "").when(d % 7 == 1, F.reverse(t)).when(d % 5 == 2, F.lower(t)).otherwise(t).alias("n"),
-        F.when(d % 13 == 0, "").when(d % 7 == 1, F.reverse(t)).when(d % 4 == 1, F.upper(t))
+        F.when(d % 13 == 0, "").when(d % 7 == 1, F.reverse(t)).when(d % 4 == 1, F.replace(t, F.lit("."), F.lit(",")))
         .when(d % 9 == 3, F.concat(t, F.lit("z"))).otherwise(t).alias("q"),
     )
 
@@ -208,7 +208,7 @@ VOTE_SQL = """
 vote AS (SELECT doc_id AS line, text AS w,
     CASE WHEN doc_id % 11 = 0 THEN '' WHEN doc_id % 7 = 1 THEN reverse(text)
          WHEN doc_id % 5 = 2 THEN lower(text) ELSE text END AS n,
-    CASE WHEN doc_id % 13 = 0 THEN '' WHEN doc_id % 7 = 1 THEN reverse(text) WHEN doc_id % 4 = 1 THEN upper(text)
+    CASE WHEN doc_id % 13 = 0 THEN '' WHEN doc_id % 7 = 1 THEN reverse(text) WHEN doc_id % 4 = 1 THEN replace(text, '.', ',')
          WHEN doc_id % 9 = 3 THEN text || 'z' ELSE text END AS q
     FROM documents)"""
 
