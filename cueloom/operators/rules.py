@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cueloom.operators import ordered
+from cueloom.sources.files import MEDIA
 
 
 def finding(rule: str, when: Column, detail: Column) -> Column:
@@ -74,3 +75,29 @@ def difference(left: DataFrame, right: DataFrame) -> DataFrame:
     """Multiset difference both ways, for replay checks."""
     a = left.exceptAll(right).withColumn("side", F.lit("left"))
     return a.unionByName(right.select(left.columns).exceptAll(left).withColumn("side", F.lit("right")))
+
+
+def deliverable_findings(listing: DataFrame, unit: str, name: str) -> DataFrame:
+    """Pair media, source and translated subtitles of a unit by stem and language code."""
+    subtitle = listing.filter(F.lower(name).endswith(".srt"))
+    media = listing.filter(F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).isin(MEDIA)).select(
+        unit, F.col(name).alias("media"), F.regexp_replace(name, r"\.[^.]+$", "").alias("stem")
+    )
+    # A source is <stem>.srt, a translation <stem>.<language>.srt; equi-joins on the stem.
+    source = subtitle.select(unit, name, F.regexp_replace(name, r"(?i)\.srt$", "").alias("stem"))
+    language = r"(?i)^(.+)\.([A-Z]{2,3}(?:-[A-Z0-9]{1,8})*)\.srt$"
+    coded = subtitle.filter(F.col(name).rlike(language) & ~F.lower(F.regexp_extract(name, language, 2)).startswith("pre-"))
+    target = coded.select(unit, name, F.regexp_extract(name, language, 1).alias("stem"))
+    stems = media.select(unit, "stem").distinct()
+    assigned = source.join(stems, [unit, "stem"], "left_semi").unionByName(target.join(stems, [unit, "stem"], "left_semi"))
+    has_source = source.select(unit, "stem").distinct().withColumn("_src", F.lit(True))
+    has_target = target.select(unit, "stem").distinct().withColumn("_tra", F.lit(True))
+    paired = media.join(has_source, [unit, "stem"], "left").join(has_target, [unit, "stem"], "left")
+    kind = (
+        F.when(F.col("_src").isNull() & F.col("_tra").isNotNull(), "missing-source")
+        .when(F.col("_src").isNull(), "no-speech-subtitles")
+        .when(F.col("_tra").isNull(), "missing-translation")
+    )
+    found = paired.select(unit, F.col("media").alias(name), kind.alias("kind")).filter("kind IS NOT NULL")
+    orphans = subtitle.join(assigned.select(unit, name), [unit, name], "left_anti")
+    return found.unionByName(orphans.select(unit, name, F.lit("orphan-subtitles").alias("kind")))
