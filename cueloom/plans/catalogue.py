@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from cueloom.plans import evidence, geometry, ingest, segmenting, texts  # noqa: F401
+from cueloom.plans import evidence, geometry, ingest, matching, segmenting, texts  # noqa: F401
 from cueloom.plans.registry import PLANS, SQL
 
 __all__ = ["PLANS", "SQL"]
