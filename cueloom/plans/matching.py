@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cueloom.functions import text as tx
 from cueloom.operators import align, dictionary, ordered
 from cueloom.plans.registry import query
+from cueloom.shared import pin
 from cueloom.sources import tables as t
 
 _CLAIM = """claim AS (SELECT doc_id, text, [substr(text, 1, 20), substr(text, 5, 15), CASE WHEN doc_id % 4 = 0 THEN 'zz' || doc_id ELSE substr(text, 2, 9) END] AS q FROM documents)"""
@@ -106,7 +107,7 @@ def monotone_anchors(spark, sf):
         F.sha2(tx.compact(F.col("text"), normalise=False), 256).alias("line"),
     )
     scored = rows.join(pairs.select("line", "idx", "span", "dice"), "line").drop("line")
-    return align.monotone_anchors(scored, ["episode_id"], "cue_id")
+    return align.monotone_anchors(pin(scored, "scored"), ["episode_id"], "cue_id")
 
 
 @query("jn12_name_occurrences", "WITH " + t.ALIAS_SQL + r""",

@@ -219,14 +219,14 @@ def edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     stale = (F.col("episode_id") * 8 + F.col("cue_id")) % 15 == 0
     return pair(spark, sf_dir).filter("cue_id % 3 <> 0").select(
         "episode_id", "cue_id", "source", "target", old.alias("old"),
-        F.concat(F.upper(old), F.lit("-")).alias("new"),
+        F.concat(F.reverse(old), F.lit("-")).alias("new"),
         F.sha2(F.when(stale, F.concat("target", F.lit("#"))).otherwise(F.col("target")), 256).alias("base_hash"),
     )
 
 
 EDIT_SQL = PAIR_SQL + r""",
 edit AS (SELECT episode_id, cue_id, source, target, regexp_extract(target, '^(\S+)', 1) AS old,
-    upper(regexp_extract(target, '^(\S+)', 1)) || '-' AS new,
+    reverse(regexp_extract(target, '^(\S+)', 1)) || '-' AS new,
     sha256(CASE WHEN (episode_id * 8 + cue_id) % 15 = 0 THEN target || '#' ELSE target END) AS base_hash
     FROM pair WHERE cue_id % 3 <> 0)"""
 
