@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from cueloom.operators import ordered
 from cueloom.operators.segments import State, fold
+from cueloom.shared import pin
 
 MATCH, EQUIVALENT, CONTAINED = 600_000, 920_000, 930_000  # fixed values, in millionths
 JITTER, REACH, MAX_RUN = 5, 80, 4  # fixed values: window around the last accepted sentence
@@ -33,11 +34,12 @@ def profiles(df: DataFrame, key: str, text: str) -> DataFrame:
 def dice_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, text: str) -> DataFrame:
     """All pairs with Dice of at least 0.6, exact, without comparing all pairs.
 
-    A text of n tokens shares at least ceil(3n/7) of them with any match, so a match shares one
-    of its n - ceil(3n/7) + 1 rarest tokens with the other side's rarest; only those are joined.
-    Equal texts must be collapsed by the caller.
+    A text of n tokens shares at least o = ceil(3n/7) of them with any match.  With l = max(1, o/4),
+    the n - o + l rarest tokens of both sides then share at least the smaller l, so only those
+    are joined and a pair below that count is never looked at.  Equal texts must be collapsed
+    by the caller.
     """
-    a, b = profiles(left, left_key, text), profiles(right, right_key, text)
+    a, b = pin(profiles(left, left_key, text), "grams"), pin(profiles(right, right_key, text), "grams")
     weight = a.select("token").unionAll(b.select("token")).groupBy("token").agg(F.count("*").alias("_df"))
 
     def rare(side: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -45,13 +47,21 @@ def dice_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
         ranked = side.join(weight, "token").withColumns(
             {"_size": F.count("*").over(line), "_at": F.row_number().over(line.orderBy("_df", "token"))}
         )
-        prefix = ranked.filter("_at <= _size - (3 * _size + 6) div 7 + 1").select(key, "token", F.col("_size").alias(f"_n_{key}"))
+        ranked = ranked.withColumn("_o", F.expr("(3 * _size + 6) div 7")).withColumn("_l", F.expr("greatest(1L, _o div 4)"))
+        prefix = ranked.filter("_at <= _size - _o + _l").select(
+            key, "token", F.col("_size").alias(f"_n_{key}"), F.col("_l").alias(f"_l_{key}")
+        )
         sets = side.groupBy(key).agg(F.collect_list("token").alias(f"_t_{key}"))
         return prefix, sets
 
     (pa, sa), (pb, sb) = rare(a, left_key), rare(b, right_key)
     na, nb = F.col(f"_n_{left_key}"), F.col(f"_n_{right_key}")
-    near = pa.join(pb, "token").filter((na * 3 <= nb * 7) & (nb * 3 <= na * 7)).select(left_key, right_key).distinct()
+    met = pa.join(pb, "token").filter((na * 3 <= nb * 7) & (nb * 3 <= na * 7))
+    few = F.least(F.first(f"_l_{left_key}"), F.first(f"_l_{right_key}"))
+    near = met.groupBy(left_key, right_key).agg(F.count("*").alias("_met"), few.alias("_few")).filter("_met >= _few")
+    # Verification is heavy per row, so it is spread by count, not by size.
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = near.select(left_key, right_key).repartition(parts, left_key)
     both = near.join(sa, left_key).join(sb, right_key)
     ta, tb = F.col(f"_t_{left_key}"), F.col(f"_t_{right_key}")
     shared = F.size(F.array_intersect(ta, tb)).cast("bigint")

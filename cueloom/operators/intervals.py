@@ -41,25 +41,35 @@ def overlap_amount(ls: str, le: str, rs: str, re: str) -> Column:
 
 def covered(
     left: DataFrame, right: DataFrame, keys: Sequence[str], ids: Sequence[str],
-    left_span: tuple[str, str], right_span: tuple[str, str], width: int, out: str,
+    left_span: tuple[str, str], right_span: tuple[str, str], out: str,
 ) -> DataFrame:
     """Length of each left interval covered by the disjoint right intervals (0 kept).
 
-    Right intervals are clipped to bins before the join, so a long one never multiplies and
-    each (left, bin) is summed map-side before its rows meet again.
+    No pairs are built.  With C(t) the covered length up to t, the answer is C(end) - C(start).
+    Right starts and the two ends of every left interval are put in one order per key; a
+    running sum of lengths and the last interval seen give C at each point.
     """
     (ls, le), (rs, re) = left_span, right_span
-    a = spread(left.select(*keys, *ids, ls, le), ls, le, width)
-    b = spread(right.select(*keys, rs, re), rs, re, width)
-    low = F.greatest(F.col(ls), F.col(rs), F.col("_bin") * width)
-    high = F.least(F.col(le), F.col(re), (F.col("_bin") + 1) * width)
-    found = (
-        a.join(b, [*keys, "_bin"])
-        .select(*keys, *ids, (high - low).alias("_part"))
-        .filter("_part > 0")
-        .groupBy(*keys, *ids).agg(F.sum("_part").alias(out))
+    keys, ids = list(keys), list(ids)
+    none = F.lit(None).cast("bigint")
+    starts = right.select(
+        *keys, *[none.alias(c) for c in ids], F.col(rs).alias("_t"), F.lit(0).alias("_kind"), F.col(re).alias("_stop")
+    )
+    ends = left.select(*keys, *ids, F.inline(F.array(
+        F.struct(F.col(ls).alias("_t"), F.lit(1).alias("_kind"), none.alias("_stop")),
+        F.struct(F.col(le).alias("_t"), F.lit(2).alias("_kind"), none.alias("_stop")),
+    )))
+    order = ["_t", "_kind", *ids]
+    cut = ordered.range_blocks(starts.unionByName(ends), keys, order)
+    # An interval may still run at t, so what lies beyond t is taken off again.
+    run = ordered.scan(
+        cut, keys, order, before={"_sum": F.coalesce(F.col("_stop") - F.col("_t"), F.lit(0))}, fill={"_last": F.col("_stop")}
+    ).filter("_kind > 0")
+    upto = F.col("_sum") - F.greatest(F.lit(0), F.coalesce("_last", F.lit(0)) - F.col("_t"))
+    found = run.groupBy(*keys, *ids).agg(
+        F.sum(F.when(F.col("_kind") == 2, upto).otherwise(-upto)).cast("bigint").alias(out)
     )
-    return left.join(found, [*keys, *ids], "left").withColumn(out, F.coalesce(F.col(out), F.lit(0)).cast("bigint"))
+    return left.join(found, [*keys, *ids])
 
 
 def point_join(

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from cueloom.shared import pin
 
 BLOCK = "_block"
-WIDTH = 4096
+WIDTH = 32768
 
 
 def dense_blocks(df: DataFrame, position: str, width: int = WIDTH) -> DataFrame:

@@ -11,7 +11,6 @@ from cueloom.sources import tables as t
 
 GRID_MS = 120_000  # fixed value: physical window of the long grid
 BIN_MS = 20_000
-ACTIVITY_BIN = 8 * 3_600_000
 
 
 @query("jn3_grid_cells", "WITH " + t.CUE_SQL + """
@@ -68,7 +67,7 @@ def speech_accounting(spark, sf):
     )
     speech = t.speech(spark, sf).withColumn("e_ms", F.least("e_ms", F.lit(domain))).filter("s_ms < e_ms")
     found = intervals.covered(
-        windows, speech, ["user_id"], ["event_id"], ("w_start", "w_end"), ("s_ms", "e_ms"), ACTIVITY_BIN, "detected_ms"
+        windows, speech, ["user_id"], ["event_id"], ("w_start", "w_end"), ("s_ms", "e_ms"), "detected_ms"
     )
     inside = F.greatest(F.lit(0), F.least("w_end", F.lit(domain)) - F.col("w_start")).cast("bigint")
     return found.withColumn("in_domain_ms", inside).select(

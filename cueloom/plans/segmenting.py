@@ -144,7 +144,7 @@ def pause_cuts(spark, sf):
         "episode_id", F.expr("greatest(0, start_ms - 700 * (cue_id % 3))").alias("a"), F.col("end_ms").alias("b")
     )
     open_gaps = gaps.filter("g1 > g0").drop("lex", "rest_lex", "gap_ms", ordered.BLOCK)
-    heard = intervals.covered(open_gaps, speech, ["episode_id"], ["cue_id"], ("g0", "g1"), ("a", "b"), 20000, "speech_ms")
+    heard = intervals.covered(open_gaps, speech, ["episode_id"], ["cue_id"], ("g0", "g1"), ("a", "b"), "speech_ms")
     ready = gaps.join(heard.select("episode_id", "cue_id", "speech_ms"), ["episode_id", "cue_id"], "left")
     ready = ready.withColumn("speech_ms", F.coalesce("speech_ms", F.lit(0)).cast("bigint"))
     return segments.pause_cuts(ready, *CUE_KEY)
