@@ -18,10 +18,12 @@ LARGE_KANA = "つあいうえおやゆよわかけ"
 KANA_NOISE = r"[\s、。，,！!?？「」『』・…\-—.·()（）:：;；]"
 SPEECH_DECORATION = r"[♪♡♠★☆ｗＷwW・＝=]"
 NON_LEXICAL = r"[^\p{L}\p{N}]"
+# Unicode white space spelled out: far cheaper per character than the (?U) flag.
+SPACE = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
 
 
 def lexical(text: Column) -> Column:
@@ -84,17 +86,18 @@ def negations_in(text: Column) -> Column:
 
 def collapse(text: Column) -> Column:
     """One physical line: runs of white space become one space."""
-    return strip(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, rf"{SPACE}+", " "))
 
 
 def convention(text: Column) -> Column:
     """Subtitle punctuation: dropped next to an ellipsis, a space elsewhere."""
     near = F.regexp_replace(text, f"[{DROPPED}]+(?=…)|(?<=…)[{DROPPED}]+", "")
-    return collapse(F.regexp_replace(near, f"[{DROPPED}]", " "))
+    kept = F.when(text.contains("…"), near).otherwise(text)
+    return collapse(F.translate(kept, DROPPED, " " * len(DROPPED)))
 
 
 def preserved(original: Column, final: Column) -> Column:
-    keep = rf"(?U)[{DROPPED}\s]"
+    keep = rf"[{DROPPED}]|{SPACE}"
     return F.regexp_replace(original, keep, "") == F.regexp_replace(final, keep, "")
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 def word_runs(df: DataFrame, ids: Sequence[str], text: str, most: int) -> DataFrame:
     """Runs of one to ``most`` consecutive words: (ids, at, words, surface)."""
     words = df.select(*ids, F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1)).alias("_w"))
+    if most == 1:
+        return words.select(*ids, F.posexplode("_w").alias("at", "surface"), F.lit(1).alias("words"))
     runs = F.flatten(
         F.transform(
             F.sequence(F.lit(1), F.lit(most)),

@@ -66,8 +66,11 @@ def final_status(source: Column, target: Column) -> Column:
     return F.when(open_source & (target != "unchecked"), source).otherwise(target)
 
 
-def mask_names(df: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
-    """Replace declared words by numbered markers and prove that nothing was lost.
+MARKER = "(?s)(⟦E[0-9]+⟧|[^⟦]+|⟦)"
+
+
+def mask_names(df: DataFrame, key: str, text: str, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Replace declared words by numbered markers: (key, marked) and (key, marker, surface_text).
 
     ``names`` has (surface, entity).  A text is cut into words and the rest between them, so
     putting it together again is bounded by the text.
@@ -76,20 +79,25 @@ def mask_names(df: DataFrame, key: str, text: str, names: DataFrame) -> DataFram
     found = parts.join(names, F.lower("_part") == F.col("surface"), "left")
     marker = F.format_string("⟦E%04d⟧", "_at")
     shown = F.when(F.col("entity").isNotNull(), marker).otherwise(F.col("_part"))
-    row = F.struct("_at", shown.alias("shown"), "_part", F.col("entity").isNotNull().alias("hit"), marker.alias("marker"))
-    whole = found.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    return whole.select(
-        key, F.array_join("_rows.shown", "").alias("marked"),
-        F.map_from_entries(F.transform(F.filter("_rows", lambda r: r["hit"]), lambda r: F.struct(r["marker"].alias("k"), r["_part"].alias("v")))).alias("values"),
+    whole = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_at", shown.alias("shown")))).alias("_rows"))
+    values = found.filter("entity IS NOT NULL").select(key, marker.alias("marker"), F.col("_part").alias("surface_text"))
+    return whole.select(key, F.array_join("_rows.shown", "").alias("marked")), values
+
+
+def restore_names(marked: DataFrame, values: DataFrame, key: str, text: str) -> DataFrame:
+    """Markers back to words by an equi-join; ``exact`` is false unless every expected marker
+    stands in the text exactly once and no other does."""
+    pieces = marked.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(MARKER), F.lit(1))).alias("_at", "marker"))
+    joined = pieces.join(values, [key, "marker"], "full")
+    foreign = F.col("marker").startswith("⟦") & F.col("surface_text").isNull()
+    missing = F.col("_at").isNull()
+    word = F.coalesce("surface_text", "marker")
+    whole = joined.groupBy(key).agg(
+        F.array_sort(F.collect_list(F.when(~missing, F.struct("_at", word.alias("w"))))).alias("_rows"),
+        (F.count_if(foreign | missing) == 0).alias("_all"), F.count("surface_text").alias("_hits"),
+        F.count_distinct(F.when(F.col("surface_text").isNotNull(), F.col("marker"))).alias("_kinds"),
     )
-
-
-def restore_names(marked: Column, values: Column) -> Column:
-    """Markers back to text; null when the markers present are not exactly the expected ones."""
-    pieces = F.regexp_extract_all(marked, F.lit("(?s)(⟦E[0-9]+⟧|[^⟦]+|⟦)"), F.lit(1))
-    present = F.filter(pieces, lambda p: p.startswith("⟦E"))
-    exact = F.array_sort(present) == F.array_sort(F.map_keys(values))
-    return F.when(exact, F.array_join(F.transform(pieces, lambda p: F.coalesce(values[p], p)), ""))
+    return whole.select(key, F.array_join("_rows.w", "").alias("restored"), (F.col("_all") & (F.col("_hits") == F.col("_kinds"))).alias("exact"), F.col("_kinds").alias("markers"))
 
 
 def latest(log: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:

@@ -16,7 +16,8 @@ Two ways to cut blocks:
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+import json
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -25,6 +26,7 @@ from cueloom.shared import pin
 
 BLOCK = "_block"
 WIDTH = 32768
+State = list | None
 
 
 def dense_blocks(df: DataFrame, position: str, width: int = WIDTH) -> DataFrame:
@@ -173,76 +175,88 @@ def with_halo(
     return copies.withColumn("_core", F.col("_own") == F.col(BLOCK)).drop("_own")
 
 
-def fold_blocks(
+def fold_rows(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    step: Callable[[pd.DataFrame, str | None], tuple[pd.DataFrame, str | None]],
+    columns: Sequence[str],
+    advance: Callable[[State, tuple], tuple[State, list[tuple]]],
     schema: T.StructType,
+    keep: Sequence[str],
     *,
     block: str = BLOCK,
 ) -> DataFrame:
-    """Exact left-to-right fold over keys of any size, one block per task.
-
-    ``step(rows, entry)`` gets one block sorted by ``order`` and the state left by the block
-    before it (``None`` at the start of a key); it returns output rows and its own exit state,
-    a string.  Every block first runs from ``None``.  A block whose real entry differs is run
-    again until nothing changes; keys that fit one block are done after the first run.
-    """
-    group = [*keys, block]
-    names = list(order)
-
-    def run(part: pd.DataFrame) -> tuple[pd.DataFrame, str | None]:
-        entry = part["_entry"].iloc[0]
-        rows = part.drop(columns=["_entry"]).sort_values(names).reset_index(drop=True)
-        return step(rows, None if pd.isna(entry) else entry)
+    """Exact left-to-right fold over keys of any size, many blocks at a time.
 
-    def leave(part: pd.DataFrame) -> pd.DataFrame:
-        head = part[group].iloc[:1].reset_index(drop=True)
-        _, state = run(part)
-        return head.assign(_exit=pd.Series([state], dtype="object"))
+    ``advance(state, row)`` gets the ``columns`` of one row and the state after the row before
+    (``None`` at the start of a key); it returns the next state, a JSON value, and the rows it
+    emits.  Rows are sorted by Spark and streamed, so a task holds one batch and one state.
 
-    def emit(part: pd.DataFrame) -> pd.DataFrame:
-        return run(part)[0]
+    Every block first runs from ``None``.  A block whose true entry state (the exit of the
+    block before it) differs is run again until nothing changes, so a key split over many
+    blocks costs a few parallel rounds; keys inside one block are done in the first.
+    """
+    group, n_out = [*keys, block], len(schema.fields) - len(keep)
+    names = [f.name for f in schema.fields]
+    needed = list(dict.fromkeys([*keep, *group, *order, *columns]))
+    rows = df.select(*needed)
+
+    def walk(parts: Iterator[pd.DataFrame], exits: bool) -> Iterator[pd.DataFrame]:
+        at: tuple | None = None
+        state: State = None
+        for part in parts:
+            made: list[list] = [[] for _ in range(n_out)]
+            spots: list[int] = []
+            left: list[tuple] = []
+            heads = zip(*[part[c].tolist() for c in group])
+            values = zip(*[part[c].tolist() for c in columns])
+            for i, (here, row, entry) in enumerate(zip(heads, values, part["_entry"].tolist())):
+                if here != at:
+                    if exits and at is not None:
+                        left.append((*at, json.dumps(state)))
+                    at, state = here, json.loads(entry) if isinstance(entry, str) else None
+                state, out = advance(state, row)
+                if not exits:
+                    for values_out in out:
+                        spots.append(i)
+                        for column, value in zip(made, values_out):
+                            column.append(value)
+            if exits:
+                yield pd.DataFrame(left, columns=[*group, "_exit"])
+            else:
+                frame = part[list(keep)].iloc[spots].reset_index(drop=True)
+                for name, column in zip(names[len(keep):], made):
+                    frame[name] = column
+                yield frame
+        if exits and at is not None:
+            yield pd.DataFrame([(*at, json.dumps(state))], columns=[*group, "_exit"])
+
+    def laid_out(ready: DataFrame) -> DataFrame:
+        return ready.repartition(*group).sortWithinPartitions(*group, *order)
 
     fields = {f.name: f for f in df.schema.fields}
     exit_schema = T.StructType([fields[c] for c in group] + [T.StructField("_exit", T.StringType())])
+
+    def leave(ready: DataFrame) -> DataFrame:
+        return laid_out(ready).mapInPandas(lambda parts: walk(parts, True), exit_schema)
+
+    no_entry = F.lit(None).cast("string")
     across = Window.partitionBy(*keys).orderBy(block)
-    spans = df.select(*group).groupBy(*group).count()
-    wide = spans.filter(F.col(block) > 0) if not keys else spans.groupBy(*keys).count().filter("count > 1")
-    if wide.isEmpty():
-        entries = None
+    spans = rows.groupBy(*keys).agg(F.min(block).alias("_a"), F.max(block).alias("_b")).filter("_a < _b")
+    if spans.isEmpty():
+        ready = rows.withColumn("_entry", no_entry)
     else:
         # Only keys that span several blocks take part in the exchange of states.
-        many = df.join(wide.select(*keys), list(keys), "left_semi") if keys else df
-        exits = pin(
-            many.withColumn("_entry", F.lit(None).cast("string"))
-            .groupBy(*group).applyInPandas(leave, exit_schema),
-            "exits",
-        )
-        known = exits.withColumn("_used", F.lit(None).cast("string"))
+        many = rows.join(spans.select(*keys), list(keys), "left_semi") if keys else rows
+        known = leave(many.withColumn("_entry", no_entry)).withColumn("_used", no_entry)
         while True:
             linked = pin(known.withColumn("_entry", F.lag("_exit").over(across)), "entries")
-            moved = linked.filter(~F.col("_entry").eqNullSafe(F.col("_used")))
+            moved = linked.filter(~F.col("_entry").eqNullSafe(F.col("_used"))).select(*group, "_entry")
             if moved.isEmpty():
                 break
-            again = many.join(moved.select(*group, "_entry"), group)
-            redone = again.groupBy(*group).applyInPandas(leave, exit_schema)
-            fresh = redone.withColumnRenamed("_exit", "_exit2")
-            known = pin(
-                linked.join(fresh, group, "left").select(
-                    *group,
-                    F.when(F.col("_entry").eqNullSafe(F.col("_used")), F.col("_exit"))
-                    .otherwise(F.col("_exit2")).alias("_exit"),
-                    F.col("_entry").alias("_used"),
-                ),
-                "exits",
+            again = leave(many.join(moved, group)).withColumnRenamed("_exit", "_new")
+            known = linked.join(again, group, "left").select(
+                *group, F.coalesce("_new", "_exit").alias("_exit"), F.col("_entry").alias("_used")
             )
-        entries = linked.select(*group, "_entry")
-    if entries is None:
-        ready = df.withColumn("_entry", F.lit(None).cast("string"))
-    else:
-        ready = df.join(entries, group, "left")
-    return ready.groupBy(*group).applyInPandas(emit, schema)
-
-
+        ready = rows.join(linked.select(*group, "_entry"), group, "left")
+    return laid_out(ready).mapInPandas(lambda parts: walk(parts, False), schema)

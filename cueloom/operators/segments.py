@@ -8,16 +8,14 @@ true run after a few rows; numbers are given afterwards with a running sum.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cueloom.functions import text as tx
 from cueloom.operators import ordered
 
-State = list | None
+State = ordered.State
 SCENE_GAP_MS = 3000  # fixed value
 
 
@@ -35,23 +33,7 @@ def fold(
     schema = T.StructType(
         [fields[c] for c in kept] + [T.StructField(n, T._parse_datatype_string(k)) for n, k in outputs.items()]
     )
-    named = list(outputs)
-
-    def step(rows: pd.DataFrame, entry: str | None) -> tuple[pd.DataFrame, str | None]:
-        state = None if entry is None else json.loads(entry)
-        at, out = [], []
-        for i, row in enumerate(rows[list(columns)].itertuples(index=False, name=None)):
-            state, made = advance(state, row)
-            at.extend([i] * len(made))
-            out.extend(made)
-        frame = rows[kept].iloc[at].reset_index(drop=True)
-        values = list(zip(*out)) if out else [()] * len(named)
-        for name, column in zip(named, values):
-            frame[name] = list(column)
-        return frame, json.dumps(state)
-
-    needed = list(dict.fromkeys([*kept, *order, *columns, ordered.BLOCK]))
-    return ordered.fold_blocks(df.select(*needed), keys, order, step, schema)
+    return ordered.fold_rows(df, keys, order, columns, advance, schema, kept)
 
 
 def scenes_by_gap(cues: DataFrame, keys: Sequence[str], order: Sequence[str], gap_ms: int = SCENE_GAP_MS) -> DataFrame:

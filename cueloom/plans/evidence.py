@@ -50,11 +50,9 @@ graded AS (SELECT line, CASE WHEN n = '' OR q = '' THEN 'D'
 
 def _graded(spark, sf):
     v = t.vote(spark, sf)
-    noise = r"[\s,.:;!?()-]"
-    k = {c: F.lower(F.regexp_replace(F.col(c), noise, "")) for c in "wnq"}
-    return v.select(
-        "line", consensus.grade_vote(*[F.col(c) for c in "wnq"], *[k[c] for c in "wnq"]).alias("grade")
-    )
+    # Readings get their own projection: the grade looks at each several times.
+    keyed = v.withColumns({f"k{c}": F.lower(F.translate(c, " \t\n\x0b\f\r,.:;!?()-", "")) for c in "wnq"})
+    return keyed.select("line", consensus.grade_vote(*[F.col(c) for c in ("w", "n", "q", "kw", "kn", "kq")]).alias("grade"))
 
 
 @query("agg1_vote_grade", "WITH " + t.VOTE_SQL + "," + _GRADE + " SELECT line, grade FROM graded")

@@ -141,11 +141,11 @@ FROM p LEFT JOIN nm ON nm.surface = lower(part) GROUP BY doc_id""")
 def name_masks(spark, sf):
     names = t.alias_words(spark, sf).groupBy("surface").agg(F.count("*").alias("n"), F.min("entity_id").alias("entity")).filter("n = 1").drop("n")
     docs = t.table(spark, sf, "documents").select("doc_id", "text")
-    masked = ledger.mask_names(docs, "doc_id", "text", names)
-    back = masked.join(docs, "doc_id").withColumn("again", ledger.restore_names(F.col("marked"), F.col("values")))
-    return back.select(
-        "doc_id", F.sha2("marked", 256).alias("sha"), F.size("values").cast("bigint").alias("markers"),
-        F.coalesce(F.col("again") == F.col("text"), F.lit(False)).alias("lossless"),
+    marked, values = ledger.mask_names(docs, "doc_id", "text", names)
+    back = ledger.restore_names(marked, values, "doc_id", "marked")
+    joined = docs.join(marked, "doc_id").join(back, "doc_id")
+    return joined.select(
+        "doc_id", F.sha2("marked", 256).alias("sha"), "markers", (F.col("exact") & (F.col("restored") == F.col("text"))).alias("lossless")
     )
 
 
@@ -313,13 +313,13 @@ _SIGNALS = """sig AS (SELECT doc_id AS line, 'global' AS signal FROM documents W
  UNION ALL SELECT line, 'audio' FROM graded WHERE grade IN ('B+', 'B-') UNION ALL SELECT doc_id, 'script' FROM labels WHERE quality = 0)"""
 
 
-def _signals(spark, sf):
+def _signals(spark, sf, graded):
     docs = t.table(spark, sf, "documents")
     mark = lambda df, c, s: df.select(F.col(c).alias("line"), F.lit(s).alias("signal"))
     return (
         mark(docs.filter("n_chars % 13 = 0"), "doc_id", "global")
         .unionByName(mark(docs.filter(F.col("text").rlike("[0-9]{4}")), "doc_id", "rule"))
-        .unionByName(mark(evidence.vote_grade(spark, sf).filter("grade IN ('B+', 'B-')"), "line", "audio"))
+        .unionByName(mark(graded.filter("grade IN ('B+', 'B-')"), "line", "audio"))
         .unionByName(mark(t.table(spark, sf, "labels").filter("quality = 0"), "doc_id", "script"))
     )
 
@@ -327,7 +327,7 @@ def _signals(spark, sf):
 @query("agg19_triage_signals", "WITH " + t.VOTE_SQL + "," + evidence._GRADE + ", " + _SIGNALS + " SELECT line, string_agg(DISTINCT signal, ',' ORDER BY signal) AS signals FROM sig GROUP BY line")
 def triage_signals(spark, sf):
     """Reasons per line; four kinds of signal bound the list."""
-    return _signals(spark, sf).groupBy("line").agg(F.array_join(F.array_sort(F.collect_set("signal")), ",").alias("signals"))
+    return _signals(spark, sf, evidence.vote_grade(spark, sf)).groupBy("line").agg(F.array_join(F.array_sort(F.collect_set("signal")), ",").alias("signals"))
 
 
 @query("set2_signal_algebra", "WITH " + t.VOTE_SQL + "," + evidence._GRADE + ", " + _SIGNALS + """,
@@ -336,8 +336,9 @@ SELECT DISTINCT line FROM sig WHERE line NOT IN (SELECT line FROM cf)""")
 def signal_algebra(spark, sf):
     """All signals less the lines where script and a unanimous vote contradict each other."""
     script = t.table(spark, sf, "labels").filter("quality = 0").select(F.col("doc_id").alias("line"))
-    conflict = evidence.vote_grade(spark, sf).filter("grade = 'A'").join(script, "line", "left_semi").select("line")
-    return _signals(spark, sf).select("line").distinct().join(conflict, "line", "left_anti")
+    graded = pin(evidence.vote_grade(spark, sf), "grades")  # two branches read it
+    conflict = graded.filter("grade = 'A'").join(script, "line", "left_semi").select("line")
+    return _signals(spark, sf, graded).select("line").distinct().join(conflict, "line", "left_anti")
 
 
 @query("set3_symmetric_difference", "WITH " + matching._CITE + """ SELECT o.observation_id, 'uncited' AS side FROM (SELECT doc_id AS observation_id FROM documents EXCEPT SELECT observation_id FROM cite WHERE claim_id % 3 <> 0) o
