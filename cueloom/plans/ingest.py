@@ -13,12 +13,12 @@ from cueloom.sources import files, tables as t
 _TS = "printf('%02d:%02d:%02d,%03d', {0} // 3600000, {0} // 60000 % 60, {0} // 1000 % 60, {0} % 1000)"
 _LINE = _TS.format("start_ms") + " || ' --> ' || " + _TS.format("end_ms")
 _RAW = f""",
-blk AS (SELECT episode_id, cue_id, CASE WHEN cue_id % 7 = 3 THEN 'x' ELSE '' END || cue_id || chr(13) || chr(10) || {_LINE} ||
+blk AS (SELECT episode_id, (cue_id - 1) // 64 AS part, cue_id, CASE WHEN cue_id % 7 = 3 THEN 'x' ELSE '' END || cue_id || chr(13) || chr(10) || {_LINE} ||
   CASE WHEN cue_id % 5 = 4 THEN '' ELSE chr(13) || chr(10) || text END AS b FROM cue),
-raw AS (SELECT episode_id, chr(65279) || string_agg(b, chr(13) || chr(10) || chr(13) || chr(10) ORDER BY cue_id) AS raw FROM blk GROUP BY episode_id),
-ch AS (SELECT episode_id, trim(c) AS c, n - 1 AS chunk_no FROM (SELECT episode_id, unnest(cs) AS c, unnest(range(1, len(cs) + 1)) AS n FROM (
-  SELECT episode_id, regexp_split_to_array(trim(regexp_replace(replace(raw, chr(65279), ''), '\\r\\n|\\r', chr(10), 'g'), chr(10) || ' '), '\\n\\s*\\n') AS cs FROM raw))),
-ln AS (SELECT episode_id, chunk_no, string_split(trim(c, chr(10) || ' '), chr(10)) AS l FROM ch)""".replace("\\\\", "\\")
+raw AS (SELECT episode_id, part, chr(65279) || string_agg(b, chr(13) || chr(10) || chr(13) || chr(10) ORDER BY cue_id) AS raw FROM blk GROUP BY episode_id, part),
+ch AS (SELECT episode_id, part, trim(c) AS c, n - 1 AS chunk_no FROM (SELECT episode_id, part, unnest(cs) AS c, unnest(range(1, len(cs) + 1)) AS n FROM (
+  SELECT episode_id, part, regexp_split_to_array(trim(regexp_replace(replace(raw, chr(65279), ''), '\\r\\n|\\r', chr(10), 'g'), chr(10) || ' '), '\\n\\s*\\n') AS cs FROM raw))),
+ln AS (SELECT episode_id, part, chunk_no, string_split(trim(c, chr(10) || ' '), chr(10)) AS l FROM ch)""".replace("\\\\", "\\")
 
 
 def _raw(spark, sf):
@@ -39,10 +39,10 @@ def lenient_srt(spark, sf):
 
 
 @query("src2_strict_srt", "WITH " + t.CUE_SQL + _RAW + r"""
-SELECT episode_id, chunk_no, CASE WHEN len(l) < 3 THEN 'under_three_lines' WHEN NOT regexp_matches(trim(l[1]), '^\d+$') THEN 'bad_id' ELSE 'accepted' END AS reject_reason FROM ln""")
+SELECT episode_id, part, chunk_no, CASE WHEN len(l) < 3 THEN 'under_three_lines' WHEN NOT regexp_matches(trim(l[1]), '^\d+$') THEN 'bad_id' ELSE 'accepted' END AS reject_reason FROM ln""")
 def strict_srt(spark, sf):
-    found = files.srt_rejections(_raw(spark, sf), ["episode_id"])
-    return found.select("episode_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), F.coalesce("reject_reason", F.lit("accepted")).alias("reject_reason"))
+    found = files.srt_rejections(_raw(spark, sf), ["episode_id", "part"])
+    return found.select("episode_id", "part", F.col("chunk_no").cast("bigint").alias("chunk_no"), F.coalesce("reject_reason", F.lit("accepted")).alias("reject_reason"))
 
 
 @query("src3_timestamps", "WITH " + t.CUE_SQL + f" SELECT episode_id, cue_id, {_TS.format('end_ms')} AS stamp, end_ms AS ms, end_ms * 16 AS frame FROM cue")

@@ -30,12 +30,13 @@ def scene_gap(spark, sf):
 
 
 @query("win1_scene_caps", "WITH RECURSIVE " + t.CUE_SQL + """,
-st AS (SELECT episode_id, cue_id, end_ms, 1 AS n, length(text) AS ch, 1 AS scene FROM cue WHERE cue_id = 1
- UNION ALL SELECT c.episode_id, c.cue_id, c.end_ms,
+q AS (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY cue_id) AS k FROM cue),
+st AS (SELECT episode_id, cue_id, k, end_ms, 1 AS n, length(text) AS ch, 1 AS scene FROM q WHERE k = 1
+ UNION ALL SELECT c.episode_id, c.cue_id, c.k, c.end_ms,
   CASE WHEN s.n >= 3 OR s.ch + length(c.text) > 900 OR c.start_ms - s.end_ms >= 3000 THEN 1 ELSE s.n + 1 END,
   CASE WHEN s.n >= 3 OR s.ch + length(c.text) > 900 OR c.start_ms - s.end_ms >= 3000 THEN length(c.text) ELSE s.ch + length(c.text) END,
   CASE WHEN s.n >= 3 OR s.ch + length(c.text) > 900 OR c.start_ms - s.end_ms >= 3000 THEN s.scene + 1 ELSE s.scene END
- FROM st s JOIN cue c ON c.episode_id = s.episode_id AND c.cue_id = s.cue_id + 1)
+ FROM st s JOIN q c ON c.episode_id = s.episode_id AND c.k = s.k + 1)
 SELECT episode_id, cue_id, CAST(scene AS BIGINT) AS scene FROM st""")
 def scene_caps(spark, sf):
     return segments.scenes_with_caps(cue_blocks(spark, sf), *CUE_KEY, max_rows=3, max_chars=900).select(
@@ -117,13 +118,11 @@ _PAUSE = """,
 c2 AS (SELECT *, lead(start_ms) OVER w - end_ms AS gap, lead(start_ms) OVER w AS nx,
   sum(n_lex) OVER (PARTITION BY episode_id) - sum(n_lex) OVER w AS rest FROM cue WINDOW w AS (PARTITION BY episode_id ORDER BY cue_id)),
 sp AS (SELECT episode_id, start_ms - 700 * (cue_id % 3) AS a, end_ms AS b FROM cue),
-c3 AS (SELECT c.episode_id, c.cue_id, c.n_lex, c.rest, c.gap, (SELECT coalesce(sum(greatest(0, least(c.nx, s.b) - greatest(c.end_ms, s.a))), 0) FROM sp s WHERE s.episode_id = c.episode_id AND s.a < c.nx AND s.b > c.end_ms) AS speech FROM c2 c WHERE gap IS NOT NULL),
-st AS (SELECT episode_id, cue_id, n_lex AS held, 0 AS cnt, false AS cut, gap, speech FROM c3 WHERE false
- UNION ALL SELECT episode_id, 0, 0, 0, false, 0, 0 FROM (SELECT DISTINCT episode_id FROM cue)),
-rec AS (SELECT episode_id, 0 AS cue_id, CAST(0 AS HUGEINT) AS held, 0 AS cnt, false AS cut, CAST(0 AS HUGEINT) AS gap, CAST(0 AS HUGEINT) AS speech FROM (SELECT DISTINCT episode_id FROM cue)
- UNION ALL SELECT c.episode_id, c.cue_id, CASE WHEN ok THEN 0 ELSE c.h END, CASE WHEN ok THEN cnt + 1 ELSE cnt END, ok, c.gap, c.speech
+c3 AS (SELECT c.episode_id, c.cue_id, row_number() OVER (PARTITION BY c.episode_id ORDER BY c.cue_id) AS k, c.n_lex, c.rest, c.gap, (SELECT coalesce(sum(greatest(0, least(c.nx, s.b) - greatest(c.end_ms, s.a))), 0) FROM sp s WHERE s.episode_id = c.episode_id AND s.a < c.nx AND s.b > c.end_ms) AS speech FROM c2 c WHERE gap IS NOT NULL),
+rec AS (SELECT episode_id, CAST(0 AS BIGINT) AS cue_id, CAST(0 AS BIGINT) AS k, CAST(0 AS HUGEINT) AS held, 0 AS cnt, false AS cut, CAST(0 AS HUGEINT) AS gap, CAST(0 AS HUGEINT) AS speech FROM (SELECT DISTINCT episode_id FROM cue)
+ UNION ALL SELECT c.episode_id, c.cue_id, c.k, CASE WHEN ok THEN 0 ELSE c.h END, CASE WHEN ok THEN cnt + 1 ELSE cnt END, ok, c.gap, c.speech
  FROM (SELECT x.*, r.cnt, r.held + x.n_lex AS h, x.gap >= 2000 AND x.speech * 5 <= x.gap AND least(r.held + x.n_lex, x.rest) >= 2 AND r.cnt < 11 AS ok
-   FROM rec r JOIN c3 x ON x.episode_id = r.episode_id AND x.cue_id = r.cue_id + 1) c)"""
+   FROM rec r JOIN c3 x ON x.episode_id = r.episode_id AND x.k = r.k + 1) c)"""
 
 
 @query("win8_pause_cuts", "WITH RECURSIVE " + t.CUE_SQL + _PAUSE + """
@@ -202,11 +201,11 @@ def flash_merge(spark, sf):
 
 
 @query("win15_display_hold", "WITH RECURSIVE " + t.CUE_SQL + """,
-o AS (SELECT *, coalesce(lead(start_ms) OVER w, end_ms + 1000) AS nx, least(6000, greatest(1000, length(text) * 100)) AS want FROM cue WINDOW w AS (PARTITION BY episode_id ORDER BY cue_id)),
-st AS (SELECT DISTINCT episode_id, CAST(0 AS BIGINT) AS cue_id, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b FROM cue
- UNION ALL SELECT episode_id, cue_id, CASE WHEN b - a < 400 THEN greatest(p, least(a, b - 800)) ELSE a END, b FROM (
-  SELECT *, least(nx, greatest(end_ms, a + want)) AS b FROM (SELECT c.*, s.b AS p, greatest(s.b, c.start_ms - 80) AS a FROM st s JOIN o c ON c.episode_id = s.episode_id AND c.cue_id = s.cue_id + 1)))
-SELECT episode_id, cue_id, a AS hold_start, b AS hold_end FROM st WHERE cue_id > 0""")
+o AS (SELECT *, row_number() OVER w AS k, coalesce(lead(start_ms) OVER w, end_ms + 1000) AS nx, least(6000, greatest(1000, length(text) * 100)) AS want FROM cue WINDOW w AS (PARTITION BY episode_id ORDER BY cue_id)),
+st AS (SELECT DISTINCT episode_id, CAST(0 AS BIGINT) AS cue_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b FROM cue
+ UNION ALL SELECT episode_id, cue_id, k, CASE WHEN b - a < 400 THEN greatest(p, least(a, b - 800)) ELSE a END, b FROM (
+  SELECT *, least(nx, greatest(end_ms, a + want)) AS b FROM (SELECT c.*, s.b AS p, greatest(s.b, c.start_ms - 80) AS a FROM st s JOIN o c ON c.episode_id = s.episode_id AND c.k = s.k + 1)))
+SELECT episode_id, cue_id, a AS hold_start, b AS hold_end FROM st WHERE k > 0""")
 def display_hold(spark, sf):
     return timing.hold(cue_blocks(spark, sf), *CUE_KEY)
 

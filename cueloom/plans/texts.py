@@ -121,9 +121,9 @@ def fix_rejection(spark, sf):
     )
 
 
-_ANSWER = """ans AS (SELECT conv_id, count(*) AS expected, max(turn) AS top FROM conversations GROUP BY 1),
-ln AS (SELECT c.conv_id, c.turn, '[' || CASE WHEN c.conv_id % 5 = 0 AND c.turn = 1 THEN 99 WHEN c.conv_id % 3 = 0 AND c.turn = 2 THEN 2 ELSE c.turn + 1 END || '] ' || regexp_replace(c.text, '\\s+', ' ', 'g') AS line
-       FROM conversations c WHERE c.turn <> 3)"""
+_ANSWER = r"""ans AS (SELECT conv_id, turn // 64 AS part, count(*) AS expected FROM conversations GROUP BY 1, 2),
+ln AS (SELECT conv_id, turn // 64 AS part, turn, CASE WHEN conv_id % 5 = 0 AND turn = 1 THEN 99 WHEN conv_id % 3 = 0 AND turn = 2 THEN 2 ELSE turn % 64 + 1 END AS number,
+       trim(regexp_replace(text, '\s+', ' ', 'g')) AS value FROM conversations WHERE turn <> 3)"""
 
 
 def _answers(spark, sf):
@@ -139,20 +139,19 @@ def _answers(spark, sf):
     ).select("conv_id", "part", "expected", F.array_join("ls.l", "\n").alias("answer"))
 
 
-@query("txt13_strict_answers", "WITH " + _ANSWER.replace("\\\\", "\\") + r""",
-p AS (SELECT conv_id, CAST(regexp_extract(line, '^\[(\d+)\]', 1) AS BIGINT) AS number, trim(regexp_extract(line, '^\[\d+\]\s*(.+)$', 1)) AS value FROM ln),
-bad AS (SELECT DISTINCT p.conv_id FROM p JOIN ans a ON a.conv_id = p.conv_id WHERE number > expected)
-SELECT conv_id, CAST(0 AS BIGINT) AS part, number, sha256(min(value)) AS sha FROM p WHERE value <> '' AND conv_id NOT IN (SELECT conv_id FROM bad) GROUP BY conv_id, number HAVING count(*) = 1""")
+@query("txt13_strict_answers", "WITH " + _ANSWER + """,
+bad AS (SELECT DISTINCT l.conv_id, l.part FROM ln l JOIN ans a ON a.conv_id = l.conv_id AND a.part = l.part WHERE value <> '' AND number > expected)
+SELECT conv_id, part, number, sha256(min(value)) AS sha FROM ln WHERE value <> '' AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.conv_id = ln.conv_id AND bad.part = ln.part)
+GROUP BY conv_id, part, number HAVING count(*) = 1""")
 def strict_answers(spark, sf):
     got = parsing.parse_answers(_answers(spark, sf), ["conv_id", "part"], "answer", "expected")
     return got.select("conv_id", "part", "number", tx.digest(F.col("value")).alias("sha"))
 
 
-@query("txt13_lenient_answers", "WITH " + _ANSWER.replace("\\\\", "\\") + r""",
-p AS (SELECT conv_id, turn, CAST(regexp_extract(line, '^\[(\d+)\]', 1) AS BIGINT) AS number, trim(regexp_extract(line, '^\[\d+\]\s*(.+)$', 1)) AS value FROM ln),
-f AS (SELECT conv_id, number, arg_max(value, turn) AS value FROM p WHERE value <> '' GROUP BY 1, 2)
-SELECT a.conv_id, CAST(0 AS BIGINT) AS part, CAST(g.n AS BIGINT) AS number, sha256(coalesce(f.value, '')) AS sha, f.value IS NULL AS missing
-FROM ans a, unnest(range(1, a.expected + 1)) AS g(n) LEFT JOIN f ON f.conv_id = a.conv_id AND f.number = g.n""")
+@query("txt13_lenient_answers", "WITH " + _ANSWER + """,
+f AS (SELECT conv_id, part, number, arg_max(value, turn) AS value FROM ln WHERE value <> '' GROUP BY 1, 2, 3)
+SELECT a.conv_id, a.part, CAST(g.n AS BIGINT) AS number, sha256(coalesce(f.value, '')) AS sha, f.value IS NULL AS missing
+FROM ans a, unnest(range(1, a.expected + 1)) AS g(n) LEFT JOIN f ON f.conv_id = a.conv_id AND f.part = a.part AND f.number = g.n""")
 def lenient_answers(spark, sf):
     got = parsing.last_answers(_answers(spark, sf), ["conv_id", "part"], "answer", "expected")
     return got.select("conv_id", "part", "number", tx.digest(F.col("value")).alias("sha"), "missing")

@@ -86,6 +86,7 @@ def session(cores: str = "8"):
 def main() -> None:
     args = argparse.ArgumentParser()
     args.add_argument("--sf", default="0.01")
+    args.add_argument("--dir", default="")
     args.add_argument("prefix", nargs="*")
     opts = args.parse_args()
     import __spark_entry__ as entry
@@ -98,7 +99,7 @@ def main() -> None:
         if opts.prefix and not any(name.startswith(p) for p in opts.prefix):
             continue
         try:
-            line = compare(spark, f"/root/testdata/sf{opts.sf}", name, plans, sqls)
+            line = compare(spark, opts.dir or f"/root/testdata/sf{opts.sf}", name, plans, sqls)
         except Exception as exc:  # noqa: BLE001
             line = f"ERROR {type(exc).__name__}: {str(exc)[:900]}"
         bad += not (line.startswith("ok") or line.startswith("rows-only"))
