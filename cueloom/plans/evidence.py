@@ -11,7 +11,7 @@ from cueloom.sources import tables as t
 
 _POOLS = """pools AS (SELECT episode_id, owner_id, observer, pool_ord, pos, sha256(text) AS text_sha, length(text) AS n_chars, 'pool' AS origin
   FROM observation WHERE status = 'ok' AND text <> ''
-  UNION ALL SELECT lang, doc_id // 20, 'raw', -1, doc_id, sha256(text), length(text), 'first_pass' FROM documents WHERE doc_id % 20 = 0)"""
+  UNION ALL SELECT lang, doc_id // 20, 'raw', -1, doc_id, sha256(text), length(text), 'first_pass' FROM documents WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY doc_id // 20))"""
 
 
 @query("src11_evidence_union", "WITH " + t.OBSERVATION_SQL + ", " + _POOLS + """
@@ -257,18 +257,15 @@ def unique_keys(spark, sf):
 
 @query("val5_observer_coverage", "WITH " + t.OBSERVATION_SQL + """,
 u AS (SELECT * FROM observation WHERE status = 'ok'),
-own AS (SELECT DISTINCT owner_id FROM observation WHERE owner_id % 10 <> 3 UNION SELECT DISTINCT owner_id + 1000000 FROM observation WHERE owner_id % 10 = 4)
+own AS (SELECT item_id * 2 AS owner_id FROM benchmark)
 SELECT owner_id, 'unobserved_owner' AS rule, 0 AS detail FROM own WHERE owner_id NOT IN (SELECT owner_id FROM u)
 UNION ALL SELECT DISTINCT owner_id, 'unknown_owner', 0 FROM u WHERE owner_id NOT IN (SELECT owner_id FROM own)
 UNION ALL SELECT owner_id, 'observer_count', count(DISTINCT observer) FROM u GROUP BY owner_id HAVING count(DISTINCT observer) <> 18""")
 def observer_coverage(spark, sf):
-    """Every owner observed, no foreign owner, the scheduled number of observers each."""
+    """Every scheduled owner (benchmark items) observed, no other one, the scheduled number of observers each."""
     obs = t.observation(spark, sf).select("owner_id", "observer", "status")
     used = obs.filter("status = 'ok'")
-    ids = obs.select("owner_id").distinct()
-    owners = ids.filter("owner_id % 10 <> 3").unionByName(
-        ids.filter("owner_id % 10 = 4").select((F.col("owner_id") + 1000000).alias("owner_id"))
-    )
+    owners = t.table(spark, sf, "benchmark").select((F.col("item_id") * 2).alias("owner_id"))
     sides = rules.one_sided(owners, used, ["owner_id"], "unobserved_owner", "unknown_owner")
     counts = used.distinct().groupBy("owner_id").agg(F.count("*").alias("detail")).filter("detail <> 18")
     return sides.withColumn("detail", F.lit(0).cast("bigint")).unionByName(

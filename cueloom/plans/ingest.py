@@ -175,13 +175,13 @@ def key_equality(spark, sf):
 
 
 @query("val7_geometry_equality", "WITH " + t.CUE_SQL + """,
-a AS (SELECT * FROM cue WHERE cue_id % 5 <> 4), b AS (SELECT episode_id, cue_id, start_ms, end_ms + CASE WHEN cue_id % 3 = 1 THEN 40 ELSE 0 END AS end_ms FROM cue WHERE cue_id % 7 <> 6)
+a AS (SELECT * FROM cue WHERE n_lex > 60), b AS (SELECT episode_id, cue_id, start_ms, end_ms + CASE WHEN cue_id % 3 = 1 THEN 40 ELSE 0 END AS end_ms FROM cue WHERE n_lex < 900)
 SELECT coalesce(a.episode_id, b.episode_id) AS episode_id, coalesce(a.cue_id, b.cue_id) AS cue_id, CASE WHEN b.cue_id IS NULL THEN 'missing_target' WHEN a.cue_id IS NULL THEN 'missing_source' ELSE 'time_differs' END AS rule
 FROM a FULL JOIN b ON a.episode_id = b.episode_id AND a.cue_id = b.cue_id WHERE a.cue_id IS NULL OR b.cue_id IS NULL OR a.start_ms <> b.start_ms OR a.end_ms <> b.end_ms""")
 def geometry_equality(spark, sf):
-    cues = t.cue(spark, sf).select("episode_id", "cue_id", "start_ms", "end_ms")
-    source = cues.filter("cue_id % 5 <> 4").withColumn("in_source", F.lit(True))
-    target = cues.filter("cue_id % 7 <> 6").select(
+    cues = t.cue(spark, sf).select("episode_id", "cue_id", "n_lex", "start_ms", "end_ms")
+    source = cues.filter("n_lex > 60").drop("n_lex").withColumn("in_source", F.lit(True))
+    target = cues.filter("n_lex < 900").select(
         "episode_id", "cue_id", F.col("start_ms").alias("t_start"), F.expr("end_ms + CASE WHEN cue_id % 3 = 1 THEN 40 ELSE 0 END").alias("t_end")
     )
     both = source.join(target, ["episode_id", "cue_id"], "full")

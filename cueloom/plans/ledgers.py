@@ -40,12 +40,12 @@ def apply_batch(spark, sf):
 
 
 @query("led4_rollback", "WITH " + t.EDIT_SQL + _PREP + """,
-kept AS (SELECT * FROM tx WHERE valid AND cue_id % 4 <> 1)
+kept AS (SELECT * FROM tx WHERE valid AND length(old) >= 4)
 SELECT p.episode_id, p.cue_id, x.after IS NOT NULL AS applied, sha256(coalesce(x.after, p.target)) AS sha FROM pair p LEFT JOIN kept x ON x.episode_id = p.episode_id AND x.cue_id = p.cue_id""")
 def rollback(spark, sf):
     """Regressed transactions are taken out and the rest re-applied to the original base."""
     txs = _tx(spark, sf).filter("valid")
-    regressed = txs.filter("cue_id % 4 = 1").select("episode_id", "cue_id")
+    regressed = txs.filter("length(old) < 4").select("episode_id", "cue_id")
     kept = txs.join(regressed, ["episode_id", "cue_id"], "left_anti")
     done = ledger.apply_batch(t.pair(spark, sf), kept, ["episode_id"], ["cue_id"], "target")
     return done.select("episode_id", "cue_id", "applied", F.sha2("target", 256).alias("sha"))
@@ -168,14 +168,15 @@ def issue_lifecycle(spark, sf):
     )
 
 
-@query("led12_result_cache", """WITH c AS (SELECT sha256(text) AS k, min(doc_id) AS d FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1)
-SELECT doc_id, CASE WHEN d IS NULL THEN 'miss' WHEN d % 10 = 0 THEN 'tampered' ELSE 'hit' END AS state FROM documents LEFT JOIN c ON k = sha256(text)""")
+@query("led12_result_cache", """WITH c AS (SELECT sha256(text) AS k, min(l.doc_id * 2 + toxic) // 2 AS d, min(l.doc_id * 2 + toxic) % 2 AS bad FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1)
+SELECT doc_id, CASE WHEN d IS NULL THEN 'miss' WHEN bad = 1 THEN 'tampered' ELSE 'hit' END AS state FROM documents LEFT JOIN c ON k = sha256(text)""")
 def result_cache(spark, sf):
-    """Requests answered from a cache by fingerprint; an answer that fails its own hash is refused."""
+    """Requests answered from a cache (labelled documents) by fingerprint; an answer that fails its own hash is refused."""
     docs = t.table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("k"))
-    answer = F.concat(F.lit("answer "), F.col("d"))
-    cache = docs.filter("doc_id % 3 <> 0").groupBy("k").agg(F.min("doc_id").alias("d")).select(
-        "k", answer.alias("answer"), F.sha2(F.when(F.col("d") % 10 == 0, F.concat(answer, F.lit("!"))).otherwise(answer), 256).alias("pinned")
+    answer = F.concat(F.lit("answer "), F.col("e.doc_id"))
+    entries = docs.join(t.table(spark, sf, "labels"), "doc_id").groupBy("k").agg(F.min(F.struct("doc_id", "toxic")).alias("e"))
+    cache = entries.select(
+        "k", answer.alias("answer"), F.sha2(F.when(F.col("e.toxic") == 1, F.concat(answer, F.lit("!"))).otherwise(answer), 256).alias("pinned")
     )
     return docs.join(cache, "k", "left").select(
         "doc_id", F.when(F.col("answer").isNull(), "miss").when(F.sha2("answer", 256) != F.col("pinned"), "tampered").otherwise("hit").alias("state")
@@ -205,13 +206,13 @@ def first_snapshot(spark, sf):
 s AS (SELECT *, lag(end_ms, 1, 0) OVER (PARTITION BY episode_id ORDER BY cue_id) AS prev FROM shifted),
 f AS (SELECT episode_id, cue_id, 'nonpositive' AS kind FROM s WHERE end_ms <= start_ms UNION ALL SELECT episode_id, cue_id, 'overlap' FROM s WHERE start_ms < prev
   UNION ALL SELECT episode_id, cue_id, 'short-cue' FROM s WHERE end_ms - start_ms < 400 UNION ALL SELECT episode_id, cue_id, 'long-cue' FROM s WHERE end_ms - start_ms > 10000),
-o AS (SELECT * FROM f WHERE kind IN ('nonpositive', 'overlap') OR cue_id % 2 = 1)
+o AS (SELECT * FROM f WHERE kind <> 'long-cue')
 SELECT e.episode_id, count(o.kind) AS open_findings, count(o.kind) = 0 AS passes FROM (SELECT DISTINCT episode_id FROM cue) e LEFT JOIN o ON o.episode_id = e.episode_id GROUP BY 1""")
 def release_gate(spark, sf):
-    """Findings less waivers; structure findings cannot be waived."""
+    """Findings less waivers (here every long cue); structure findings cannot be waived."""
     found = geometry.display_lint(spark, sf)
     episodes = t.table(spark, sf, "conversations").select(F.col("conv_id").alias("episode_id")).distinct()
-    waivers = found.filter("cue_id % 2 = 0 AND kind NOT IN ('nonpositive', 'overlap')")
+    waivers = found.filter("kind = 'long-cue'")
     left = found.join(waivers.select("episode_id", "cue_id", "kind").distinct(), ["episode_id", "cue_id", "kind"], "left_anti")
     per = left.groupBy("episode_id").agg(F.count("*").alias("open_findings"))
     return episodes.join(per, "episode_id", "left").withColumn("open_findings", F.coalesce("open_findings", F.lit(0)).cast("bigint")).withColumn(
@@ -264,15 +265,15 @@ def review_scores(spark, sf):
 
 
 @query("agg16_decision_acceptance", "WITH " + t.OBSERVATION_SQL + """,
-v AS (SELECT owner_id, pos FROM observation WHERE status = 'ok'), c AS (SELECT owner_id, pos, pos % 3 AS a, pos % 4 AS b FROM observation WHERE status = 'ok' AND pos % 197 <> 5 UNION ALL SELECT owner_id, pos, 0, 1 FROM observation WHERE pos % 211 = 7 AND status = 'ok'),
+v AS (SELECT owner_id, pos FROM observation WHERE status = 'ok'), c AS (SELECT owner_id, pos, pos % 3 AS a, pos % 4 AS b FROM observation WHERE status = 'ok' AND length(text) >= 60 UNION ALL SELECT owner_id, pos, 0, 1 FROM observation WHERE length(text) > 9000 AND status = 'ok'),
 j AS (SELECT coalesce(v.owner_id, c.owner_id) AS owner_id, v.pos AS vp, c.pos AS cp, a, b FROM v FULL JOIN c ON v.owner_id = c.owner_id AND v.pos = c.pos)
 SELECT owner_id, count(*) FILTER (cp IS NULL) AS unchecked, count(cp) - count(DISTINCT cp) AS repeated,
   count(*) FILTER (cp IS NULL) = 0 AND count(cp) = count(DISTINCT cp) AND bool_or(coalesce(a = 0, false)) AND bool_and(coalesce(NOT (b = 0 AND a = 1), true)) AS accepted FROM j GROUP BY 1""")
 def decision_acceptance(spark, sf):
     """Every viable reading checked once, one supportive, none weakened (0 = supported, 1 = uncertain)."""
-    viable = t.observation(spark, sf).filter("status = 'ok'").select("owner_id", "pos")
-    checks = viable.filter("pos % 197 <> 5").select("owner_id", "pos", F.expr("pos % 3").alias("after"), F.expr("pos % 4").alias("before")).unionByName(
-        viable.filter("pos % 211 = 7").select("owner_id", "pos", F.lit(0).cast("bigint").alias("after"), F.lit(1).cast("bigint").alias("before"))
+    viable = t.observation(spark, sf).filter("status = 'ok'").select("owner_id", "pos", F.length("text").alias("n_text"))
+    checks = viable.filter("n_text >= 60").select("owner_id", "pos", F.expr("pos % 3").alias("after"), F.expr("pos % 4").alias("before")).unionByName(
+        viable.filter("n_text > 9000").select("owner_id", "pos", F.lit(0).cast("bigint").alias("after"), F.lit(1).cast("bigint").alias("before"))
     )
     per = checks.groupBy("owner_id", "pos").agg(
         F.count("*").alias("n"), F.bool_or(F.col("after") == 0).alias("supports"),
@@ -287,13 +288,14 @@ def decision_acceptance(spark, sf):
 
 
 @query("agg17_derived_owners", "WITH " + matching._CITE + """,
-dv AS (SELECT DISTINCT claim_id, owner_id FROM cite), dc AS (SELECT DISTINCT doc_id // 10 AS claim_id, doc_id // 20 AS owner_id FROM documents UNION SELECT DISTINCT doc_id // 10, doc_id // 20 + 1 FROM documents WHERE doc_id // 10 % 9 = 4)
+dv AS (SELECT DISTINCT claim_id, owner_id FROM cite), dc AS (SELECT DISTINCT doc_id // 10 AS claim_id, doc_id // 20 AS owner_id FROM documents UNION SELECT DISTINCT doc_id // 10, doc_id // 20 + 1 FROM documents WHERE n_chars < 200)
 SELECT claim_id, owner_id, 'derived_only' AS side FROM (SELECT * FROM dv EXCEPT SELECT * FROM dc) UNION ALL SELECT claim_id, owner_id, 'declared_only' FROM (SELECT * FROM dc EXCEPT SELECT * FROM dv)""")
 def derived_owners(spark, sf):
     """Owners a claim should name, from its citations, against the ones it declares."""
     derived = matching.citations(spark, sf).select("claim_id", "owner_id").distinct()
-    ids = t.table(spark, sf, "documents").select(F.expr("doc_id div 10").alias("claim_id"), F.expr("doc_id div 20").alias("owner_id")).distinct()
-    declared = ids.unionByName(ids.filter("claim_id % 9 = 4").withColumn("owner_id", F.col("owner_id") + 1)).distinct()
+    docs = t.table(spark, sf, "documents").select(F.expr("doc_id div 10").alias("claim_id"), F.expr("doc_id div 20").alias("owner_id"), "n_chars")
+    extra = docs.filter("n_chars < 200").withColumn("owner_id", F.col("owner_id") + 1)
+    declared = docs.unionByName(extra).select("claim_id", "owner_id").distinct()
     from cueloom.operators.rules import one_sided
 
     return one_sided(derived, declared, ["claim_id", "owner_id"], "derived_only", "declared_only").withColumnRenamed("rule", "side")
@@ -309,7 +311,7 @@ def text_ids(spark, sf):
     return docs.join(ids, "sha").select("doc_id", "text_id")
 
 
-_SIGNALS = """sig AS (SELECT doc_id AS line, 'global' AS signal FROM documents WHERE n_chars % 13 = 0 UNION ALL SELECT doc_id, 'rule' FROM documents WHERE regexp_matches(text, '[0-9]{4}')
+_SIGNALS = """sig AS (SELECT doc_id AS line, 'global' AS signal FROM documents WHERE n_chars < 200 UNION ALL SELECT doc_id, 'rule' FROM documents WHERE regexp_matches(text, '[0-9]{4}')
  UNION ALL SELECT line, 'audio' FROM graded WHERE grade IN ('B+', 'B-') UNION ALL SELECT doc_id, 'script' FROM labels WHERE quality = 0)"""
 
 
@@ -317,7 +319,7 @@ def _signals(spark, sf, graded):
     docs = t.table(spark, sf, "documents")
     mark = lambda df, c, s: df.select(F.col(c).alias("line"), F.lit(s).alias("signal"))
     return (
-        mark(docs.filter("n_chars % 13 = 0"), "doc_id", "global")
+        mark(docs.filter("n_chars < 200"), "doc_id", "global")
         .unionByName(mark(docs.filter(F.col("text").rlike("[0-9]{4}")), "doc_id", "rule"))
         .unionByName(mark(graded.filter("grade IN ('B+', 'B-')"), "line", "audio"))
         .unionByName(mark(t.table(spark, sf, "labels").filter("quality = 0"), "doc_id", "script"))
@@ -341,25 +343,26 @@ def signal_algebra(spark, sf):
     return _signals(spark, sf, graded).select("line").distinct().join(conflict, "line", "left_anti")
 
 
-@query("set3_symmetric_difference", "WITH " + matching._CITE + """ SELECT o.observation_id, 'uncited' AS side FROM (SELECT doc_id AS observation_id FROM documents EXCEPT SELECT observation_id FROM cite WHERE claim_id % 3 <> 0) o
+@query("set3_symmetric_difference", "WITH " + matching._CITE + """ SELECT o.observation_id, 'uncited' AS side FROM (SELECT doc_id AS observation_id FROM documents EXCEPT SELECT observation_id FROM cite WHERE claim_id <> observation_id // 10) o
 UNION ALL SELECT c.observation_id, 'unlabelled' FROM (SELECT observation_id FROM cite EXCEPT SELECT doc_id FROM labels) c""")
 def symmetric_difference(spark, sf):
     cite = matching.citations(spark, sf)
     ids = t.table(spark, sf, "documents").select(F.col("doc_id").alias("observation_id"))
     labelled = t.table(spark, sf, "labels").select(F.col("doc_id").alias("observation_id"))
-    uncited = ids.exceptAll(ids.join(cite.filter("claim_id % 3 <> 0"), "observation_id", "left_semi"))
+    uncited = ids.exceptAll(ids.join(cite.filter("claim_id <> observation_id div 10"), "observation_id", "left_semi"))
     unlabelled = cite.select("observation_id").distinct().join(labelled, "observation_id", "left_anti")
     return uncited.withColumn("side", F.lit("uncited")).unionByName(unlabelled.withColumn("side", F.lit("unlabelled")))
 
 
 @query("set4_role_disjointness", "WITH " + matching._CITE + """,
-r AS (SELECT claim_id, observation_id, 'support' AS role FROM cite WHERE observation_id % 3 <> 0 UNION ALL SELECT claim_id, observation_id, 'conflict' FROM cite WHERE observation_id % 5 = 0)
+r AS (SELECT claim_id, observation_id, 'support' AS role FROM cite WHERE observation_id IN (SELECT doc_id FROM labels WHERE quality = 1) UNION ALL SELECT claim_id, observation_id, 'conflict' FROM cite WHERE observation_id IN (SELECT doc_id FROM labels WHERE toxic = 1))
 SELECT claim_id, count(*) AS both_roles FROM (SELECT claim_id, observation_id FROM r GROUP BY 1, 2 HAVING count(DISTINCT role) = 2) GROUP BY 1""")
 def role_disjointness(spark, sf):
     """Claims that cite one observation both for and against."""
     cite = matching.citations(spark, sf)
-    support = cite.filter("observation_id % 3 <> 0").select("claim_id", "observation_id")
-    conflict = cite.filter("observation_id % 5 = 0").select("claim_id", "observation_id")
+    labels = t.table(spark, sf, "labels").withColumnRenamed("doc_id", "observation_id")
+    support = cite.join(labels.filter("quality = 1"), "observation_id", "left_semi").select("claim_id", "observation_id")
+    conflict = cite.join(labels.filter("toxic = 1"), "observation_id", "left_semi").select("claim_id", "observation_id")
     return support.join(conflict, ["claim_id", "observation_id"], "left_semi").groupBy("claim_id").agg(F.count("*").alias("both_roles"))
 
 

@@ -26,25 +26,28 @@ def literal_citations(spark, sf):
 
 
 _CITE = """cite AS (SELECT doc_id // 10 AS claim_id, doc_id AS observation_id, doc_id // 20 AS owner_id FROM documents
-  UNION SELECT doc_id // 10, doc_id * 3 // 2, doc_id * 3 // 2 // 20 FROM documents WHERE doc_id % 7 = 0 AND doc_id * 3 // 2 <= (SELECT max(doc_id) FROM documents))"""
+  UNION SELECT doc_id // 10, doc_id * 3 // 2, doc_id * 3 // 2 // 20 FROM documents WHERE n_chars < 400 AND doc_id * 3 // 2 <= (SELECT max(doc_id) FROM documents))"""
 
 
 def citations(spark, sf):
-    docs = t.table(spark, sf, "documents").select("doc_id")
+    docs = t.table(spark, sf, "documents").select("doc_id", "n_chars")
     own = docs.select(F.expr("doc_id div 10").alias("claim_id"), F.col("doc_id").alias("observation_id"))
-    far = docs.filter("doc_id % 7 = 0").select(F.expr("doc_id div 10").alias("claim_id"), F.expr("doc_id * 3 div 2").alias("observation_id"))
+    far = docs.filter("n_chars < 400").select(F.expr("doc_id div 10").alias("claim_id"), F.expr("doc_id * 3 div 2").alias("observation_id"))
     known = docs.agg(F.max("doc_id").alias("top"))
     far = far.crossJoin(F.broadcast(known)).filter("observation_id <= top").drop("top")  # one row: the largest id
     return own.unionByName(far).distinct().withColumn("owner_id", F.expr("observation_id div 20"))
 
 
 @query("jn8_focus_expansion", "WITH " + _CITE + """
-SELECT DISTINCT observation_id FROM cite WHERE claim_id IN (SELECT claim_id FROM cite WHERE owner_id % 10 = 2) UNION SELECT doc_id FROM documents WHERE doc_id // 20 % 10 = 2""")
+SELECT DISTINCT observation_id FROM cite WHERE claim_id IN (SELECT claim_id FROM cite WHERE owner_id IN (SELECT doc_id // 20 FROM labels WHERE toxic = 1)) UNION SELECT doc_id FROM documents WHERE doc_id // 20 IN (SELECT doc_id // 20 FROM labels WHERE toxic = 1)""")
 def focus_expansion(spark, sf):
+    """Focus owners are those with a toxic label."""
     edges = citations(spark, sf)
-    touched = edges.filter("owner_id % 10 = 2").select("claim_id").distinct()
+    focus = t.table(spark, sf, "labels").filter("toxic = 1").select(F.expr("doc_id div 20").alias("owner_id")).distinct()
+    touched = edges.join(focus, "owner_id", "left_semi").select("claim_id").distinct()
     cited = edges.join(touched, "claim_id", "left_semi").select("observation_id")
-    own = t.table(spark, sf, "documents").filter("doc_id div 20 % 10 = 2").select(F.col("doc_id").alias("observation_id"))
+    docs = t.table(spark, sf, "documents").select(F.col("doc_id").alias("observation_id"), F.expr("doc_id div 20").alias("owner_id"))
+    own = docs.join(focus, "owner_id", "left_semi").select("observation_id")
     return cited.unionByName(own).distinct()
 
 
@@ -126,7 +129,7 @@ def longest_name(spark, sf):
     """Two-word names as well: a single word inside a longer declared name does not count."""
     single = t.alias_words(spark, sf)
     words = dictionary.word_runs(t.table(spark, sf, "benchmark").select(F.col("item_id").alias("entity_id"), "text"), ["entity_id"], "text", 2)
-    double = words.filter("words = 2 AND at % 3 = 1").select("entity_id", "surface").distinct()
+    double = words.filter("words = 2 AND length(surface) >= 8").select("entity_id", "surface").distinct()
     surfaces = single.unionByName(double).groupBy("surface").agg(F.count("*").alias("entities"), F.min("entity_id").alias("first_entity"))
     found = dictionary.occurrences(t.table(spark, sf, "documents"), ["doc_id"], "text", surfaces, 2)
     return found.groupBy("doc_id", "words").agg(F.count("*").alias("places"), F.count_if(F.col("entities") > 1).alias("ambiguous"))
@@ -189,11 +192,11 @@ def paired_arms(spark, sf):
 
 
 @query("jn17_before_after", """SELECT coalesce(b.doc_id, a.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'removed' WHEN b.doc_id IS NULL THEN 'added' ELSE 'changed' END AS kind FROM
-(SELECT doc_id, text FROM documents WHERE doc_id % 10 <> 1) b FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN text || ' ' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 2) a ON a.doc_id = b.doc_id WHERE a.text IS DISTINCT FROM b.text""")
+(SELECT doc_id, text FROM documents WHERE lang <> 'de') b FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN text || ' ' ELSE text END AS text FROM documents WHERE n_chars >= 300) a ON a.doc_id = b.doc_id WHERE a.text IS DISTINCT FROM b.text""")
 def before_after(spark, sf):
     docs = t.table(spark, sf, "documents")
-    before = docs.filter("doc_id % 10 <> 1").select("doc_id", F.sha2("text", 256).alias("was"))
-    after = docs.filter("doc_id % 10 <> 2").select("doc_id", F.sha2(F.expr("CASE WHEN doc_id % 4 = 0 THEN text || ' ' ELSE text END"), 256).alias("now"))
+    before = docs.filter("lang <> 'de'").select("doc_id", F.sha2("text", 256).alias("was"))
+    after = docs.filter("n_chars >= 300").select("doc_id", F.sha2(F.expr("CASE WHEN doc_id % 4 = 0 THEN text || ' ' ELSE text END"), 256).alias("now"))
     both = before.join(after, "doc_id", "full").filter(~F.col("was").eqNullSafe(F.col("now")))
     return both.select("doc_id", F.when(F.col("now").isNull(), "removed").when(F.col("was").isNull(), "added").otherwise("changed").alias("kind"))
 

@@ -11,9 +11,10 @@ def evidence_pool(observations: DataFrame, transcripts: DataFrame) -> DataFrame:
     Nothing is merged by text: two observers with the same words remain two rows.
     """
     usable = observations.filter("status = 'ok' AND text <> ''").withColumn("origin", F.lit("pool"))
-    raw = transcripts.filter("doc_id % 20 = 0").select(
-        F.col("lang").alias("episode_id"), F.expr("doc_id div 20").alias("owner_id"), F.lit("raw").alias("observer"),
-        F.lit(-1).cast("bigint").alias("pool_ord"), F.col("doc_id").alias("pos"), "text",
+    first = transcripts.groupBy(F.expr("doc_id div 20").alias("owner_id")).agg(F.min(F.struct("doc_id", "lang", "text")).alias("d"))
+    raw = first.select(
+        F.col("d.lang").alias("episode_id"), "owner_id", F.lit("raw").alias("observer"),
+        F.lit(-1).cast("bigint").alias("pool_ord"), F.col("d.doc_id").alias("pos"), "d.text",
         F.lit("first_pass").alias("origin"),
     )
     return usable.unionByName(raw, allowMissingColumns=True)

@@ -214,10 +214,10 @@ vote AS (SELECT doc_id AS line, text AS w,
 
 
 def edit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Proposed one-word edits of targets; some rest on a wrong base hash."""
+    """Edits of targets that begin with a short word; some rest on a wrong base hash."""
     old = F.regexp_extract("target", r"^(\S+)", 1)
     stale = (F.col("episode_id") * 8 + F.col("cue_id")) % 15 == 0
-    return pair(spark, sf_dir).filter("cue_id % 3 <> 0").select(
+    return pair(spark, sf_dir).filter(F.length(old) <= 6).select(
         "episode_id", "cue_id", "source", "target", old.alias("old"),
         F.concat(F.reverse(old), F.lit("-")).alias("new"),
         F.sha2(F.when(stale, F.concat("target", F.lit("#"))).otherwise(F.col("target")), 256).alias("base_hash"),
@@ -228,7 +228,7 @@ EDIT_SQL = PAIR_SQL + r""",
 edit AS (SELECT episode_id, cue_id, source, target, regexp_extract(target, '^(\S+)', 1) AS old,
     reverse(regexp_extract(target, '^(\S+)', 1)) || '-' AS new,
     sha256(CASE WHEN (episode_id * 8 + cue_id) % 15 = 0 THEN target || '#' ELSE target END) AS base_hash
-    FROM pair WHERE cue_id % 3 <> 0)"""
+    FROM pair WHERE length(regexp_extract(target, '^(\S+)', 1)) <= 6)"""
 
 
 def token(spark: SparkSession, sf_dir: str) -> DataFrame:
