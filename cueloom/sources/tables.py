@@ -12,8 +12,18 @@ from cueloom.functions import text as tx
 from cueloom.operators import ordered
 
 
+TEXT_TABLES = ("documents", "conversations", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A parquet table.  Text work is heavy per byte, so a text table that arrives in fewer
+    splits than there are cores (one row group, say) is spread; a large one is left as it is."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name not in TEXT_TABLES:
+        return df
+    cores = spark.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if splits < cores else df
 
 
 def cue(spark: SparkSession, sf_dir: str) -> DataFrame:
