@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cueloom.functions import text as tx, timecode as tc
-from cueloom.operators import consensus, intervals, ordered, rules
+from cueloom.operators import consensus, ordered, rules
 from cueloom.plans.registry import query
 from cueloom.sources import tables as t
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cueloom.functions import text as tx
 from cueloom.operators import intervals, ordered
 from cueloom.plans.registry import query
 from cueloom.sources import tables as t
