@@ -2,17 +2,42 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_fallback: dict[str, str] = {}
 _made: list[str] = []
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Worker functions call helpers of the package; a session started from another folder, or on a
+    cluster, has no other way to import them.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    home = pathlib.Path(__file__).resolve().parent
+    packed = pathlib.Path(tempfile.mkdtemp(prefix="cueloom-code-")) / "cueloom.zip"
+    with zipfile.ZipFile(packed, "w") as out:
+        for path in sorted(home.rglob("*.py")):
+            out.write(path, str(path.relative_to(home.parent)))
+    spark.sparkContext.addPyFile(str(packed))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only for local runs."""
+    """``spark.checkpoint.dir`` of the session.
+
+    Unset, a local master gets a temporary folder of its own; any other master is refused, since
+    a machine-local folder is invisible to the rest of a cluster.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
