@@ -82,6 +82,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> D
     ``docs`` has doc_id and text, ``trusted`` the ids of the target documents.
     """
     marks = trusted.select("doc_id").filter("doc_id IS NOT NULL").distinct().withColumn("target", F.lit(1).cast("long"))
+    marks = marks.hint("merge")  # one plan at every size: the labels grow with the documents
     marked = docs.select("doc_id", "text").join(marks, "doc_id", "left")
     grams = marked.select(words(F.col("text")).alias("words"), F.coalesce("target", F.lit(0)).alias("target"))
     counts = (
