@@ -34,7 +34,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from cueloom.llm.components import components
 from cueloom.llm.hashing import mix, window_hashes, word_hashes
@@ -66,17 +66,17 @@ def need(n: int, num: int, den: int) -> int:
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, sid): size and fingerprint of each document's set; null for the empty set."""
+    """(doc_id, digest, n, sid): size and fingerprint of each document's set; null for the empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [shingles(t, k) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array([len(m) for m in made], pa.int64()),
+                batch.column("doc_id"), batch.column("digest"), pa.array([len(m) for m in made], pa.int64()),
                 pa.array([fingerprint(m) if len(m) else None for m in made], pa.int64()),
-            ], ["doc_id", "n", "sid"])
+            ], ["doc_id", "digest", "n", "sid"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, sid bigint")
+    return docs.mapInArrow(run, "doc_id bigint, digest bigint, n bigint, sid bigint")
 
 
 def _runs(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -310,11 +310,13 @@ def _across_groups(sets: DataFrame, num: int, den: int) -> DataFrame:
 def jaccard_components(
     docs: DataFrame, k: int = 5, share: tuple[int, int] = (3, 4), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (least id of its component)."""
+    """One row per document: doc_id, digest (of the text), n_shingles, component (its name, null for the
+    empty set), component_id (least id of its component)."""
     spark = docs.sparkSession
     ship(spark)
     num, den = share
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    own = own.withColumn("digest", F.xxhash64("text"))
     sets = pin(_sets(own, k), "sets")
     known = sets.filter("sid IS NOT NULL").groupBy("sid", "n").agg(F.min("doc_id").alias("rep"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -351,7 +353,22 @@ def jaccard_components(
     )
     named = known.join(final, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least_id = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    answer = named.join(least_id, "root").select("sid", "component_id")
+    answer = named.join(least_id, "root").select("sid", "root", "component_id")
+    lone = F.when(F.col("sid").isNull(), F.col("doc_id"))
     return sets.join(answer, "sid", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+        "doc_id", "digest", F.col("n").alias("n_shingles"), F.col("root").alias("component"),
+        F.coalesce(lone, "component_id").alias("component_id"),
     )
+
+
+def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component of ``found``: the one of least id, then of least text hash;
+    documents with a null id come last, documents with an empty set all stay."""
+    stands = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
+    chosen = found.filter("component IS NOT NULL").groupBy("component").agg(F.min(stands).alias("own")).select("own.doc_id", "own.digest")
+    empty = found.filter("component IS NULL").select("doc_id", "digest").distinct()
+    keep = chosen.withColumn("single", F.lit(True)).union(empty.withColumn("single", F.lit(False))).hint("merge")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.xxhash64(F.col(text_col).cast("string")).alias("seen"))
+    met = rows.join(keep, F.col(f"own.`{id_col}`").cast("long").eqNullSafe(keep["doc_id"]) & (F.col("seen") == keep["digest"]))
+    copies = Window.partitionBy(keep["doc_id"], "digest").orderBy("single")
+    return met.withColumn("copy", F.row_number().over(copies)).filter("copy = 1 OR NOT single").select("own.*")

@@ -74,9 +74,9 @@ def half_keys(hashed: np.ndarray) -> np.ndarray:
     for shorter in (n, n - 1):
         half = shorter // 2
         tail = shorter - half
-        end = (sums[n] - sums[n - tail]) * _power(-1, n - tail + 1)[n - tail]
+        end = (sums[n:] - sums[n - tail : n - tail + 1]) * _power(-1, n - tail + 1)[n - tail :]
         out.append(_key(sums[half : half + 1], 2 * shorter))
-        out.append(_key(np.array([end]), 2 * shorter + 1))
+        out.append(_key(end, 2 * shorter + 1))
     return np.concatenate(out)
 
 

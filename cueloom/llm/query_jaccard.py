@@ -10,4 +10,4 @@ from cueloom.llm.registry import documents, query
 
 @query("op7_jaccard_join")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(documents(spark, sf_dir))
+    return jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")

@@ -30,6 +30,6 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     items = F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["item"])))
     return judged(found).select(
-        "doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"),
+        "own.doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), "contaminated",
     )

@@ -147,8 +147,8 @@ def contamination(
     item_col: str = "item_id", item_text_col: str = "text", k: int = RUN, window: int = WINDOW,
     block_words: int = BLOCK_WORDS, carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per document: the ``carry`` columns, ``n_words`` and ``spans`` (item, first, last):
-    word positions ``first`` to ``last - 1`` of the document are a maximal run common with the item."""
+    """One row per document: struct ``own`` (doc_id and the ``carry`` columns), ``n_words`` and ``spans``
+    (item, first, last): word positions ``first`` to ``last - 1`` of the document are a maximal run common with the item."""
     spark = docs.sparkSession
     ship(spark)
     kept = docs.select(
@@ -162,7 +162,7 @@ def contamination(
     if not passes:
         passes.append(_one_pass(kept, spark.sparkContext.broadcast(Index([], k, window))))
     if len(passes) == 1:
-        return passes[0].select("own.*", "n_words", "spans")
+        return passes[0].select("own", "n_words", "spans")
     # Rows equal in everything carried and in text are told apart by their number among equals.
     rows = passes[0].withColumn("pass", F.lit(0))
     for n, more in enumerate(passes[1:], 1):
@@ -171,7 +171,7 @@ def contamination(
     met = rows.withColumn("copy", F.row_number().over(same)).groupBy("own", "digest", "copy").agg(
         F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans")
     )
-    return met.select("own.*", "n_words", "spans")
+    return met.select("own", "n_words", "spans")
 
 
 def _one_pass(kept: DataFrame, sent) -> DataFrame:
