@@ -10,12 +10,12 @@ from cueloom.functions import text as tx
 
 
 def numbered_lines(df: DataFrame, ids: Sequence[str], answer: str) -> DataFrame:
-    """One row per ``[N] text`` line, in line order (lines of one answer text)."""
+    """One row per ``[N] text`` line, in line order; a number beyond 64 bits is null, which is foreign."""
     lines = df.select(*ids, F.posexplode(F.split(answer, r"\r\n|\n|\r")).alias("line_no", "_line"))
     bare = tx.strip(F.col("_line"))
-    shape = r"(?s)^\[(\d{1,9})\]\s*(.+)$"
+    shape = r"(?s)^\[(\d+)\]\s*(.+)$"
     return lines.filter(bare.rlike(shape)).select(
-        *ids, "line_no", F.regexp_extract(bare, shape, 1).cast("bigint").alias("number"),
+        *ids, "line_no", F.regexp_extract(bare, shape, 1).try_cast("bigint").alias("number"),
         F.regexp_extract(bare, shape, 2).alias("value"),
     )
 
@@ -24,7 +24,9 @@ def parse_answers(df: DataFrame, ids: Sequence[str], answer: str, expected: str)
     """Strict reading: a foreign id voids the answer, a repeated id is dropped, the rest kept."""
     lines = numbered_lines(df, ids, answer)
     scope = df.select(*ids, expected)
-    seen = lines.join(scope, list(ids)).withColumn("_ok", F.col("number").between(1, F.col(expected)))
+    seen = lines.join(scope, list(ids)).withColumn(
+        "_ok", F.coalesce(F.col("number").between(1, F.col(expected)), F.lit(False))
+    )
     per = seen.groupBy(*ids, "number").agg(
         F.count("*").alias("_n"), F.min("value").alias("value"), F.bool_and("_ok").alias("_ok")
     )
@@ -50,34 +52,39 @@ def last_answers(df: DataFrame, ids: Sequence[str], answer: str, expected: str)
 
 
 # Shapes of critic lines and of "nothing to report".
-COMMENT = r"^(?:(?:行号\s*[:：])|行|第)?\s*\[?#?\s*(\d{1,9})\s*\]?\s*(?:行)?\s*[:：]\s*(.+)$"
-BRACKET = r"^\[\s*(\d{1,9})\s*\]\s*(.+)$"
+COMMENT = r"^(?:(?:行号\s*[:：])|行|第)?\s*\[?#?\s*(\d+)\s*\]?\s*(?:行)?\s*[:：]\s*(.+)$"
+BRACKET = r"^\[\s*(\d+)\s*\]\s*(.+)$"
 BULLET = r"^\s*(?:[-*•·]|\d+\.)\s+"
-NO_ITEMS = "无 无。 （无） (无) none None 无可疑行 没有".split()
+NO_ITEMS = ("无", "无。", "（无）", "(无)", "none", "None", "无可疑行", "没有")
 
 
 def comments(df: DataFrame, ids: Sequence[str], answer: str, max_line: str, limit: int = 160) -> DataFrame:
     """``line: note`` items of a critic answer; ``in_range`` is false for foreign line numbers."""
     lines = df.select(*ids, max_line, F.posexplode(F.split(answer, r"\r\n|\n|\r")).alias("at", "_raw"))
     item = tx.strip(F.regexp_replace("_raw", BULLET, ""))
-    rows = lines.withColumn("_item", item).filter((F.col("_item") != "") & ~F.col("_item").isin(NO_ITEMS))
+    rows = lines.withColumn("_item", item).filter((F.col("_item") != "") & ~F.col("_item").isin(*NO_ITEMS))
     colon = F.col("_item").rlike(COMMENT)
     rows = rows.filter(colon | F.col("_item").rlike(BRACKET)).select(
         *ids, max_line, "at",
         F.when(colon, F.regexp_extract("_item", COMMENT, 1)).otherwise(F.regexp_extract("_item", BRACKET, 1))
-        .cast("bigint").alias("line"),
+        .try_cast("bigint").alias("line"),
         tx.clip(
             F.when(colon, F.regexp_extract("_item", COMMENT, 2)).otherwise(F.regexp_extract("_item", BRACKET, 2)), limit
         ).alias("note"),
     )
-    return rows.filter("note <> ''").select(*ids, "at", "line", "note", F.col("line").between(1, F.col(max_line)).alias("in_range"))
+    return rows.filter("note <> ''").select(*ids, "at", "line", "note", F.coalesce(F.col("line").between(1, F.col(max_line)), F.lit(False)).alias("in_range"))
 
 
 def json_rejection(text: Column) -> Column:
-    """Why a JSON text is refused as a strict object: shape, constants or repeated keys."""
+    """Why a JSON text is refused as a strict object: shape, constants or repeated keys.
+
+    Constants are looked for outside strings.  A key repeated in a nested object is refused by the
+    parser itself, as malformed.
+    """
     keys = F.json_object_keys(text)
+    bare = F.regexp_replace(text, r'"(?:[^"\\]|\\.)*+"', '""')
     return (
-        F.when(text.rlike(r"[:\[,]\s*-?(?:NaN|Infinity)\b"), "constant")
+        F.when(bare.rlike(r"[:\[,]\s*-?(?:NaN|Infinity)\b"), "constant")
         .when(F.size(keys) != F.size(F.array_distinct(keys)), "duplicate_key")
         .when(F.try_parse_json(text).isNull(), "malformed")
         .when(~F.ltrim(text).startswith("{"), "not_object")

@@ -24,12 +24,13 @@ def word_runs(df: DataFrame, ids: Sequence[str], text: str, most: int) -> DataFr
     return words.select(*ids, F.inline(runs))
 
 
-def occurrences(df: DataFrame, ids: Sequence[str], text: str, surfaces: DataFrame, most: int = 1) -> DataFrame:
+def occurrences(df: DataFrame, ids: Sequence[str], text: str, surfaces: DataFrame) -> DataFrame:
     """Places where a declared surface stands on word boundaries; the longest one wins.
 
     Runs of words meet the lexicon in an equi-join, so no text is scanned per alias.
-    ``surfaces`` has one row per surface.
+    ``surfaces`` has one row per surface; runs are as long as its longest one.
     """
+    most = surfaces.agg(F.max(F.size(F.split("surface", " ")))).first()[0] or 1
     hits = word_runs(df, ids, text, most).join(surfaces, "surface")
     if most == 1:
         return hits

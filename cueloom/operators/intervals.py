@@ -14,9 +14,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cueloom.operators import ordered
 
 
+def bin_of(at: Column, width: int) -> Column:
+    """Integer division towards minus infinity."""
+    return F.call_function("div", at - F.pmod(at, F.lit(width)), F.lit(width))
+
+
 def spread(df: DataFrame, start: str, end: str, width: int, out: str = "_bin") -> DataFrame:
-    """One row per bin an interval touches."""
-    return df.withColumn(out, F.explode(F.expr(f"sequence({start} div {width}, ({end} - 1) div {width})")))
+    """One row per bin an interval touches; an empty interval touches none."""
+    bins = F.sequence(bin_of(F.col(start), width), bin_of(F.col(end) - 1, width))
+    return df.filter(F.col(start) < F.col(end)).withColumn(out, F.explode(bins))
 
 
 def overlap_join(
@@ -27,7 +33,7 @@ def overlap_join(
     (ls, le), (rs, re) = left_span, right_span
     a = spread(left, ls, le, width)
     b = spread(right, rs, re, width)
-    first = F.floor(F.greatest(F.col(ls), F.col(rs)) / width)
+    first = bin_of(F.greatest(F.col(ls), F.col(rs)), width)
     return (
         a.join(b, [*keys, "_bin"])
         .filter((F.col(ls) < F.col(re)) & (F.col(rs) < F.col(le)) & (F.col("_bin") == first))

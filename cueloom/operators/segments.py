@@ -80,21 +80,21 @@ TRAILING = "って よ ね の か さ と が を に で".split()
 def utterances(tokens: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """An utterance ends with its sentence unless the joined text ends in an unfinished suffix.
 
-    A suffix is at most five characters before its terminators, so the text before a token
-    only matters when the token is shorter than that; the fold carries those characters.
+    A suffix is at most five characters before its terminators, and how many terminators follow
+    does not matter; so the fold carries the last characters with a run of terminators as one.
     """
 
     def advance(state: State, row: tuple) -> tuple[State, list[tuple]]:
         text, closes = row
         tail = "" if state is None or state[0] is None else state[0]
         opens = state is None or state[0] is None
-        joined = (tail + text)[-24:]
+        joined = _RUN.sub(r"\1", tail + text)[-8:]
         done = bool(closes) and not _UNFINISHED.search(joined)
         return [None if done else joined], [(int(opens),)]
 
     import re
 
-    _UNFINISHED = re.compile(UNFINISHED)
+    _UNFINISHED, _RUN = re.compile(UNFINISHED), re.compile(r"([。！？!?])[。！？!?]+$")
     marked = fold(
         tokens.withColumn("_closes", F.col("text").rlike(SENTENCE_CLOSE)), keys, order, ["text", "_closes"],
         advance, {"opens": "long"}, [*order, ordered.BLOCK],
@@ -175,8 +175,8 @@ def greedy_windows(
 def short_cores(owners: DataFrame, gaps: DataFrame, key: str, start: str, end: str, at: str) -> DataFrame:
     """Contiguous 2-8 s cores inside each owner, aiming at 6 s, cut at the nearest silence centre.
 
-    An owner is at most 30 s long, so its distinct integer centres are bounded and the cuts are
-    a fold over at most 15 steps, evaluated in the JVM.
+    The cuts of one owner are a fold in the JVM; a core is at least 2 s long, so an owner of n
+    seconds has at most n / 2 of them, and that is the number of steps.
     """
     inside = gaps.select(key, at).distinct().groupBy(key).agg(F.array_sort(F.collect_list(at)).alias("_gaps"))
     rows = owners.join(inside, key, "left").withColumn("_gaps", F.coalesce("_gaps", F.array().cast("array<bigint>")))
@@ -189,7 +189,8 @@ def short_cores(owners: DataFrame, gaps: DataFrame, key: str, start: str, end: s
         best = F.coalesce(F.array_min(ranked)["x"], F.least(here + 6000, high))
         return F.when(F.col(end) - here > 8000, F.concat(cuts, F.array(best))).otherwise(cuts)
 
-    steps = F.sequence(F.lit(1), F.lit(15))
+    most = F.expr(f"greatest(1L, (`{end}` - `{start}`) div 2000)")
+    steps = F.sequence(F.lit(1).cast("bigint"), most)
     cuts = F.aggregate(steps, F.array(F.col(start).cast("bigint")), lambda acc, _: cut(acc))
     ends = rows.withColumn("_cuts", F.concat(cuts, F.array(F.col(end).cast("bigint"))))
     spans = F.transform(
@@ -261,20 +262,22 @@ def moving_power(samples: DataFrame, keys: Sequence[str], frame: str, value: str
 
 
 def pause_cuts(
-    pieces: DataFrame, keys: Sequence[str], order: Sequence[str], *, minimum_gap: int = 2000, most: int = 11,
+    pieces: DataFrame, keys: Sequence[str], order: Sequence[str], *, minimum_gap: int = 2000, most: int | None = None,
 ) -> DataFrame:
     """Cut after a piece where the gap is long, mostly without speech, and both sides hold text.
 
     Needs ``lex``, ``rest_lex`` (lexical characters after the piece), ``gap_ms`` and
-    ``speech_ms`` inside the gap.  ``most`` is a layout rule: a text has at most 12 parts.
+    ``speech_ms`` inside the gap.  ``most`` is an optional layout rule: cuts a key may have.
+    Without it the state is the text held, and two characters are as good as more.
     """
 
     def advance(state: State, row: tuple) -> tuple[State, list[tuple]]:
         lex, rest, gap, speech = (int(v) for v in row)
         held, count = [0, 0] if state is None else state
-        held += lex
-        cut = gap >= minimum_gap and speech * 5 <= gap and min(held, rest) >= 2 and count < most
-        return ([0, count + 1], [(gap, speech)]) if cut else ([held, count], [])
+        held = min(2, held + lex)
+        cut = gap >= minimum_gap and speech * 5 <= gap and min(held, rest) >= 2 and (most is None or count < most)
+        counted = 0 if most is None else count + cut
+        return ([0, counted], [(gap, speech)]) if cut else ([held, counted], [])
 
     return fold(
         pieces, keys, order, ["lex", "rest_lex", "gap_ms", "speech_ms"], advance,

@@ -35,7 +35,7 @@ def reference_overlap(spark, sf):
     source = cues.filter("role = 'user'").select("episode_id", "cue_id", "start_ms", "end_ms")
     reference = cues.filter("role <> 'user'").select(
         "episode_id", F.col("cue_id").alias("ref_id"),
-        F.greatest(F.col("start_ms") - 700, F.lit(-(10**12))).alias("r_start"),
+        (F.col("start_ms") - 700).alias("r_start"),
         (F.col("end_ms") + 300).alias("r_end"),
     )
     pairs = intervals.overlap_join(

@@ -129,9 +129,9 @@ def longest_name(spark, sf):
     """Two-word names as well: a single word inside a longer declared name does not count."""
     single = t.alias_words(spark, sf)
     words = dictionary.word_runs(t.table(spark, sf, "benchmark").select(F.col("item_id").alias("entity_id"), "text"), ["entity_id"], "text", 2)
-    double = words.filter("words = 2 AND length(surface) >= 8").select("entity_id", "surface").distinct()
+    double = words.filter("words = 2").select("entity_id", "surface").distinct()
     surfaces = single.unionByName(double).groupBy("surface").agg(F.count("*").alias("entities"), F.min("entity_id").alias("first_entity"))
-    found = dictionary.occurrences(t.table(spark, sf, "documents"), ["doc_id"], "text", surfaces, 2)
+    found = dictionary.occurrences(t.table(spark, sf, "documents"), ["doc_id"], "text", surfaces)
     return found.groupBy("doc_id", "words").agg(F.count("*").alias("places"), F.count_if(F.col("entities") > 1).alias("ambiguous"))
 
 

@@ -120,7 +120,7 @@ sp AS (SELECT episode_id, start_ms - 700 * (cue_id % 3) AS a, end_ms AS b FROM c
 c3 AS (SELECT c.episode_id, c.cue_id, row_number() OVER (PARTITION BY c.episode_id ORDER BY c.cue_id) AS k, c.n_lex, c.rest, c.gap, (SELECT coalesce(sum(greatest(0, least(c.nx, s.b) - greatest(c.end_ms, s.a))), 0) FROM sp s WHERE s.episode_id = c.episode_id AND s.a < c.nx AND s.b > c.end_ms) AS speech FROM c2 c WHERE gap IS NOT NULL),
 rec AS (SELECT episode_id, CAST(0 AS BIGINT) AS cue_id, CAST(0 AS BIGINT) AS k, CAST(0 AS HUGEINT) AS held, 0 AS cnt, false AS cut, CAST(0 AS HUGEINT) AS gap, CAST(0 AS HUGEINT) AS speech FROM (SELECT DISTINCT episode_id FROM cue)
  UNION ALL SELECT c.episode_id, c.cue_id, c.k, CASE WHEN ok THEN 0 ELSE c.h END, CASE WHEN ok THEN cnt + 1 ELSE cnt END, ok, c.gap, c.speech
- FROM (SELECT x.*, r.cnt, r.held + x.n_lex AS h, x.gap >= 2000 AND x.speech * 5 <= x.gap AND least(r.held + x.n_lex, x.rest) >= 2 AND r.cnt < 11 AS ok
+ FROM (SELECT x.*, r.cnt, r.held + x.n_lex AS h, x.gap >= 2000 AND x.speech * 5 <= x.gap AND least(r.held + x.n_lex, x.rest) >= 2 AS ok
    FROM rec r JOIN c3 x ON x.episode_id = r.episode_id AND x.k = r.k + 1) c)"""
 
 

@@ -251,14 +251,14 @@ def orthography(spark, sf):
     )
 
 
-@query("val10_forbidden_text", r"""WITH d AS (SELECT doc_id, text, CASE doc_id % 6 WHEN 0 THEN text || chr(10) || chr(10) || 'x' WHEN 1 THEN text || ' 00:01:02,500' WHEN 2 THEN '<think>' || text WHEN 3 THEN text || '```' WHEN 4 THEN '' ELSE text END AS e FROM documents)
+@query("val10_forbidden_text", r"""WITH d AS (SELECT doc_id, text, CASE doc_id % 6 WHEN 0 THEN text || chr(10) || chr(10) || 'x' WHEN 1 THEN text || ' 00:01:02,500' WHEN 2 THEN '<think>' || text WHEN 3 THEN text || '```' WHEN 4 THEN '' ELSE repeat(text, 5) END AS e FROM documents)
 SELECT doc_id, 'empty' AS rule FROM d WHERE trim(e) = '' UNION ALL SELECT doc_id, 'blank_line' FROM d WHERE regexp_matches(e, '\n\s*\n')
 UNION ALL SELECT doc_id, 'timestamp' FROM d WHERE regexp_matches(e, '\d{1,2}:\d{2}:\d{2}[,.]\d{1,3}') UNION ALL SELECT doc_id, 'reasoning' FROM d WHERE regexp_matches(e, '(?i)</?think(?:ing)?>')
 UNION ALL SELECT doc_id, 'marker' FROM d WHERE contains(e, '```') OR regexp_matches(e, '[⟦⟧]')
-UNION ALL SELECT doc_id, 'control' FROM d WHERE regexp_matches(replace(e, chr(10), ''), '[\p{Cc}\p{Cf}]') UNION ALL SELECT doc_id, 'runaway' FROM d WHERE length(trim(e)) > greatest(160, (length(text) // 5) * 4)""")
+UNION ALL SELECT doc_id, 'control' FROM d WHERE regexp_matches(replace(e, chr(10), ''), '[\p{Cc}\p{Cf}]') UNION ALL SELECT doc_id, 'runaway' FROM d WHERE length(trim(e)) > greatest(160, length(text) * 4)""")
 def forbidden_text(spark, sf):
-    edited = F.expr("CASE doc_id % 6 WHEN 0 THEN text || '\n\nx' WHEN 1 THEN text || ' 00:01:02,500' WHEN 2 THEN '<think>' || text WHEN 3 THEN text || '```' WHEN 4 THEN '' ELSE text END")
-    rows = docs(spark, sf).select("doc_id", edited.alias("e"), F.expr("substring(text, 1, cast(length(text) div 5 as int))").alias("s"))
+    edited = F.expr("CASE doc_id % 6 WHEN 0 THEN text || '\n\nx' WHEN 1 THEN text || ' 00:01:02,500' WHEN 2 THEN '<think>' || text WHEN 3 THEN text || '```' WHEN 4 THEN '' ELSE repeat(text, 5) END")
+    rows = docs(spark, sf).select("doc_id", edited.alias("e"), F.col("text").alias("s"))
     return rows.select("doc_id", F.explode(tx.forbidden_reasons(F.col("e"), F.col("s"))).alias("rule"))
 
 

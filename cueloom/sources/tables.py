@@ -16,14 +16,11 @@ TEXT_TABLES = ("documents", "conversations", "pages")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A parquet table.  Text work is heavy per byte, so a text table that arrives in fewer
-    splits than there are cores (one row group, say) is spread; a large one is left as it is."""
+    """A parquet table.  Text work is heavy per byte; where text tables come as a few large row
+    groups, the setting ``spark.cueloom.textPartitions`` of the session spreads them."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name not in TEXT_TABLES:
-        return df
-    cores = spark.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if splits < cores else df
+    parts = spark.conf.get("spark.cueloom.textPartitions", None)
+    return df.repartition(int(parts)) if parts and name in TEXT_TABLES else df
 
 
 def cue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,18 +184,17 @@ review AS (SELECT doc_id // 2 AS candidate, CASE WHEN doc_id % 2 = 0 THEN 'prima
 
 
 def alias_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lexicon surfaces: words of 4-8 letters in benchmark items; one surface may name several."""
+    """Lexicon surfaces: all words of benchmark items; one surface may name several."""
     words = table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("entity_id"),
         F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("surface"),
     )
-    return words.filter("length(surface) BETWEEN 4 AND 8").distinct()
+    return words.distinct()
 
 
 ALIAS_SQL = r"""
 alias AS (SELECT DISTINCT item_id AS entity_id, w AS surface FROM (
-    SELECT item_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS w FROM benchmark)
-    WHERE length(w) BETWEEN 4 AND 8)"""
+    SELECT item_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS w FROM benchmark))"""
 
 
 def vote(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,10 +220,10 @@ vote AS (SELECT doc_id AS line, text AS w,
 
 
 def edit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edits of targets that begin with a short word; some rest on a wrong base hash."""
+    """Edits of the first word of every target; some rest on a wrong base hash."""
     old = F.regexp_extract("target", r"^(\S+)", 1)
     stale = (F.col("episode_id") * 8 + F.col("cue_id")) % 15 == 0
-    return pair(spark, sf_dir).filter(F.length(old) <= 6).select(
+    return pair(spark, sf_dir).select(
         "episode_id", "cue_id", "source", "target", old.alias("old"),
         F.concat(F.reverse(old), F.lit("-")).alias("new"),
         F.sha2(F.when(stale, F.concat("target", F.lit("#"))).otherwise(F.col("target")), 256).alias("base_hash"),
@@ -238,7 +234,7 @@ EDIT_SQL = PAIR_SQL + r""",
 edit AS (SELECT episode_id, cue_id, source, target, regexp_extract(target, '^(\S+)', 1) AS old,
     reverse(regexp_extract(target, '^(\S+)', 1)) || '-' AS new,
     sha256(CASE WHEN (episode_id * 8 + cue_id) % 15 = 0 THEN target || '#' ELSE target END) AS base_hash
-    FROM pair WHERE length(regexp_extract(target, '^(\S+)', 1)) <= 6)"""
+    FROM pair)"""
 
 
 def token(spark: SparkSession, sf_dir: str) -> DataFrame:
