@@ -33,7 +33,8 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
     n = len(h) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for i in range(k):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n])
-    return out
+    factors = mix(np.arange(1, k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    out = h[:n] * factors[0]
+    for i in range(1, k):
+        out += h[i : i + n] * factors[i]
+    return mix(out)

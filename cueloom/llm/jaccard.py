@@ -7,9 +7,9 @@ Two documents link when the Jaccard similarity of their sets of shingles reaches
 2. A set can only link if enough of its shingles occur in other sets.  Of each set's shingles in hash
    order the first quarter and some more are counted (``shared_counts``); two linked sets share at
    least ``extra`` of those, so a set with fewer shared ones links with nothing and is done.
-3. The sets left are partitioned into groups: blocks of sets with the same least shingle, cut into
-   chunks, are linked exactly inside the chunk; then only chunk roots meet, until a block fits one
-   chunk.  Components of these links are the groups.
+3. The sets left are partitioned into groups: blocks of sets with the same least shingle, under each of
+   three hash orders, cut into chunks, are linked exactly inside the chunk; then only chunk roots
+   meet, until a block fits one chunk.  Components of these links are the groups.
 4. The token-group matrix says which groups hold a shingle (the union of their sets).  Shingles are
    ordered by the number of groups that hold them.  A set Q meets a group that is not its own only if
    a rare shingle of Q is a rare shingle of a smaller set of the group (prefix filter on both sides);
@@ -41,6 +41,8 @@ from cueloom.llm.hashing import mix, window_hashes, word_hashes
 from cueloom.shared import pin, ship
 
 CHUNK = 1000  # sets compared with each other in one task
+BLOCKS = 3  # hash orders whose least shingle makes a block
+_SEEDS = mix(np.arange(1, BLOCKS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BATCH_KEYS = 2_000_000
 _MANY = np.uint32(0xFFFFFFFF)
 
@@ -60,6 +62,14 @@ def fingerprint(tokens: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(tokens.tobytes()) - (1 << 63)
 
 
+def least_hashes(tokens: np.ndarray) -> list[int]:
+    """The least shingle under each of BLOCKS hash orders, the first being the shingles' own."""
+    if not len(tokens):
+        return []
+    seeds = [np.uint64(0), *_SEEDS]
+    return [int((mix(tokens ^ seed) if seed else tokens).min().view(np.int64)) ^ n for n, seed in enumerate(seeds)]
+
+
 def need(n: int, num: int, den: int) -> int:
     """Least overlap of a set of ``n`` with any set it links with: ceil(n * num / den)."""
     return -(-n * num // den)
@@ -145,7 +155,7 @@ def shared_counts(docs: DataFrame, keys_of: Callable[[str], tuple[np.ndarray, np
     def second(parts):
         if parts["bucket"].iloc[0] >= buckets:
             sids = np.concatenate([np.frombuffer(s, np.int64) for s in parts["sids"]])
-            return pd.DataFrame({"sid": sids, "shared": np.concatenate([np.frombuffer(o, "<u4") for o in parts["owners"]])})
+            return by_owner(sids, np.concatenate([np.frombuffer(o, "<u4") for o in parts["owners"]]))
         keys, owners, base, every = [], [], 0, []
         for k, o, s in zip(parts["keys"], parts["owners"], parts["sids"], strict=True):
             sids, own = np.frombuffer(s, np.int64), np.frombuffer(o, "<u4").astype(np.int64)
@@ -164,12 +174,29 @@ def shared_counts(docs: DataFrame, keys_of: Callable[[str], tuple[np.ndarray, np
         many = length + 2 * np.bincount(run, owner < 0, len(length)).astype(np.int64)
         counts = np.bincount(owner[(many[run] > 1) & (owner >= 0)], minlength=len(names))
         some = np.flatnonzero(counts)
-        return pd.DataFrame({"sid": names[some], "shared": counts[some]})
+        return by_owner(names[some], counts[some])
+
+    def by_owner(sids: np.ndarray, counts: np.ndarray):
+        """Counts of one bucket, packed by bucket of their owners."""
+        home = sids % buckets
+        order = np.argsort(home, kind="stable")
+        sids, counts, home = sids[order], counts[order].astype("<u4"), home[order]
+        ends = np.searchsorted(home, np.arange(buckets + 1))
+        rows = [
+            (b, sids[ends[b] : ends[b + 1]].tobytes(), counts[ends[b] : ends[b + 1]].tobytes())
+            for b in np.flatnonzero(ends[1:] > ends[:-1]).tolist()
+        ]
+        return pd.DataFrame(rows, columns=["home", "sids", "counts"])
+
+    def third(parts):
+        sids = np.concatenate([np.frombuffer(s, np.int64) for s in parts["sids"]])
+        counts = np.concatenate([np.frombuffer(c, "<u4") for c in parts["counts"]])
+        names, number = np.unique(sids, return_inverse=True)
+        return pd.DataFrame({"sid": names, "shared": np.bincount(number, counts).astype(np.int64)})
 
     packed = docs.select("text").mapInArrow(first, "bucket int, keys binary, owners binary, sids binary")
-    return packed.groupBy("bucket").applyInPandas(second, "sid bigint, shared bigint").groupBy("sid").agg(
-        F.sum("shared").alias("shared")
-    )
+    counted = packed.groupBy("bucket").applyInPandas(second, "home int, sids binary, counts binary")
+    return counted.groupBy("home").applyInPandas(third, "sid bigint, shared bigint")
 
 
 def _prefix_keys(k: int, num: int, den: int) -> Callable[[str], tuple[np.ndarray, np.ndarray]]:
@@ -217,29 +244,44 @@ def link_chunk(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> n
 
 
 def block_links(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): every set of ``sets`` (sid, tokens) linked to the root of its chunk, block by block."""
+    """(a, b): links inside the blocks of ``sets`` (sid, block, tokens), as set and root.
 
-    def run(key, rows):
-        own = [np.frombuffer(t, np.uint64) for t in rows["tokens"]]
-        ids = rows["sid"].to_numpy()
-        root = link_chunk(ids, own, num, den) if len(ids) > 1 else ids
-        return pd.DataFrame({"block": rows["block"], "a": ids, "b": root})
-
-    left = sets.select("sid", "block", "tokens")
-    links, before = None, None
+    A task takes many small blocks.  A block of more than CHUNK sets is cut into chunks; then only the
+    chunks' roots go on, until a block fits one chunk or its roots no longer get fewer.
+    """
+    slots = 4 * int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(rows):
+        rows = rows.sort_values(["block", "chunk", "sid"], kind="stable")
+        block, chunk, ids = (rows[c].to_numpy() for c in ("block", "chunk", "sid"))
+        new = np.concatenate([[True], (block[1:] != block[:-1]) | (chunk[1:] != chunk[:-1]), [True]])
+        edge, root = np.flatnonzero(new), ids.copy()
+        tokens = rows["tokens"].to_numpy()
+        for low, high in zip(edge[:-1], edge[1:], strict=True):
+            if high - low > 1:
+                root[low:high] = link_chunk(ids[low:high], [np.frombuffer(t, np.uint64) for t in tokens[low:high]], num, den)
+        keep = (root != ids) | rows["large"].to_numpy()
+        return pd.DataFrame({"block": block[keep], "a": ids[keep], "b": root[keep]})
+
+    left, links, before = sets, None, None
     while True:
-        sizes = left.groupBy("block").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-        cut = left.join(sizes, "block").filter("chunks >= 1").withColumn("chunk", F.pmod(F.xxhash64("sid"), "chunks"))
+        counted = left.groupBy("block").agg(F.count("*").alias("sets")).filter(F.col("sets") > CHUNK)
+        large = pin(counted.select("block", F.ceil(F.col("sets") / CHUNK).alias("chunks")), "large")
+        cut = left.join(large, "block", "left").withColumns({
+            "large": F.col("chunks").isNotNull(), "chunk": F.coalesce(F.pmod(F.xxhash64("sid"), "chunks"), F.lit(0)),
+        })
+        slot = F.pmod(F.xxhash64("block", "chunk"), F.lit(slots)).alias("slot")
         made = pin(
-            cut.groupBy("block", "chunk").applyInPandas(run, "block bigint, a bigint, b bigint"), "links"
+            cut.select("sid", "block", "chunk", "large", "tokens", slot).groupBy("slot")
+            .applyInPandas(run, "block bigint, a bigint, b bigint"), "links"
         )
         links = made if links is None else links.union(made)
-        state = sizes.agg(F.max("chunks"), F.sum("chunks")).first()
-        if (state[0] or 0) <= 1 or state == before:
-            return links.filter("a <> b").select("a", "b")
+        state = large.agg(F.count("*"), F.sum("chunks")).first()
+        if not state[0] or state == before:
+            return links.filter("a <> b").select("a", "b").distinct()
         before = state
         roots = made.filter("a = b").select("block", F.col("a").alias("sid"))
-        left = sets.join(roots, ["block", "sid"], "left_semi").select("sid", "block", "tokens")
+        left = sets.join(large.select("block"), "block", "left_semi").join(roots, ["block", "sid"], "left_semi")
 
 
 def _unpacked(sets: DataFrame, *keep: str) -> DataFrame:
@@ -257,9 +299,9 @@ def _unpacked(sets: DataFrame, *keep: str) -> DataFrame:
     return sets.select(*keep, "tokens").mapInArrow(run, f"{kind}, token bigint")
 
 
-def _across_groups(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): all links between sets of different groups; ``sets`` has sid, n, tokens, grp."""
-    rows = _unpacked(sets, "sid", "n", "grp").repartition("token")
+def _across_groups(sets: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): all links between sets (sid, n, tokens) of different groups (sid, grp)."""
+    rows = _unpacked(sets.join(groups, "sid"), "sid", "n", "grp").repartition("token")
     matrix = rows.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     held = matrix.groupBy("token").agg(F.count("*").alias("groups")).filter("groups > 1")
     common = pin(rows.join(held, "token").select("sid", "n", "grp", "token", "groups"), "matrix")
@@ -332,18 +374,16 @@ def jaccard_components(
             right = [bool(len(m)) and fingerprint(m) == s for m, s in zip(made, sids, strict=True)]
             yield pa.RecordBatch.from_arrays([
                 batch.column("sid"), pa.array([len(m) for m in made], pa.int64()),
-                pa.array([int(m[:1].view(np.int64)[0]) if len(m) else 0 for m in made], pa.int64()),
+                pa.array([least_hashes(m) for m in made], pa.list_(pa.int64())),
                 pa.array([m.tobytes() for m in made], pa.binary()),
-            ], ["sid", "n", "block", "tokens"]).filter(pa.array(right, pa.bool_()))
+            ], ["sid", "n", "blocks", "tokens"]).filter(pa.array(right, pa.bool_()))
 
     texts = own.join(left.select(F.col("rep").alias("doc_id"), "sid").hint("merge"), "doc_id").select("sid", "text")
-    held = pin(texts.mapInArrow(packed, "sid bigint, n bigint, block bigint, tokens binary").dropDuplicates(["sid"]), "tokens")
-    groups = components(block_links(held, num, den))
-    grouped = pin(held.join(
-        groups.select(F.col("node").alias("sid"), F.col("root").alias("grp")), "sid", "left"
-    ).withColumn("grp", F.coalesce("grp", "sid")), "groups")
-    links = pin(_across_groups(grouped, num, den), "across")
-    of = grouped.select("sid", "grp")
+    held = pin(texts.mapInArrow(packed, "sid bigint, n bigint, blocks array<bigint>, tokens binary").dropDuplicates(["sid"]), "tokens")
+    blocks = held.select("sid", F.explode("blocks").alias("block"), "tokens")
+    groups = components(block_links(blocks, num, den)).select(F.col("node").alias("sid"), F.col("root").alias("grp"))
+    of = pin(held.select("sid").join(groups, "sid", "left").select("sid", F.coalesce("grp", "sid").alias("grp")), "groups")
+    links = pin(_across_groups(held, of, num, den), "across")
     between = links.join(of.select(F.col("sid").alias("a"), F.col("grp").alias("ga")), "a").join(
         of.select(F.col("sid").alias("b"), F.col("grp").alias("gb")), "b"
     )
