@@ -22,11 +22,11 @@ where ``carry`` names them.  All lines of all documents take part.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from cueloom.llm.hashing import mix, word_hashes
@@ -54,30 +54,52 @@ def split_lines(text: str | None) -> list[list[bytes]]:
     return [line.split() for line in text.encode("utf-8", "surrogatepass").split(b"\n")] if text else []
 
 
-def line_name(words: list[bytes]) -> int:
-    return xxhash.xxh64_intdigest(b" ".join(words)) - (1 << 63)
-
-
 def _prefix_sums(hashed: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(hashed) + 1, np.uint64)
     np.cumsum(hashed * _power(1, len(hashed)), out=sums[1:])
     return sums
 
 
-def _key(value: np.ndarray, tag: int) -> np.ndarray:
-    return mix(value ^ mix(np.array([tag], np.uint64)))
+def _key(value: np.ndarray, tag: np.ndarray | int) -> np.ndarray:
+    return mix(value ^ mix(np.atleast_1d(np.asarray(tag)).astype(np.uint64)))
+
+
+class Lines:
+    """The lines with words of one text: numbers, first words, sizes, and hashes of all words in a row.
+
+    The hash of any run of words is a difference of running sums, moved to the run's beginning.
+    """
 
+    def __init__(self, text: str | None):
+        split = split_lines(text)
+        full = [k for k, words in enumerate(split) if words]
+        self.at = np.array(full, np.int64)
+        self.size = np.array([len(split[k]) for k in full], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.hashed = word_hashes([w for k in full for w in split[k]])
+        self.sums = _prefix_sums(self.hashed)
+        self.back = _power(-1, len(self.hashed) + 1)
 
-def half_keys(hashed: np.ndarray) -> np.ndarray:
-    """The four half keys of a line: as the shorter or equal line, and as the longer by one word."""
-    n, sums, out = len(hashed), _prefix_sums(hashed), []
-    for shorter in (n, n - 1):
-        half = shorter // 2
-        tail = shorter - half
-        end = (sums[n:] - sums[n - tail : n - tail + 1]) * _power(-1, n - tail + 1)[n - tail :]
-        out.append(_key(sums[half : half + 1], 2 * shorter))
-        out.append(_key(end, 2 * shorter + 1))
-    return np.concatenate(out)
+    def run(self, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return (self.sums[first + size] - self.sums[first]) * self.back[first]
+
+    def names(self) -> np.ndarray:
+        """64-bit name of each line's words."""
+        return _key(self.run(self.first, self.size), self.size + 1_000_003).view(np.int64)
+
+    def half_keys(self, chosen: np.ndarray) -> np.ndarray:
+        """Four keys a line, as the shorter or equal line and as the longer by one word."""
+        first, size = self.first[chosen], self.size[chosen]
+        keys = []
+        for shorter in (size, size - 1):
+            half = shorter // 2
+            tail = shorter - half
+            keys.append(_key(self.run(first, half), 2 * shorter))
+            keys.append(_key(self.run(first + size - tail, tail), 2 * shorter + 1))
+        return np.stack(keys, axis=1)
+
+    def words(self, n: int) -> np.ndarray:
+        return self.hashed[self.first[n] : self.first[n] + self.size[n]]
 
 
 def variant_keys(hashed: np.ndarray) -> np.ndarray:
@@ -100,14 +122,9 @@ def within_one_edit(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _half_pairs(text: str) -> tuple[np.ndarray, np.ndarray]:
-    owners, keys = [], []
-    for words in split_lines(text):
-        if len(words) >= MIN_WORDS:
-            owners.append(line_name(words))
-            keys.append(half_keys(word_hashes(words)))
-    if not owners:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    return np.repeat(np.array(owners, np.int64), 4), np.concatenate(keys)
+    own = Lines(text)
+    long = np.flatnonzero(own.size >= MIN_WORDS)
+    return np.repeat(own.names()[long], 4), own.half_keys(long).ravel()
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
@@ -117,50 +134,65 @@ def _occurrences(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 part = batch.slice(low, 1000)
-                rows, at, names = [], [], []
-                for n, text in enumerate(part.column("text").to_pylist()):
-                    found = [(k, line_name(w)) for k, w in enumerate(split_lines(text)) if w]
-                    rows += [n] * len(found)
-                    at += [k for k, _ in found]
-                    names += [name for _, name in found]
-                row = pa.array(rows, pa.int64())
+                found = [Lines(text) for text in part.column("text").to_pylist()]
+                row = pa.array(np.repeat(np.arange(len(found)), [len(f.at) for f in found]))
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id").take(row), part.column("digest").take(row),
-                    pa.array(at, pa.int32()), pa.array(names, pa.int64()),
+                    pa.array(np.concatenate([f.at for f in found]).astype(np.int32)),
+                    pa.array(np.concatenate([f.names() for f in found])),
                 ], ["doc_id", "digest", "at", "line"])
 
     return docs.mapInArrow(run, "doc_id bigint, digest bigint, at int, line bigint")
 
 
+def _zipped(docs: DataFrame, *keep: str) -> DataFrame:
+    """``docs`` with column ``zip`` for ``text``: texts meet their lines' fate in a shuffle, and go there compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [None if t is None else zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(packed, pa.binary())], [*keep, "zip"])
+
+    kind = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(*keep, "text").mapInArrow(run, f"{kind}, zip binary")
+
+
+def _unzip(packed: bytes | None) -> str | None:
+    return None if packed is None else zlib.decompress(packed).decode("utf-8", "surrogatepass")
+
+
 def _candidates(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, digest, at, line, words): word hashes of the wanted lines (doc_id, digest, ats)."""
+    """(rank, line, words): word hashes of the wanted lines (doc_id, digest, ats).
+
+    ``rank`` grows in the order of first occurrence: lines are sorted, and Spark numbers rows of a sorted
+    table in increasing order.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {"doc_id": [], "digest": [], "at": [], "line": [], "words": []}
-            columns = [batch.column(c).to_pylist() for c in ("doc_id", "text", "digest", "ats")]
-            for doc_id, text, digest, ats in zip(*columns, strict=True):
-                lines = split_lines(text)
-                for k in ats:
-                    for column, value in zip(out.values(), (
-                        doc_id, digest, k, line_name(lines[k]), word_hashes(lines[k]).tobytes()
-                    ), strict=True):
-                        column.append(value)
+            out: list[tuple] = []
+            columns = [batch.column(c).to_pylist() for c in ("doc_id", "zip", "digest", "ats")]
+            for doc_id, packed, digest, ats in zip(*columns, strict=True):
+                own = Lines(_unzip(packed))
+                names = own.names()
+                for n in np.flatnonzero(np.isin(own.at, ats)).tolist():
+                    out.append((doc_id, digest, int(own.at[n]), int(names[n]), own.words(n).tobytes()))
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            parts = zip(*out, strict=True) if out else [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, kind) for c, kind in zip(out.values(), kinds, strict=True)], list(out)
+                [pa.array(c, kind) for c, kind in zip(parts, kinds, strict=True)], ["doc_id", "digest", "at", "line", "words"]
             )
 
-    same = docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["digest"] == wanted["digest"])
-    met = docs.join(wanted.hint("merge"), same).select(docs["doc_id"], "text", docs["digest"], "ats")
-    made = met.mapInArrow(
-        run, "doc_id bigint, digest bigint, at int, line bigint, words binary"
-    )
-    return made.dropDuplicates(["line"])
+    sent = _zipped(docs, "doc_id", "digest")
+    same = sent["doc_id"].eqNullSafe(wanted["doc_id"]) & (sent["digest"] == wanted["digest"])
+    met = sent.join(wanted.hint("merge"), same).select(sent["doc_id"], "zip", sent["digest"], "ats")
+    made = met.mapInArrow(run, "doc_id bigint, digest bigint, at int, line bigint, words binary").dropDuplicates(["line"])
+    ordered = made.repartitionByRange("doc_id", "digest", "at").sortWithinPartitions("doc_id", "digest", "at")
+    return ordered.select(F.monotonically_increasing_id().alias("rank"), "line", "words")
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """(key, role, line, place): role -1 for the line itself, else the word position left out."""
+    """(key, role, rank): role -1 for the line itself, else the word position left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,23 +203,21 @@ def _variants(lines: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.concatenate(made).view(np.int64)),
                     pa.array(np.concatenate([np.arange(-1, len(m) - 1, dtype=np.int32) for m in made])),
-                    *[part.column(c).take(row) for c in ("doc_id", "digest", "at")],
-                ], ["key", "role", "doc_id", "digest", "at"])
+                    part.column("rank").take(row),
+                ], ["key", "role", "rank"])
 
-    made = lines.mapInArrow(run, "key bigint, role int, doc_id bigint, digest bigint, at int")
-    return made.select("key", "role", F.struct("doc_id", "digest", "at").alias("place"))
+    return lines.select("rank", "words").mapInArrow(run, "key bigint, role int, rank bigint")
 
 
 def _near_lines(lines: DataFrame) -> DataFrame:
     """Names of the lines with an earlier line within one edit."""
     members = _variants(lines)
-    earliest = members.groupBy("key", "role").agg(F.min("place").alias("lead")).withColumnRenamed("role", "as")
+    earliest = members.groupBy("key", "role").agg(F.min("rank").alias("lead")).withColumnRenamed("role", "as")
     pairs = members.join(earliest, "key").filter(
-        ((F.col("role") == F.col("as")) | (F.col("role") == -1) | (F.col("as") == -1)) & (F.col("lead") < F.col("place"))
-    ).select("place", "lead").distinct()
-    placed = lines.select(F.struct("doc_id", "digest", "at").alias("where"), "line", "words")
-    later = placed.select(F.col("where").alias("place"), "line", F.col("words").alias("one"))
-    earlier = placed.select(F.col("where").alias("lead"), F.col("words").alias("two"))
+        ((F.col("role") == F.col("as")) | (F.col("role") == -1) | (F.col("as") == -1)) & (F.col("lead") < F.col("rank"))
+    ).select("rank", "lead").distinct()
+    later = lines.select("rank", "line", F.col("words").alias("one"))
+    earlier = lines.select(F.col("rank").alias("lead"), F.col("words").alias("two"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,11 +225,7 @@ def _near_lines(lines: DataFrame) -> DataFrame:
             keep = [within_one_edit(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in both]
             yield batch.select(["line"]).filter(pa.array(keep, pa.bool_()))
 
-    same = lambda a, b: (
-        F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.digest") == F.col(f"{b}.digest"))
-        & (F.col(f"{a}.at") == F.col(f"{b}.at"))
-    )
-    met = pairs.withColumnsRenamed({"place": "p", "lead": "l"}).join(later, same("p", "place")).join(earlier, same("l", "lead"))
+    met = pairs.join(later, "rank").join(earlier, "lead")
     return met.select("line", "one", "two").mapInArrow(verify, "line bigint").distinct()
 
 
@@ -223,7 +249,8 @@ def dedup_lines(
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts, removed = [], [], []
-            for text, ats in zip(batch.column("text").to_pylist(), batch.column("ats").to_pylist(), strict=True):
+            for packed, ats in zip(batch.column("zip").to_pylist(), batch.column("ats").to_pylist(), strict=True):
+                text = _unzip(packed)
                 stay, lines_ = set(ats or ()), (text or "").split("\n")
                 full = [bool(w) for w in split_lines(text)] or [False]
                 out = [line for k, line in enumerate(lines_) if not full[k] or k in stay]
@@ -238,7 +265,8 @@ def dedup_lines(
         F.struct(F.col(id_col).cast("long").alias("doc_id"), *[F.col(c) for c in carry]).alias("own"),
         F.col(text_col).cast("string").alias("text"),
     )
+    sent = _zipped(full.withColumn("seen", F.xxhash64("text")), "own", "seen")
     same = F.col("own.doc_id").eqNullSafe(kept["doc_id"]) & (F.col("seen") == kept["digest"])
-    met = full.withColumn("seen", F.xxhash64("text")).join(kept.hint("merge"), same, "left").select("own", "text", "ats")
+    met = sent.join(kept.hint("merge"), same, "left").select("own", "zip", "ats")
     kind = full.schema["own"].dataType.simpleString()
     return met.mapInArrow(rebuild, f"own {kind}, text string, n_lines bigint, n_removed bigint")
