@@ -1,12 +1,10 @@
-"""Fuzzy text alignment: bigram set-similarity join, monotone anchors, phrase projection."""
+"""Fuzzy text alignment: bigram set-similarity join, monotone anchors."""
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cueloom.operators import ordered
 from cueloom.operators.segments import State, fold
@@ -118,61 +116,3 @@ def monotone_anchors(scored: DataFrame, keys: Sequence[str], line: str) -> DataF
         cut, keys, [line, "idx", "span"], [line, "idx", "span", "dice"], advance,
         {"anchor_line": "long", "anchor": "long", "anchor_span": "long", "anchor_dice": "long"},
     ).withColumnsRenamed({"anchor_line": line, "anchor": "idx", "anchor_span": "span", "anchor_dice": "dice"})
-
-
-def offsets(a: str, b: str) -> list[int | None]:
-    """For every kept character of ``a`` its partner in ``b``, from word-level matching blocks."""
-    import re
-
-    words = [list(re.finditer(r"\w+", t)) for t in (a, b)]
-    forms = [[m.group().lower() for m in w] for w in words]
-    out: list[int | None] = [None] * (len(a) + 1)
-    for block in difflib.SequenceMatcher(None, *forms, autojunk=False).get_matching_blocks():
-        for k in range(block.size):
-            x, y = words[0][block.a + k], words[1][block.b + k]
-            for d in range(x.end() - x.start()):
-                out[x.start() + d] = y.start() + d
-    return out
-
-
-@F.pandas_udf(T.StringType())
-def project_phrase(full: pd.Series, other: pd.Series, begin: pd.Series, end: pd.Series) -> pd.Series:
-    """The part of ``other`` that stands where ``full[begin:end]`` stands."""
-
-    def one(a: str, b: str, lo: int, hi: int) -> str:
-        hits = [p for p in offsets(a, b)[int(lo) : int(hi)] if p is not None]
-        return b[min(hits) : max(hits) + 1].strip() if hits else ""
-
-    return pd.Series([one(*v) for v in zip(full, other, begin, end)], dtype="object")
-
-
-@F.pandas_udf(T.StringType())
-def transfer_boundaries(text: pd.Series, template: pd.Series) -> pd.Series:
-    """Put the template's sentence ends into a text; words are never changed."""
-    ends = "。！？!?"
-
-    def one(a: str, b: str) -> str:
-        if a == b or not b:
-            return a
-        back = offsets(b, a)
-        marks = set()
-        for i, c in enumerate(b):
-            if c in ends:
-                j = i - 1
-                while j >= 0 and not b[j].isalnum():
-                    j -= 1
-                if j >= 0 and back[j] is not None:
-                    marks.add(back[j])
-        made = []
-        for i, c in enumerate(a):
-            made.append(c)
-            if i in marks and c not in ends and (i + 1 == len(a) or a[i + 1] not in ends):
-                made.append("。")
-        out = "".join(made)
-        for stop in ends:
-            for comma in "、，,":
-                while stop + comma in out:
-                    out = out.replace(stop + comma, stop)
-        return out
-
-    return pd.Series([one(*v) for v in zip(text, template)], dtype="object")

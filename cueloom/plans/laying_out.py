@@ -31,8 +31,8 @@ def sentence_units(spark, sf):
 
 @query("win21_split_pieces")
 def split_pieces(spark, sf):
-    pieces = t.cue(spark, sf).select(*IDS, F.explode(layout.split_pieces(marked("text"), "start_ms", "end_ms")).alias("p"))
-    return pieces.select(*IDS, "p.text", "p.start_ms", "p.end_ms")
+    cues = t.cue(spark, sf).select(*IDS, marked("text").alias("said"), "start_ms", "end_ms")
+    return layout.split_pieces(cues.withColumnsRenamed({"start_ms": "lo", "end_ms": "hi"}), IDS, "said", "lo", "hi")
 
 
 @query("win22_place_pieces")
@@ -42,8 +42,7 @@ def place_pieces(spark, sf):
     spans = units.groupBy(*IDS).agg(F.array_sort(F.collect_list(F.struct("unit_no", "start_ms", "end_ms"))).alias("u"))
     begin = F.transform("u", lambda x: x["start_ms"] + F.when(x["unit_no"] % 5 == 0, F.least(F.lit(1200), x["end_ms"] - x["start_ms"] - 10)).otherwise(0))
     rows = t.cue(spark, sf).select(*IDS, marked("text").alias("text")).join(spans, IDS)
-    placed = rows.select(*IDS, F.explode(layout.place_pieces("text", begin, "u.end_ms")).alias("p"))
-    return placed.select(*IDS, "p.text", "p.start_ms", "p.end_ms")
+    return layout.place_pieces(rows.select(*IDS, F.col("text").alias("said"), begin.alias("lo"), F.col("u.end_ms").alias("hi")), IDS, "said", "lo", "hi")
 
 
 _SENT = r"regexp_extract_all(replace({0}, '.', '。'), '(?s)(?:[^\p{{L}}\p{{N}}]*[\p{{L}}\p{{N}}].*?(?:…*[。？！?!]+[」』）)”’]*|\z)(?:[^\p{{L}}\p{{N}}]+\z)?)|(?:.+)')"

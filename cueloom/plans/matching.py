@@ -201,22 +201,6 @@ def before_after(spark, sf):
     return both.select("doc_id", F.when(F.col("now").isNull(), "removed").when(F.col("was").isNull(), "added").otherwise("changed").alias("kind"))
 
 
-@query("jn18_phrase_projection")
-def phrase_projection(spark, sf):
-    """The second fifth of each turn, found again in its upper-case, comma-free spelling."""
-    rows = t.table(spark, sf, "conversations").select("conv_id", "turn", "text", F.upper(F.replace("text", F.lit(","), F.lit(""))).alias("other"))
-    size = F.length("text")
-    return rows.select("conv_id", "turn", align.project_phrase("text", "other", F.floor(size / 5), F.floor(size * 2 / 5)).alias("phrase"))
-
-
-@query("win26_boundary_transfer")
-def boundary_transfer(spark, sf):
-    """Sentence ends taken from the punctuated turn into its stripped copy."""
-    template = F.replace("text", F.lit("."), F.lit("。"))
-    bare = F.replace("text", F.lit("."), F.lit(""))
-    return t.table(spark, sf, "conversations").select("conv_id", "turn", align.transfer_boundaries(bare, template).alias("text"))
-
-
 @query("jn19_unattempted", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def unattempted(spark, sf):
     return t.table(spark, sf, "documents").select("doc_id").join(t.table(spark, sf, "labels"), "doc_id", "left_anti")

@@ -95,14 +95,21 @@ def test_sentence_units_and_repair(spark):
 
 
 def test_split_and_place(spark):
-    text = "不，干脆把一辈子的活动都给做了吧。这样很棒不是吗？万圣节和圣诞节什么的，可以一次性全部享受到。"
-    parts = one(spark, lambda t, a, b: layout.split_pieces(t, a, b), text, 0, 10000)
-    assert "".join(p.text for p in parts) == text
-    assert all(len(p.text) <= 21 for p in parts)
-    assert all(a.end_ms == b.start_ms for a, b in zip(parts, parts[1:]))
-    placed = one(spark, lambda t, a, b: layout.place_pieces(t, a, b), "生日快乐。真是个美好的暑假啊。", [0, 9000], [1000, 10000])
-    assert [p.text for p in placed] == ["生日快乐。", "真是个美好的暑假啊。"]
+    text = "早上下了一场雨，我们沿着河边慢慢走回家。你还记得那座旧桥吗？桥头的面包店每天六点开门，整条街都闻得到香味。"
+    long = spark.createDataFrame([(1, text, 0, 10000), (2, "", 0, 5), (3, "没有标点的一行", 3, 9)], "k long, said string, lo long, hi long")
+    parts = layout.split_pieces(long, ["k"], "said", "lo", "hi").orderBy("k", "start_ms").collect()
+    own = [p for p in parts if p.k == 1]
+    assert "".join(p.text for p in own) == text and len(own) > 2
+    assert all(len(p.text) <= 21 for p in own)
+    assert own[0].start_ms == 0 and own[-1].end_ms == 10000
+    assert all(a.end_ms == b.start_ms for a, b in zip(own, own[1:]))
+    assert [(p.text, p.start_ms, p.end_ms) for p in parts if p.k != 1] == [("没有标点的一行", 3, 9)]
+    two = spark.createDataFrame([(1, "门开了。外面的雪还在下。", [0, 9000], [1000, 11000])], "k long, said string, lo array<long>, hi array<long>")
+    placed = layout.place_pieces(two, ["k"], "said", "lo", "hi").orderBy("start_ms").collect()
+    assert [p.text for p in placed] == ["门开了。", "外面的雪还在下。"]
     assert placed[0].end_ms <= 1000 and placed[1].start_ms >= 9000
+    one_unit = spark.createDataFrame([(1, "门开了。外面的雪还在下。", [0], [1000])], "k long, said string, lo array<long>, hi array<long>")
+    assert [p.text for p in layout.place_pieces(one_unit, ["k"], "said", "lo", "hi").collect()] == ["门开了。外面的雪还在下。"]
 
 
 def test_share_partition(spark):
@@ -195,15 +202,10 @@ def test_consensus(spark):
 def test_longest_names(spark):
     docs = spark.createDataFrame([(1, "new york city is new")], "k long, t string")
     names = spark.createDataFrame([("new",), ("new york",), ("city",)], "surface string")
-    got = sorted((r["at"], r.surface) for r in dictionary.occurrences(docs, ["k"], "t", names, 2).collect())
+    got = sorted((r["at"], r.surface) for r in dictionary.occurrences(docs, ["k"], "t", names).collect())
     assert got == [(1, "new york"), (3, "city"), (5, "new")]
 
 
-def test_projection_and_boundaries(spark):
-    assert one(spark, lambda a, b: align.project_phrase(a, b, F.lit(4), F.lit(11)), "one two, three four", "ONE TWO THREE FOUR") == "TWO TH"
-    assert one(spark, lambda a, b: align.transfer_boundaries(a, b), "one two three four", "one two。 three, four。") == "one two。 three four。"
-
-
 def test_encodings_and_json(spark):
     rows = [("u", "héllo".encode()), ("s", "こんにちは".encode("cp932")), ("b", b"\xef\xbb\xbfx"), ("m", ("�" * 5 + "a").encode())]
     got = {r.k: (r.d.text, r.d.encoding) for r in spark.createDataFrame(rows, "k string, c binary").select("k", files.decode_fallback("c").alias("d")).collect()}

@@ -2,7 +2,6 @@
 
 import random
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from cueloom.functions import parsing
@@ -72,6 +71,11 @@ def test_names_of_any_length(spark):
     assert got == {(2, "big red old house"), (8, "big red"), (10, "sea")}
 
 
-def test_equal_short_texts_are_equal():
-    got = consensus.pairwise_dice(["え", "え", "お", "", "えお", "えお"])
-    assert np.array_equal(got[0], [1_000_000, 1_000_000, 0, 0, 0, 0]) and got[4][5] == 1_000_000 and got[3][3] == 0
+def test_equal_short_texts_are_equal(spark):
+    rows = [(1, k, "え") for k in (1, 2, 3)] + [(2, 4, "え"), (2, 5, "お"), (3, 6, ""), (3, 7, "")]
+    table = spark.createDataFrame(rows, "w long, id long, text string")
+    got = {r.w: (r.chosen, r.score) for r in consensus.choose_reading(table, ["w"], "id").collect()}
+    assert got == {1: (1, 1_000_000), 2: (4, 0), 3: (6, 0)}
+    chosen = table.withColumn("c", F.when(F.col("w") == 1, 1).when(F.col("w") == 2, 4).otherwise(6).cast("long"))
+    grades = {r.w: (r.supporters, r.grade) for r in consensus.support_grade(chosen, ["w"], "id", "c").collect()}
+    assert grades == {1: (3, "A"), 2: (1, "C"), 3: (0, "C")}
