@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from cueloom.llm.unicode_classes import SPACE, category
+from cueloom.llm.unicode_classes import SPACE, byte_symbols, category
 from cueloom.shared import ship
 
 LONG = 200
@@ -37,13 +37,6 @@ CACHED_WORDS = 300_000
 _NONE = 1 << 30
 
 
-def _byte_symbols() -> list[str]:
-    """The printable character that stands for each byte."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    rest = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
-
-
 class RankBpe:
     """The tables of a vocabulary file; picklable, so that a broadcast carries it."""
 
@@ -51,7 +44,7 @@ class RankBpe:
         model = definition["model"]
         vocab: dict[str, int] = model["vocab"]
         suffix = model.get("end_of_word_suffix") or ""
-        symbols = _byte_symbols()
+        symbols = byte_symbols()
         self.inner = [vocab[s] for s in symbols]
         self.last = [vocab[s + suffix] for s in symbols]
         self.rank: dict[int, int] = {}

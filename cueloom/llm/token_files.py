@@ -19,6 +19,7 @@ gives an empty manifest; other columns are ignored.
 
 from __future__ import annotations
 
+import array
 import json
 import os
 import re
@@ -31,7 +32,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from cueloom.llm.unicode_classes import SPACE, category
+from cueloom.llm.unicode_classes import SPACE, byte_symbols, category, odd
 from cueloom.shared import ship
 
 CACHED_PIECES = 300_000
@@ -42,8 +43,8 @@ class PieceEncoder:
     """The tokenizers library behind a cache of pieces.
 
     A byte-level tokenizer encodes each piece of its splitting pattern by itself, so each distinct
-    piece goes to the library once.  Texts with a special token's string, and tokenizers with any
-    other pre-tokenizer, go to the library whole.
+    piece goes to the library's model once.  Texts with a special token's string, and tokenizers with
+    any other pre-tokenizer, go to the library whole.
     """
 
     def __init__(self, definition: str):
@@ -58,10 +59,15 @@ class PieceEncoder:
         self.pieces = None
         if before.get("type") == "ByteLevel" and before.get("use_regex") and not (before.get("add_prefix_space") or known.get("normalizer")):
             letters, digits = category("L"), category("N")
+            ends = "'s|'t|'re|'ve|'m|'ll|'d"
             self.pieces = re.compile(
-                f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{digits}]+| ?[^{SPACE}{letters}{digits}]+"
-                f"|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+                f"{ends}| ?[{letters}]+| ?[{digits}]+| ?[^{SPACE}{letters}{digits}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
             ).findall
+            # The same pattern in the classes that ``re`` has built in, for texts where those mean the same.
+            self.usual = odd().isdisjoint
+            self.quick = re.compile(rf"{ends}| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
+            self.symbol = dict(enumerate(byte_symbols()))
+            self.model = self.tokenizer.model
         marks = [re.escape(t["content"]) for t in known.get("added_tokens", ())]
         self.mark = re.compile("|".join(marks)).search if marks else None
         self.cache: dict[str, bytes] = {}
@@ -72,21 +78,18 @@ class PieceEncoder:
             return b""
         if self.pieces is None or (self.mark and self.mark(text)):
             return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        pieces, cache = self.pieces(text), self.cache
-        try:
-            return b"".join(map(cache.__getitem__, pieces))
-        except KeyError:
-            pass
+        pieces = self.quick(text) if self.usual(text) else self.pieces(text)
+        cache = self.cache
         if len(cache) > CACHED_PIECES:
             cache.clear()
-        new = list(set(pieces).difference(cache))
-        for piece, made in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            cache[piece] = _packed(made.ids)
+        for piece in set(pieces).difference(cache):
+            symbols = piece.encode().decode("latin-1").translate(self.symbol)
+            cache[piece] = array.array("I", [token.id for token in self.model.tokenize(symbols)]).tobytes()
         return b"".join(map(cache.__getitem__, pieces))
 
 
 def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    return array.array("I", ids).tobytes()
 
 
 _here: dict[int, PieceEncoder] = {}

@@ -1,4 +1,4 @@
-"""Character classes for ``re`` patterns, built from the Unicode database by a rule."""
+"""Character classes for ``re`` patterns, and symbols for bytes, built by rules."""
 
 from __future__ import annotations
 
@@ -22,3 +22,18 @@ def category(first: str) -> str:
             parts.append(f"\\U{start:08x}-\\U{code - 1:08x}" if code - 1 > start else f"\\U{start:08x}")
             start = None
     return "".join(parts)
+
+
+@functools.cache
+def odd() -> frozenset[str]:
+    """The characters for which ``\\w``, ``\\d`` and ``\\s`` of ``re`` differ from letters, numbers and ``SPACE``:
+    numbers that are no decimal digits, and four control characters."""
+    numbers = (c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
+    return frozenset("\x1c\x1d\x1e\x1f").union(numbers)
+
+
+def byte_symbols() -> list[str]:
+    """The printable character that stands for each byte."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
