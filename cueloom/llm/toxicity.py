@@ -34,6 +34,7 @@ from cueloom.shared import ship
 
 PER_CLASS, EVIDENCE, STEPS, RATE = 1500, 16.0, 80, 0.25
 PIECE = 128  # words of a training sequence
+SLICE = 1024  # sequences held at once while fitting
 SPANS = "array<struct<first:int,last:int>>"
 _SPANS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 _WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
@@ -152,7 +153,7 @@ def fit(texts: list[list[bytes]], toxic: np.ndarray) -> Field:
     ]
     shape = (len(pieces), PIECE)
     w_at, s_at = np.zeros(shape, np.int32), np.zeros(shape, np.int32)
-    gold, real = np.zeros(shape), np.zeros(shape, bool)
+    gold, real = np.zeros(shape, bool), np.zeros(shape, bool)
     for n, (piece, bad) in enumerate(pieces):
         m = len(piece)
         w_at[n, :m] = [words.get(w, 0) for w in piece]
@@ -165,13 +166,16 @@ def fit(texts: list[list[bytes]], toxic: np.ndarray) -> Field:
     flat[s_end] = field.bias
     moment, square = np.zeros_like(flat), np.zeros_like(flat)
     for turn in range(1, STEPS + 1):
-        emit = flat[:w_end][w_at] + flat[w_end:s_end][s_at] + flat[s_end]
-        p, d_step = _chain_gradient(emit, gold, real, flat[s_end + 1 :].reshape(2, 2))
-        miss = np.where(real, gold - p, 0.0)
-        gradient = np.concatenate([
-            np.bincount(w_at.ravel(), miss.ravel(), w_end), np.bincount(s_at.ravel(), miss.ravel(), s_end - w_end),
-            [miss.sum()], d_step.ravel(),
-        ]) - 0.05 * flat
+        gradient = -0.05 * flat
+        for low in range(0, len(pieces), SLICE):
+            cut = slice(low, low + SLICE)
+            emit = flat[:w_end][w_at[cut]] + flat[w_end:s_end][s_at[cut]] + flat[s_end]
+            p, d_step = _chain_gradient(emit, gold[cut].astype(float), real[cut], flat[s_end + 1 :].reshape(2, 2))
+            miss = np.where(real[cut], gold[cut] - p, 0.0)
+            gradient[:w_end] += np.bincount(w_at[cut].ravel(), miss.ravel(), w_end)
+            gradient[w_end:s_end] += np.bincount(s_at[cut].ravel(), miss.ravel(), s_end - w_end)
+            gradient[s_end] += miss.sum()
+            gradient[s_end + 1 :] += d_step.ravel()
         gradient[[0, w_end]] = 0.0
         moment = 0.9 * moment + 0.1 * gradient
         square = 0.99 * square + 0.01 * gradient**2
