@@ -21,4 +21,4 @@ def test_same_rows(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(PLANS) - set(SQL)))
 def test_runs(spark, name):
-    assert PLANS[name](spark, SF).columns
+    assert PLANS[name](spark, SF).count() >= 0
