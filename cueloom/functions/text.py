@@ -158,8 +158,9 @@ TITLE_PREFIXES = (
 )
 TITLE_MEANINGLESS = r"(?i)^[\d\s._\-—:()\[\]【】（）]+$|^[a-z0-9]{1,3}$|^(?:track|audio|file)$"
 TITLE_GENERIC = (
-    "main sample test demo preview clip temp test1 rec recording new untitled audio sound voice"
-).split()
+    "main", "sample", "test", "demo", "preview", "clip", "temp", "test1", "rec", "recording", "new",
+    "untitled", "audio", "sound", "voice",
+)
 
 
 def clean_title(stem: Column, rounds: int = 4) -> Column:
@@ -177,10 +178,11 @@ def meaningful_title(title: Column) -> Column:
     )
     return (
         (F.length(bare) >= 2) & ~bare.rlike(TITLE_MEANINGLESS)
-        & ~F.lower(bare).isin(TITLE_GENERIC) & content
+        & ~F.lower(bare).isin(*TITLE_GENERIC) & content
     )
 
 
+# Stage-direction lines and speaker prefixes of scripts.
 STAGE_ONLY = r"^\s*[（(【〔].{0,40}[）)】〕]\s*$"
 SPEAKER = r"^\s*([^\s：:]{1,15})\s*[：:]\s*"
 
@@ -219,9 +221,9 @@ def kana_residue(text: Column) -> Column:
 
 # Answers that mean "no change" and the shapes of meta commentary.
 META_EXACT = (
-    "无需修改 无须修改 不需要修改 无需更改 无改动 不修改 正确 无误 没有问题 无问题 "
-    "保持原样 保持不变 保持原译 维持原样 存疑 同上 无"
-).split()
+    "无需修改", "无须修改", "不需要修改", "无需更改", "无改动", "不修改", "正确", "无误", "没有问题", "无问题", "保持原样", "保持不变", "保持原译", "维持原样",
+    "存疑", "同上", "无",
+)
 META_EDGE = "[ \\t。．.!！?？，,、；;：:\"'“”‘’()（）]"
 META_PREFIX = (
     r"^\s*(?:该行|此行|本行|这一行|这行|原译|原文)?\s*(?:译文|翻译)?\s*(?:已经|已|完全)?\s*"
@@ -233,7 +235,7 @@ META_GRAMMAR = r"^\s*\[?\s*\d*\s*\]?\s*(?:修改|存疑)\s*[|｜:：]"
 
 def meta_answer(value: Column) -> Column:
     bare = F.regexp_replace(strip(value), f"^{META_EDGE}+|{META_EDGE}+$", "")
-    return bare.isin(META_EXACT) | value.rlike(META_PREFIX) | value.rlike(META_GRAMMAR)
+    return bare.isin(*META_EXACT) | value.rlike(META_PREFIX) | value.rlike(META_GRAMMAR)
 
 
 def fix_rejection(value: Column, old: Column, source: Column) -> Column:

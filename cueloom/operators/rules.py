@@ -80,7 +80,7 @@ def difference(left: DataFrame, right: DataFrame) -> DataFrame:
 def deliverable_findings(listing: DataFrame, unit: str, name: str) -> DataFrame:
     """Pair media, source and translated subtitles of a unit by stem and language code."""
     subtitle = listing.filter(F.lower(name).endswith(".srt"))
-    media = listing.filter(F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).isin(MEDIA)).select(
+    media = listing.filter(F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).isin(*MEDIA)).select(
         unit, F.col(name).alias("media"), F.regexp_replace(name, r"\.[^.]+$", "").alias("stem")
     )
     # A source is <stem>.srt, a translation <stem>.<language>.srt; equi-joins on the stem.

@@ -74,7 +74,9 @@ def number_groups(marked: DataFrame, keys: Sequence[str], order: Sequence[str],
 # Suffixes a recogniser's full stop may not strand, and trailing particles.
 UNFINISHED = r"(?:くらいなら|ことを|ことが|じゃ|では|来ん|意味|見たこと)[。！？!?]+$"
 SENTENCE_CLOSE = r"[。！？!?][」』）)]?$"
-TRAILING = "って よ ね の か さ と が を に で".split()
+TRAILING = (
+    "って", "よ", "ね", "の", "か", "さ", "と", "が", "を", "に", "で",
+)
 
 
 def utterances(tokens: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -125,7 +127,7 @@ def display_groups(
     ready = tokens.withColumns(
         {
             "_size": F.length("text"),
-            "_particle": tx.compact(F.col("text"), normalise=False).isin(TRAILING),
+            "_particle": tx.compact(F.col("text"), normalise=False).isin(*TRAILING),
             "_closes": F.col("text").rlike(SENTENCE_CLOSE),
         }
     )

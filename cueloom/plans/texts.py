@@ -71,7 +71,16 @@ def convention(spark, sf):
     )
 
 
-@query("txt8_titles")
+_PREFIX = "|".join(p.replace("(?i)", "").lstrip("^") for p in tx.TITLE_PREFIXES)
+
+
+@query("txt8_titles", rf"""
+WITH s AS (SELECT page_id, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS stem FROM pages),
+c AS (SELECT page_id, trim(regexp_replace(CASE page_id % 4 WHEN 0 THEN '01.【PV】' WHEN 1 THEN 'track 7 - ' WHEN 2 THEN '[x] 002_' ELSE '' END || stem,
+      '(?i)^(?:{_PREFIX})+', '')) AS title FROM s)
+SELECT page_id, title, length(title) >= 2 AND NOT regexp_matches(title, '{tx.TITLE_MEANINGLESS}')
+  AND lower(title) NOT IN {tx.TITLE_GENERIC}
+  AND (regexp_matches(title, '[\x{{3040}}-\x{{30ff}}]') OR len(regexp_extract_all(title, '[\x{{4e00}}-\x{{9fff}}]')) >= 2 OR regexp_matches(title, '[A-Za-z]{{2,}}')) AS meaningful FROM c""")
 def titles(spark, sf):
     """Page title as media stem with batch prefixes put in front."""
     stem = F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)
@@ -82,7 +91,12 @@ def titles(spark, sf):
     )
 
 
-@query("txt9_script_lines")
+@query("txt9_script_lines", rf"""
+WITH l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS n FROM (SELECT doc_id, string_split(replace(text, '.', '。'), chr(10)) AS ls FROM documents)),
+s AS (SELECT doc_id, n, regexp_replace(trim(line), '{tx.SPEAKER}', '') AS said FROM l WHERE trim(line) <> '' AND NOT regexp_matches(trim(line), '{tx.STAGE_ONLY}')),
+p AS (SELECT doc_id, n, unnest(ps) AS part, unnest(range(1, len(ps) + 1)) AS k FROM (SELECT doc_id, n, regexp_extract_all(said, '[^。！？!?…]*[。！？!?…]+|[^。！？!?…]+') AS ps FROM s))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n, k) - 1 AS INT) AS "at", trim(part) AS sentence
+FROM p WHERE trim(part) <> '' AND NOT regexp_matches(trim(part), '{tx.STAGE_ONLY}')""")
 def script_lines(spark, sf):
     marked = F.replace("text", F.lit("."), F.lit("。"))
     return docs(spark, sf).select("doc_id", F.posexplode(tx.script_sentences(marked)).alias("at", "sentence"))
