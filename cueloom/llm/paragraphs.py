@@ -85,10 +85,13 @@ def bands(sets: np.ndarray) -> np.ndarray:
 
 
 def _band_pairs(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Paragraph names and band keys.  A key that several paragraphs of the text hold speaks for the first of
+    them: overlapping paragraphs of one text resemble each other and are no repetition."""
     at, sets = paragraphs(text)
     if not len(at):
         return at, np.empty(0, np.uint64)
-    return np.repeat(names(sets), BANDS), bands(sets).ravel()
+    keys, first = np.unique(bands(sets).ravel(), return_index=True)
+    return np.repeat(names(sets), BANDS)[first], keys
 
 
 def _digest(text: str | None) -> int:
