@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from cueloom.llm.hashing import mix, word_hashes
@@ -64,42 +65,20 @@ def _key(value: np.ndarray, tag: np.ndarray | int) -> np.ndarray:
     return mix(value ^ mix(np.atleast_1d(np.asarray(tag)).astype(np.uint64)))
 
 
-class Lines:
-    """The lines with words of one text: numbers, first words, sizes, and hashes of all words in a row.
+def line_name(words: list[bytes]) -> int:
+    """64-bit name of a line's words."""
+    return xxhash.xxh64_intdigest(b" ".join(words)) - (1 << 63)
 
-    The hash of any run of words is a difference of running sums, moved to the run's beginning.
-    """
 
-    def __init__(self, text: str | None):
-        split = split_lines(text)
-        full = [k for k, words in enumerate(split) if words]
-        self.at = np.array(full, np.int64)
-        self.size = np.array([len(split[k]) for k in full], np.int64)
-        self.first = np.cumsum(self.size) - self.size
-        self.hashed = word_hashes([w for k in full for w in split[k]])
-        self.sums = _prefix_sums(self.hashed)
-        self.back = _power(-1, len(self.hashed) + 1)
-
-    def run(self, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-        return (self.sums[first + size] - self.sums[first]) * self.back[first]
-
-    def names(self) -> np.ndarray:
-        """64-bit name of each line's words."""
-        return _key(self.run(self.first, self.size), self.size + 1_000_003).view(np.int64)
-
-    def half_keys(self, chosen: np.ndarray) -> np.ndarray:
-        """Four keys a line, as the shorter or equal line and as the longer by one word."""
-        first, size = self.first[chosen], self.size[chosen]
-        keys = []
-        for shorter in (size, size - 1):
-            half = shorter // 2
-            tail = shorter - half
-            keys.append(_key(self.run(first, half), 2 * shorter))
-            keys.append(_key(self.run(first + size - tail, tail), 2 * shorter + 1))
-        return np.stack(keys, axis=1)
-
-    def words(self, n: int) -> np.ndarray:
-        return self.hashed[self.first[n] : self.first[n] + self.size[n]]
+def half_keys(words: list[bytes]) -> list[int]:
+    """The four half keys of a line: as the shorter or equal line, and as the longer by one word."""
+    n, keys = len(words), []
+    for shorter in (n, n - 1):
+        half = shorter // 2
+        tail = shorter - half
+        keys.append(xxhash.xxh64_intdigest(b" ".join(words[:half]), 2 * shorter))
+        keys.append(xxhash.xxh64_intdigest(b" ".join(words[n - tail :]), 2 * shorter + 1))
+    return keys
 
 
 def variant_keys(hashed: np.ndarray) -> np.ndarray:
@@ -122,9 +101,9 @@ def within_one_edit(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _half_pairs(text: str) -> tuple[np.ndarray, np.ndarray]:
-    own = Lines(text)
-    long = np.flatnonzero(own.size >= MIN_WORDS)
-    return np.repeat(own.names()[long], 4), own.half_keys(long).ravel()
+    long = [words for words in split_lines(text) if len(words) >= MIN_WORDS]
+    keys = [key for words in long for key in half_keys(words)]
+    return np.repeat(np.array([line_name(words) for words in long], np.int64), 4), np.array(keys, np.uint64)
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
@@ -134,12 +113,16 @@ def _occurrences(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 part = batch.slice(low, 1000)
-                found = [Lines(text) for text in part.column("text").to_pylist()]
-                row = pa.array(np.repeat(np.arange(len(found)), [len(f.at) for f in found]))
+                rows, at, names = [], [], []
+                for n, text in enumerate(part.column("text").to_pylist()):
+                    found = [(k, line_name(words)) for k, words in enumerate(split_lines(text)) if words]
+                    rows += [n] * len(found)
+                    at += [k for k, _ in found]
+                    names += [name for _, name in found]
+                row = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id").take(row), part.column("digest").take(row),
-                    pa.array(np.concatenate([f.at for f in found]).astype(np.int32)),
-                    pa.array(np.concatenate([f.names() for f in found])),
+                    pa.array(at, pa.int32()), pa.array(names, pa.int64()),
                 ], ["doc_id", "digest", "at", "line"])
 
     return docs.mapInArrow(run, "doc_id bigint, digest bigint, at int, line bigint")
@@ -173,10 +156,9 @@ def _candidates(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             out: list[tuple] = []
             columns = [batch.column(c).to_pylist() for c in ("doc_id", "zip", "digest", "ats")]
             for doc_id, packed, digest, ats in zip(*columns, strict=True):
-                own = Lines(_unzip(packed))
-                names = own.names()
-                for n in np.flatnonzero(np.isin(own.at, ats)).tolist():
-                    out.append((doc_id, digest, int(own.at[n]), int(names[n]), own.words(n).tobytes()))
+                lines = split_lines(_unzip(packed))
+                for k in ats:
+                    out.append((doc_id, digest, k, line_name(lines[k]), word_hashes(lines[k]).tobytes()))
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
             parts = zip(*out, strict=True) if out else [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays(
