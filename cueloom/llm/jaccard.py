@@ -247,7 +247,8 @@ def block_links(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b): links inside the blocks of ``sets`` (sid, block, tokens), as set and root.
 
     A task takes many small blocks.  A block of more than CHUNK sets is cut into chunks; then only the
-    chunks' roots go on, until a block fits one chunk or its roots no longer get fewer.
+    chunks' roots go on, until a block fits one chunk or its roots no longer get fewer.  Links between
+    chunks that no root shows are not found here: ``all_links`` and ``jaccard_components`` add them.
     """
     slots = 4 * int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -349,6 +350,22 @@ def _across_groups(sets: DataFrame, groups: DataFrame, num: int, den: int) -> Da
     return checked.mapInArrow(verify, "q bigint, s bigint").select(F.col("q").alias("a"), F.col("s").alias("b"))
 
 
+def all_links(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): links that make every component of the blocks of ``sets`` (sid, block, tokens), whatever
+    the size of a block; sets of blocks over CHUNK are compared across their groups by an exact join."""
+    links = block_links(sets, num, den)
+    large = sets.groupBy("block").agg(F.count("*").alias("sets")).filter(F.col("sets") > CHUNK).select("block")
+    large = pin(large, "large")
+    if large.isEmpty():
+        return links
+    links = pin(links, "links")
+    own = sets.join(large, "block", "left_semi").dropDuplicates(["sid"])
+    own = pin(own.select("sid", F.expr("length(tokens) div 8").alias("n"), "tokens"), "tokens")
+    groups = components(links).select(F.col("node").alias("sid"), F.col("root").alias("grp"))
+    of = pin(own.select("sid").join(groups, "sid", "left").select("sid", F.coalesce("grp", "sid").alias("grp")), "groups")
+    return links.union(_across_groups(own, of, num, den))
+
+
 def jaccard_components(
     docs: DataFrame, k: int = 5, share: tuple[int, int] = (3, 4), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:

@@ -17,7 +17,7 @@ paragraphs that touch or overlap make one span.
 
 Bands travel packed (``shared_counts``), so only paragraphs that meet another one become rows of the
 linking step; equal paragraphs are aggregated before they are shuffled.  No bucket is cut short; a block
-of more than ``CHUNK`` paragraphs is linked chunk by chunk and then through the chunks' roots.
+of more than ``CHUNK`` paragraphs is linked chunk by chunk, and its groups are then joined exactly.
 
 Defined cases: null and short texts have no paragraph, keep all words and are their own class; repeated
 rows (same id and text) are one document and get equal rows; null ids sort first and form a class of
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cueloom.llm.components import components
 from cueloom.llm.hashing import mix, window_hashes, word_hashes
-from cueloom.llm.jaccard import block_links, shared_counts
+from cueloom.llm.jaccard import all_links, shared_counts
 from cueloom.llm.winnow import winnow
 from cueloom.shared import pin, ship
 
@@ -164,7 +164,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     wanted = kept.filter("near AND first.doc_id IS NOT NULL").groupBy("first.doc_id", "first.digest").agg(
         F.collect_list("first.at").alias("ats")
     )
-    links = block_links(pin(_blocks(own, wanted), "blocks"), 3, 4)
+    links = all_links(pin(_blocks(own, wanted), "blocks"), 3, 4)
     linked = components(links)
     rooted = kept.join(linked.select(F.col("node").alias("name"), "root"), "name", "left").select(
         "name", "first", F.coalesce("root", "name").alias("root")
