@@ -15,6 +15,8 @@ their Jaccard similarity reaches 3/4; components of the links and of equal parag
 class the earliest paragraph (by id, text hash, position) stays; the others are removed, and removed
 paragraphs that touch or overlap make one span.
 
+Of overlapping paragraphs of one text that share a band key one sends it and speaks for the others: if it
+meets another paragraph, all of them are compared.
 Bands travel packed (``shared_counts``), so only paragraphs that meet another one become rows of the
 linking step; equal paragraphs are aggregated before they are shuffled.  No bucket is cut short; a block
 of more than ``CHUNK`` paragraphs is linked chunk by chunk, and its groups are then joined exactly.
@@ -84,14 +86,32 @@ def bands(sets: np.ndarray) -> np.ndarray:
     return np.stack(keys, axis=1)
 
 
+def _spoken(at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Which of a text's band keys (flat) are sent, and (paragraph, speaker) for those that are not: an overlapping
+    paragraph before it sends the same key.  Overlapping paragraphs of one text are no repetition."""
+    flat, owner = keys.ravel(), np.repeat(np.arange(len(at)), keys.shape[1])
+    order = np.lexsort((owner, flat))
+    sent, held, speaker, last = np.ones(len(flat), bool), set(), 0, -1
+    for k in (np.flatnonzero(flat[order[1:]] == flat[order[:-1]]) + 1).tolist():
+        if k != last + 1:
+            speaker = owner[order[k - 1]]
+        last, own = k, owner[order[k]]
+        if at[own] - at[speaker] < WIDTH:
+            sent[order[k]] = False
+            held.add((int(own), int(speaker)))
+        else:
+            speaker = own
+    return sent, sorted(held)
+
+
 def _band_pairs(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Paragraph names and band keys.  A key that several paragraphs of the text hold speaks for the first of
-    them: overlapping paragraphs of one text resemble each other and are no repetition."""
+    """Paragraph names and the band keys they send."""
     at, sets = paragraphs(text)
     if not len(at):
         return at, np.empty(0, np.uint64)
-    keys, first = np.unique(bands(sets).ravel(), return_index=True)
-    return np.repeat(names(sets), BANDS)[first], keys
+    keys = bands(sets)
+    sent, _ = _spoken(at, keys)
+    return np.repeat(names(sets), BANDS)[sent], keys.ravel()[sent]
 
 
 def _digest(text: str | None) -> int:
@@ -99,23 +119,31 @@ def _digest(text: str | None) -> int:
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, at, name): every paragraph."""
+    """(doc_id, digest, at, name, via): every paragraph; ``via`` names the paragraphs that send keys of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 part = batch.slice(low, 1000)
                 texts = part.column("text").to_pylist()
-                made = [paragraphs(t) for t in texts]
-                row = np.repeat(np.arange(len(texts)), [len(at) for at, _ in made])
+                ats, named, via = [], [], []
+                for text in texts:
+                    at, sets = paragraphs(text)
+                    own, through = names(sets), [None] * len(at)
+                    for k, speaker in _spoken(at, bands(sets))[1] if len(at) else ():
+                        through[k] = [*(through[k] or ()), own[speaker]]
+                    ats.append(at)
+                    named.append(own)
+                    via += through
+                row = np.repeat(np.arange(len(texts)), [len(at) for at in ats])
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id").take(pa.array(row)),
                     pa.array(np.array([_digest(t) for t in texts], np.int64)[row], pa.int64()),
-                    pa.array(np.concatenate([at for at, _ in made]), pa.int32()),
-                    pa.array(np.concatenate([names(s) for _, s in made]), pa.int64()),
-                ], ["doc_id", "digest", "at", "name"])
+                    pa.array(np.concatenate(ats), pa.int32()), pa.array(np.concatenate(named), pa.int64()),
+                    pa.array(via, pa.list_(pa.int64())),
+                ], ["doc_id", "digest", "at", "name", "via"])
 
-    return docs.mapInArrow(run, "doc_id bigint, digest bigint, at int, name bigint")
+    return docs.mapInArrow(run, "doc_id bigint, digest bigint, at int, name bigint, via array<bigint>")
 
 
 def _blocks(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -152,14 +180,22 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = pin(shared_counts(own, _band_pairs, buckets).select(F.col("sid").alias("name")), "met")
-    every = _occurrences(own)
+    every = pin(_occurrences(own), "occurrences")
     stands = F.struct("doc_id", "digest", "at")
     named = every.groupBy("name").agg(F.min(stands).alias("first"), F.max(stands).alias("last"))
     # A paragraph matters if it stands in two places or shares a band with another one.
-    kept = pin(
+    sure = pin(
         named.join(met.withColumn("near", F.lit(True)), "name", "left")
-        .filter((F.col("first") != F.col("last")) | F.col("near").isNotNull())
-        .select("name", "first", F.coalesce("near", F.lit(False)).alias("near")), "paragraphs"
+        .filter((F.col("first") != F.col("last")) | F.col("near").isNotNull()).select("name", "first", "near"), "sure"
+    )
+    # Or if the paragraph that sends its keys does.
+    sender = every.select("name", stands.alias("stand"), F.explode("via").alias("via")).groupBy("name", "via").agg(F.min("stand").alias("stand"))
+    through = sender.join(sure.select(F.col("name").alias("via")), "via").groupBy("name").agg(F.min("stand").alias("stand"))
+    kept = pin(
+        sure.join(through, "name", "full").select(
+            "name", F.coalesce("first", "stand").alias("first"),
+            (F.col("near").isNotNull() | F.col("stand").isNotNull()).alias("near"),
+        ), "paragraphs"
     )
     wanted = kept.filter("near AND first.doc_id IS NOT NULL").groupBy("first.doc_id", "first.digest").agg(
         F.collect_list("first.at").alias("ats")

@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+import numpy as np
+
 from cueloom.llm import jaccard, paragraphs
 from cueloom.llm.components import components
 
@@ -33,8 +35,6 @@ def groups(roots):
 def test_links_across_chunks(spark, monkeypatch):
     """One block of 40 sets in chunks of 4: chains of sets, each linked with its neighbours only."""
     monkeypatch.setattr(jaccard, "CHUNK", 4)
-    import numpy as np
-
     sets = {100 * c + k: set(range(1000 * c + 2 * k, 1000 * c + 2 * k + 20)) for c in range(4) for k in range(10)}
     rows = [(s, 1, bytearray(np.array(sorted(own), np.uint64).tobytes())) for s, own in sets.items()]
     table = spark.createDataFrame(rows, "sid long, block long, tokens binary")
@@ -52,3 +52,45 @@ def test_passages_in_small_chunks(spark, monkeypatch):
     whole = {tuple(map(str, r)) for r in paragraphs.repeated_passages(docs).collect()}
     monkeypatch.setattr(jaccard, "CHUNK", 4)
     assert {tuple(map(str, r)) for r in paragraphs.repeated_passages(docs).collect()} == whole
+
+
+def removed(row):
+    return {k for s in row.spans for k in range(s["first"], s["last"])}
+
+
+def test_near_repeat_inside_one_text(spark):
+    """A passage again in the same text, with a word at the edge of its paragraphs changed."""
+    rng = random.Random(5)
+    texts = []
+    for _ in range(30):
+        base = line(rng, 300)
+        at = int(paragraphs.paragraphs(base)[0][3])
+        own = base.split(" ")
+        copy = [*own[at : at + 23], "changed"]
+        texts.append(" ".join([*own, *line(rng, 40).split(" "), *copy, *line(rng, 40).split(" ")]))
+    hit = [r for r in paragraphs.repeated_passages(frame(spark, texts)).collect() if r.spans]
+    want = [r for r in texts if any(340 == a for a in paragraphs.paragraphs(r)[0])]
+    assert len(want) > 10 and len(hit) >= len(want)
+
+
+def test_spoken_keys_lose_no_pair():
+    """Each pair of paragraphs that share a key and do not overlap is found through the keys sent."""
+    rng = random.Random(6)
+    for _ in range(20):
+        at = np.array(sorted(rng.sample(range(0, 200), 25)))
+        keys = np.array([[rng.randint(1, 9), rng.randint(10, 19)] for _ in at], np.uint64)
+        sent, held = paragraphs._spoken(at, keys)
+        speakers = {k: {k} for k in range(len(at))}
+        for own, speaker in held:
+            assert 0 <= at[own] - at[speaker] < paragraphs.WIDTH
+            speakers[own].add(speaker)
+        holders = {}
+        for k, key in enumerate(keys.ravel()):
+            if sent[k]:
+                holders.setdefault(int(key), set()).add(k // 2)
+        for a in range(len(at)):
+            for b in range(a):
+                if at[a] - at[b] >= paragraphs.WIDTH:
+                    for key in {int(k) for k in keys[a]} & {int(k) for k in keys[b]}:
+                        x, y = holders[key] & speakers[a], holders[key] & speakers[b]
+                        assert x and y and len(x | y) > 1
