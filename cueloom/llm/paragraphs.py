@@ -7,6 +7,11 @@ are a paragraph.  Of anchors within two words of each other the one of least has
 paragraphs would resemble each other.  The same passage is cut in the same way wherever it stands;
 any run of ``WIDTH + SPREAD + 2`` words, which is 48, holds a whole paragraph.
 
+Beside these cuts stand the natural paragraphs, whole: blocks between blank lines of any length, and lines of
+``WIDTH`` words or more (shorter lines inside a block are line deduplication's).  An edit anywhere in them leaves
+them similar, where it would part every cut around it.  They have six bands of their own, so a pair at the
+threshold meets with a probability of 99 %, and meet each other only.
+
 A paragraph's set is its five-word shingles.  Bands of ``rows`` MinHashes put similar paragraphs together;
 with two rows and four bands a pair at the threshold 3/4 meets with a probability of 96 %, one at
 18 of 22 shingles, the first value below equality with one edge changed, with 99 %.
@@ -21,7 +26,7 @@ Bands travel packed (``shared_counts``), so only paragraphs that meet another on
 linking step; equal paragraphs are aggregated before they are shuffled.  No bucket is cut short; a block
 of more than ``CHUNK`` paragraphs is linked chunk by chunk, and its groups are then joined exactly.
 
-Defined cases: null and short texts have no paragraph, keep all words and are their own class; repeated
+Defined cases: null texts and texts without words have no paragraph, keep all words and are their own class; repeated
 rows (same id and text) are one document and get equal rows; null ids sort first and form a class of
 their own text; other columns are ignored.
 """
@@ -29,6 +34,7 @@ their own text; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,19 +47,51 @@ from cueloom.llm.jaccard import all_links, shared_counts
 from cueloom.llm.winnow import winnow
 from cueloom.shared import pin, ship
 
-WIDTH, SPREAD, SHINGLE, ROWS, BANDS = 24, 22, 5, 2, 4
+WIDTH, SPREAD, SHINGLE, ROWS, BANDS, NATURAL_BANDS = 24, 22, 5, 2, 4, 6
 NEAR = 2  # words between anchors whose paragraphs would reach the threshold by themselves
 SPANS = "array<struct<first:int,last:int>>"
-_SEEDS = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
-def paragraphs(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Start words of the paragraphs, and their shingles, one row of hashes for each."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if len(words) < WIDTH:
-        return np.empty(0, np.int64), np.empty((0, WIDTH - SHINGLE + 1), np.uint64)
-    hashed = word_hashes(words)
-    pairs = window_hashes(hashed, 2)[: len(words) - WIDTH + 1]
+_SEEDS = mix(np.arange(1, ROWS * NATURAL_BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+class Units(NamedTuple):
+    """Paragraphs of a text: first word, number of words, name and band keys of each; keys of the first ``cuts``
+    (the content cuts) and of the natural ones are of different kinds."""
+
+    at: np.ndarray
+    n: np.ndarray
+    names: np.ndarray
+    keys: np.ndarray
+    cuts: int
+    runs: np.ndarray
+    hashed: np.ndarray
+
+    def tokens(self, k: int) -> np.ndarray:
+        """The sorted shingles of paragraph ``k``."""
+        return np.unique(self.runs[self.at[k] : self.at[k] + max(1, self.n[k] - SHINGLE + 1)])
+
+
+def natural(counts: list[int]) -> list[tuple[int, int]]:
+    """(first word, number of words) of the blocks between blank lines, of lines of WIDTH words or more and of a
+    text of fewer words, from the number of words of each line."""
+    found, at, start = [], 0, 0
+    for n in [*counts, 0]:
+        if n >= WIDTH:
+            found.append((at, n))
+        if not n and at > start:
+            found.append((start, at - start))
+        at += n
+        if not n:
+            start = at
+    if 0 < at < WIDTH:
+        found.append((0, at))
+    return sorted(set(found))
+
+
+def content_cuts(hashed: np.ndarray) -> np.ndarray:
+    """Start words of the content cuts."""
+    if len(hashed) < WIDTH:
+        return np.empty(0, np.int64)
+    pairs = window_hashes(hashed, 2)[: len(hashed) - WIDTH + 1]
     at = winnow(pairs, min(SPREAD, len(pairs)))
     alone = np.ones(len(at), bool)
     for step in range(1, NEAR + 1):
@@ -61,25 +99,51 @@ def paragraphs(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         left, right = pairs[at[:-step]], pairs[at[step:]]
         alone[step:] &= ~(close & (left < right))
         alone[:-step] &= ~(close & (right <= left))
-    at = at[alone]
-    runs = window_hashes(hashed, SHINGLE)
-    return at, runs[at[:, None] + np.arange(WIDTH - SHINGLE + 1)]
+    return at[alone]
+
+
+def paragraphs(text: str | None) -> Units | None:
+    lines = [line.split() for line in text.encode("utf-8", "surrogatepass").lower().split(b"\n")] if text else []
+    own = natural([len(line) for line in lines])
+    if not own:
+        return None
+    hashed = word_hashes([w for line in lines for w in line])
+    runs = window_hashes(hashed, min(SHINGLE, len(hashed)))
+    cut = content_cuts(hashed)
+    first, n = np.array(own, np.int64).T
+    ends = np.minimum(first + np.maximum(n - SHINGLE + 1, 1), len(runs))
+    edges = np.stack([np.minimum(first, len(runs) - 1), ends], axis=1).ravel()
+    window = cut[:, None] + np.arange(WIDTH - SHINGLE + 1)
+    short, long = [], []
+    for k, seed in enumerate(_SEEDS):
+        mixed = mix(runs ^ seed)
+        if k < ROWS * BANDS and len(cut):
+            short.append(mixed[window].min(axis=1))
+        long.append(np.minimum.reduceat(np.append(mixed, ~np.uint64(0)), edges)[::2])
+    keys = np.zeros((len(cut) + len(own), NATURAL_BANDS), np.uint64)
+    if len(cut):
+        keys[: len(cut), :BANDS] = bands(short, 0)
+    keys[len(cut) :] = bands(long, BANDS)
+    parts = [xxhash.xxh64_intdigest(hashed[a : a + m].tobytes(), 1) for a, m in own]
+    return Units(
+        np.concatenate([cut, first]), np.concatenate([np.full(len(cut), WIDTH), n]),
+        np.concatenate([names(runs[window]), np.array(parts, np.uint64).view(np.int64)]), keys, len(cut), runs, hashed,
+    )
 
 
 def names(sets: np.ndarray) -> np.ndarray:
-    """64-bit name of each paragraph's words."""
+    """64-bit name of each cut's words."""
     out = np.zeros(len(sets), np.uint64)
     for column in sets.T:
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + column)
     return out.view(np.int64)
 
 
-def bands(sets: np.ndarray) -> np.ndarray:
-    """BANDS keys for each paragraph."""
-    least = [mix(sets ^ seed).min(axis=1) for seed in _SEEDS]
+def bands(least: list[np.ndarray], kind: int) -> np.ndarray:
+    """Keys of paragraphs from their least hashes; bands are numbered from ``kind`` on."""
     keys = []
-    for b in range(BANDS):
-        key = np.full(len(sets), b + 1, np.uint64)
+    for b in range(len(least) // ROWS):
+        key = np.full(len(least[0]), kind + b + 1, np.uint64)
         for r in range(ROWS):
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + least[b * ROWS + r])
         keys.append(key)
@@ -105,13 +169,17 @@ def _spoken(at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, list[tuple[in
 
 
 def _band_pairs(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Paragraph names and the band keys they send."""
-    at, sets = paragraphs(text)
-    if not len(at):
-        return at, np.empty(0, np.uint64)
-    keys = bands(sets)
-    sent, _ = _spoken(at, keys)
-    return np.repeat(names(sets), BANDS)[sent], keys.ravel()[sent]
+    """Paragraph names and the band keys they send; a natural paragraph under SHINGLE words has no near partner."""
+    own = paragraphs(text)
+    if own is None:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    keys = own.keys[: own.cuts, :BANDS]
+    sent, _ = _spoken(own.at[: own.cuts], keys)
+    long = np.flatnonzero(own.n[own.cuts :] >= SHINGLE) + own.cuts
+    return (
+        np.concatenate([np.repeat(own.names[: own.cuts], BANDS)[sent], np.repeat(own.names[long], NATURAL_BANDS)]),
+        np.concatenate([keys.ravel()[sent], own.keys[long].ravel()]),
+    )
 
 
 def _digest(text: str | None) -> int:
@@ -119,55 +187,55 @@ def _digest(text: str | None) -> int:
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, at, name, via): every paragraph; ``via`` names the paragraphs that send keys of its own."""
+    """(doc_id, digest, at, n, name, via): every paragraph; ``via`` names the paragraphs that send keys of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 part = batch.slice(low, 1000)
                 texts = part.column("text").to_pylist()
-                ats, named, via = [], [], []
-                for text in texts:
-                    at, sets = paragraphs(text)
-                    own, through = names(sets), [None] * len(at)
-                    for k, speaker in _spoken(at, bands(sets))[1] if len(at) else ():
-                        through[k] = [*(through[k] or ()), own[speaker]]
-                    ats.append(at)
-                    named.append(own)
+                made, via = [paragraphs(t) for t in texts], []
+                row = np.repeat(np.arange(len(texts)), [0 if own is None else len(own.at) for own in made])
+                made = [own for own in made if own is not None]
+                for own in made:
+                    through = [None] * len(own.at)
+                    for k, speaker in _spoken(own.at[: own.cuts], own.keys[: own.cuts, :BANDS])[1]:
+                        through[k] = [*(through[k] or ()), own.names[speaker]]
                     via += through
-                row = np.repeat(np.arange(len(texts)), [len(at) for at in ats])
+                joined = lambda field: np.concatenate([np.empty(0, np.int64), *(getattr(own, field) for own in made)])
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id").take(pa.array(row)),
+                    part.column("doc_id").take(pa.array(row, pa.int64())),
                     pa.array(np.array([_digest(t) for t in texts], np.int64)[row], pa.int64()),
-                    pa.array(np.concatenate(ats), pa.int32()), pa.array(np.concatenate(named), pa.int64()),
-                    pa.array(via, pa.list_(pa.int64())),
-                ], ["doc_id", "digest", "at", "name", "via"])
+                    pa.array(joined("at"), pa.int32()), pa.array(joined("n"), pa.int32()),
+                    pa.array(joined("names"), pa.int64()), pa.array(via, pa.list_(pa.int64())),
+                ], ["doc_id", "digest", "at", "n", "name", "via"])
 
-    return docs.mapInArrow(run, "doc_id bigint, digest bigint, at int, name bigint, via array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, digest bigint, at int, n int, name bigint, via array<bigint>")
 
 
 def _blocks(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sid, block, tokens): the wanted paragraphs (doc_id, digest, ats) with each of their bands."""
+    """(sid, block, tokens): the wanted paragraphs (doc_id, digest, names) with each of their bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sids, blocks, tokens = [], [], []
-            columns = [batch.column(c).to_pylist() for c in ("text", "digest", "ats")]
-            for text, digest, ats in zip(*columns, strict=True):
-                if _digest(text) != digest:
-                    continue
-                at, sets = paragraphs(text)
-                sets = sets[np.isin(at, ats)]
-                for name, keys, own in zip(names(sets), bands(sets), sets, strict=True):
-                    sids += [name] * BANDS
-                    blocks += keys.view(np.int64).tolist()
-                    tokens += [np.unique(own).tobytes()] * BANDS
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(sids, pa.int64()), pa.array(blocks, pa.int64()), pa.array(tokens, pa.binary())],
-                ["sid", "block", "tokens"],
-            )
-
-    met = docs.join(wanted.hint("merge"), "doc_id").select("text", "digest", "ats")
+            for low in range(0, batch.num_rows, 200):
+                sids, blocks, tokens = [], [], []
+                columns = [batch.column(c).slice(low, 200).to_pylist() for c in ("text", "digest", "names")]
+                for text, digest, wish in zip(*columns, strict=True):
+                    if _digest(text) != digest:
+                        continue
+                    own = paragraphs(text)
+                    for k in np.flatnonzero(np.isin(own.names, wish)).tolist():
+                        keys = own.keys[k, : BANDS if k < own.cuts else NATURAL_BANDS]
+                        sids += [own.names[k]] * len(keys)
+                        blocks += keys.view(np.int64).tolist()
+                        tokens += [own.tokens(k).tobytes()] * len(keys)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(sids, pa.int64()), pa.array(blocks, pa.int64()), pa.array(tokens, pa.binary())],
+                    ["sid", "block", "tokens"],
+                )
+
+    met = docs.join(wanted.hint("merge"), "doc_id").select("text", "digest", "names")
     return met.mapInArrow(run, "sid bigint, block bigint, tokens binary").dropDuplicates(["sid", "block"])
 
 
@@ -181,7 +249,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = pin(shared_counts(own, _band_pairs, buckets).select(F.col("sid").alias("name")), "met")
     every = pin(_occurrences(own), "occurrences")
-    stands = F.struct("doc_id", "digest", "at")
+    stands = F.struct("doc_id", "digest", "at", "n")
     named = every.groupBy("name").agg(F.min(stands).alias("first"), F.max(stands).alias("last"))
     # A paragraph matters if it stands in two places or shares a band with another one.
     sure = pin(
@@ -198,7 +266,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         ), "paragraphs"
     )
     wanted = kept.filter("near AND first.doc_id IS NOT NULL").groupBy("first.doc_id", "first.digest").agg(
-        F.collect_list("first.at").alias("ats")
+        F.collect_list("name").alias("names")
     )
     links = all_links(pin(_blocks(own, wanted), "blocks"), 3, 4)
     linked = components(links)
@@ -209,20 +277,23 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     classes = rooted.join(leads, "root").select("name", "lead")
     overlaps = (
         F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("digest") == F.col("lead.digest"))
-        & (F.col("at") < F.col("lead.at") + WIDTH)
+        & (F.col("at") < F.col("lead.at") + F.col("lead.n"))
     )
     repeats = pin(
         every.join(classes, "name").filter((stands != F.col("lead")) & ~overlaps)
         .groupBy("doc_id", "digest").agg(
-            F.sort_array(F.collect_set("at")).alias("ats"), F.array_sort(F.collect_set("lead.doc_id")).alias("first_ids")
+            F.sort_array(F.collect_set(F.struct("at", "n"))).alias("ats"), F.array_sort(F.collect_set("lead.doc_id")).alias("first_ids")
         ), "repeats"
     )
-    ends = F.transform("ats", lambda a: F.struct(a.alias("first"), (a + WIDTH).alias("last")))
+    ends = F.transform("ats", lambda a: F.struct(a["at"].alias("first"), (a["at"] + a["n"]).alias("last")))
     spans = F.aggregate(ends, F.array().cast(SPANS), lambda acc, s: F.when(
         (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["last"] >= s["first"]),
         F.concat(
             F.slice(acc, F.lit(1), F.size(acc) - 1),
-            F.array(F.struct(F.get(acc, F.size(acc) - 1)["first"].alias("first"), s["last"].alias("last"))),
+            F.array(F.struct(
+                F.get(acc, F.size(acc) - 1)["first"].alias("first"),
+                F.greatest(F.get(acc, F.size(acc) - 1)["last"], s["last"]).alias("last"),
+            )),
         ),
     ).otherwise(F.concat(acc, F.array(s))))
     joined = components(repeats.select(F.col("doc_id").alias("a"), F.explode("first_ids").alias("b")))

@@ -2,8 +2,7 @@
 
 import random
 
-import pytest
-
+import brute
 import numpy as np
 
 from cueloom.llm import jaccard, paragraphs
@@ -21,6 +20,11 @@ def edited(text, *places):
     return " ".join(own)
 
 
+def starts(text):
+    """First words of a text's content cuts."""
+    return paragraphs.content_cuts(paragraphs.word_hashes(text.encode().split())).tolist()
+
+
 def frame(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
 
@@ -64,12 +68,12 @@ def test_near_repeat_inside_one_text(spark):
     texts = []
     for _ in range(30):
         base = line(rng, 300)
-        at = int(paragraphs.paragraphs(base)[0][3])
+        at = int(starts(base)[3])
         own = base.split(" ")
         copy = [*own[at : at + 23], "changed"]
         texts.append(" ".join([*own, *line(rng, 40).split(" "), *copy, *line(rng, 40).split(" ")]))
     hit = [r for r in paragraphs.repeated_passages(frame(spark, texts)).collect() if r.spans]
-    want = [r for r in texts if any(340 == a for a in paragraphs.paragraphs(r)[0])]
+    want = [r for r in texts if any(340 == a for a in starts(r))]
     assert len(want) > 10 and len(hit) >= len(want)
 
 
@@ -94,3 +98,33 @@ def test_spoken_keys_lose_no_pair():
                     for key in {int(k) for k in keys[a]} & {int(k) for k in keys[b]}:
                         x, y = holders[key] & speakers[a], holders[key] & speakers[b]
                         assert x and y and len(x | y) > 1
+
+
+def test_natural_paragraphs_with_interior_edits(spark):
+    """Lines and blocks with words changed anywhere, against the Jaccard similarity of all pairs."""
+    rng = random.Random(8)
+    texts = []
+    for k in range(60):
+        base = line(rng, rng.randint(45, 90))
+        changed = edited(base, *rng.sample(range(3, len(base.split(" ")) - 3), rng.choice([1, 1, 2])))
+        mark = "\n\n" if k % 2 else "\n"
+        texts += [line(rng, 40) + mark + base, line(rng, 45) + mark + changed]
+    rows = {r.doc_id: r for r in paragraphs.repeated_passages(frame(spark, texts)).collect()}
+    near = [k for k in range(0, len(texts), 2) if alike(texts[k].split("\n")[-1], texts[k + 1].split("\n")[-1])]
+    assert len(near) > 20
+    found = [k for k in near if set(range(45, 45 + len(texts[k + 1].split("\n")[-1].split(" ")))) <= removed(rows[k + 1])]
+    assert len(found) >= len(near) - 1 and rows[near[0]].spans == []
+    far = [k for k in range(0, len(texts), 2) if k not in near]
+    assert all(not set(range(45)) & removed(rows[k + 1]) for k in far)
+
+
+def alike(a, b):
+    x, y = brute.shingle_set(a), brute.shingle_set(b)
+    return 4 * len(x & y) >= 3 * len(x | y)
+
+
+def test_short_blocks(spark):
+    """Blocks and texts of fewer words than a cut."""
+    texts = ["one two three four five six seven", "head line\n\nOne two three four five six seven", "ab cd", "ab cd", "ef gh\n\nij"]
+    got = {r.doc_id: sorted(removed(r)) for r in paragraphs.repeated_passages(frame(spark, texts)).collect()}
+    assert got == {0: [], 1: [2, 3, 4, 5, 6, 7, 8], 2: [], 3: [0, 1], 4: []}
