@@ -17,8 +17,9 @@ with two rows and four bands a pair at the threshold 3/4 meets with a probabilit
 18 of 22 shingles, the first value below equality with one edge changed, with 99 %.
 Paragraphs that meet are compared exactly, block by block, and linked when
 their Jaccard similarity reaches 3/4; components of the links and of equal paragraphs are classes.  In each
-class the earliest paragraph (by id, text hash, position) stays; the others are removed, and removed
-paragraphs that touch or overlap make one span.
+class the earliest paragraph (by id, text hash, position) stays; the others are removed, together with the
+words before and after them that equal those around the earliest one, or around the first equal one; what
+touches or overlaps makes one span.
 
 Of overlapping paragraphs of one text that share a band key one sends it and speaks for the others: if it
 meets another paragraph, all of them are compared.
@@ -48,6 +49,7 @@ from cueloom.llm.winnow import winnow
 from cueloom.shared import pin, ship
 
 WIDTH, SPREAD, SHINGLE, ROWS, BANDS, NATURAL_BANDS = 24, 22, 5, 2, 4, 6
+MARGIN = WIDTH + SPREAD + 2  # so many equal words hold a whole cut
 NEAR = 2  # words between anchors whose paragraphs would reach the threshold by themselves
 SPANS = "array<struct<first:int,last:int>>"
 _SEEDS = mix(np.arange(1, ROWS * NATURAL_BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -239,6 +241,131 @@ def _blocks(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "sid bigint, block bigint, tokens binary").dropDuplicates(["sid", "block"])
 
 
+def _stretches(repeats: DataFrame) -> DataFrame:
+    """(doc_id, digest, first, last, to_id, to, to_first, to_last): stretches of a text's repeated paragraphs that
+    touch or overlap and stand in the same way to words of an earlier place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            columns = [batch.column(c).to_pylist() for c in ("doc_id", "digest", "places")]
+            for doc_id, digest, places in zip(*columns, strict=True):
+                held = {}
+                for p in sorted(places, key=lambda p: (p["at"], p["n"])):
+                    for to in (p["lead"], p["near"]):
+                        if to is None:
+                            continue
+                        where = to["doc_id"], to["digest"], p["at"] - to["at"]
+                        mine = held.setdefault(where, [])
+                        last, to_last = p["at"] + p["n"], to["at"] + to["n"]
+                        if mine and mine[-1][1] >= p["at"]:
+                            if last > mine[-1][1]:
+                                mine[-1][1], mine[-1][3] = last, to_last
+                        else:
+                            mine.append([p["at"], last, to["at"], to_last])
+                out += [(doc_id, digest, f, e, to, d, tf, te) for (to, d, _), mine in held.items() for f, e, tf, te in mine]
+            names = ["doc_id", "digest", "first", "last", "to_id", "to", "to_first", "to_last"]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()] * 2
+            columns = zip(*out, strict=True) if out else [[]] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    return repeats.mapInArrow(run, "doc_id bigint, digest bigint, first int, last int, to_id bigint, to bigint, to_first int, to_last int")
+
+
+def _words(text: str | None) -> np.ndarray:
+    return word_hashes(text.encode("utf-8", "surrogatepass").lower().split()) if text else np.empty(0, np.uint64)
+
+
+def common(mine: np.ndarray, other: np.ndarray) -> int:
+    """How many words are equal from the start on."""
+    n = min(len(mine), len(other))
+    differ = np.flatnonzero(mine[:n] != other[:n])
+    return int(differ[0]) if len(differ) else n
+
+
+def reach(mine: np.ndarray, other: np.ndarray, shifts: bool) -> int:
+    """How far words go on as those at the earlier place, which begin NEAR words before its end: an edit at the
+    edge of a cut may have moved them by as many."""
+    found = common(mine, other[NEAR:])
+    if not found and shifts:
+        far = max(common(mine, other[k:]) for k in range(2 * NEAR + 1))
+        found = far if far >= SHINGLE else 0
+    return found
+
+
+def _spans(docs: DataFrame, stretches: DataFrame) -> DataFrame:
+    """(doc_id, digest, spans): stretches extended word by word along their earlier places, then merged.
+
+    Of an earlier place MARGIN words on each side are read: further equal words hold a whole cut, which is a
+    stretch itself.  Each word removed stands for an equal or similar one at an earlier place, so one stays."""
+    place = ["to_first", "to_last"]
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            columns = [batch.column(c).to_pylist() for c in ("text", "doc_id", "digest", "asked")]
+            for text, doc_id, digest, asked in zip(*columns, strict=True):
+                if _digest(text) != digest:
+                    continue
+                own = _words(text).astype(np.uint32)
+                for a in asked:
+                    low, high = a["to_first"], a["to_last"]
+                    left, right = own[max(0, low - MARGIN) : low + NEAR][::-1], own[max(0, high - NEAR) : high + MARGIN]
+                    out.append((doc_id, digest, low, high, left.tobytes(), np.ascontiguousarray(right).tobytes()))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            columns = zip(*out, strict=True) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["at_id", "at", *place, "left", "right"]
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, digests, out = [], [], []
+            columns = [batch.column(c).to_pylist() for c in ("text", "doc_id", "digest", "held")]
+            for text, doc_id, digest, held in zip(*columns, strict=True):
+                if _digest(text) != digest:
+                    continue
+                own, found = _words(text).astype(np.uint32), []
+                for s in held:
+                    left, right = (np.frombuffer(s[c], np.uint32) for c in ("left", "right"))
+                    before = reach(own[max(0, s["first"] - MARGIN) : s["first"]][::-1], left, s["other"])
+                    after = reach(own[s["last"] : s["last"] + MARGIN], right, s["other"])
+                    found.append((s["first"] - before, s["last"] + after))
+                merged = []
+                for first, last in sorted(found):
+                    if merged and merged[-1]["last"] >= first:
+                        merged[-1]["last"] = max(merged[-1]["last"], last)
+                    else:
+                        merged.append({"first": first, "last": last})
+                ids.append(doc_id)
+                digests.append(digest)
+                out.append(merged)
+            kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(digests, pa.int64()), pa.array(out, kind)], ["doc_id", "digest", "spans"]
+            )
+
+    def with_text(keys: DataFrame) -> DataFrame:
+        texts = docs.withColumnRenamed("doc_id", "own_id")
+        return keys.join(texts, keys["doc_id"].eqNullSafe(texts["own_id"])).drop("own_id")
+
+    asked = stretches.groupBy(F.col("to_id").alias("doc_id"), F.col("to").alias("digest")).agg(
+        F.collect_set(F.struct(*place)).alias("asked")
+    )
+    edge = with_text(asked).mapInArrow(
+        edges, "at_id bigint, at bigint, to_first int, to_last int, left binary, right binary"
+    ).dropDuplicates(["at_id", "at", *place])
+    same = stretches["to_id"].eqNullSafe(edge["at_id"]) & (stretches["to"] == edge["at"])
+    for c in place:
+        same &= stretches[c] == edge[c]
+    other = ~(F.col("doc_id").eqNullSafe(F.col("to_id")) & (F.col("digest") == F.col("to")))
+    held = stretches.join(edge, same).groupBy("doc_id", "digest").agg(
+        F.collect_list(F.struct("first", "last", "left", "right", other.alias("other"))).alias("held")
+    )
+    found = with_text(held).mapInArrow(run, f"doc_id bigint, digest bigint, spans {SPANS}")
+    return found.dropDuplicates(["doc_id", "digest"])
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, digest (of the text), n_words, class_id (least id of the documents its
     passages connect it with), first_ids (ids where its repeated passages stand first) and spans of
@@ -274,31 +401,25 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         "name", "first", F.coalesce("root", "name").alias("root")
     )
     leads = rooted.groupBy("root").agg(F.min("first").alias("lead"))
-    classes = rooted.join(leads, "root").select("name", "lead")
-    overlaps = (
-        F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("digest") == F.col("lead.digest"))
-        & (F.col("at") < F.col("lead.at") + F.col("lead.n"))
+    classes = rooted.join(leads, "root").select("name", "lead", "first")
+    again = lambda c: (stands != F.col(c)) & ~(
+        F.col("doc_id").eqNullSafe(F.col(f"{c}.doc_id")) & (F.col("digest") == F.col(f"{c}.digest"))
+        & (F.col("at") < F.col(f"{c}.at") + F.col(f"{c}.n"))
     )
     repeats = pin(
-        every.join(classes, "name").filter((stands != F.col("lead")) & ~overlaps)
+        every.join(classes, "name").filter(again("lead"))
+        .withColumn("near", F.when((F.col("first") != F.col("lead")) & (F.col("first") < stands) & again("first"), F.col("first")))
         .groupBy("doc_id", "digest").agg(
-            F.sort_array(F.collect_set(F.struct("at", "n"))).alias("ats"), F.array_sort(F.collect_set("lead.doc_id")).alias("first_ids")
+            F.collect_set(F.struct("at", "n", "lead", "near")).alias("places"),
+            F.array_sort(F.collect_set("lead.doc_id")).alias("first_ids"),
         ), "repeats"
     )
-    ends = F.transform("ats", lambda a: F.struct(a["at"].alias("first"), (a["at"] + a["n"]).alias("last")))
-    spans = F.aggregate(ends, F.array().cast(SPANS), lambda acc, s: F.when(
-        (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["last"] >= s["first"]),
-        F.concat(
-            F.slice(acc, F.lit(1), F.size(acc) - 1),
-            F.array(F.struct(
-                F.get(acc, F.size(acc) - 1)["first"].alias("first"),
-                F.greatest(F.get(acc, F.size(acc) - 1)["last"], s["last"]).alias("last"),
-            )),
-        ),
-    ).otherwise(F.concat(acc, F.array(s))))
+    spans = _spans(own, pin(_stretches(repeats), "stretches"))
     joined = components(repeats.select(F.col("doc_id").alias("a"), F.explode("first_ids").alias("b")))
     sizes = _sizes(own)
-    found = repeats.select("doc_id", "digest", "first_ids", spans.alias("spans"))
+    ids, spans = repeats.select("doc_id", "digest", "first_ids"), spans.withColumnsRenamed({"doc_id": "own_id", "digest": "own"})
+    found = ids.join(spans, ids["doc_id"].eqNullSafe(spans["own_id"]) & (ids["digest"] == spans["own"]))
+    found = found.select("doc_id", "digest", "first_ids", "spans")
     same = sizes["doc_id"].eqNullSafe(found["doc_id"]) & (sizes["digest"] == found["digest"])
     out = sizes.join(found, same, "left").select(sizes["doc_id"], sizes["digest"], "n_words", "first_ids", "spans")
     return out.join(joined.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").select(

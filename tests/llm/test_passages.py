@@ -128,3 +128,23 @@ def test_short_blocks(spark):
     texts = ["one two three four five six seven", "head line\n\nOne two three four five six seven", "ab cd", "ab cd", "ef gh\n\nij"]
     got = {r.doc_id: sorted(removed(r)) for r in paragraphs.repeated_passages(frame(spark, texts)).collect()}
     assert got == {0: [], 1: [2, 3, 4, 5, 6, 7, 8], 2: [], 3: [0, 1], 4: []}
+
+
+def test_whole_common_run_is_removed(spark):
+    """A repeated passage inside other words goes to its last word, a copied text whole."""
+    rng = random.Random(9)
+    passages = [line(rng, rng.randint(51, 140)) for _ in range(25)]
+    pads = [line(rng, rng.randint(20, 60)) for _ in range(25)]
+    texts = [f"{line(rng, 30)} {p} {line(rng, 30)}" for p in passages]
+    texts += [f"{pad} {p} {line(rng, 30)}" for pad, p in zip(pads, passages, strict=True)]
+    copies = [line(rng, n) for n in (5, 23, 24, 60, 300)]
+    texts += [*copies, *copies]
+    rows = {r.doc_id: r for r in paragraphs.repeated_passages(frame(spark, texts)).collect()}
+    for k, (pad, p) in enumerate(zip(pads, passages, strict=True)):
+        first = len(pad.split(" "))
+        assert rows[k].spans == []
+        (span,) = rows[25 + k].spans
+        # A similar cut may reach two words beyond the passage.
+        assert first - 2 <= span["first"] <= first and 0 <= span["last"] - first - len(p.split(" ")) <= 2
+    for k, c in enumerate(copies):
+        assert rows[50 + k].spans == [] and [tuple(s) for s in rows[55 + k].spans] == [(0, len(c.split(" ")))]
