@@ -39,4 +39,4 @@ def stage_telemetry(spark, sf):
 @query("str5_repeated_flags", """WITH f AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events WHERE event_type IN ('error', 'click'))
 SELECT user_id, event_id FROM f WHERE event_type = 'error' AND p = 'error'""")
 def repeated_flags(spark, sf):
-    return jobs.drain(jobs.repeated_flags(events(spark, sf)), "str5")
+    return jobs.repeated_flags(jobs.drain(jobs.flag_changes(events(spark, sf)), "str5"))

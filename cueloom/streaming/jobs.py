@@ -4,19 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cueloom.shared import fresh_path
 
 DELAY = "1 day"
+BLOCK = 32768  # event ids whose flags are one state
 
 
-def event_stream(spark: SparkSession, source: str) -> DataFrame:
+def event_stream(spark: SparkSession, source: str, files: int = 64) -> DataFrame:
     """Event files as a stream; the time column becomes a timestamp, which watermarks need."""
     schema = spark.read.parquet(source).schema
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", "64").parquet(f"{source}*")
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", str(files)).parquet(f"{source}*")
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -50,30 +52,51 @@ def stage_telemetry(events: DataFrame, width: str = "1 day") -> DataFrame:
     ).select(F.col("event_type").alias("stage"), F.unix_micros("w.start").alias("start_us"), "requests", "millis")
 
 
-def repeated_flags(events: DataFrame) -> DataFrame:
-    """A line flagged again without a change in between: one flag per line is the whole state.
+def flag_changes(events: DataFrame) -> DataFrame:
+    """Repeated flags as changes, so that events may come in any order and as late as they like.
 
-    A micro-batch is bounded by the source's rate options, so is what one key brings to a call.
+    State is kept for BLOCK event ids of a user: which ids are flags and which are changes.  Each call
+    sends what its events change, flag by flag (+1 or -1), and the block's edges under a new version.
     """
 
     def follow(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        flagged = bool(state.get[0]) if state.exists else False
-        rows = pd.concat(parts).sort_values("event_id")
-        hits = []
-        for event_id, kind in zip(rows["event_id"], rows["event_type"]):
-            if kind == "error":
-                if flagged:
-                    hits.append(int(event_id))
-                flagged = True
-            else:
-                flagged = False
-        state.update((flagged,))
-        yield pd.DataFrame({"user_id": [key[0]] * len(hits), "event_id": hits})
-
-    marks = events.filter("event_type IN ('error', 'click')").select("user_id", "event_id", "event_type")
-    return marks.groupBy("user_id").applyInPandasWithState(
-        follow, "user_id long, event_id long", "flagged boolean", "append", GroupStateTimeout.NoTimeout
+        version, ids, errors = 0, np.empty(0, np.int64), np.empty(0, bool)
+        if state.exists:
+            version, held, kinds = state.get
+            ids, errors = np.frombuffer(held, np.int64), np.frombuffer(kinds, bool)
+        before = set(ids[1:][errors[1:] & errors[:-1]].tolist())
+        rows = pd.concat(parts)
+        ids = np.concatenate([ids, rows["event_id"].to_numpy(np.int64)])
+        errors = np.concatenate([errors, (rows["event_type"] == "error").to_numpy(bool)])
+        order = np.argsort(ids, kind="stable")
+        ids, errors = ids[order], errors[order]
+        after = set(ids[1:][errors[1:] & errors[:-1]].tolist())
+        state.update((version + 1, ids.tobytes(), errors.tobytes()))
+        changes = [(i, 1) for i in sorted(after - before)] + [(i, -1) for i in sorted(before - after)]
+        rows = [(*key, i, sign, None, None, None) for i, sign in changes]
+        rows.append((*key, int(ids[0]), 0, version + 1, bool(errors[0]), bool(errors[-1])))
+        frame = pd.DataFrame(rows, columns=["user_id", "block", "event_id", "sign", "version", "first", "last"])
+        yield frame.astype({"version": "Int64", "first": "boolean", "last": "boolean"})
+
+    marks = events.filter("event_type IN ('error', 'click')").select(
+        "user_id", F.floor(F.col("event_id") / BLOCK).alias("block"), "event_id", "event_type"
     )
+    return marks.groupBy("user_id", "block").applyInPandasWithState(
+        follow, "user_id long, block long, event_id long, sign int, version long, first boolean, last boolean",
+        "version long, ids binary, errors binary", "append", GroupStateTimeout.NoTimeout,
+    )
+
+
+def repeated_flags(changes: DataFrame) -> DataFrame:
+    """A line flagged again without a change in between, from the drained ``flag_changes``: the sum of the changes
+    inside blocks, and the first flags of blocks whose last block before ends in one."""
+    inside = changes.filter("sign <> 0").groupBy("user_id", "event_id").agg(F.sum("sign").alias("n")).filter("n > 0")
+    edges = changes.filter("sign = 0").groupBy("user_id", "block").agg(
+        F.max(F.struct("version", "event_id", "first", "last")).alias("e")
+    )
+    by_block = Window.partitionBy("user_id").orderBy("block")
+    across = edges.select("user_id", "e.event_id", F.col("e.first").alias("flag"), F.lag("e.last").over(by_block).alias("flagged"))
+    return inside.select("user_id", "event_id").union(across.filter("flag AND flagged").select("user_id", "event_id"))
 
 
 def request_ledger(spark: SparkSession, events: DataFrame) -> DataFrame:
