@@ -216,29 +216,44 @@ def _occurrences(docs: DataFrame) -> DataFrame:
 
 
 def _blocks(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sid, block, tokens): the wanted paragraphs (doc_id, digest, names) with each of their bands."""
+    """(sid, block, tokens): the wanted paragraphs (doc_id, digest, names) with each band they share.
+
+    Shingles are stored once for each paragraph and joined to those bands alone.  A band whose paragraphs all
+    overlap in one text is none: equal ones elsewhere are found by their names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 200):
-                sids, blocks, tokens = [], [], []
                 columns = [batch.column(c).slice(low, 200).to_pylist() for c in ("text", "digest", "names")]
+                sids, digests, ats, ends, blocks, tokens = [], [], [], [], [], []
                 for text, digest, wish in zip(*columns, strict=True):
                     if _digest(text) != digest:
                         continue
                     own = paragraphs(text)
                     for k in np.flatnonzero(np.isin(own.names, wish)).tolist():
-                        keys = own.keys[k, : BANDS if k < own.cuts else NATURAL_BANDS]
-                        sids += [own.names[k]] * len(keys)
-                        blocks += keys.view(np.int64).tolist()
-                        tokens += [own.tokens(k).tobytes()] * len(keys)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(sids, pa.int64()), pa.array(blocks, pa.int64()), pa.array(tokens, pa.binary())],
-                    ["sid", "block", "tokens"],
-                )
+                        sids.append(own.names[k])
+                        digests.append(digest)
+                        ats.append(own.at[k])
+                        ends.append(own.at[k] + own.n[k])
+                        blocks.append(own.keys[k, : BANDS if k < own.cuts else NATURAL_BANDS].view(np.int64).tolist())
+                        tokens.append(own.tokens(k).tobytes())
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(sids, pa.int64()), pa.array(digests, pa.int64()), pa.array(ats, pa.int32()),
+                    pa.array(ends, pa.int32()), pa.array(blocks, pa.list_(pa.int64())), pa.array(tokens, pa.binary()),
+                ], ["sid", "digest", "at", "end", "blocks", "tokens"])
 
     met = docs.join(wanted.hint("merge"), "doc_id").select("text", "digest", "names")
-    return met.mapInArrow(run, "sid bigint, block bigint, tokens binary").dropDuplicates(["sid", "block"])
+    made = met.mapInArrow(run, "sid bigint, digest bigint, at int, end int, blocks array<bigint>, tokens binary")
+    made = pin(made, "candidates")
+    light = made.select("sid", "digest", "at", "end", F.explode("blocks").alias("block"))
+    shared = light.groupBy("block").agg(
+        F.min("sid").alias("a"), F.max("sid").alias("b"), F.min("digest").alias("c"), F.max("digest").alias("d"),
+        F.max("at").alias("at"), F.min("end").alias("end"),
+    ).filter("a <> b AND (c <> d OR at >= end)").select("block")
+    bands = pin(light.join(shared, "block", "left_semi").groupBy("sid").agg(F.collect_set("block").alias("own")), "shared")
+    # Rows of a repeated document bring a paragraph again.
+    tokens = made.join(bands, "sid").select("sid", "own", "tokens").dropDuplicates(["sid"])
+    return tokens.select("sid", F.explode("own").alias("block"), "tokens")
 
 
 def _stretches(repeats: DataFrame) -> DataFrame:
