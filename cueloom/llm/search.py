@@ -33,10 +33,10 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Row, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cueloom.shared import fresh_path, pin, ship
 
@@ -47,7 +47,7 @@ STRETCH = 4_096
 QUERY_ROWS = 200_000
 NULL_ID = (1 << 63) - 1
 SLICE = 1 << 20
-HEAD = np.dtype([("last", "<i4"), ("top", "<i8"), ("at", "<i4"), ("doc_bytes", "u1"), ("tf_bytes", "u1")])
+HEAD = np.dtype([("last", "<i4"), ("top", "<i8"), ("at", "<i4"), ("n", "<i4"), ("doc_bytes", "u1"), ("tf_bytes", "u1")])
 
 #: Bytes to lower case; what is no part of a term becomes a blank.
 FOLD = bytes(
@@ -82,17 +82,17 @@ def _narrow(values: np.ndarray) -> tuple[int, bytes]:
     return width, values.astype(f"<u{width}").tobytes()
 
 
-def _pack(docs: np.ndarray, tf: np.ndarray, impact: np.ndarray) -> tuple[bytes, bytes]:
+def _pack(docs: np.ndarray, tf: np.ndarray, impact: np.ndarray, block: int) -> tuple[bytes, bytes]:
     """Heads and blocks of one list."""
     n = len(docs)
-    heads, body, at = np.zeros(-(-n // BLOCK), HEAD), [], 0
+    heads, body, at = np.zeros(-(-n // block), HEAD), [], 0
     for k in range(len(heads)):
-        own = slice(k * BLOCK, min((k + 1) * BLOCK, n))
+        own = slice(k * block, min((k + 1) * block, n))
         steps = docs[own].copy()
         steps[1:] -= docs[own][:-1]
         steps[0] -= docs[own.start - 1] if k else 0
         (doc_bytes, a), (tf_bytes, b) = _narrow(steps), _narrow(tf[own])
-        heads[k] = (docs[own.stop - 1], impact[own].max(), at, doc_bytes, tf_bytes)
+        heads[k] = (docs[own.stop - 1], impact[own].max(), at, own.stop - own.start, doc_bytes, tf_bytes)
         body += [a, b]
         at += len(a) + len(b)
     return heads.tobytes(), b"".join(body)
@@ -101,8 +101,8 @@ def _pack(docs: np.ndarray, tf: np.ndarray, impact: np.ndarray) -> tuple[bytes,
 class PackedList:
     """A list whose blocks are unpacked one by one, when asked for."""
 
-    def __init__(self, heads: bytes, body: bytes, count: int, measure: np.ndarray):
-        self.heads, self.body, self.count, self.measure = np.frombuffer(heads, HEAD), body, count, measure
+    def __init__(self, heads: bytes, body: bytes, measure: np.ndarray):
+        self.heads, self.body, self.measure = np.frombuffer(heads, HEAD), body, measure
         self.last, self.tops = self.heads["last"].astype(np.int64), self.heads["top"].astype(np.int64)
         self.top = int(self.tops.max())
         self.open: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -110,8 +110,7 @@ class PackedList:
     def block(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Documents and impacts of block ``k``."""
         if k not in self.open:
-            _, _, at, doc_bytes, tf_bytes = self.heads[k].item()
-            n = min(BLOCK, self.count - k * BLOCK)
+            _, _, at, n, doc_bytes, tf_bytes = self.heads[k].item()
             docs = np.cumsum(np.frombuffer(self.body, f"<u{doc_bytes}", n, at), dtype=np.int64)
             docs += self.last[k - 1] if k else 0
             tf = np.frombuffer(self.body, f"<u{tf_bytes}", n, at + n * doc_bytes).astype(np.int64)
@@ -177,8 +176,14 @@ def best(lists: list[tuple[int, PackedList]], k: int, n_docs: int, stretch: int
 INDEX = "shard bigint, term binary, n_docs bigint, top bigint, heads binary, body binary"
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int, int]:
-    """The index, written to the shared folder, with the numbers of documents with terms and of terms."""
+def build_index(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, shard_docs: int = SHARD_DOCS,
+    shard_terms: int = SHARD_TERMS,
+) -> tuple[DataFrame, int, int]:
+    """The index, written to the shared folder, with the numbers of documents with terms and of terms.
+
+    A shard is closed with the document that reaches ``shard_docs`` documents or ``shard_terms`` terms.
+    """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -197,11 +202,11 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ).first()
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = _Shard(TaskContext.get().partitionId() << 32, n_docs, n_terms)
+        shard = _Shard(TaskContext.get().partitionId() << 32, n_docs, n_terms, block)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 shard.add(doc_id, text.as_py())
-                if shard.full():
+                if len(shard.ids) >= shard_docs or shard.n >= shard_terms:
                     yield from shard.rows()
         yield from shard.rows()
 
@@ -213,8 +218,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 class _Shard:
     """Documents of a task until a shard is full."""
 
-    def __init__(self, number: int, n_docs: int, n_terms: int):
-        self.number, self.n_docs, self.n_terms = number, n_docs, n_terms
+    def __init__(self, number: int, n_docs: int, n_terms: int, block: int):
+        self.number, self.n_docs, self.n_terms, self.block = number, n_docs, n_terms, block
         self._clear()
 
     def _clear(self) -> None:
@@ -225,9 +230,6 @@ class _Shard:
         self.chunks: list[np.ndarray] = []
         self.n = 0
 
-    def full(self) -> bool:
-        return len(self.ids) >= SHARD_DOCS or self.n >= SHARD_TERMS
-
     def add(self, doc_id: int | None, text: str | None) -> None:
         before = self.n
         for words in terms_of(text):
@@ -256,7 +258,7 @@ class _Shard:
         terms = list(self.of)
         made: tuple[list, ...] = ([b""], [len(ids)], [0], [ids[order].tobytes()], [measure.tobytes()])
         for k, (a, b) in enumerate(zip(starts.tolist(), ends, strict=True)):
-            heads, body = _pack(doc[a:b], tf[a:b], impact[a:b])
+            heads, body = _pack(doc[a:b], tf[a:b], impact[a:b], self.block)
             for column, value in zip(made, (terms[k], b - a, tops[k], heads, body), strict=True):
                 column.append(value)
             if len(made[0]) == 4_096 or b == len(owner):
@@ -303,8 +305,8 @@ def search(index: DataFrame, n_docs: int, queries: DataFrame, k: int = 20, block
     kind = queries.schema["item_id"].dataType.simpleString()
     found = None
     for (block,) in placed.select("block").distinct().sort("block").toLocalIterator():
-        held = placed.filter(F.col("block") == block).select("item_id", "term", "weight").toPandas()
-        one = _answer(index, spark, held, kind, k, stretch)
+        held = placed.filter(F.col("block") == block).select("item_id", "term", "weight").collect()
+        one = _answer(index, held, queries.schema["item_id"], k, stretch)
         found = one if found is None else found.unionByName(one)
     if found is None:
         return spark.createDataFrame([], f"item_id {kind}, rank int, doc_id bigint, score bigint")
@@ -320,27 +322,28 @@ def _blocks(sizes: DataFrame, block_rows: int) -> DataFrame:
     return sizes.select(F.col("item_id").alias("of"), F.pmod(F.xxhash64("item_id"), F.lit(blocks)).alias("block"))
 
 
-def _answer(index: DataFrame, spark: SparkSession, held: pd.DataFrame, kind: str, k: int, stretch: int) -> DataFrame:
+def _answer(index: DataFrame, held: list[Row], item: T.StructField, k: int, stretch: int) -> DataFrame:
     """Every shard's best documents for one block of queries."""
-    held["term"] = held["term"].map(bytes)
-    by_item = [(rows["item_id"].iloc[0], list(zip(rows["term"], rows["weight"].tolist(), strict=True))) for _, rows in held.groupby("item_id", dropna=False)]
-    sent = spark.sparkContext.broadcast([(None if pd.isna(item) else item, pairs) for item, pairs in by_item])
-    terms = spark.createDataFrame([(b"",), *((t,) for t in set(held["term"]))], "term binary")
-
-    def shard(rows: pd.DataFrame) -> pd.DataFrame:
-        at = {bytes(term): i for i, term in enumerate(rows["term"])}
-        own = rows.iloc[at.pop(b"")]
+    spark = index.sparkSession
+    asked = defaultdict(list)
+    for row in held:
+        asked[row.item_id].append((bytes(row.term), row.weight))
+    sent = spark.sparkContext.broadcast(list(asked.items()))
+    terms = spark.createDataFrame([(b"",), *((t,) for t in {bytes(row.term) for row in held})], "term binary")
+    kind = to_arrow_type(item.dataType)
+
+    def shard(rows: pa.Table) -> pa.Table:
+        lists = {row["term"]: row for row in rows.to_pylist()}
+        own = lists.pop(b"")
         ids, measure = np.frombuffer(own["heads"], np.int64), np.frombuffer(own["body"], np.int64)
-        opened: dict[bytes, PackedList] = {}
-        for term, i in at.items():
-            row = rows.iloc[i]
-            opened[term] = PackedList(row["heads"], row["body"], int(row["n_docs"]), measure)
-        made = []
-        for item, pairs in sent.value:
-            lists = [(weight, opened[term]) for term, weight in pairs if term in opened]
-            made += [(item, int(ids[doc]), score) for score, doc in best(lists, k, len(ids), stretch)]
-        return pd.DataFrame(made, columns=["item_id", "place", "score"])
-
-    return index.join(F.broadcast(terms), "term", "left_semi").groupBy("shard").applyInPandas(
-        shard, f"item_id {kind}, place bigint, score bigint"
-    )
+        opened = {term: PackedList(row["heads"], row["body"], measure) for term, row in lists.items()}
+        items, places, scores = [], [], []
+        for name, pairs in sent.value:
+            for score, doc in best([(weight, opened[term]) for term, weight in pairs if term in opened], k, len(ids), stretch):
+                items.append(name)
+                places.append(int(ids[doc]))
+                scores.append(score)
+        return pa.table({"item_id": pa.array(items, kind), "place": pa.array(places, pa.int64()), "score": pa.array(scores, pa.int64())})
+
+    dealt = index.join(F.broadcast(terms), "term", "left_semi").groupBy("shard")
+    return dealt.applyInArrow(shard, f"item_id {item.dataType.simpleString()}, place bigint, score bigint")
