@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import heapq
 import itertools
+import struct
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -48,6 +49,7 @@ QUERY_ROWS = 200_000
 NULL_ID = (1 << 63) - 1
 SLICE = 1 << 20
 HEAD = np.dtype([("last", "<i4"), ("top", "<i8"), ("at", "<i4"), ("n", "<i4"), ("doc_bytes", "u1"), ("tf_bytes", "u1")])
+ONE_HEAD = struct.Struct("<iqiiBB").pack
 
 #: Bytes to lower case; what is no part of a term becomes a blank.
 FOLD = bytes(
@@ -253,14 +255,26 @@ class _Shard:
         measure = measures(lengths[order], self.n_docs, self.n_terms)
         impact = impacts(tf, measure[doc])
         starts = np.flatnonzero(np.diff(owner, prepend=-1))
+        # Lists of one block, which nearly all are, are cut out of two arrays packed at once.
+        steps = np.diff(doc, prepend=0)
+        steps[starts] = doc[starts]
+        (doc_bytes, packed_docs), (tf_bytes, packed_tf) = _narrow(np.maximum(steps, 0)), _narrow(tf)
+        last = doc[np.append(starts[1:], len(doc)) - 1].tolist()
         tops = np.maximum.reduceat(impact, starts).tolist()
         ends = [*starts[1:].tolist(), len(owner)]
         terms = list(self.of)
         made: tuple[list, ...] = ([b""], [len(ids)], [0], [ids[order].tobytes()], [measure.tobytes()])
         for k, (a, b) in enumerate(zip(starts.tolist(), ends, strict=True)):
-            heads, body = _pack(doc[a:b], tf[a:b], impact[a:b], self.block)
-            for column, value in zip(made, (terms[k], b - a, tops[k], heads, body), strict=True):
-                column.append(value)
+            if b - a <= self.block:
+                heads = ONE_HEAD(last[k], tops[k], 0, b - a, doc_bytes, tf_bytes)
+                body = packed_docs[doc_bytes * a : doc_bytes * b] + packed_tf[tf_bytes * a : tf_bytes * b]
+            else:
+                heads, body = _pack(doc[a:b], tf[a:b], impact[a:b], self.block)
+            made[0].append(terms[k])
+            made[1].append(b - a)
+            made[2].append(tops[k])
+            made[3].append(heads)
+            made[4].append(body)
             if len(made[0]) == 4_096 or b == len(owner):
                 yield self._batch(made)
                 made = ([], [], [], [], [])
