@@ -1,47 +1,230 @@
-"""Declared names in texts: longest-match occurrences and competing readings."""
+"""Declared names in texts with or without spaces: longest occurrences, contexts, markers.
+
+A text is read as *atoms*: runs of kana of one kind, single ideographs, runs of other letters, runs of
+numerals, and whatever lies between, character by character.  A name stands where its characters do and
+an atom begins and ends with it, so ``Ann`` is not in ``Anna`` nor ``ハル`` in ``ハルカ``, while a name between
+ideographs or before a particle of the other kana is found.  Of names inside each other the longest stays.
+
+The lexicon is cut into blocks of bounded size, each sent to the workers by itself; a block knows, for every
+first atom, the lengths of the names that begin with it.  A text makes one row whatever it holds: its places are an
+array, so nothing is shuffled to find them unless the lexicon has several blocks.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections import Counter, defaultdict
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+import regex
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
+from cueloom.shared import pin
 
-def word_runs(df: DataFrame, ids: Sequence[str], text: str, most: int) -> DataFrame:
-    """Runs of one to ``most`` consecutive words: (ids, at, words, surface)."""
-    words = df.select(*ids, F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1)).alias("_w"))
-    if most == 1:
-        return words.select(*ids, F.posexplode("_w").alias("at", "surface"), F.lit(1).alias("words"))
-    runs = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.lit(most)),
-            lambda n: F.transform(
-                F.filter(F.sequence(F.lit(1), F.greatest(F.size("_w"), F.lit(1))), lambda i: i + n - 1 <= F.size("_w")),
-                lambda i: F.struct(i.alias("at"), n.alias("words"), F.array_join(F.slice("_w", i, n), " ").alias("surface")),
-            ),
-        )
-    )
-    return words.select(*ids, F.inline(runs))
+#: Characters of names in one block.
+BLOCK_CHARS = 4_000_000
+ATOM = regex.compile(
+    r"(?V1)[\p{Katakana}ー]+|\p{Hiragana}+|\p{Han}|[\p{L}--[\p{Han}\p{Hiragana}\p{Katakana}ー]]+|\p{N}+|(?s:.)"
+)
+PLACE = "at int, words int, part int, start int, end int, left string, right string, alone boolean"
 
 
-def occurrences(df: DataFrame, ids: Sequence[str], text: str, surfaces: DataFrame) -> DataFrame:
-    """Places where a declared surface stands on word boundaries; the longest one wins.
+def lowered(text: str) -> str:
+    """Lower case with every character at its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+class Lexicon:
+    """Names by first atom and length."""
+
+    def __init__(self, names: list[str]):
+        self.number = {name: i for i, name in enumerate(names) if name}
+        lengths = defaultdict(set)
+        for name in self.number:
+            lengths[ATOM.match(name)[0]].add(len(name))
+        self.lengths = {atom: sorted(found, reverse=True) for atom, found in lengths.items()}
+
+    def places(self, text: str | None) -> list[tuple]:
+        """(at, words, part, start, end, left, right, alone, number) of the longest names, by their start.
+
+        ``at`` counts the letter atoms up to the first of the name from 1 and ``words`` those in it; ``part`` counts
+        letter atoms and the stretches between them from 0.  ``left`` and ``right`` are the letter atoms beside the
+        name, ``alone`` is true if no other place of the text has them with as many letter atoms between.
+        """
+        low = lowered(text or "")
+        atoms = ATOM.findall(low)
+        begins, letters, at, words, part, gap = [], [], 0, 0, -1, False
+        for atom in atoms:
+            if atom[0].isalpha():
+                letters.append(atom)
+                words, part, gap = words + 1, part + 1, False
+            elif not gap:
+                part, gap = part + 1, True
+            begins.append((at, words, part))
+            at += len(atom)
+        edge = {start: i for i, (start, _, _) in enumerate(begins)}
+        edge[at] = len(atoms)
+        found, reach = [], 0
+        for atom, (start, word, piece) in zip(atoms, begins, strict=True):
+            for length in self.lengths.get(atom, ()):
+                end = start + length
+                if end <= reach:
+                    break
+                number = self.number.get(low[start:end])
+                if number is not None and end in edge:
+                    inside = begins[edge[end] - 1][1] - word + 1 if atom[0].isalpha() else begins[edge[end] - 1][1] - word
+                    found.append((word if atom[0].isalpha() else word + 1, inside, piece, start, end, number))
+                    reach = end
+                    break
+        return _with_context(found, letters)
+
+
+def _with_context(found: list[tuple], letters: list[str]) -> list[tuple]:
+    pairs: dict[int, Counter] = {}
+    out = []
+    for at, words, part, start, end, number in found:
+        if words not in pairs:
+            pairs[words] = Counter(zip(letters, letters[words + 1 :], strict=False))
+        left = letters[at - 2] if at > 1 else None
+        right = letters[at + words - 1] if at + words <= len(letters) else None
+        alone = left is not None and right is not None and pairs[words][left, right] == 1
+        out.append((at, words, part, start, end, left, right, alone, number))
+    return out
 
-    Runs of words meet the lexicon in an equi-join, so no text is scanned per alias.
-    ``surfaces`` has one row per surface; runs are as long as its longest one.
+
+@functools.cache
+def _outer():
+    def outer(starts: pa.Array, ends: pa.Array) -> pa.Array:
+        out = []
+        for own_starts, own_ends in zip(starts.to_pylist(), ends.to_pylist(), strict=True):
+            kept, reach = [], 0
+            for i in sorted(range(len(own_starts or ())), key=lambda i: (own_starts[i], -own_ends[i])):
+                if own_ends[i] > reach:
+                    kept.append(i)
+                    reach = own_ends[i]
+            out.append(kept)
+        return pa.array(out, pa.list_(pa.int32()))
+
+    return F.arrow_udf(outer, "array<int>")
+
+
+def _outermost(places: str) -> Column:
+    """Places of several blocks by their start, without those inside others."""
+    return F.transform(_outer()(F.col(f"{places}.start"), F.col(f"{places}.end")), lambda i: F.get(places, i))
+
+
+def place_names(df: DataFrame, text: str, names: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """``keep`` and ``places``: an array of the names in ``text`` with all columns of ``names``, by their start.
+
+    ``names`` has one row per ``surface``, in lower case.  Without names, or in a null text, the array is empty.
     """
-    most = surfaces.agg(F.max(F.size(F.split("surface", " ")))).first()[0] or 1
-    hits = word_runs(df, ids, text, most).join(surfaces, "surface")
-    if most == 1:
-        return hits
-    # A hit is dropped when a longer one covers it; the longer ones are enumerable by length.
-    covers = hits.select(
-        *ids, F.inline(F.flatten(F.transform(
-            F.sequence(F.lit(1), F.col("words")),
-            lambda n: F.transform(
-                F.sequence(F.lit(0), F.col("words") - n),
-                lambda k: F.struct((F.col("at") + k).alias("at"), n.alias("words")),
-            ),
-        ))), F.col("words").alias("_by"),
-    ).filter("words < _by").drop("_by").distinct()
-    return hits.join(covers, [*ids, "at", "words"], "left_anti")
+    size, n = names.agg(F.sum(F.char_length("surface") + 8), F.count("*")).first()
+    blocks = max(1, -(-(size or 0) // BLOCK_CHARS))
+    if blocks == 1:
+        return _placed(df, text, names, keep)
+    # Rows are told apart by a number of their own, since ``keep`` need not be unique.
+    numbered = pin(df.select(*keep, text, F.monotonically_increasing_id().alias("_row")), "texts")
+    found = None
+    for block in range(blocks):
+        own = names.filter(F.pmod(F.xxhash64("surface"), F.lit(blocks)) == block)
+        one = _placed(numbered, text, own, ["_row"]).filter("size(places) > 0")
+        found = one if found is None else found.unionByName(one)
+    whole = found.groupBy("_row").agg(F.flatten(F.collect_list("places")).alias("all"))
+    joined = numbered.drop(text).join(whole.select("_row", _outermost("all").alias("places")), "_row", "left").drop("_row")
+    kind = found.schema["places"].dataType.simpleString()
+    return joined.withColumn("places", F.coalesce("places", F.expr(f"CAST(array() AS {kind})")))
+
+
+def _placed(df: DataFrame, text: str, names: DataFrame, keep: Sequence[str]) -> DataFrame:
+    spark = df.sparkSession
+    lexicon = names.toArrow()
+    sent = spark.sparkContext.broadcast(lexicon)
+    whole = T.StructType([*T._parse_datatype_string(PLACE).fields, *names.schema.fields])
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("places", T.ArrayType(whole, False), False)])
+    fixed = [to_arrow_type(f.dataType) for f in whole.fields[: len(whole) - len(names.columns)]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sent.value.combine_chunks()
+        known = Lexicon(table["surface"].to_pylist())
+        target = to_arrow_schema(schema)
+        for batch in batches:
+            offsets, rows = [0], []
+            for value in batch.column(batch.num_columns - 1):
+                rows += known.places(value.as_py())
+                offsets.append(len(rows))
+            columns = list(zip(*rows, strict=True)) or [()] * (len(fixed) + 1)
+            made = [pa.array(c, kind) for c, kind in zip(columns, fixed, strict=False)]
+            own = table.take(pa.array(columns[-1], pa.int64()))
+            made += [own[c].combine_chunks() if own.num_rows else pa.array([], own.schema.field(c).type) for c in own.column_names]
+            places = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(made, whole.names))
+            columns = [*batch.columns[:-1], places]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, target, strict=True)], schema=target)
+
+    return df.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
+
+
+def occurrences(df: DataFrame, ids: Sequence[str], text: str, surfaces: DataFrame) -> DataFrame:
+    """One row per place of a name: ``ids``, the place, and the columns of ``surfaces``."""
+    return place_names(df, text, surfaces, ids).select(*ids, F.inline("places"))
+
+
+def _cut(text: str, starts: list[int], ends: list[int], parts: list[int]) -> tuple[str, list[str], list[str]]:
+    """Text with markers, markers, and what they stand for; places that overlap another are left out."""
+    out, markers, values, at = [], [], [], 0
+    for i, (start, end, part) in enumerate(zip(starts, ends, parts, strict=True)):
+        if (i and ends[i - 1] > start) or (i + 1 < len(starts) and starts[i + 1] < end):
+            continue
+        markers.append(f"⟦E{part:04d}⟧")
+        values.append(text[start:end])
+        out += [text[at:start], markers[-1]]
+        at = end
+    return "".join([*out, text[at:]]), markers, values
+
+
+CUT = "marked string, markers array<string>, surfaces array<string>"
+RESTORED = "restored string, exact boolean, markers bigint"
+MARKER = regex.compile("⟦E[0-9]+⟧")
+
+
+@functools.cache
+def _put():
+    def put(text: pa.Array, starts: pa.Array, ends: pa.Array, parts: pa.Array) -> pa.Array:
+        rows = zip(text.to_pylist(), starts.to_pylist(), ends.to_pylist(), parts.to_pylist(), strict=True)
+        made = [(None, [], []) if t is None else _cut(t, *places) for t, *places in rows]
+        columns = list(zip(*made, strict=True)) or [(), (), ()]
+        kinds = (pa.string(), pa.list_(pa.string()), pa.list_(pa.string()))
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["marked", "markers", "surfaces"])
+
+    return F.arrow_udf(put, CUT)
+
+
+def marked(df: DataFrame, text: str, names: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """``keep``, ``text``, and ``cut``: ``marked`` with numbered markers for names, the ``markers``, and the
+    ``surfaces`` they stand for.  Names that overlap are in conflict and stay as they are."""
+    found = place_names(df, text, names, [*keep, text])
+    return found.select(*keep, text, _put()(F.col(text), F.col("places.start"), F.col("places.end"), F.col("places.part")).alias("cut"))
+
+
+def _back(text: str, markers: list[str], surfaces: list[str]) -> tuple[str, bool, int]:
+    known = dict(zip(markers, surfaces, strict=True))
+    met = MARKER.findall(text)
+    exact = sorted(met) == sorted(known) and len(known) == len(markers)
+    return MARKER.sub(lambda m: known.get(m[0], m[0]), text), exact, len(known)
+
+
+@functools.cache
+def restored():
+    """Column function of (marked text, markers, surfaces): ``restored``, ``exact`` if every marker stands in the text
+    exactly once and no other does, and the number of ``markers``."""
+
+    def back(text: pa.Array, markers: pa.Array, surfaces: pa.Array) -> pa.Array:
+        rows = zip(text.to_pylist(), markers.to_pylist(), surfaces.to_pylist(), strict=True)
+        made = [(None, None, None) if t is None else _back(t, m or [], v or []) for t, m, v in rows]
+        columns = list(zip(*made, strict=True)) or [(), (), ()]
+        kinds = (pa.string(), pa.bool_(), pa.int64())
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["restored", "exact", "markers"])
+
+    return F.arrow_udf(back, RESTORED)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cueloom.functions import text as tx
+from cueloom.operators import dictionary
 
 
 def prepare(edits: DataFrame) -> DataFrame:
@@ -66,38 +67,23 @@ def final_status(source: Column, target: Column) -> Column:
     return F.when(open_source & (target != "unchecked"), source).otherwise(target)
 
 
-MARKER = "(?s)(⟦E[0-9]+⟧|[^⟦]+|⟦)"
-
-
 def mask_names(df: DataFrame, key: str, text: str, names: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Replace declared words by numbered markers: (key, marked) and (key, marker, surface_text).
+    """Replace declared names by numbered markers: (key, marked) and (key, marker, surface_text).
 
-    ``names`` has (surface, entity).  A text is cut into words and the rest between them, so
-    putting it together again is bounded by the text.
+    ``names`` has one row per ``surface``.  A text is masked in its own row.
     """
-    parts = df.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(r"(?s)(\p{L}+|[^\p{L}]+)"), F.lit(1))).alias("_at", "_part"))
-    found = parts.join(names, F.lower("_part") == F.col("surface"), "left")
-    marker = F.format_string("⟦E%04d⟧", "_at")
-    shown = F.when(F.col("entity").isNotNull(), marker).otherwise(F.col("_part"))
-    whole = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_at", shown.alias("shown")))).alias("_rows"))
-    values = found.filter("entity IS NOT NULL").select(key, marker.alias("marker"), F.col("_part").alias("surface_text"))
-    return whole.select(key, F.array_join("_rows.shown", "").alias("marked")), values
+    cut = dictionary.marked(df, text, names, [key])
+    values = cut.select(key, F.inline(F.arrays_zip(F.col("cut.markers").alias("marker"), F.col("cut.surfaces").alias("surface_text"))))
+    return cut.select(key, F.col("cut.marked").alias("marked")), values
 
 
 def restore_names(marked: DataFrame, values: DataFrame, key: str, text: str) -> DataFrame:
-    """Markers back to words by an equi-join; ``exact`` is false unless every expected marker
-    stands in the text exactly once and no other does."""
-    pieces = marked.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(MARKER), F.lit(1))).alias("_at", "marker"))
-    joined = pieces.join(values, [key, "marker"], "full")
-    foreign = F.col("marker").startswith("⟦") & F.col("surface_text").isNull()
-    missing = F.col("_at").isNull()
-    word = F.coalesce("surface_text", "marker")
-    whole = joined.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.when(~missing, F.struct("_at", word.alias("w"))))).alias("_rows"),
-        (F.count_if(foreign | missing) == 0).alias("_all"), F.count("surface_text").alias("_hits"),
-        F.count_distinct(F.when(F.col("surface_text").isNotNull(), F.col("marker"))).alias("_kinds"),
-    )
-    return whole.select(key, F.array_join("_rows.w", "").alias("restored"), (F.col("_all") & (F.col("_hits") == F.col("_kinds"))).alias("exact"), F.col("_kinds").alias("markers"))
+    """Markers back to names; ``exact`` is false unless every expected marker stands in the text exactly once
+    and no other does.  A text's markers are gathered in one row, as they stand in one text."""
+    own = values.groupBy(key).agg(F.collect_list("marker").alias("_markers"), F.collect_list("surface_text").alias("_surfaces"))
+    both = marked.join(own, key, "left")
+    back = dictionary.restored()(F.col(text), F.col("_markers"), F.col("_surfaces"))
+    return both.withColumn("_back", back).select(key, "_back.restored", "_back.exact", "_back.markers")
 
 
 def latest(log: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:

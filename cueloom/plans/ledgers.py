@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 
-from cueloom.operators import ledger, ordered, segments
+from cueloom.operators import dictionary, ledger, ordered, segments
 from cueloom.plans import evidence, geometry, matching
 from cueloom.plans.registry import query
 from cueloom.shared import pin
@@ -140,12 +140,11 @@ SELECT doc_id, sha256(string_agg(CASE WHEN entity IS NULL THEN part ELSE '⟦E'
 FROM p LEFT JOIN nm ON nm.surface = lower(part) GROUP BY doc_id""")
 def name_masks(spark, sf):
     names = t.alias_words(spark, sf).groupBy("surface").agg(F.count("*").alias("n"), F.min("entity_id").alias("entity")).filter("n = 1").drop("n")
-    docs = t.table(spark, sf, "documents").select("doc_id", "text")
-    marked, values = ledger.mask_names(docs, "doc_id", "text", names)
-    back = ledger.restore_names(marked, values, "doc_id", "marked")
-    joined = docs.join(marked, "doc_id").join(back, "doc_id")
-    return joined.select(
-        "doc_id", F.sha2("marked", 256).alias("sha"), "markers", (F.col("exact") & (F.col("restored") == F.col("text"))).alias("lossless")
+    cut = dictionary.marked(t.table(spark, sf, "documents"), "text", names, ["doc_id"])
+    back = dictionary.restored()(F.col("cut.marked"), F.col("cut.markers"), F.col("cut.surfaces"))
+    return cut.withColumn("back", back).select(
+        "doc_id", F.sha2("cut.marked", 256).alias("sha"), F.col("back.markers").alias("markers"),
+        (F.col("back.exact") & (F.col("back.restored") == F.col("text"))).alias("lossless"),
     )
 
 

@@ -124,17 +124,57 @@ def name_occurrences(spark, sf):
     return per.withColumn("ambiguous", F.col("entities") > 1)
 
 
-@query("jn12_longest_name")
+@query("jn12_longest_name", "WITH " + t.ALIAS_SQL + r""",
+b AS (SELECT item_id AS id, unnest(p) AS part, unnest(range(len(p))) AS k FROM (SELECT item_id, regexp_extract_all(lower(text), '\p{L}+|[^\p{L}]+') AS p FROM benchmark)),
+bt AS (SELECT id, part, lead(part) OVER w AS gap, lead(part, 2) OVER w AS nxt FROM b WINDOW w AS (PARTITION BY id ORDER BY k)),
+nm AS (SELECT surface, 1 AS words, count(*) AS entities FROM alias GROUP BY 1
+  UNION ALL SELECT part || ' ' || nxt, 2, count(DISTINCT id) FROM bt WHERE gap = ' ' AND nxt IS NOT NULL GROUP BY 1),
+d AS (SELECT doc_id, unnest(p) AS part, unnest(range(len(p))) AS k FROM (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+|[^\p{L}]+') AS p FROM documents)),
+w AS (SELECT doc_id, k, part AS one, CASE WHEN lead(part) OVER w = ' ' THEN part || ' ' || lead(part, 2) OVER w END AS two
+      FROM d WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+two AS (SELECT doc_id, k, entities FROM w JOIN nm ON nm.surface = two AND words = 2),
+one AS (SELECT w.doc_id, w.k, nm.entities FROM w JOIN nm ON nm.surface = one AND words = 1
+        ANTI JOIN (SELECT doc_id, k FROM two UNION SELECT doc_id, k + 2 FROM two) c ON c.doc_id = w.doc_id AND c.k = w.k)
+SELECT doc_id, words, count(*) AS places, count(*) FILTER (entities > 1) AS ambiguous
+FROM (SELECT doc_id, 1 AS words, entities FROM one UNION ALL SELECT doc_id, 2, entities FROM two) GROUP BY ALL""")
 def longest_name(spark, sf):
     """Two-word names as well: a single word inside a longer declared name does not count."""
-    single = t.alias_words(spark, sf)
-    words = dictionary.word_runs(t.table(spark, sf, "benchmark").select(F.col("item_id").alias("entity_id"), "text"), ["entity_id"], "text", 2)
-    double = words.filter("words = 2").select("entity_id", "surface").distinct()
-    surfaces = single.unionByName(double).groupBy("surface").agg(F.count("*").alias("entities"), F.min("entity_id").alias("first_entity"))
+    pairs = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)(?= (\p{L}+))"), F.lit(0))
+    seconds = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)(?= (\p{L}+))"), F.lit(2))
+    double = t.table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("entity_id"), F.explode(F.array_distinct(F.zip_with(pairs, seconds, lambda a, b: F.concat_ws(" ", a, b)))).alias("surface")
+    )
+    every = t.alias_words(spark, sf).unionByName(double)
+    surfaces = every.groupBy("surface").agg(F.count_distinct("entity_id").alias("entities"))
     found = dictionary.occurrences(t.table(spark, sf, "documents"), ["doc_id"], "text", surfaces)
     return found.groupBy("doc_id", "words").agg(F.count("*").alias("places"), F.count_if(F.col("entities") > 1).alias("ambiguous"))
 
 
+#: Letters of four languages as ideographs, one for one: words become names without spaces.
+_LATIN, _HAN = "abcdefghijklmnopqrstuvwxyz", "一二三四五六七八九十百千万上下左右大中小山川田日月火"
+
+
+@query("jn12_unspaced_names", "WITH " + t.ALIAS_SQL + r""",
+nm AS (SELECT surface, count(*) AS entities FROM alias WHERE regexp_matches(surface, '^[a-z]{9,}$') GROUP BY 1),
+d AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z]', '', 'g') AS t FROM documents),
+g AS (SELECT doc_id, unnest(list_transform(range(1, length(t) - 7), lambda k: substr(t, k, 9))) AS nine, unnest(range(1, length(t) - 7)) AS k FROM d),
+h AS (SELECT g.doc_id, k, k + length(surface) AS stop, entities FROM g JOIN nm ON left(surface, 9) = nine JOIN d ON d.doc_id = g.doc_id AND substr(t, k, length(surface)) = surface),
+x AS (SELECT *, max(stop) OVER (PARTITION BY doc_id ORDER BY k, stop DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM h)
+SELECT doc_id, count(*) AS places, count(*) FILTER (entities > 1) AS ambiguous, min(k) - 1 AS first_start, max(stop) - 1 AS last_end
+FROM x WHERE reach IS NULL OR stop > reach GROUP BY 1""")
+def unspaced_names(spark, sf):
+    """Long names in documents whose letters are written as ideographs without anything between them."""
+    write = lambda c: F.translate(F.regexp_replace(F.lower(c), "[^a-z]", ""), _LATIN, _HAN)
+    names = t.alias_words(spark, sf).filter(F.col("surface").rlike("^[a-z]{9,}$"))
+    surfaces = names.groupBy(write("surface").alias("surface")).agg(F.count("*").alias("entities"))
+    docs = t.table(spark, sf, "documents").select("doc_id", write("text").alias("text"))
+    found = dictionary.occurrences(docs, ["doc_id"], "text", surfaces)
+    return found.groupBy("doc_id").agg(
+        F.count("*").alias("places"), F.count_if(F.col("entities") > 1).alias("ambiguous"),
+        F.min("start").cast("long").alias("first_start"), F.max("end").cast("long").alias("last_end"),
+    )
+
+
 @query("jn13_homophone_notes", "WITH " + r"""tk AS (SELECT DISTINCT page_id AS conv_id, w FROM (SELECT page_id, unnest(regexp_extract_all(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '\p{L}{2,}')) AS w FROM pages))
 SELECT c.conv_id, c.turn, string_agg(w, '/' ORDER BY w) AS hits FROM conversations c JOIN tk ON tk.conv_id = c.conv_id WHERE contains(lower(c.text), lower(w)) AND NOT contains(c.text, w) GROUP BY 1, 2""")
 def homophone_notes(spark, sf):
@@ -163,15 +203,9 @@ k AS (SELECT u.*, n.entity FROM uq u JOIN nm n ON n.surface = u.m)"""
 SELECT owner_id, l, r, count(*) AS readings, count(DISTINCT entity) AS entities, min(m) AS first_name FROM k GROUP BY 1, 2, 3 HAVING count(DISTINCT entity) > 1""")
 def competing_names(spark, sf):
     """Places, fixed by a unique left and right word, where readings of one window name different entities."""
-    words = t.observation(spark, sf).filter("status = 'ok'").select(
-        "owner_id", "pos", F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)).alias("ws")
-    ).filter("size(ws) > 2")
-    triples = words.select("owner_id", "pos", F.inline(F.expr(
-        "transform(sequence(1, size(ws) - 2), i -> named_struct('l', ws[i - 1], 'm', ws[i], 'r', ws[i + 1]))"
-    )))
-    unique = triples.groupBy("owner_id", "pos", "l", "r").agg(F.min("m").alias("m"), F.count("*").alias("n")).filter("n = 1")
     names = t.alias_words(spark, sf).groupBy("surface").agg(F.min("entity_id").alias("entity"))
-    named = unique.join(names.withColumnRenamed("surface", "m"), "m")
+    found = dictionary.occurrences(t.observation(spark, sf).filter("status = 'ok'"), ["owner_id", "pos"], "text", names).filter("alone")
+    named = found.select("owner_id", F.col("left").alias("l"), F.col("right").alias("r"), F.col("surface").alias("m"), "entity")
     per = named.groupBy("owner_id", "l", "r", "entity").agg(F.count("*").alias("c"), F.min("m").alias("m"))
     return per.groupBy("owner_id", "l", "r").agg(
         F.sum("c").alias("readings"), F.count("*").alias("entities"), F.min("m").alias("first_name")
