@@ -192,71 +192,131 @@ def fold_rows(
     (``None`` at the start of a key); it returns the next state, a JSON value, and the rows it
     emits.  Rows are sorted by Spark and streamed, so a task holds one batch and one state.
 
-    Every block first runs from ``None``.  A block whose true entry state (the exit of the
-    block before it) differs is run again until nothing changes, so a key split over many
-    blocks costs a few parallel rounds; keys inside one block are done in the first.
+    Keys inside one block are done in one pass.  For a key over many blocks two passes find, for every
+    block, the states its rows could leave behind, wherever a group opened, and then the exit of the
+    block after it for each of them.  These tables of entry and exit are composed by pointer doubling, so the
+    true entry of every block is known after a number of rounds logarithmic in the blocks of a key, whether or not
+    the rule forgets.  The states of a block are as many as there are different groups open at its end.  ``advance(None, row)`` must
+    give the state of a group opened by ``row``.
     """
     group, n_out = [*keys, block], len(schema.fields) - len(keep)
     names = [f.name for f in schema.fields]
     needed = list(dict.fromkeys([*keep, *group, *order, *columns]))
     rows = df.select(*needed)
 
-    def walk(parts: Iterator[pd.DataFrame], exits: bool) -> Iterator[pd.DataFrame]:
+    def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows of every block from its true entry."""
         at: tuple | None = None
         state: State = None
         for part in parts:
             made: list[list] = [[] for _ in range(n_out)]
             spots: list[int] = []
-            left: list[tuple] = []
             heads = zip(*[part[c].tolist() for c in group])
             values = zip(*[part[c].tolist() for c in columns])
             for i, (here, row, entry) in enumerate(zip(heads, values, part["_entry"].tolist())):
                 if here != at:
-                    if exits and at is not None:
-                        left.append((*at, json.dumps(state)))
                     at, state = here, json.loads(entry) if isinstance(entry, str) else None
                 state, out = advance(state, row)
-                if not exits:
-                    for values_out in out:
-                        spots.append(i)
-                        for column, value in zip(made, values_out):
-                            column.append(value)
-            if exits:
-                yield pd.DataFrame(left, columns=[*group, "_exit"])
-            else:
-                frame = part[list(keep)].iloc[spots].reset_index(drop=True)
-                for name, column in zip(names[len(keep):], made):
-                    frame[name] = column
-                yield frame
-        if exits and at is not None:
-            yield pd.DataFrame([(*at, json.dumps(state))], columns=[*group, "_exit"])
+                for values_out in out:
+                    spots.append(i)
+                    for column, value in zip(made, values_out):
+                        column.append(value)
+            frame = part[list(keep)].iloc[spots].reset_index(drop=True)
+            for name, column in zip(names[len(keep):], made):
+                frame[name] = column
+            yield frame
+
+    def through(parts: Iterator[pd.DataFrame], fresh: bool) -> Iterator[pd.DataFrame]:
+        """Exits of every block: from each of its ``_entries``, and where ``fresh`` from a group opened at any row.
+
+        States that have become equal are advanced once.
+        """
+        at: tuple | None = None
+        live: dict[str, list[str | None]] = {}
 
-    def laid_out(ready: DataFrame) -> DataFrame:
-        return ready.repartition(*group).sortWithinPartitions(*group, *order)
+        def left() -> list[tuple]:
+            return [(*at, entry, state) for state, entries in live.items() for entry in (entries or [None])]
 
-    fields = {f.name: f for f in df.schema.fields}
-    exit_schema = T.StructType([fields[c] for c in group] + [T.StructField("_exit", T.StringType())])
+        for part in parts:
+            done: list[tuple] = []
+            heads = zip(*[part[c].tolist() for c in group])
+            values = zip(*[part[c].tolist() for c in columns])
+            for here, row, entries in zip(heads, values, part["_entries"]):
+                if here != at:
+                    done += left() if at is not None else []
+                    at, live = here, {} if entries is None else {entry: [entry] for entry in entries}
+                after: dict[str, list[str | None]] = {}
+                for state, of in live.items():
+                    after.setdefault(json.dumps(advance(json.loads(state), row)[0]), []).extend(of)
+                if fresh:
+                    after.setdefault(json.dumps(advance(None, row)[0]), [])
+                live = after
+            yield pd.DataFrame(done, columns=[*group, "_from", "_to"])
+        if at is not None:
+            yield pd.DataFrame(left(), columns=[*group, "_from", "_to"])
 
-    def leave(ready: DataFrame) -> DataFrame:
-        return laid_out(ready).mapInPandas(lambda parts: walk(parts, True), exit_schema)
+    def laid_out(ready: DataFrame) -> DataFrame:
+        return ready.repartition(*group).sortWithinPartitions(*group, *order)
 
-    no_entry = F.lit(None).cast("string")
-    across = Window.partitionBy(*keys).orderBy(block)
     spans = rows.groupBy(*keys).agg(F.min(block).alias("_a"), F.max(block).alias("_b")).filter("_a < _b")
     if spans.isEmpty():
-        ready = rows.withColumn("_entry", no_entry)
+        ready = rows.withColumn("_entry", F.lit(None).cast("string"))
     else:
         # Only keys that span several blocks take part in the exchange of states.
         many = rows.join(spans.select(*keys), list(keys), "left_semi") if keys else rows
-        known = leave(many.withColumn("_entry", no_entry)).withColumn("_used", no_entry)
-        while True:
-            linked = pin(known.withColumn("_entry", F.lag("_exit").over(across)), "entries")
-            moved = linked.filter(~F.col("_entry").eqNullSafe(F.col("_used"))).select(*group, "_entry")
-            if moved.isEmpty():
-                break
-            again = leave(many.join(moved, group)).withColumnRenamed("_exit", "_new")
-            known = linked.join(again, group, "left").select(
-                *group, F.coalesce("_new", "_exit").alias("_exit"), F.col("_entry").alias("_used")
-            )
-        ready = rows.join(linked.select(*group, "_entry"), group, "left")
-    return laid_out(ready).mapInPandas(lambda parts: walk(parts, False), schema)
+        fields = {f.name: f for f in df.schema.fields}
+        text = T.StringType()
+        schema_of = T.StructType([*(fields[c] for c in group), T.StructField("_from", text), T.StructField("_to", text)])
+
+        def exits(entries: DataFrame | None) -> DataFrame:
+            if entries is None:
+                own = many.withColumn("_entries", F.lit(None).cast("array<string>"))
+                return laid_out(own).mapInPandas(lambda parts: through(parts, True), schema_of)
+            own = many.join(entries.groupBy(*group).agg(F.collect_set("_from").alias("_entries")), group)
+            return laid_out(own).mapInPandas(lambda parts: through(parts, False), schema_of)
+
+        ready = rows.join(_entries(many, keys, block, exits), group, "left")
+    return laid_out(ready).mapInPandas(walk, schema)
+
+
+def _entries(many: DataFrame, keys: Sequence[str], block: str, exits: Callable[[DataFrame | None], DataFrame]) -> DataFrame:
+    """(keys, block, _entry): the true entry of every block.
+
+    ``exits`` gives, for (keys, block, _from), the exits ``_to`` of those entries, and for ``None`` the exits of
+    groups opened inside.
+    """
+    group = [*keys, block]
+    across = Window.partitionBy(*keys).orderBy(block)
+    numbered = many.select(*group).distinct().select(*group, F.row_number().over(across).alias("_k"))
+    blocks = pin(numbered.withColumn("_next", F.lead(block).over(across)), "blocks")
+    start = blocks.filter("_k = 1").select(*group, F.lit("null").alias("_from"))
+
+    def after(table: DataFrame) -> DataFrame:
+        """Exits as entries of the next block."""
+        return table.join(blocks.filter("_next IS NOT NULL").select(*group, "_next"), group).select(
+            *keys, F.col("_next").alias(block), F.col("_to").alias("_from")
+        )
+
+    asked = pin(after(exits(None)).unionByName(start).distinct(), "entries")
+    table = known = None
+    while True:
+        made = pin(exits(asked), "exits")
+        table = made if table is None else table.unionByName(made)
+        known = asked if known is None else known.unionByName(asked)
+        # A state that passed a whole block without opening a group may not have been asked for yet.
+        asked = pin(after(made).distinct().join(known, [*group, "_from"], "left_anti"), "entries")
+        if asked.isEmpty():
+            break
+    place = blocks.select(*group, "_k")
+    jump = pin(table.join(place, group).select(*keys, F.col("_k").alias("_i"), F.col("_from"), (F.col("_k") + 1).alias("_j"), "_to"), "pointers")
+    reached = start.join(place, group).select(*keys, F.col("_k").alias("_i"), "_from")
+    most, step = blocks.agg(F.max("_k")).first()[0], 1
+    while step < most:
+        on = [*keys, "_i", "_from"]
+        moved = reached.join(jump, on).select(*keys, F.col("_j").alias("_i"), F.col("_to").alias("_from"))
+        reached = pin(reached.unionByName(moved).join(place.select(*keys, F.col("_k").alias("_i")), [*keys, "_i"], "left_semi"), "reached")
+        step *= 2
+        if step < most:
+            far = jump.select(*keys, F.col("_i").alias("_j"), F.col("_from").alias("_to"), F.col("_j").alias("_j2"), F.col("_to").alias("_to2"))
+            jump = pin(jump.join(far, [*keys, "_j", "_to"]).select(*keys, "_i", "_from", F.col("_j2").alias("_j"), F.col("_to2").alias("_to")), "pointers")
+    return reached.join(place.withColumnRenamed("_k", "_i"), [*keys, "_i"]).select(*group, F.col("_from").alias("_entry"))
