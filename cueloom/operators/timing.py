@@ -21,14 +21,17 @@ def reading_need(text: Column) -> Column:
     return F.greatest(F.lit(MIN_CUE), F.floor(F.length(tx.convention(text)) * 1000 / CPS)).cast("bigint")
 
 
-def finalize(cues: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def finalize(cues: DataFrame, keys: Sequence[str], order: Sequence[str], media_end: str | None = None) -> DataFrame:
     """Overlap resolution, reading minimum, lead-out and cap.
 
     Only the first pass feeds forward, so only it is a fold; the later passes look one row
     back or ahead.  ``cues`` carries blocks over ``order`` (copies of the raw times and an
-    id, so that they survive the passes), ``start_ms``, ``end_ms`` and ``text``.
+    id, so that they survive the passes), ``start_ms``, ``end_ms`` and ``text``.  ``media_end`` names a
+    column with the end of the key's medium, the ceiling of its last cue; null or no column is no ceiling.
+    ``placed`` is false for a cue left without length or begun before the end of the one before it.
     """
     keys, order = list(keys), list(order)
+    cues = cues.withColumn("_media", F.lit(None).cast("bigint") if media_end is None else F.col(media_end).cast("bigint"))
 
     def resolve(state: State, row: tuple) -> tuple[State, list[tuple]]:
         start, end = int(row[0]), int(row[1])
@@ -42,7 +45,7 @@ def finalize(cues: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     first = pin(
         fold(
             cues.withColumn("need", reading_need(F.col("text"))), keys, order, ["start_ms", "end_ms"], resolve,
-            {"s1": "long", "e0": "long", "raw": "long", "pushed": "long"}, [*order, "need", ordered.BLOCK],
+            {"s1": "long", "e0": "long", "raw": "long", "pushed": "long"}, [*order, "need", "_media", ordered.BLOCK],
         ),
         "timing",
     )
@@ -51,7 +54,7 @@ def finalize(cues: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     )
     e1 = F.when(F.col("_pushed") == 1, F.greatest(F.col("s1") + ROOM, F.col("_raw") - GAP)).otherwise(F.col("e0"))
     wanted = F.col("s1") + F.col("need")
-    room = F.least(wanted, F.coalesce(F.col("_s1") - GAP, wanted))
+    room = F.least(wanted, F.coalesce(F.col("_s1") - GAP, F.col("_media"), wanted))
     second = second.withColumn("e1", e1).withColumn("e2", F.greatest("e1", room))
     third = ordered.scan(second, keys, order, lag={"_e2": F.col("e2")})
     floor = F.coalesce(F.col("_e2") + GAP, F.lit(0))
@@ -59,14 +62,16 @@ def finalize(cues: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     s2 = F.when(tight, F.greatest(floor, F.least("s1", F.col("e2") - F.col("need")))).otherwise(F.col("s1"))
     third = pin(third.withColumn("s2", s2.cast("bigint")), "timing")
     last = ordered.scan(third, keys, order, lead={"_s2": F.col("s2")})
-    lead_out = F.least(F.col("e2") + LEAD_OUT, F.coalesce(F.col("_s2") - GAP, F.col("e2") + LEAD_OUT))
+    lead_out = F.least(F.col("e2") + LEAD_OUT, F.coalesce(F.col("_s2") - GAP, F.col("_media"), F.col("e2") + LEAD_OUT))
     most = F.greatest(F.lit(MAX_CUE), "need")
     last = last.withColumn("e3", F.greatest("e2", lead_out))
     last = last.withColumn("capped", F.col("e3") - F.col("s2") > most)
     last = last.withColumn("end_ms", F.when(F.col("capped"), F.col("s2") + most).otherwise(F.col("e3")).cast("bigint"))
-    return last.select(
+    shown = ordered.scan(last, keys, order, lag={"_shown": F.col("end_ms")})
+    return shown.select(
         *keys, *order, F.col("s2").alias("start_ms"), "end_ms", "capped",
         (F.col("end_ms") - F.col("s2") < F.col("need")).alias("below_minimum"),
+        ((F.col("end_ms") > F.col("s2")) & (F.col("_shown").isNull() | (F.col("s2") >= F.col("_shown")))).alias("placed"),
     )
 
 

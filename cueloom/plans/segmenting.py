@@ -179,7 +179,44 @@ SELECT episode_id, cue_id, CAST(s2 AS BIGINT) AS start_ms, CAST(CASE WHEN capped
 def final_timing(spark, sf):
     cut = ordered.range_blocks(_moved(spark, sf), ["episode_id"], ["at_start", "at_end", "cue_id"])
     done = timing.finalize(cut, ["episode_id"], ["at_start", "at_end", "cue_id"])
-    return done.drop("at_start", "at_end")
+    return done.drop("at_start", "at_end", "placed")
+
+
+@query("win9_media_end", "WITH RECURSIVE " + t.CUE_SQL + """,
+md AS (SELECT episode_id, max(end_ms) - 1500 * (episode_id % 4) AS media FROM cue GROUP BY 1),
+mv AS (SELECT episode_id, cue_id, text, greatest(0, start_ms - CASE WHEN cue_id % 3 = 0 THEN 900 ELSE 0 END) AS s,
+  least(media, end_ms - CASE WHEN cue_id % 4 = 1 THEN 600 ELSE 0 END) AS e, media,
+  greatest(800, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) * 1000 // 9) AS need FROM cue JOIN md USING (episode_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY s, e, cue_id) AS k FROM mv),
+p1 AS (SELECT episode_id, k, s, e, s AS raw, false AS pu FROM o WHERE k = 1
+ UNION ALL SELECT episode_id, k, s1, CASE WHEN pu THEN greatest(e, s1 + 200) ELSE e END, s, pu FROM (
+  SELECT c.episode_id, c.k, c.e, c.s, c.s < p.e + 40 AS pu,
+    CASE WHEN c.s < p.e + 40 THEN greatest(c.s, greatest(p.s + 200, c.s - 40) + 40) ELSE c.s END AS s1
+  FROM p1 p JOIN o c ON c.episode_id = p.episode_id AND c.k = p.k + 1)),
+p2 AS (SELECT *, CASE WHEN lead(pu) OVER w THEN greatest(s + 200, lead(raw) OVER w - 40) ELSE e END AS e1, lead(s) OVER w AS ns FROM p1 WINDOW w AS (PARTITION BY episode_id ORDER BY k)),
+p3 AS (SELECT p2.*, o.need, o.cue_id, o.media, greatest(e1, least(p2.s + o.need, coalesce(ns - 40, media))) AS e2 FROM p2 JOIN o ON o.episode_id = p2.episode_id AND o.k = p2.k),
+p4 AS (SELECT *, CASE WHEN e2 - s < need THEN greatest(coalesce(lag(e2) OVER w + 40, 0), least(s, e2 - need)) ELSE s END AS s2 FROM p3 WINDOW w AS (PARTITION BY episode_id ORDER BY k)),
+p5 AS (SELECT *, greatest(e2, least(e2 + 300, coalesce(lead(s2) OVER w - 40, media))) AS e3 FROM p4 WINDOW w AS (PARTITION BY episode_id ORDER BY k)),
+p6 AS (SELECT *, e3 - s2 > greatest(7000, need) AS capped FROM p5),
+p7 AS (SELECT *, CASE WHEN capped THEN s2 + greatest(7000, need) ELSE e3 END AS fin FROM p6),
+p8 AS (SELECT *, fin > s2 AND s2 >= coalesce(lag(fin) OVER (PARTITION BY episode_id ORDER BY k), s2) AS placed FROM p7)
+SELECT episode_id, count(*) AS cues, count(*) FILTER (NOT placed) AS unplaced, CASE WHEN bool_and(placed) THEN 'placed' ELSE 'cannot_place' END AS outcome,
+  min(cue_id) FILTER (NOT placed) AS first_unplaced, CAST(sum(fin - s2) AS BIGINT) AS shown_ms, CAST(max(fin) AS BIGINT) AS last_end, count(*) FILTER (fin - s2 < need) AS below_minimum
+FROM p8 GROUP BY 1""")
+def media_end_timing(spark, sf):
+    """Episodes whose medium ends before some of their cues do: what fits, and which cannot be placed."""
+    cues = _moved(spark, sf)
+    media = t.cue(spark, sf).groupBy("episode_id").agg((F.max("end_ms") - 1500 * (F.col("episode_id") % 4)).alias("media"))
+    cut = cues.join(media, "episode_id").withColumn("end_ms", F.least("end_ms", "media")).withColumn("at_end", F.col("end_ms"))
+    order = ["at_start", "at_end", "cue_id"]
+    done = timing.finalize(ordered.range_blocks(cut, ["episode_id"], order), ["episode_id"], order, "media")
+    return done.groupBy("episode_id").agg(
+        F.count("*").alias("cues"), F.count_if(~F.col("placed")).alias("unplaced"),
+        F.when(F.bool_and("placed"), "placed").otherwise("cannot_place").alias("outcome"),
+        F.min(F.when(~F.col("placed"), F.col("cue_id"))).alias("first_unplaced"),
+        F.sum(F.col("end_ms") - F.col("start_ms")).alias("shown_ms"), F.max("end_ms").alias("last_end"),
+        F.count_if("below_minimum").alias("below_minimum"),
+    )
 
 
 @query("win14_flash_merge")

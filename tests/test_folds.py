@@ -99,3 +99,17 @@ def test_energy_cuts_at_any_width(spark, monkeypatch, width):
             base = cut
         want += [(key, base, (base + whole) // 2), (key, (base + whole) // 2, whole)] if whole - base > 100 else [(key, base, whole)]
     assert got == sorted(want)
+
+
+def test_media_end_and_failure(spark):
+    """Reading time ends with the medium; a cue beyond it cannot be placed."""
+    from cueloom.operators import timing
+
+    rows = [(1, 1, 0, 1000, "a" * 18, 1500), (2, 1, 0, 1000, "a" * 18, None), (3, 1, 0, 900, "a" * 18, 900), (3, 2, 1300, 900, "b", 900)]
+    df = spark.createDataFrame(rows, "k long, no long, start_ms long, end_ms long, text string, media long")
+    ranked = df.withColumns({"o1": F.col("start_ms"), "o2": F.col("end_ms")})
+    done = timing.finalize(ordered.range_blocks(ranked, ["k"], ["o1", "o2", "no"]), ["k"], ["o1", "o2", "no"], "media")
+    got = {(r.k, r.no): (r.start_ms, r.end_ms, r.below_minimum, r.placed) for r in done.collect()}
+    assert got[1, 1] == (0, 1500, True, True)
+    assert got[2, 1] == (0, 2300, False, True)
+    assert got[3, 1][3] and not got[3, 2][3]
