@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cueloom.functions import text as tx
-from cueloom.operators import dictionary
+from cueloom.operators import dictionary, ordered
 
 
 def prepare(edits: DataFrame) -> DataFrame:
@@ -86,6 +86,49 @@ def restore_names(marked: DataFrame, values: DataFrame, key: str, text: str) ->
     return both.withColumn("_back", back).select(key, "_back.restored", "_back.exact", "_back.markers")
 
 
+#: (state, event) -> state of an issue; what is not listed changes nothing.  ``resolved`` needs a repair before it.
+LIFECYCLE = {
+    ("not_flagged", "issue"): "diagnosed",
+    ("diagnosed", "persists"): "persists", ("diagnosed", "unsupported"): "unsupported",
+    ("unsupported", "persists"): "persists",
+    ("persists", "unsupported"): "unsupported",
+    ("persists", "repair"): "repaired",
+    ("repaired", "resolved"): "resolved", ("repaired", "persists"): "persists", ("repaired", "unsupported"): "unsupported",
+    ("resolved", "persists"): "persists", ("resolved", "unsupported"): "unsupported",
+}
+
+
+def issue_states(
+    log: DataFrame, keys: Sequence[str], order: Sequence[str], event: str, max_repairs: int = 2,
+    table: dict[tuple[str, str], str] | None = None, start: str = "not_flagged", repair: str = "repair",
+) -> DataFrame:
+    """State of an issue after every event: ``state``, ``attempts`` and ``changed``.
+
+    ``log`` carries blocks.  A repair counts as an attempt and is refused once ``max_repairs`` were made.  As the
+    states are few, blocks are composed through a table of all of them.
+    """
+    table = LIFECYCLE if table is None else table
+
+    def advance(state: ordered.State, row: tuple) -> tuple[ordered.State, list[tuple]]:
+        now, attempts = [start, 0] if state is None else state
+        after = table.get((now, row[0]), now)
+        if row[0] == repair and after != now:
+            if attempts >= max_repairs:
+                after = now
+            else:
+                attempts += 1
+        return [after, attempts], [(after, attempts, int(after != now))]
+
+    fields = {f.name: f for f in log.schema.fields}
+    kept = [*keys, *order]
+    schema = T.StructType([fields[c] for c in kept] + [
+        T.StructField("state", T.StringType()), T.StructField("attempts", T.LongType()), T.StructField("changed", T.LongType()),
+    ])
+    names = sorted({start, *(a for a, _ in table), *table.values()})
+    states = [[name, n] for name in names for n in range(max_repairs + 1)]
+    return ordered.fold_rows(log, keys, order, [event], advance, schema, kept, states=states)
+
+
 def latest(log: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """Newest value per key from an append-only log."""
     return log.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias(value))

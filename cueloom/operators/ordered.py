@@ -185,6 +185,7 @@ def fold_rows(
     keep: Sequence[str],
     *,
     block: str = BLOCK,
+    states: Sequence[State] | None = None,
 ) -> DataFrame:
     """Exact left-to-right fold over keys of any size, many blocks at a time.
 
@@ -197,7 +198,8 @@ def fold_rows(
     block after it for each of them.  These tables of entry and exit are composed by pointer doubling, so the
     true entry of every block is known after a number of rounds logarithmic in the blocks of a key, whether or not
     the rule forgets.  The states of a block are as many as there are different groups open at its end.  ``advance(None, row)`` must
-    give the state of a group opened by ``row``.
+    give the state of a group opened by ``row``.  A rule with few states lists them in ``states`` instead,
+    and every block is asked for the exit of each.
     """
     group, n_out = [*keys, block], len(schema.fields) - len(keep)
     names = [f.name for f in schema.fields]
@@ -275,11 +277,14 @@ def fold_rows(
             own = many.join(entries.groupBy(*group).agg(F.collect_set("_from").alias("_entries")), group)
             return laid_out(own).mapInPandas(lambda parts: through(parts, False), schema_of)
 
-        ready = rows.join(_entries(many, keys, block, exits), group, "left")
+        given = None if states is None else [json.dumps(state) for state in states]
+        ready = rows.join(_entries(many, keys, block, exits, given), group, "left")
     return laid_out(ready).mapInPandas(walk, schema)
 
 
-def _entries(many: DataFrame, keys: Sequence[str], block: str, exits: Callable[[DataFrame | None], DataFrame]) -> DataFrame:
+def _entries(
+    many: DataFrame, keys: Sequence[str], block: str, exits: Callable[[DataFrame | None], DataFrame], states: list[str] | None,
+) -> DataFrame:
     """(keys, block, _entry): the true entry of every block.
 
     ``exits`` gives, for (keys, block, _from), the exits ``_to`` of those entries, and for ``None`` the exits of
@@ -297,7 +302,11 @@ def _entries(many: DataFrame, keys: Sequence[str], block: str, exits: Callable[[
             *keys, F.col("_next").alias(block), F.col("_to").alias("_from")
         )
 
-    asked = pin(after(exits(None)).unionByName(start).distinct(), "entries")
+    if states is None:
+        first = after(exits(None))
+    else:
+        first = blocks.filter("_k > 1").select(*group, F.explode(F.array(*map(F.lit, states))).alias("_from"))
+    asked = pin(first.unionByName(start).distinct(), "entries")
     table = known = None
     while True:
         made = pin(exits(asked), "exits")

@@ -167,6 +167,39 @@ def issue_lifecycle(spark, sf):
     )
 
 
+_EVENT = """CASE stage WHEN 'error' THEN 'issue' WHEN 'purchase' THEN 'repair' WHEN 'signup' THEN 'repair'
+  WHEN 'click' THEN CASE attempt % 3 WHEN 0 THEN 'persists' WHEN 1 THEN 'resolved' ELSE 'unsupported' END ELSE 'seen' END"""
+
+
+@query("led11_issue_cycles", "WITH RECURSIVE " + t.TELEMETRY_SQL + f""",
+q AS (SELECT user_id, event_id, {_EVENT} AS ev, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM telemetry WHERE attempt IS NOT NULL),
+st AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS k, 'not_flagged' AS s, 0 AS n, 0 AS ch FROM q
+ UNION ALL SELECT user_id, event_id, k, nx, CASE WHEN s = 'persists' AND ev = 'repair' AND n < 2 THEN n + 1 ELSE n END, CAST(nx <> s AS INT) FROM (
+  SELECT q.*, st.s, st.n, CASE
+    WHEN st.s = 'not_flagged' AND ev = 'issue' THEN 'diagnosed'
+    WHEN st.s = 'persists' AND ev = 'repair' AND st.n < 2 THEN 'repaired'
+    WHEN st.s = 'repaired' AND ev = 'resolved' THEN 'resolved'
+    WHEN st.s IN ('diagnosed', 'unsupported', 'repaired', 'resolved') AND ev = 'persists' THEN 'persists'
+    WHEN st.s IN ('diagnosed', 'persists', 'repaired', 'resolved') AND ev = 'unsupported' THEN 'unsupported'
+    ELSE st.s END AS nx FROM st JOIN q ON q.user_id = st.user_id AND q.k = st.k + 1))
+SELECT user_id AS issue_id, arg_max(s, k) AS status, arg_max(s, k) = 'persists' AS unresolved, CAST(max(n) AS BIGINT) AS repair_attempts,
+  CAST(sum(ch) AS BIGINT) AS changes, count(*) FILTER (ch = 1 AND s = 'resolved') AS times_resolved,
+  coalesce(string_agg(CASE WHEN ch = 1 THEN s END, '>' ORDER BY k), '') AS history
+FROM st WHERE k > 0 GROUP BY 1""")
+def issue_cycles(spark, sf):
+    """Diagnosis, precheck and repair cycles of each issue, with its history of states."""
+    log = t.telemetry(spark, sf).filter("attempt IS NOT NULL").select("user_id", "event_id", F.expr(_EVENT).alias("ev"))
+    states = ledger.issue_states(ordered.dense_blocks(log, "event_id"), ["user_id"], ["event_id"], "ev")
+    final = F.max_by("state", "event_id")
+    # A history has the changes only: a state is left at most as often as repairs and rechecks allow it to be entered.
+    path = F.array_sort(F.collect_list(F.when(F.col("changed") == 1, F.struct("event_id", "state"))))
+    return states.groupBy(F.col("user_id").alias("issue_id")).agg(
+        final.alias("status"), (final == "persists").alias("unresolved"), F.max("attempts").alias("repair_attempts"),
+        F.sum("changed").alias("changes"), F.count_if((F.col("changed") == 1) & (F.col("state") == "resolved")).alias("times_resolved"),
+        F.array_join(path["state"], ">").alias("history"),
+    )
+
+
 @query("led12_result_cache", """WITH c AS (SELECT sha256(text) AS k, min(l.doc_id * 2 + toxic) // 2 AS d, min(l.doc_id * 2 + toxic) % 2 AS bad FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1)
 SELECT doc_id, CASE WHEN d IS NULL THEN 'miss' WHEN bad = 1 THEN 'tampered' ELSE 'hit' END AS state FROM documents LEFT JOIN c ON k = sha256(text)""")
 def result_cache(spark, sf):

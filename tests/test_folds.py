@@ -113,3 +113,24 @@ def test_media_end_and_failure(spark):
     assert got[1, 1] == (0, 1500, True, True)
     assert got[2, 1] == (0, 2300, False, True)
     assert got[3, 1][3] and not got[3, 2][3]
+
+
+@pytest.mark.parametrize("width", [5, 10_000])
+def test_issue_states(spark, monkeypatch, width):
+    from cueloom.operators import ledger
+
+    rng = random.Random(4)
+    kinds = ["issue", "persists", "resolved", "unsupported", "repair", "seen"]
+    rows = [(i % 3, i, rng.choice(kinds)) for i in range(120)]
+    seen = rounds(monkeypatch)
+    log = ordered.dense_blocks(spark.createDataFrame(rows, "k long, no long, ev string"), "no", width)
+    got = {(r.k, r.no): (r.state, r.attempts, r.changed) for r in ledger.issue_states(log, ["k"], ["no"], "ev").collect()}
+    held, want = {}, {}
+    for k, no, ev in rows:
+        state, n = held.get(k, ("not_flagged", 0))
+        after = ledger.LIFECYCLE.get((state, ev), state)
+        after = state if ev == "repair" and n >= 2 else after
+        n += after == "repaired" and state != "repaired"
+        held[k], want[k, no] = (after, n), (after, n, int(after != state))
+    assert got == want
+    assert seen.count("exits") == (1 if width == 5 else 0)
