@@ -27,7 +27,7 @@ def scenes(spark, sf):
 @query("str3_request_ledger", """WITH r AS (SELECT user_id, event_type, CAST(round(value * 100) AS BIGINT) % 3 <> 0 AS ok, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events)
 SELECT user_id, event_type, CASE WHEN bool_or(ok AND n = 1) THEN 'done' WHEN bool_or(ok) THEN 'recovered' WHEN count(*) > 1 THEN 'failed' ELSE 'pending' END AS state FROM r WHERE n <= 2 GROUP BY 1, 2""")
 def request_ledger(spark, sf):
-    return jobs.request_ledger(spark, events(spark, sf))
+    return jobs.request_ledger(jobs.drain(jobs.attempt_changes(events(spark, sf)), "str3"))
 
 
 @query("str4_stage_telemetry", """SELECT event_type AS stage, epoch_us(date_trunc('day', ts)) AS start_us, count(*) AS requests, CAST(sum(CAST(round(value * 1000) AS BIGINT)) AS BIGINT) AS millis FROM events
@@ -36,6 +36,14 @@ def stage_telemetry(spark, sf):
     return jobs.drain(jobs.stage_telemetry(events(spark, sf)), "str4")
 
 
+@query("str4_running_budget", """WITH w AS (SELECT event_type AS stage, epoch_us(date_trunc('day', ts)) AS start_us, CAST(sum(CAST(round(value * 1000) AS BIGINT)) AS BIGINT) AS millis FROM events
+WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY 1, 2),
+u AS (SELECT *, CAST(sum(millis) OVER (PARTITION BY stage ORDER BY start_us) AS BIGINT) AS used_ms FROM w)
+SELECT stage, start_us, used_ms, used_ms > 2000000 AS over_budget, used_ms > 2000000 AND used_ms - millis <= 2000000 AS crossed FROM u""")
+def running_budget(spark, sf):
+    return jobs.budget_job(events(spark, sf), 2_000_000)
+
+
 @query("str5_repeated_flags", """WITH f AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events WHERE event_type IN ('error', 'click'))
 SELECT user_id, event_id FROM f WHERE event_type = 'error' AND p = 'error'""")
 def repeated_flags(spark, sf):

@@ -22,10 +22,14 @@ def event_stream(spark: SparkSession, source: str, files: int = 64) -> DataFrame
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drain(stream: DataFrame, tag: str) -> DataFrame:
-    """Run all available input into a file sink and read it back; nothing passes the driver."""
+def drain(stream: DataFrame, tag: str, root: str | None = None) -> DataFrame:
+    """Run all available input into a file sink and read it back; nothing passes the driver.
+
+    A job with a ``root`` of its own goes on where it stopped: its checkpoint and output lie there, so a later
+    call, of this process or another, reads only files that have come since.
+    """
     spark = stream.sparkSession
-    path, state = fresh_path(spark, tag), fresh_path(spark, f"{tag}-state")
+    path, state = (f"{root}/out", f"{root}/state") if root else (fresh_path(spark, tag), fresh_path(spark, f"{tag}-state"))
     job = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", state)
     job.outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
@@ -99,33 +103,76 @@ def repeated_flags(changes: DataFrame) -> DataFrame:
     return inside.select("user_id", "event_id").union(across.filter("flag AND flagged").select("user_id", "event_id"))
 
 
-def request_ledger(spark: SparkSession, events: DataFrame) -> DataFrame:
-    """Resumable ledger: finished keys are skipped, a key gets one recovery attempt, then fails.
+def running_budget(closed: DataFrame, budget: int) -> DataFrame:
+    """Time used by each stage up to the end of every closed window, and the window in which its budget ran out.
+
+    ``closed`` are the windows of ``stage_telemetry``, which a watermark has closed; windows closed later are
+    later ones, so the state of a stage is the time used so far.  ``crossed`` is true in one row of a stage at most.
+    """
+
+    def follow(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        used = state.get[0] if state.exists else 0
+        rows = pd.concat(parts).sort_values("start_us")
+        total = used + rows["millis"].cumsum()
+        before = total - rows["millis"]
+        state.update((int(total.iloc[-1]),))
+        yield pd.DataFrame({
+            "stage": key[0], "start_us": rows["start_us"], "used_ms": total, "over_budget": total > budget,
+            "crossed": (total > budget) & (before <= budget),
+        })
+
+    return closed.groupBy("stage").applyInPandasWithState(
+        follow, "stage string, start_us long, used_ms long, over_budget boolean, crossed boolean", "used long", "append",
+        GroupStateTimeout.NoTimeout,
+    )
+
+
+def budget_job(events: DataFrame, budget: int, root: str | None = None) -> DataFrame:
+    """``running_budget`` over a stream of events: two jobs in a row, the second reading the windows the first has
+    closed.  All windows new to it come in one batch, so they are taken in their order."""
+    spark = events.sparkSession
+    root = root or fresh_path(spark, "budget")
+    windows = stage_telemetry(events)
+    drain(windows, "windows", f"{root}/windows")
+    closed = spark.readStream.schema(windows.schema).parquet(f"{root}/windows/out")
+    return drain(running_budget(closed, budget), "budget", f"{root}/budget")
+
 
-    Each micro-batch folds its rows into the ledger written by the last one.  A version's path
-    follows from its batch id, so a batch run again after a failure writes the same version.
+def attempt_changes(events: DataFrame) -> DataFrame:
+    """Resumable ledger as changes: what a key's two earliest attempts are, whenever that changes.
+
+    The state of a key is those two attempts (event id and outcome), so a finished key costs nothing more and
+    late attempts with earlier ids still count.  It lives in the stream's checkpoint.
     """
-    root, state = fresh_path(spark, "ledger"), fresh_path(spark, "ledger-state")
+
+    def follow(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        version, first, first_ok, second, second_ok = state.get if state.exists else (0, None, None, None, None)
+        known = [(i, ok) for i, ok in ((first, first_ok), (second, second_ok)) if i is not None]
+        best = list(known)
+        for rows in parts:
+            earliest = rows.nsmallest(2, "event_id")
+            best = sorted({*best, *zip(earliest["event_id"].tolist(), earliest["ok"].tolist(), strict=True)})[:2]
+        if best != known:
+            (first, first_ok), (second, second_ok) = [*best, (None, None)][:2]
+            state.update((version + 1, first, first_ok, second, second_ok))
+            frame = pd.DataFrame([(*key, version + 1, first_ok, second_ok)], columns=["user_id", "event_type", "version", "first_ok", "second_ok"])
+            yield frame.astype({"first_ok": "boolean", "second_ok": "boolean"})
+
     attempts = events.select(
         "user_id", "event_type", "event_id", F.expr("cast(round(value * 100) as bigint) % 3 <> 0").alias("ok")
     )
+    return attempts.groupBy("user_id", "event_type").applyInPandasWithState(
+        follow, "user_id long, event_type string, version long, first_ok boolean, second_ok boolean",
+        "version long, first long, first_ok boolean, second long, second_ok boolean", "append", GroupStateTimeout.NoTimeout,
+    )
+
 
-    def upsert(batch: DataFrame, number: int) -> None:
-        # The two earliest attempts decide; keep only those, by two partial aggregates.
-        seen = batch
-        if number > 0:
-            seen = batch.unionByName(spark.read.parquet(f"{root}/v{number - 1}"))
-        first = seen.groupBy("user_id", "event_type").agg(F.min("event_id").alias("_first"))
-        rest = seen.join(first, ["user_id", "event_type"]).filter("event_id > _first")
-        second = rest.groupBy("user_id", "event_type").agg(F.min(F.struct("event_id", "ok")).alias("s")).select("user_id", "event_type", "s.*")
-        top = seen.groupBy("user_id", "event_type").agg(F.min(F.struct("event_id", "ok")).alias("s")).select("user_id", "event_type", "s.*")
-        top.unionByName(second).write.mode("overwrite").parquet(f"{root}/v{number}")
-        last[0] = number
-
-    last = [-1]
-    job = attempts.writeStream.foreachBatch(upsert).option("checkpointLocation", state)
-    job.trigger(availableNow=True).start().awaitTermination()
-    kept = spark.read.parquet(f"{root}/v{last[0]}")
-    return kept.groupBy("user_id", "event_type").agg(
-        F.when(F.min_by("ok", "event_id"), "done").when(F.bool_or("ok"), "recovered").when(F.count("*") > 1, "failed").otherwise("pending").alias("state"),
+def request_ledger(changes: DataFrame) -> DataFrame:
+    """State of every key from the drained ``attempt_changes``: finished keys are skipped, a key gets one recovery
+    attempt, then fails."""
+    last = changes.groupBy("user_id", "event_type").agg(F.max(F.struct("version", "first_ok", "second_ok")).alias("v"))
+    state = (
+        F.when(F.col("v.first_ok"), "done").when(F.col("v.second_ok"), "recovered")
+        .when(F.col("v.second_ok").isNotNull(), "failed").otherwise("pending")
     )
+    return last.select("user_id", "event_type", state.alias("state"))
