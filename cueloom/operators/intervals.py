@@ -1,8 +1,11 @@
 """Half-open integer intervals: overlap, containment, union, nearest boundary.
 
-Catalyst plans a bare inequality join as a nested loop.  Here both sides are spread over
-coarse time bins and joined on (keys, bin); a pair that shares several bins is emitted only
-in the bin holding ``greatest(a.start, b.start)``, so no distinct is needed.
+Catalyst plans a bare inequality join as a nested loop.  Here both sides are put into time bins and joined on
+(keys, level, bin).  Bins are nested: a level's are twice as wide as those of the level below, and an
+interval belongs to the first level whose bins are as long as it is, where it touches two at most.  A pair meets
+on the level of its longer interval; so an interval stands on its own level and on the longer ones that the
+other side has, which makes a number of rows logarithmic in the longest interval, however long it is itself.
+Of several common bins the one holding ``greatest(a.start, b.start)`` counts, so no distinct is needed.
 """
 
 from __future__ import annotations
@@ -25,20 +28,55 @@ def spread(df: DataFrame, start: str, end: str, width: int, out: str = "_bin") -
     return df.filter(F.col(start) < F.col(end)).withColumn(out, F.explode(bins))
 
 
+def level_of(start: str, end: str, width: int) -> Column:
+    """Least level whose bins of ``width * 2^level`` are at least as long as the interval."""
+    bins = F.expr(f"(`{end}` - `{start}` + {width} - 1) div {width}")
+    return F.when(bins <= 1, 0).otherwise(F.length(F.bin(bins - 1))).cast("int")
+
+
+def _levels(df: DataFrame) -> list[int]:
+    """The levels there are: fewer than the bits of a long."""
+    return sorted(r[0] for r in df.select("_level").distinct().collect())
+
+
+def _wide_bin(at: Column, width: int, level: Column) -> Column:
+    wide = F.call_function("shiftleft", F.lit(width).cast("bigint"), level)
+    return F.call_function("div", at - F.pmod(at, wide), wide)
+
+
+def _on_levels(df: DataFrame, start: Column, last: Column, width: int, levels: Column) -> DataFrame:
+    """One row per bin touched on each of ``levels``."""
+    spots = F.flatten(F.transform(levels, lambda n: F.transform(
+        F.sequence(_wide_bin(start, width, n), _wide_bin(last, width, n)), lambda b: F.struct(n.alias("_on"), b.alias("_bin"))
+    )))
+    return df.select("*", F.inline(spots))
+
+
+def _wider(levels: list[int], own: Column, equal: bool) -> Column:
+    found = F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")
+    return F.filter(found, lambda n: (n >= own) if equal else (n > own))
+
+
 def overlap_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str],
     left_span: tuple[str, str], right_span: tuple[str, str], width: int,
 ) -> DataFrame:
-    """Pairs with ``l.start < r.end and r.start < l.end``; span columns need distinct names."""
+    """Pairs with ``l.start < r.end and r.start < l.end``; span columns need distinct names.
+
+    ``width`` is about the length of the shorter intervals; pairs do not depend on it.
+    """
     (ls, le), (rs, re) = left_span, right_span
-    a = spread(left, ls, le, width)
-    b = spread(right, rs, re, width)
-    first = bin_of(F.greatest(F.col(ls), F.col(rs)), width)
-    return (
-        a.join(b, [*keys, "_bin"])
-        .filter((F.col(ls) < F.col(re)) & (F.col(rs) < F.col(le)) & (F.col("_bin") == first))
-        .drop("_bin")
-    )
+    a = left.filter(F.col(ls) < F.col(le)).withColumn("_level", level_of(ls, le, width))
+    b = right.filter(F.col(rs) < F.col(re)).withColumn("_level", level_of(rs, re, width))
+    of_a, of_b = _levels(a), _levels(b)
+    own = F.array("_level")
+    a = _on_levels(a, F.col(ls), F.col(le) - 1, width, F.array_union(own, _wider(of_b, F.col("_level"), True)))
+    b = _on_levels(b, F.col(rs), F.col(re) - 1, width, F.array_union(own, _wider(of_a, F.col("_level"), False)))
+    first = _wide_bin(F.greatest(F.col(ls), F.col(rs)), width, F.col("_on"))
+    met = a.join(b.withColumnRenamed("_level", "_level_b"), [*keys, "_on", "_bin"])
+    return met.filter(
+        (F.col(ls) < F.col(re)) & (F.col(rs) < F.col(le)) & (F.col("_on") == F.greatest("_level", "_level_b")) & (F.col("_bin") == first)
+    ).drop("_on", "_bin", "_level", "_level_b")
 
 
 def overlap_amount(ls: str, le: str, rs: str, re: str) -> Column:
@@ -83,9 +121,11 @@ def point_join(
 ) -> DataFrame:
     """Pairs with ``start <= point < end``."""
     start, end = span
-    a = points.withColumn("_bin", F.expr(f"{at} div {width}"))
-    b = spread(spans, start, end, width)
-    return a.join(b, [*keys, "_bin"]).filter((F.col(start) <= F.col(at)) & (F.col(at) < F.col(end))).drop("_bin")
+    b = spans.filter(F.col(start) < F.col(end)).withColumn("_level", level_of(start, end, width))
+    levels = _levels(b)
+    a = _on_levels(points, F.col(at), F.col(at), width, _wider(levels, F.lit(0), True))
+    b = _on_levels(b, F.col(start), F.col(end) - 1, width, F.array("_level")).drop("_level")
+    return a.join(b, [*keys, "_on", "_bin"]).filter((F.col(start) <= F.col(at)) & (F.col(at) < F.col(end))).drop("_on", "_bin")
 
 
 def _openings(df: DataFrame, keys: list[str], start: str, end: str, tie: str) -> tuple[DataFrame, DataFrame]:
