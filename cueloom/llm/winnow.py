@@ -3,10 +3,12 @@
 Words are hashed in runs of ``k``; of every ``window - k + 1`` consecutive runs the least hash is a
 fingerprint (the rightmost of equal ones).  Two texts that share ``window`` consecutive words share
 such a group of runs, hence a fingerprint at the same place in it.  Fingerprints of the benchmark
-and of the documents are joined, and every joint hit is extended word by word in both directions;
-where the common span reaches ``window`` words, all its words are hit and the item is recorded.
+and of the documents are joined.  Every joint hit opens the words around it, as far as a window around the
+fingerprint can reach, and hits close to each other open one stretch; in it all windows are compared with the item's
+distinct windows, and words of equal ones are hit.  So a common span is followed to its ends, and the work is
+linear in the words opened also where words repeat and every place equals every other.
 An item with fewer words is one window of its own length: for those the fingerprints are all runs of
-that length.  Extension compares words, so the result is exact.
+that length.  Windows are compared word by word, so the result is exact.
 
 The benchmark is read in blocks of at most ``block_words`` words, each sent to the workers by
 broadcast and matched in one pass over the documents; there is one pass unless the benchmark is
@@ -37,6 +39,7 @@ _FOLD = bytes(
 )
 RUN, WINDOW, BLOCK_WORDS = 8, 13, 1_000_000
 _CHUNK_WORDS = 100_000
+_KEPT_ITEMS = 5_000
 _SPANS = pa.list_(pa.struct([("item", pa.string()), ("first", pa.int64()), ("last", pa.int64())]))
 SPANS = "array<struct<item:string,first:bigint,last:bigint>>"
 
@@ -86,42 +89,72 @@ class Index:
             found.setdefault(shape, []).append((hashes[at], at, n))
         self.tables = {}
         for shape, parts in found.items():
-            hashes = np.concatenate([h for h, _, _ in parts])
-            order = np.argsort(hashes, kind="stable")
-            item = np.concatenate([np.full(len(h), n) for h, _, n in parts])
-            self.tables[shape] = hashes[order], item[order], np.concatenate([at for _, at, _ in parts])[order]
+            # An item's equal fingerprints count once: where they stand in it does not matter.
+            pairs = np.unique(np.concatenate([np.stack([h, np.full(len(h), n, np.uint64)], 1) for h, _, n in parts]), axis=0)
+            self.tables[shape] = pairs[:, 0].copy(), pairs[:, 1].astype(np.int64)
+        self._windows: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_windows": {}}
 
     def number(self, words: list[bytes]) -> np.ndarray:
         """Word numbers of this block, 0 for words that no item has."""
         return np.fromiter(map(self.vocabulary.get, words, itertools.repeat(0)), np.uint64, len(words))
 
+    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Hashes in order and words of the distinct windows of item ``n``, and how many may share a hash."""
+        if n not in self._windows:
+            own = self.words[n]
+            length = min(self.window, len(own))
+            rows = np.unique(np.lib.stride_tricks.sliding_window_view(own, length), axis=0)
+            hashes = np.array([_runs(row, length)[0] for row in rows], np.uint64)
+            order = np.argsort(hashes, kind="stable")
+            if len(self._windows) >= _KEPT_ITEMS:
+                self._windows.clear()
+            self._windows[n] = hashes[order], rows[order], int(np.unique(hashes, return_counts=True)[1].max())
+        return self._windows[n]
+
     def spans(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
-        """Maximal common spans (item number, first word, one past the last) in order of position."""
-        found: set[tuple[int, int, int]] = set()
-        for (run, width), (hashes, item, place) in self.tables.items():
+        """Stretches covered by common windows (item number, first word, one past the last) in order of position."""
+        hits: dict[int, list[int]] = {}
+        for (run, width), (hashes, item) in self.tables.items():
             made = _runs(ids, run)
             at = winnow(made, width) if width > 1 else np.arange(len(made))
             low, high = np.searchsorted(hashes, made[at], "left"), np.searchsorted(hashes, made[at], "right")
-            reached: dict[tuple[int, int], int] = {}
-            for k in np.flatnonzero(high > low):
-                for j in range(low[k], high[k]):
-                    here, n, there = int(at[k]), int(item[j]), int(place[j])
-                    if reached.get((n, here - there), -1) <= here:
-                        start, end = self._extend(ids, here, self.words[n], there)
-                        reached[n, here - there] = end
-                        if end - start >= min(self.window, len(self.words[n])):
-                            found.add((n, start, end))
+            for k in np.flatnonzero(high > low).tolist():
+                for n in item[low[k] : high[k]].tolist():
+                    hits.setdefault(n, []).append(int(at[k]))
+        found: list[tuple[int, int, int]] = []
+        for n, places in hits.items():
+            length = min(self.window, len(self.words[n]))
+            for first, last in _merged(np.array(sorted(places)), -length, length):
+                first, last = max(first, 0), min(last + length, len(ids))
+                starts = first + self._equal(ids[first:last], n, length)
+                found += [(n, a, b) for a, b in _merged(starts, 0, length)]
         return sorted(found, key=lambda s: (s[1], s[2], s[0]))
 
-    @staticmethod
-    def _extend(ids: np.ndarray, here: int, own: np.ndarray, there: int) -> tuple[int, int]:
-        back, ahead = min(here, there), min(len(ids) - here, len(own) - there)
-        left = ids[here - back : here][::-1] != own[there - back : there][::-1]
-        right = ids[here : here + ahead] != own[there : there + ahead]
-        return (
-            here - (int(np.argmax(left)) if left.any() else back),
-            here + (int(np.argmax(right)) if right.any() else ahead),
-        )
+    def _equal(self, ids: np.ndarray, n: int, length: int) -> np.ndarray:
+        """Positions at which a window of item ``n`` begins."""
+        hashes, rows, shared = self.windows(n)
+        made = _runs(ids, length)
+        low = np.searchsorted(hashes, made)
+        here = np.lib.stride_tricks.sliding_window_view(ids, length) if len(made) else np.empty((0, length), ids.dtype)
+        same = np.zeros(len(made), bool)
+        for k in range(shared):
+            at = np.minimum(low + k, len(hashes) - 1)
+            maybe = np.flatnonzero(hashes[at] == made)
+            same[maybe] |= (rows[at[maybe]] == here[maybe]).all(axis=1)
+        return np.flatnonzero(same)
+
+
+def _merged(starts: np.ndarray, before: int, after: int) -> list[tuple[int, int]]:
+    """Stretches covered by ``start + before`` to ``start + after``; ``starts`` ascend."""
+    if not len(starts):
+        return []
+    cut = np.flatnonzero(np.diff(starts) > after - before)
+    first = starts[np.append(0, cut + 1)] + before
+    last = starts[np.append(cut, len(starts) - 1)] + after
+    return list(zip(first.tolist(), last.tolist(), strict=True))
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str, str]]]:
@@ -148,7 +181,7 @@ def contamination(
     block_words: int = BLOCK_WORDS, carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per document: struct ``own`` (doc_id and the ``carry`` columns), ``n_words`` and ``spans``
-    (item, first, last): word positions ``first`` to ``last - 1`` of the document are a maximal run common with the item."""
+    (item, first, last): word positions ``first`` to ``last - 1`` of the document are covered by windows of the item."""
     spark = docs.sparkSession
     ship(spark)
     kept = docs.select(
