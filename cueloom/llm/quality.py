@@ -25,6 +25,12 @@ THRESHOLD = -0.12
 GAP = r"[\x20\x09-\x0D]+"
 
 
+def fixed(df: DataFrame) -> DataFrame:
+    """The same columns, computed here: conditions put on them later are not moved below, where they would be
+    computed again for every element of the arrays they rest on."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def words(text: Column) -> Column:
     """Maximal runs without space and ASCII white space; none for null."""
     return F.coalesce(F.array_remove(F.split(text, GAP), ""), F.array().cast("array<string>"))
@@ -73,7 +79,7 @@ def base_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         covered.cast("long").alias("n_repeat_words"),
     )
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    return counted.withColumn("base_failed", failed)
+    return fixed(counted.withColumn("base_failed", failed))
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -114,7 +120,7 @@ def score_quality(
     total = F.aggregate("grams", F.lit(0.0), lambda acc, b: acc + F.get(F.col("ratio"), b))
     scored = graded.withColumn("score", F.when(F.size("grams") > 0, total / F.size("grams")))
     kept = ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(False))
-    return scored.select(
+    return fixed(scored.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         "score", kept.alias("kept"),
-    )
+    ))
