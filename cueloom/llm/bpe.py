@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from cueloom.llm.unicode_classes import SPACE, byte_symbols, category
+from cueloom.llm.unicode_classes import SPACE, byte_symbols, category, new_characters
 from cueloom.shared import ship
 
 LONG = 200
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 _NONE = 1 << 30
 
 
@@ -57,11 +57,16 @@ class RankBpe:
         self.tokens = [""] * (max([*vocab.values(), *self.special.values()]) + 1)
         for token, number in [*vocab.items(), *self.special.items()]:
             self.tokens[number] = token
+        # Asked of the library once, here, and not by every worker.
+        letters, digits, new = category("L"), category("N"), new_characters()
+        self.word_class = f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{SPACE}{letters}{digits}]+"
+        self.new_class = f"[{new}]" if new else None
+        self.normalizer = json.dumps(definition.get("normalizer"))
         self._cache: dict[str, bytes] = {}
-        self._word = self._mark = None
+        self._word = self._mark = self._new = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_cache": {}, "_word": None, "_mark": None}
+        return self.__dict__ | {"_cache": {}, "_word": None, "_mark": None, "_new": None}
 
     def word(self, word: str) -> list[int]:
         """Ids of one word by the rank array."""
@@ -116,10 +121,8 @@ class RankBpe:
         if not text:
             return b""
         if self._word is None:
-            letters, digits = category("L"), category("N")
-            self._word = re.compile(
-                f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{SPACE}{letters}{digits}]+"
-            ).findall
+            self._word = re.compile(self.word_class).findall
+            self._new = re.compile(self.new_class).search if self.new_class else lambda word: None
             marks = sorted(self.special, key=len, reverse=True)
             self._mark = re.compile("|".join(f"({re.escape(m)})" for m in marks)) if marks else None
         if self._mark is None or not self._mark.search(text):
@@ -140,19 +143,33 @@ class RankBpe:
             pass
         if len(cache) > CACHED_WORDS:
             cache.clear()
-        for w in set(words).difference(cache):
+        unseen = set(words).difference(cache)
+        if any(not w.isascii() and self._new(w) for w in unseen):
+            # Case and composition of characters newer than this Python are the library's to know.
+            words = self._word(_normalized(self.normalizer, text))
+            return b"".join(_packed(self.word(w)) for w in words)
+        for w in unseen:
             cache[w] = _packed(self.word(w))
         return b"".join(map(cache.__getitem__, words))
 
-    def decode(self, ids: bytes | None) -> str:
-        numbers = array.array("I", ids or b"")
-        return " ".join(map(self.tokens.__getitem__, numbers))
+
+def _normalized(normalizer: str, text: str) -> str:
+    from tokenizers import Tokenizer, models
+
+    whole = Tokenizer(models.BPE())
+    definition = json.loads(whole.to_str()) | {"normalizer": json.loads(normalizer)}
+    return Tokenizer.from_str(json.dumps(definition)).normalizer.normalize_str(text)
 
 
 def _packed(ids: list[int]) -> bytes:
     return b"".join(i.to_bytes(4, "little") for i in ids)
 
 
+def joined(tokens: list[str], ids: bytes | None) -> str:
+    """The token strings of packed ids, parted by spaces."""
+    return " ".join(map(tokens.__getitem__, array.array("I", ids or b"")))
+
+
 def load(path: str) -> RankBpe:
     with open(path, encoding="utf-8") as file:
         return RankBpe(json.load(file))
@@ -200,5 +217,5 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
 def decode(ids: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``ids`` with ``text_col``: the token strings joined by spaces."""
     ship(ids.sparkSession)
-    sent = ids.sparkSession.sparkContext.broadcast(load(path))
-    return _mapped(ids, ids_col, text_col, StringType(), lambda packed: _tables(sent).decode(packed))
+    sent = ids.sparkSession.sparkContext.broadcast(load(path).tokens)
+    return _mapped(ids, ids_col, text_col, StringType(), lambda packed: joined(sent.value, packed))

@@ -2,13 +2,16 @@
 
 import itertools
 import random
+import struct
 
 import brute
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from cueloom.llm import chat, components, jaccard, lines, toxicity
+from cueloom.llm import bpe, chat, components, jaccard, lines, token_files, toxicity, winnow
 from cueloom.llm.query_chat import TRAP
 
 
@@ -121,3 +124,47 @@ def test_jaccard_with_tiny_chunks(spark, monkeypatch):
     table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
     got = jaccard.jaccard_components(table).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_ids_of_every_letter_and_number_equal_the_library():
+    """Also of characters newer than this Python: one text around each of them."""
+    import unicodedata
+
+    characters = [c for c in map(chr, range(0x32000)) if unicodedata.category(c) in ("Cn", "Nl", "No", "Nd") and not 0x2FE0 < ord(c) < 0x2FF0]
+    characters += [chr(c) for c in range(0x0, 0x32000, 41) if not 0xD800 <= c <= 0xDFFF]
+    for name, encode in (
+        ("word_bpe_49k.json", bpe.load(public_tokenizers.path("word_bpe_49k.json")).encode),
+        ("byte_bpe_50k.json", token_files.PieceEncoder(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()).encode),
+    ):
+        library = Tokenizer.from_file(public_tokenizers.path(name))
+        for c in characters:
+            text = f"a{c}b 1{c}2 {c}! {c}"
+            ids = encode(text)
+            assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == library.encode(text, add_special_tokens=False).ids, hex(ord(c))
+
+
+def test_winnowing_is_linear_in_repeated_words():
+    """100,000 equal words against an item of as many, and periods of other lengths."""
+    import time
+
+    import numpy as np
+
+    began = time.time()
+    index = winnow.Index([("a", [b"x"] * 100_000), ("b", [b"x", b"y", b"z"] * 500), ("c", [b"x"] * 9)], 8, 13)
+    spans = index.spans(index.number([b"x"] * 100_000))
+    assert sorted(spans) == [(0, 0, 100_000), (2, 0, 100_000)]
+    words = [b"q"] * 20 + [b"z", b"x", b"y"] * 3000 + [b"q"] + [b"x"] * 12
+    assert sorted(index.spans(index.number(words))) == [(1, 20, 9020), (2, 9021, 9033)]
+    assert time.time() - began < 20
+    assert len(index.spans(np.empty(0, np.uint64))) == 0
+
+
+def test_quality_survives_filters(spark):
+    from cueloom.llm import quality
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    made = quality.score_quality(docs, docs.filter("doc_id < 40"), buckets=512)
+    rows = made.collect()
+    for condition in ("kept", "NOT base_failed", "score > 0", "n_repeat_words > 3 AND NOT kept"):
+        assert made.filter(condition).count() == spark.createDataFrame(rows, made.schema).filter(condition).count()
+    assert made.groupBy("kept").count().count() <= 2
