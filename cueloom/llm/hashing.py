@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-_CACHED = 500_000
+_CACHED = 200_000
 _seen: dict[bytes, int] = {}
 
 
