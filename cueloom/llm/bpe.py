@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from cueloom.llm.unicode_classes import SPACE, byte_symbols, category, new_characters
+from cueloom.llm.unicode_classes import SPACE, byte_symbols, category, new_characters, odd
 from cueloom.shared import ship
 
 LONG = 200
@@ -61,12 +61,13 @@ class RankBpe:
         letters, digits, new = category("L"), category("N"), new_characters()
         self.word_class = f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{SPACE}{letters}{digits}]+"
         self.new_class = f"[{new}]" if new else None
+        self.odd = odd()
         self.normalizer = json.dumps(definition.get("normalizer"))
         self._cache: dict[str, bytes] = {}
-        self._word = self._mark = self._new = None
+        self._word = self._quick = self._mark = self._new = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_cache": {}, "_word": None, "_mark": None, "_new": None}
+        return self.__dict__ | {"_cache": {}, "_word": None, "_quick": None, "_mark": None, "_new": None}
 
     def word(self, word: str) -> list[int]:
         """Ids of one word by the rank array."""
@@ -122,6 +123,8 @@ class RankBpe:
             return b""
         if self._word is None:
             self._word = re.compile(self.word_class).findall
+            # The same words in the classes that ``re`` has built in, for texts where those mean the same.
+            self._quick = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+").findall
             self._new = re.compile(self.new_class).search if self.new_class else lambda word: None
             marks = sorted(self.special, key=len, reverse=True)
             self._mark = re.compile("|".join(f"({re.escape(m)})" for m in marks)) if marks else None
@@ -136,7 +139,8 @@ class RankBpe:
     def _plain(self, text: str) -> bytes:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        words, cache = self._word(text.lower()), self._cache
+        low, cache = text.lower(), self._cache
+        words = self._quick(low) if self.odd.isdisjoint(low) else self._word(low)
         try:
             return b"".join(map(cache.__getitem__, words))
         except KeyError:
@@ -144,7 +148,7 @@ class RankBpe:
         if len(cache) > CACHED_WORDS:
             cache.clear()
         unseen = set(words).difference(cache)
-        if any(not w.isascii() and self._new(w) for w in unseen):
+        if any(not w.isprintable() and self._new(w) for w in unseen):
             # Case and composition of characters newer than this Python are the library's to know.
             words = self._word(_normalized(self.normalizer, text))
             return b"".join(_packed(self.word(w)) for w in words)
