@@ -41,6 +41,7 @@ from cueloom.llm.hashing import mix, window_hashes, word_hashes
 from cueloom.shared import pin, ship
 
 CHUNK = 1000  # sets compared with each other in one task
+PART = 500_000  # shingles of a group, or of the sets that ask for it, held at once
 BLOCKS = 3  # hash orders whose least shingle makes a block
 _SEEDS = mix(np.arange(1, BLOCKS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BATCH_KEYS = 2_000_000
@@ -301,7 +302,9 @@ def _unpacked(sets: DataFrame, *keep: str) -> DataFrame:
 
 
 def _across_groups(sets: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): all links between sets (sid, n, tokens) of different groups (sid, grp)."""
+    """(a, b): links between sets (sid, n, tokens) of different groups (sid, grp), one or more for every two
+    groups that have any.  An asking set is sent once to each part of a group it meets, a group being cut into
+    parts of about PART shingles; no pairs of sets are listed."""
     rows = _unpacked(sets.join(groups, "sid"), "sid", "n", "grp").repartition("token")
     matrix = rows.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     held = matrix.groupBy("token").agg(F.count("*").alias("groups")).filter("groups > 1")
@@ -321,33 +324,77 @@ def _across_groups(sets: DataFrame, groups: DataFrame, num: int, den: int) -> Da
     rare = index.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     met = probe.join(rare, "token").filter(
         (F.col("gq") != F.col("grp")) & (F.col("least") <= F.col("nq")) & (F.col("most") * den >= F.col("nq") * num)
-    ).select("q", "nq", "grp").distinct()
+    ).select("q", "nq", "gq", "grp").distinct()
     met = pin(met, "candidates")
-    # The matrix bound: shingles of q in the union of the group.
-    tokens = common.select(F.col("sid").alias("q"), "token")
-    union = common.groupBy("grp", "token").agg(F.lit(1).alias("one")).select("grp", "token")
-    bound = met.join(tokens, "q").join(union, ["grp", "token"]).groupBy("q", "nq", "grp").agg(F.count("*").alias("c"))
-    opened = bound.filter(F.col("c") * den >= F.col("nq") * num).select("q", "grp")
-    pairs = (
-        probe.join(index, "token")
-        .filter((F.col("gq") != F.col("grp")) & (F.col("n") <= F.col("nq")) & (F.col("n") * den >= F.col("nq") * num))
-        .join(opened, ["q", "grp"], "left_semi").select("q", F.col("sid").alias("s")).distinct()
+    weight = sets.select("sid", "n").join(groups, "sid").groupBy("grp").agg(F.sum("n").alias("weight"))
+    parts = met.groupBy("grp").agg(F.sum("nq").alias("asked")).join(weight, "grp").select(
+        "grp", F.ceil(F.col("asked") / PART).alias("asks"), F.ceil(F.col("weight") / PART).alias("holds")
     )
-    left = sets.select(F.col("sid").alias("q"), F.col("tokens").alias("one"))
-    right = sets.select(F.col("sid").alias("s"), F.col("tokens").alias("two"))
+    parts = pin(parts, "parts")
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1))
+    ask = met.join(parts, "grp").select(
+        "grp", every("holds").alias("hold"), F.pmod(F.xxhash64("q"), "asks").alias("ask"), F.col("q").alias("sid"), "gq"
+    ).join(sets.select("sid", "tokens"), "sid")
+    hold = groups.join(parts, "grp").select(
+        "grp", F.pmod(F.xxhash64("sid"), "holds").alias("hold"), every("asks").alias("ask"), "sid", F.col("grp").alias("gq")
+    ).join(sets.select("sid", "tokens"), "sid")
+    key = ["grp", "hold", "ask"]
+    dealt = ask.unionByName(hold).repartition(*key).sortWithinPartitions(*key)
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, part, found = None, [], []
         for batch in batches:
-            one, two = batch.column("one").to_pylist(), batch.column("two").to_pylist()
-            keep = []
-            for a, b in zip(one, two, strict=True):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                met = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(den * met >= num * (len(x) + len(y) - met))
-            yield batch.select(["q", "s"]).filter(pa.array(keep, pa.bool_()))
-
-    checked = pairs.join(left, "q").join(right, "s").select("q", "s", "one", "two")
-    return checked.mapInArrow(verify, "q bigint, s bigint").select(F.col("q").alias("a"), F.col("s").alias("b"))
+            names = np.stack([batch.column(c).to_numpy() for c in key])
+            edge = [0, *(np.flatnonzero((names[:, 1:] != names[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for low, high in zip(edge[:-1], edge[1:], strict=True):
+                if low == high:
+                    continue
+                if part and now != names[:, low].tolist():
+                    found += _open(pa.Table.from_batches(part), num, den)
+                    part = []
+                now = names[:, low].tolist()
+                part.append(batch.slice(low, high - low))
+            yield pa.RecordBatch.from_arrays([pa.array([f[n] for f in found], pa.int64()) for n in (0, 1)], ["a", "b"])
+            found = []
+        if part:
+            found = _open(pa.Table.from_batches(part), num, den)
+            yield pa.RecordBatch.from_arrays([pa.array([f[n] for f in found], pa.int64()) for n in (0, 1)], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
+def _open(part: pa.Table, num: int, den: int) -> list[tuple[int, int]]:
+    """Links (query, least member) between members of a group (gq = grp) and sets of others that ask for it,
+    one for each group of the askers.  The union of the members' shingles bounds an asker's similarity with any
+    of them; the members are opened to those within the bound only."""
+    sids, own = part.column("sid").to_numpy(), part.column("gq").to_numpy()
+    member = own == part.column("grp").to_numpy()
+    tokens = [np.frombuffer(t, np.uint64) for t in part.column("tokens").to_pylist()]
+    members, askers = np.flatnonzero(member), np.flatnonzero(~member)
+    if not len(members) or not len(askers):
+        return []
+    members = members[np.argsort(sids[members], kind="stable")]
+    sizes = np.array([len(tokens[m]) for m in members], np.int64)
+    flat = np.concatenate([tokens[m] for m in members])
+    order = np.argsort(flat, kind="stable")
+    posting = np.repeat(np.arange(len(members)), sizes)[order]
+    union, start = np.unique(flat[order], return_index=True)
+    start = np.append(start, len(flat))
+    links, linked = [], set()
+    for q in askers.tolist():
+        n, group = len(tokens[q]), int(own[q])
+        if group in linked:
+            continue
+        at = np.searchsorted(union, tokens[q])
+        at = at[union[np.minimum(at, len(union) - 1)] == tokens[q]]
+        if den * len(at) < num * n:
+            continue
+        met = np.bincount(np.concatenate([posting[start[t] : start[t + 1]] for t in at.tolist()]), minlength=len(members))
+        hit = np.flatnonzero(den * met >= num * (sizes + n - met))
+        if len(hit):
+            linked.add(group)
+            links.append((int(sids[q]), int(sids[members[hit[0]]])))
+    return links
 
 
 def all_links(sets: DataFrame, num: int, den: int) -> DataFrame:

@@ -104,6 +104,7 @@ def test_components(spark, seed):
 def test_jaccard_with_tiny_chunks(spark, monkeypatch):
     """Groups far larger than a chunk, chains of near copies, and copies."""
     monkeypatch.setattr(jaccard, "CHUNK", 4)
+    monkeypatch.setattr(jaccard, "PART", 60)
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
     base = [word() for _ in range(60)]

@@ -39,6 +39,7 @@ def groups(roots):
 def test_links_across_chunks(spark, monkeypatch):
     """One block of 40 sets in chunks of 4: chains of sets, each linked with its neighbours only."""
     monkeypatch.setattr(jaccard, "CHUNK", 4)
+    monkeypatch.setattr(jaccard, "PART", 60)
     sets = {100 * c + k: set(range(1000 * c + 2 * k, 1000 * c + 2 * k + 20)) for c in range(4) for k in range(10)}
     rows = [(s, 1, bytearray(np.array(sorted(own), np.uint64).tobytes())) for s, own in sets.items()]
     table = spark.createDataFrame(rows, "sid long, block long, tokens binary")
@@ -55,6 +56,7 @@ def test_passages_in_small_chunks(spark, monkeypatch):
     docs = frame(spark, texts)
     whole = {tuple(map(str, r)) for r in paragraphs.repeated_passages(docs).collect()}
     monkeypatch.setattr(jaccard, "CHUNK", 4)
+    monkeypatch.setattr(jaccard, "PART", 60)
     assert {tuple(map(str, r)) for r in paragraphs.repeated_passages(docs).collect()} == whole
 
 
