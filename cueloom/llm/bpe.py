@@ -34,6 +34,7 @@ from cueloom.shared import ship
 
 LONG = 200
 CACHED_WORDS = 300_000
+SLICE = 500  # rows whose results are held at once
 _NONE = 1 << 30
 
 
@@ -201,10 +202,12 @@ def _mapped(df: DataFrame, source: str, name: str, kind, apply) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = pa.array(map(apply, batch.column("__source").to_pylist()), arrow)
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in keep], made.cast(narrow)], names=[*keep, name]
-            )
+            for low in range(0, batch.num_rows, SLICE):
+                part = batch.slice(low, SLICE)
+                made = pa.array(map(apply, part.column("__source").to_pylist()), arrow)
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(c) for c in keep], made.cast(narrow)], names=[*keep, name]
+                )
 
     fed = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{source}`").alias("__source"))
     return fed.mapInArrow(run, _with(df, name, kind))
