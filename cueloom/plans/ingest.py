@@ -117,6 +117,28 @@ def srt_sink(spark, sf):
     return files.parse_srt(raw, ["episode_id"])
 
 
+_FIT = "n_lex > 0 AND n_lex % 7 <> 0 AND NOT {}"
+_BLANK = r"(text, '\r|(^|\n)\s*(\n|$)')"
+
+
+@query("src12_exact_sink", "WITH " + t.CUE_SQL + f" SELECT episode_id, row_number() OVER (PARTITION BY episode_id ORDER BY cue_id) AS cue_id, {_LINE} AS ts_line, text FROM cue WHERE " + _FIT.format("regexp_matches" + _BLANK))
+def exact_sink(spark, sf):
+    """Every seventh length left out, the rest renumbered, written, and taken from the files."""
+    fit = t.cue(spark, sf).filter(files.unwritable(*map(F.col, ("episode_id", "start_ms", "end_ms", "text"))).isNull() & F.expr("n_lex > 0 AND n_lex % 7 <> 0"))
+    held = files.write_srt_exact(fit, fresh_path(spark, "srt"), "episode_id", ["cue_id"])
+    return held.select("episode_id", "cue_id", "ts_line", "text")
+
+
+@query("src2_id_sequence", "WITH " + t.CUE_SQL + " SELECT episode_id, row_number() OVER (PARTITION BY episode_id ORDER BY cue_id) AS ordinal, cue_id, row_number() OVER (PARTITION BY episode_id ORDER BY cue_id) = cue_id AS in_sequence FROM cue WHERE " + _FIT.format("regexp_matches" + _BLANK))
+def id_sequence(spark, sf):
+    """Files whose numbers have gaps: every record with its place and whether its number is that place."""
+    path = fresh_path(spark, "srt")
+    fit = t.cue(spark, sf).filter(files.unwritable(*map(F.col, ("episode_id", "start_ms", "end_ms", "text"))).isNull() & F.expr("n_lex > 0 AND n_lex % 7 <> 0"))
+    files.write_srt(fit, path, "episode_id", "cue_id")
+    held = files.read_srt_positions(spark, path, ["episode_id"])
+    return held.select(F.col("episode_id").cast("bigint").alias("episode_id"), "ordinal", "cue_id", (F.col("cue_id") == F.col("ordinal")).alias("in_sequence"))
+
+
 @query("src14_bundle_digest", """SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'digest_differs' ELSE 'ok' END AS verdict, CAST(octet_length(encode(text)) AS BIGINT) AS bytes,
   CAST(length(text) AS BIGINT) AS chars, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS BIGINT) AS lines FROM documents""")
 def bundle_digest(spark, sf):
