@@ -5,10 +5,11 @@ ordered *blocks*; a block is what one task sorts.  Running values cross blocks t
 summary with one row per (key, block), so a key holding a third of all rows is spread over
 many tasks and the result is still exact.
 
-Two ways to cut blocks:
+Ways to cut blocks:
 
 * ``dense_blocks``: the order column is a unique integer, so ``id div width`` bounds a block
   by ``width`` rows.  No extra job.
+* ``key_blocks``: the same, but keys of few rows stay whole.
 * ``range_blocks``: any order columns.  Rows are range-partitioned on (keys, order), the
   partition number is the block, and the table is pinned so that the number cannot change
   when a lost task is run again.
@@ -33,6 +34,18 @@ def dense_blocks(df: DataFrame, position: str, width: int = WIDTH) -> DataFrame:
     return df.withColumn(BLOCK, F.expr(f"`{position}` div {width}"))
 
 
+def key_blocks(df: DataFrame, keys: Sequence[str], position: str, width: int = WIDTH) -> DataFrame:
+    """``dense_blocks`` for keys whose rows lie far apart: only a key of more than ``width`` rows is cut, into
+    stretches of its own positions that hold ``width`` rows on average.  Blocks then are in proportion to rows,
+    not to keys times blocks."""
+    sized = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(position).alias("_lo"), F.max(position).alias("_hi"))
+    span = f"greatest({width}L, (_hi - _lo) div ((_n + {width - 1}) div {width}) + 1)"
+    wide = sized.filter(f"_n > {width}").select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.expr(span).alias("_span"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    block = F.when(F.col("_span").isNull(), 0).otherwise(F.expr(f"`{position}` div _span")).cast("bigint")
+    return df.join(wide, same, "left").select(*df.columns, block.alias(BLOCK))
+
+
 def range_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """``order`` must end in a column that makes (keys, order) unique."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

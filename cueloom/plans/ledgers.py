@@ -189,7 +189,7 @@ FROM st WHERE k > 0 GROUP BY 1""")
 def issue_cycles(spark, sf):
     """Diagnosis, precheck and repair cycles of each issue, with its history of states."""
     log = t.telemetry(spark, sf).filter("attempt IS NOT NULL").select("user_id", "event_id", F.expr(_EVENT).alias("ev"))
-    states = ledger.issue_states(ordered.dense_blocks(log, "event_id"), ["user_id"], ["event_id"], "ev")
+    states = ledger.issue_states(ordered.key_blocks(log, ["user_id"], "event_id"), ["user_id"], ["event_id"], "ev")
     final = F.max_by("state", "event_id")
     # A history has the changes only: a state is left at most as often as repairs and rechecks allow it to be entered.
     path = F.array_sort(F.collect_list(F.when(F.col("changed") == 1, F.struct("event_id", "state"))))

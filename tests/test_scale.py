@@ -18,3 +18,17 @@ def test_parts_do_not_carry_their_text(spark, tmp_path):
     parts = PLANS["val11_exact_parts"](spark, sf)
     assert {tuple(r) for r in parts.collect()} == {(1, 4, True), (3, 2, False), (11, 1, True), (5, 1, True), (6, 4, False), (8, 5001, True)}
     assert "Generate" not in parts._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_follow_the_rows_of_a_key(spark):
+    """Keys of few rows are one block however far apart these lie; longer ones are cut."""
+    from cueloom.operators import ledger, ordered
+
+    rows = [(k, 1000 * i + k, "issue" if i % 2 else "persists") for k in range(20) for i in range(6)]
+    rows += [(99, 7 * i, ["issue", "persists", "repair", "resolved"][i % 4]) for i in range(100)] + [(None, 5, "issue"), (None, None, "issue")]
+    log = spark.createDataFrame(rows, "k long, no long, ev string")
+    cut = ordered.key_blocks(log, ["k"], "no", 10)
+    blocks = {r.k: (r.n, r.most) for r in cut.groupBy("k", "_block").count().groupBy("k").agg(F.count("*").alias("n"), F.max("count").alias("most")).collect()}
+    assert blocks == {**{k: (1, 6) for k in range(20)}, 99: (10, 10), None: (1, 2)}
+    states = lambda df: sorted(map(tuple, ledger.issue_states(df.filter("k IS NOT NULL"), ["k"], ["no"], "ev").collect()))
+    assert states(cut) == states(ordered.dense_blocks(log, "no", 10**6))
