@@ -59,36 +59,52 @@ def stage_telemetry(events: DataFrame, width: str = "1 day") -> DataFrame:
 def flag_changes(events: DataFrame) -> DataFrame:
     """Repeated flags as changes, so that events may come in any order and as late as they like.
 
-    State is kept for BLOCK event ids of a user: which ids are flags and which are changes.  Each call
-    sends what its events change, flag by flag (+1 or -1), and the block's edges under a new version.
+    State is kept for BLOCK event ids, whoever their users are: which ids are flags and which are changes, so states
+    are in proportion to events however many users there are.  Each call sends what its events change, flag by flag
+    (+1 or -1), and the edges of each of its users inside the block under a new version.
     """
 
+    def flagged(users: np.ndarray, nobody: np.ndarray, ids: np.ndarray, errors: np.ndarray) -> set[tuple]:
+        hit = errors[1:] & errors[:-1] & (users[1:] == users[:-1]) & (nobody[1:] == nobody[:-1])
+        return set(zip(users[1:][hit].tolist(), nobody[1:][hit].tolist(), ids[1:][hit].tolist(), strict=True))
+
     def follow(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        version, ids, errors = 0, np.empty(0, np.int64), np.empty(0, bool)
+        kinds = (np.int64, bool, np.int64, bool)  # user, without a user, event id, error
+        version, held = 0, [np.empty(0, kind) for kind in kinds]
         if state.exists:
-            version, held, kinds = state.get
-            ids, errors = np.frombuffer(held, np.int64), np.frombuffer(kinds, bool)
-        before = set(ids[1:][errors[1:] & errors[:-1]].tolist())
+            version, *packed = state.get
+            held = [np.frombuffer(column, kind) for column, kind in zip(packed, kinds, strict=True)]
+        before = flagged(*held)
         rows = pd.concat(parts)
-        ids = np.concatenate([ids, rows["event_id"].to_numpy(np.int64)])
-        errors = np.concatenate([errors, (rows["event_type"] == "error").to_numpy(bool)])
-        order = np.argsort(ids, kind="stable")
-        ids, errors = ids[order], errors[order]
-        after = set(ids[1:][errors[1:] & errors[:-1]].tolist())
-        state.update((version + 1, ids.tobytes(), errors.tobytes()))
-        changes = [(i, 1) for i in sorted(after - before)] + [(i, -1) for i in sorted(before - after)]
-        rows = [(*key, i, sign, None, None, None) for i, sign in changes]
-        rows.append((*key, int(ids[0]), 0, version + 1, bool(errors[0]), bool(errors[-1])))
-        frame = pd.DataFrame(rows, columns=["user_id", "block", "event_id", "sign", "version", "first", "last"])
+        new = [
+            rows["who"].to_numpy(np.int64), rows["nobody"].to_numpy(bool), rows["event_id"].to_numpy(np.int64),
+            (rows["event_type"] == "error").to_numpy(bool),
+        ]
+        touched = set(zip(new[0].tolist(), new[1].tolist(), strict=True))
+        held = [np.concatenate(both) for both in zip(held, new, strict=True)]
+        order = np.lexsort((held[2], held[0], held[1]))
+        users, nobody, ids, errors = held = [column[order] for column in held]
+        after = flagged(*held)
+        state.update((version + 1, *(column.tobytes() for column in held)))
+        out = [(u, n, key[0], i, 1, None, None, None) for u, n, i in sorted(after - before)]
+        out += [(u, n, key[0], i, -1, None, None, None) for u, n, i in sorted(before - after)]
+        opens = np.flatnonzero(np.append(True, (users[1:] != users[:-1]) | (nobody[1:] != nobody[:-1])))
+        for first, last in zip(opens, np.append(opens[1:], len(ids)) - 1, strict=True):
+            who = (int(users[first]), bool(nobody[first]))
+            if who in touched:
+                out.append((*who, key[0], int(ids[first]), 0, version + 1, bool(errors[first]), bool(errors[last])))
+        frame = pd.DataFrame(out, columns=["who", "nobody", "block", "event_id", "sign", "version", "first", "last"])
         yield frame.astype({"version": "Int64", "first": "boolean", "last": "boolean"})
 
     marks = events.filter("event_type IN ('error', 'click')").select(
-        "user_id", F.floor(F.col("event_id") / BLOCK).alias("block"), "event_id", "event_type"
+        F.floor(F.col("event_id") / BLOCK).alias("block"), F.coalesce("user_id", F.lit(0)).cast("bigint").alias("who"),
+        F.col("user_id").isNull().alias("nobody"), "event_id", "event_type",
     )
-    return marks.groupBy("user_id", "block").applyInPandasWithState(
-        follow, "user_id long, block long, event_id long, sign int, version long, first boolean, last boolean",
-        "version long, ids binary, errors binary", "append", GroupStateTimeout.NoTimeout,
+    changes = marks.groupBy("block").applyInPandasWithState(
+        follow, "who long, nobody boolean, block long, event_id long, sign int, version long, first boolean, last boolean",
+        "version long, who binary, nobody binary, ids binary, errors binary", "append", GroupStateTimeout.NoTimeout,
     )
+    return changes.select(F.when(~F.col("nobody"), F.col("who")).alias("user_id"), "block", "event_id", "sign", "version", "first", "last")
 
 
 def repeated_flags(changes: DataFrame) -> DataFrame:

@@ -32,3 +32,31 @@ def test_blocks_follow_the_rows_of_a_key(spark):
     assert blocks == {**{k: (1, 6) for k in range(20)}, 99: (10, 10), None: (1, 2)}
     states = lambda df: sorted(map(tuple, ledger.issue_states(df.filter("k IS NOT NULL"), ["k"], ["no"], "ev").collect()))
     assert states(cut) == states(ordered.dense_blocks(log, "no", 10**6))
+
+
+def states_and_rows(spark, tmp_path, job, rows, files):
+    """Rows in the state store and the drained changes, after files in turn."""
+    from cueloom.streaming import jobs
+
+    schema = "event_id long, user_id long, event_type string, value double"
+    for k in range(files):
+        part = spark.createDataFrame(rows[k::files], schema).withColumn("ts", F.timestamp_seconds("event_id"))
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    root = f"file://{tmp_path}/job"
+    out = jobs.drain(job(jobs.event_stream(spark, f"{tmp_path}/in/", files=1)), "t", root)
+    return spark.read.format("statestore").load(f"{root}/state").count(), out
+
+
+def test_flags_of_many_users_are_few_states(spark, tmp_path, monkeypatch):
+    from cueloom.streaming import jobs
+
+    monkeypatch.setattr(jobs, "BLOCK", 100)
+    rows = [(i, None if i % 41 == 0 else i * 7 % 40, "error" if i % 3 else "click", 0.0) for i in range(300)]
+    states, changes = states_and_rows(spark, tmp_path, jobs.flag_changes, rows, 3)
+    assert states == 3  # one of a user and block would be over a hundred
+    last, want = {}, set()
+    for i, user, kind, _ in rows:
+        if kind == "error" and last.get(user) == "error":
+            want.add((user, i))
+        last[user] = kind
+    assert {tuple(r) for r in jobs.repeated_flags(changes).collect()} == want
