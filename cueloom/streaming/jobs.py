@@ -13,6 +13,9 @@ from cueloom.shared import fresh_path
 
 DELAY = "1 day"
 BLOCK = 32768  # event ids whose flags are one state
+USERS = 1024  # user ids whose attempts of one type are one state
+UNKNOWN, NONE = -1, -2  # outcome of an attempt that has none; no such attempt
+LAST = 2**63 - 1
 
 
 def event_stream(spark: SparkSession, source: str, files: int = 64) -> DataFrame:
@@ -157,29 +160,53 @@ def budget_job(events: DataFrame, budget: int, root: str | None = None) -> DataF
 def attempt_changes(events: DataFrame) -> DataFrame:
     """Resumable ledger as changes: what a key's two earliest attempts are, whenever that changes.
 
-    The state of a key is those two attempts (event id and outcome), so a finished key costs nothing more and
-    late attempts with earlier ids still count.  It lives in the stream's checkpoint.
+    What is known of a key are those two attempts (event id and outcome), so a finished key costs nothing more and
+    late attempts with earlier ids still count.  The keys of USERS user ids and one event type are one state, which
+    lives in the stream's checkpoint.
     """
+    held_as = {"who": np.int64, "version": np.int64, "first": np.int64, "first_ok": np.int8, "second": np.int64, "second_ok": np.int8}
+
+    def earliest(attempts: pd.DataFrame) -> pd.DataFrame:
+        return attempts.sort_values("event_id", kind="stable").groupby("who").head(2)
 
     def follow(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        version, first, first_ok, second, second_ok = state.get if state.exists else (0, None, None, None, None)
-        known = [(i, ok) for i, ok in ((first, first_ok), (second, second_ok)) if i is not None]
-        best = list(known)
+        packed = state.get if state.exists else [b""] * len(held_as)
+        held = pd.DataFrame({c: np.frombuffer(p, kind) for p, (c, kind) in zip(packed, held_as.items(), strict=True)})
+        new = None
         for rows in parts:
-            earliest = rows.nsmallest(2, "event_id")
-            best = sorted({*best, *zip(earliest["event_id"].tolist(), earliest["ok"].tolist(), strict=True)})[:2]
-        if best != known:
-            (first, first_ok), (second, second_ok) = [*best, (None, None)][:2]
-            state.update((version + 1, first, first_ok, second, second_ok))
-            frame = pd.DataFrame([(*key, version + 1, first_ok, second_ok)], columns=["user_id", "event_type", "version", "first_ok", "second_ok"])
-            yield frame.astype({"first_ok": "boolean", "second_ok": "boolean"})
-
+            new = earliest(rows if new is None else pd.concat([new, rows]))
+        known = [held[["who", n, f"{n}_ok"]].set_axis(["who", "event_id", "ok"], axis=1) for n in ("first", "second")]
+        known = [k[k["ok"] != NONE] for k in known]
+        columns = ["who", "event_id", "ok"]
+        best = pd.concat([*known, new[columns]]).astype({"event_id": np.int64, "ok": np.int8}).drop_duplicates().sort_values(columns)
+        at = best.groupby("who").cumcount()
+        first, second = (best[at == n].set_index("who") for n in (0, 1))
+        now = pd.DataFrame({
+            "first": first["event_id"], "first_ok": first["ok"],
+            "second": second["event_id"].reindex(first.index, fill_value=0), "second_ok": second["ok"].reindex(first.index, fill_value=NONE),
+        })
+        was = held.set_index("who").reindex(now.index, fill_value=0)
+        changed = (was["version"] == 0) | (now != was[now.columns]).any(axis=1)
+        now.insert(0, "version", was["version"] + changed)
+        if changed.any():
+            kept = now.reset_index()
+            state.update(tuple(kept[c].to_numpy(kind).tobytes() for c, kind in held_as.items()))
+            out = kept[changed.to_numpy()].assign(block=key[0], event_type=key[1])
+            yield out[["block", "who", "event_type", "version", "first_ok", "second_ok"]].astype({"block": "Int64"})
+
+    # Outcomes as 1, 0 and UNKNOWN; an attempt without an id comes after all others.
     attempts = events.select(
-        "user_id", "event_type", "event_id", F.expr("cast(round(value * 100) as bigint) % 3 <> 0").alias("ok")
+        F.floor(F.col("user_id") / USERS).alias("block"), F.coalesce("user_id", F.lit(0)).cast("bigint").alias("who"), "event_type",
+        F.coalesce("event_id", F.lit(LAST)).cast("bigint").alias("event_id"),
+        F.coalesce(F.expr("cast(round(value * 100) as bigint) % 3 <> 0").cast("int"), F.lit(UNKNOWN)).alias("ok"),
+    )
+    changes = attempts.groupBy("block", "event_type").applyInPandasWithState(
+        follow, "block long, who long, event_type string, version long, first_ok int, second_ok int",
+        ", ".join(f"{c} binary" for c in held_as), "append", GroupStateTimeout.NoTimeout,
     )
-    return attempts.groupBy("user_id", "event_type").applyInPandasWithState(
-        follow, "user_id long, event_type string, version long, first_ok boolean, second_ok boolean",
-        "version long, first long, first_ok boolean, second long, second_ok boolean", "append", GroupStateTimeout.NoTimeout,
+    outcome = lambda c: F.when(F.col(c) >= 0, F.col(c) == 1).alias(c)
+    return changes.select(
+        F.when(F.col("block").isNotNull(), F.col("who")).alias("user_id"), "event_type", "version", outcome("first_ok"), outcome("second_ok")
     )
 
 

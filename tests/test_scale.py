@@ -60,3 +60,18 @@ def test_flags_of_many_users_are_few_states(spark, tmp_path, monkeypatch):
             want.add((user, i))
         last[user] = kind
     assert {tuple(r) for r in jobs.repeated_flags(changes).collect()} == want
+
+
+def test_attempts_of_many_users_are_few_states(spark, tmp_path, monkeypatch):
+    from cueloom.streaming import jobs
+
+    monkeypatch.setattr(jobs, "USERS", 50)
+    rows = [(i, None if i % 29 == 0 else i * 7 % 90, "ab"[i % 2], None if i % 31 == 0 else i % 9 / 100) for i in range(300)]
+    states, changes = states_and_rows(spark, tmp_path, jobs.attempt_changes, rows, 3)
+    assert states == 6  # two types of the users under 50, the others, and events without a user
+    want = {}
+    for key in {(u, e) for _, u, e, _ in rows}:
+        ok = [None if v is None else round(v * 100) % 3 != 0 for _, u, e, v in rows if (u, e) == key][:2]
+        second = ok[1] if len(ok) > 1 else None
+        want[key] = "done" if ok[0] else "recovered" if second else "failed" if second is False else "pending"
+    assert {(r.user_id, r.event_type): r.state for r in jobs.request_ledger(changes).collect()} == want
