@@ -5,16 +5,15 @@ an arc of cost ``UNKNOWN`` that reads as itself.  The path of least cost wins; a
 that is known, then the longer one.  A word may begin and end anywhere between kana and ideographs, but does
 not cut a run of other letters or of numerals; unknown characters of one run make one word.
 
-The table goes to the workers in blocks of bounded size.  A block turns a text into an array of arcs, and the
-path is taken over the arcs of all blocks, so a text is one row throughout and is shuffled only for a table of
-several blocks.
+The table goes to the workers in blocks of bounded size.  With one block the path is taken where the arcs are
+found.  Of several, each turns a text into an array of arcs, and the path is taken over the arcs of all blocks; a
+text is one row throughout and is shuffled only for a table of several blocks.
 """
 
 from __future__ import annotations
 
-import functools
 from collections import defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import regex
@@ -23,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from cueloom.functions import text as tx
 from cueloom.operators.dictionary import ATOM, lowered
-from cueloom.shared import pin
+from cueloom.shared import by_size, pin
 
 #: Characters of surfaces and readings in one block.
 BLOCK_CHARS = 4_000_000
@@ -70,16 +69,16 @@ class Table:
         return found
 
 
-def cheapest(text: str, arcs: list[dict]) -> list[tuple[str, str, bool, int]]:
+def cheapest(text: str, arcs: list[tuple[int, int, int, str]]) -> list[tuple[str, str, bool, int]]:
     """(surface, reading, known, start) along the cheapest path, filled in from the end of the text."""
     leaving = defaultdict(list)
     for arc in arcs:
-        leaving[arc["start"]].append(arc)
+        leaving[arc[0]].append(arc)
     total, step = [0] * (len(text) + 1), [None] * len(text)
     for at in range(len(text) - 1, -1, -1):
         best, step[at] = (total[at + 1] + UNKNOWN, 1, -1), None
         for arc in leaving.get(at, ()):
-            rank = (total[arc["end"]] + arc["cost"], 0, at - arc["end"])
+            rank = (total[arc[1]] + arc[2], 0, at - arc[1])
             if rank < best:
                 best, step[at] = rank, arc
         total[at] = best[0]
@@ -88,43 +87,47 @@ def cheapest(text: str, arcs: list[dict]) -> list[tuple[str, str, bool, int]]:
     while at < len(text):
         arc, end = step[at], at + 1
         if arc is not None:
-            end = arc["end"]
+            end = arc[1]
         else:
             while end < len(text) and step[end] is None and run[end] == run[at]:
                 end += 1
-        words.append((text[at:end], low[at:end] if arc is None else arc["reading"], arc is not None, at))
+        words.append((text[at:end], low[at:end] if arc is None else arc[3], arc is not None, at))
         at = end
     return words
 
 
-@functools.cache
-def _path():
-    kind = to_arrow_schema(T.StructType().add("w", T._parse_datatype_string(WORDS))).field("w").type
-    names = [f.name for f in kind.value_type]
+def _made(df: DataFrame, keep: Sequence[str], out: str, kind: str, make: Callable[[], Callable[..., list | None]], *given: str) -> DataFrame:
+    """``keep`` and ``out`` (structs of type ``kind``), made row by row from the columns ``given``, a text first.
 
-    def path(text: pa.Array, arcs: pa.Array) -> pa.Array:
-        rows = zip(text, arcs, strict=True)
-        made = [None if not t.is_valid else [dict(zip(names, w, strict=True)) for w in cheapest(t.as_py(), a.as_py() or [])] for t, a in rows]
-        return pa.array(made, kind)
+    Texts of some thousand characters are done at a time, as a text makes many times its size in Python objects.
+    """
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(out, T._parse_datatype_string(kind))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target, made = to_arrow_schema(schema), make()
+        names = [f.name for f in target.field(out).type.value_type]
+        for batch in (some for whole in batches for some in by_size(whole, len(keep))):
+            rows = (made(*(v.as_py() for v in values)) for values in zip(*batch.columns[len(keep) :], strict=True))
+            cells = pa.array([row if row is None else [dict(zip(names, r, strict=True)) for r in row] for row in rows], target.field(out).type)
+            columns = [*batch.columns[: len(keep)], cells]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, target, strict=True)], schema=target)
 
-    return F.arrow_udf(path, WORDS)
+    return df.select(*keep, *[F.col(c).alias(f"_given_{c}") for c in given]).mapInArrow(run, schema)
+
+
+def _table_of(block: DataFrame) -> Callable[[], Table]:
+    sent = block.sparkSession.sparkContext.broadcast(block.select("surface", "cost", "reading").toArrow())
+    return lambda: Table(*(sent.value[c].to_pylist() for c in ("surface", "cost", "reading")))
 
 
 def _with_arcs(df: DataFrame, text: str, block: DataFrame, keep: Sequence[str]) -> DataFrame:
-    sent = df.sparkSession.sparkContext.broadcast(block.select("surface", "cost", "reading").toArrow())
-    fields = [*(df.schema[c] for c in keep), T.StructField("_arcs", T.ArrayType(T._parse_datatype_string(ARC)))]
-    schema = T.StructType(fields)
+    table = _table_of(block)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Table(*(sent.value[c].to_pylist() for c in ("surface", "cost", "reading")))
-        target = to_arrow_schema(schema)
-        names = [f.name for f in target.field("_arcs").type.value_type]
-        for batch in batches:
-            arcs = [[dict(zip(names, a, strict=True)) for a in known.arcs(t.as_py() or "")] for t in batch.column(batch.num_columns - 1)]
-            columns = [*batch.columns[:-1], pa.array(arcs, target.field("_arcs").type)]
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, target, strict=True)], schema=target)
+    def make():
+        known = table()
+        return lambda t: known.arcs(t or "")
 
-    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return _made(df, keep, "_arcs", f"array<{ARC}>", make, text)
 
 
 def read_words(df: DataFrame, text: str, table: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -140,19 +143,27 @@ def read_words(df: DataFrame, text: str, table: DataFrame, keep: Sequence[str])
     lexicon = pin(one.select("surface", "_r.cost", "_r.reading"), "readings")
     size = lexicon.agg(F.sum(F.char_length("surface") + F.char_length("reading") + 16)).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_CHARS))
-    wanted = list(dict.fromkeys([*keep, text]))
     if blocks == 1:
-        found = _with_arcs(df, text, lexicon, wanted)
-    else:
-        numbered = pin(df.select(*wanted, F.monotonically_increasing_id().alias("_row")), "texts")
-        parts = None
-        for block in range(blocks):
-            own = lexicon.filter(F.pmod(F.xxhash64("surface"), F.lit(blocks)) == block)
-            part = _with_arcs(numbered, text, own, ["_row"]).filter("size(_arcs) > 0")
-            parts = part if parts is None else parts.unionByName(part)
-        whole = parts.groupBy("_row").agg(F.flatten(F.collect_list("_arcs")).alias("_arcs"))
-        found = numbered.join(whole, "_row", "left")
-    return found.select(*keep, _path()(F.col(text), F.col("_arcs")).alias("words"))
+        table_of = _table_of(lexicon)
+
+        def whole():
+            known = table_of()
+            return lambda t: None if t is None else cheapest(t, known.arcs(t))
+
+        return _made(df, keep, "words", WORDS, whole, text)
+    wanted = list(dict.fromkeys([*keep, text]))
+    numbered = pin(df.select(*wanted, F.monotonically_increasing_id().alias("_row")), "texts")
+    parts = None
+    for block in range(blocks):
+        own = lexicon.filter(F.pmod(F.xxhash64("surface"), F.lit(blocks)) == block)
+        part = _with_arcs(numbered, text, own, ["_row"]).filter("size(_arcs) > 0")
+        parts = part if parts is None else parts.unionByName(part)
+    arcs = parts.groupBy("_row").agg(F.flatten(F.collect_list("_arcs")).alias("_arcs"))
+
+    def path():
+        return lambda t, a: None if t is None else cheapest(t, [tuple(arc.values()) for arc in a or []])
+
+    return _made(numbered.join(arcs, "_row", "left"), keep, "words", WORDS, path, text, "_arcs")
 
 
 def reading_of(words: Column | str) -> Column:
@@ -181,5 +192,10 @@ def homophone_notes(lines: DataFrame, titles: DataFrame, text: str, work: str, k
 
 def spelling_conflict(left: Column, right: Column, left_words: Column, right_words: Column) -> Column:
     """Same reading, but other ideographs, both sides having some."""
+    return reading_conflict(left, right, reading_of(left_words), reading_of(right_words))
+
+
+def reading_conflict(left: Column, right: Column, left_reading: Column, right_reading: Column) -> Column:
+    """``spelling_conflict`` of readings already taken."""
     a, b = tx.han_only(left), tx.han_only(right)
-    return (reading_of(left_words) == reading_of(right_words)) & (a != "") & (b != "") & (a != b)
+    return (left_reading == right_reading) & (a != "") & (b != "") & (a != b)

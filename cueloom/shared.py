@@ -6,7 +6,10 @@ import pathlib
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _local_fallback: dict[str, str] = {}
@@ -32,6 +35,28 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(str(packed))
 
 
+def by_size(batch: pa.RecordBatch, column: int, limit: int = 65_536) -> Iterator[pa.RecordBatch]:
+    """A batch in stretches whose texts in ``column`` have ``limit`` bytes together, or one row if that has more.
+
+    What a worker makes of a text may be many times its size; so it holds that of one stretch, not of a batch.
+    """
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    start, held = 0, 0
+    for at, size in enumerate(sizes):
+        if at > start and held + size > limit:
+            yield batch.slice(start, at - start)
+            start, held = at, 0
+        held += size
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
+def in_pieces(made: Callable[..., pa.Array], *columns: pa.Array, rows: int = 64) -> pa.Array:
+    """``made`` of a few rows at a time; only Arrow data is held for a whole batch."""
+    pieces = [made(*(c.slice(at, rows) for c in columns)) for at in range(0, max(1, len(columns[0])), rows)]
+    return pa.concat_arrays(pieces)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session.
 

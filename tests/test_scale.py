@@ -75,3 +75,30 @@ def test_attempts_of_many_users_are_few_states(spark, tmp_path, monkeypatch):
         second = ok[1] if len(ok) > 1 else None
         want[key] = "done" if ok[0] else "recovered" if second else "failed" if second is False else "pending"
     assert {(r.user_id, r.event_type): r.state for r in jobs.request_ledger(changes).collect()} == want
+
+
+def test_batches_are_taken_in_stretches(monkeypatch):
+    """A worker makes the words and places of some texts at a time, not of a batch."""
+    import pyarrow as pa
+
+    from cueloom import shared
+
+    batch = pa.RecordBatch.from_pydict({"k": list(range(7)), "t": ["a" * 40, None, "b" * 70, "", "c" * 300, "d", "é" * 60]})
+    cut = [b.column(0).to_pylist() for b in shared.by_size(batch, 1, 100)]
+    assert cut == [[0, 1], [2, 3], [4], [5], [6]]
+    assert list(shared.by_size(batch.slice(0, 0), 1)) == []
+    seen = []
+    double = lambda a: (seen.append(len(a)), pa.array([2 * v for v in a.to_pylist()], pa.int64()))[1]
+    assert shared.in_pieces(double, batch.column(0), rows=3).to_pylist() == [0, 2, 4, 6, 8, 10, 12] and seen == [3, 3, 1]
+    assert shared.in_pieces(double, batch.column(0).slice(0, 0)).to_pylist() == []
+
+
+def test_words_are_made_where_their_arcs_are(spark):
+    """With one block of readings no arcs leave the worker, and the first side of a conflict goes on as its reading."""
+    from cueloom.operators import readings
+
+    words = spark.createDataFrame([("山", "やま", 1), ("山川", "さんせん", 1)], "surface string, reading string, cost long")
+    read = readings.read_words(spark.createDataFrame([(1, "山川山")], "k long, t string"), "t", words, ["k"])
+    assert [w.reading for w in read.first().words] == ["さんせん", "やま"]
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "_arcs" not in plan and "ArrowEvalPython" not in plan
