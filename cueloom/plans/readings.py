@@ -104,7 +104,8 @@ def ideograph_conflict(spark, sf):
     other = F.when(F.col("cue_id") % 4 == 2, F.translate(F.lower("source"), "lc", "rk")).otherwise(F.col("source"))
     both = t.pair(spark, sf).select("episode_id", "cue_id", written("source").alias("a"), written(other).alias("b"))
     keep = ["episode_id", "cue_id", "a", "b"]
-    left = readings.read_words(both, "a", table, keep).withColumnRenamed("words", "a_words")
-    read = readings.read_words(left, "b", table, [*keep, "a_words"])
-    conflict = readings.spelling_conflict(F.col("a"), F.col("b"), F.col("a_words"), F.col("words"))
+    # The first side goes on as its reading: its words would be many times the text.
+    left = readings.read_words(both, "a", table, keep).select(*keep, readings.reading_of("words").alias("a_reading"))
+    read = readings.read_words(left, "b", table, [*keep, "a_reading"])
+    conflict = readings.reading_conflict(F.col("a"), F.col("b"), F.col("a_reading"), readings.reading_of("words"))
     return read.select("episode_id", "cue_id", conflict.alias("conflict"))
