@@ -7,7 +7,8 @@ ideographs or before a particle of the other kana is found.  Of names inside eac
 
 The lexicon is cut into blocks of bounded size, each sent to the workers by itself; a block knows, for every
 first atom, the lengths of the names that begin with it.  A text makes one row whatever it holds: its places are an
-array, so nothing is shuffled to find them unless the lexicon has several blocks.
+array, so nothing is shuffled to find them unless the lexicon has several blocks.  A worker holds the places of
+some texts of a batch at a time.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
-from cueloom.shared import pin
+from cueloom.shared import by_size, in_pieces, pin
 
 #: Characters of names in one block.
 BLOCK_CHARS = 4_000_000
@@ -108,7 +109,7 @@ def _outer():
             out.append(kept)
         return pa.array(out, pa.list_(pa.int32()))
 
-    return F.arrow_udf(outer, "array<int>")
+    return F.arrow_udf(lambda *columns: in_pieces(outer, *columns), "array<int>")
 
 
 def _outermost(places: str) -> Column:
@@ -150,7 +151,7 @@ def _placed(df: DataFrame, text: str, names: DataFrame, keep: Sequence[str]) ->
         table = sent.value.combine_chunks()
         known = Lexicon(table["surface"].to_pylist())
         target = to_arrow_schema(schema)
-        for batch in batches:
+        for batch in (some for whole in batches for some in by_size(whole, whole.num_columns - 1)):
             offsets, rows = [0], []
             for value in batch.column(batch.num_columns - 1):
                 rows += known.places(value.as_py())
@@ -198,7 +199,7 @@ def _put():
         kinds = (pa.string(), pa.list_(pa.string()), pa.list_(pa.string()))
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["marked", "markers", "surfaces"])
 
-    return F.arrow_udf(put, CUT)
+    return F.arrow_udf(lambda *columns: in_pieces(put, *columns), CUT)
 
 
 def marked(df: DataFrame, text: str, names: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -227,4 +228,4 @@ def restored():
         kinds = (pa.string(), pa.bool_(), pa.int64())
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["restored", "exact", "markers"])
 
-    return F.arrow_udf(back, RESTORED)
+    return F.arrow_udf(lambda *columns: in_pieces(back, *columns), RESTORED)
