@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cueloom.functions import text as tx, timecode as tc
 from cueloom.operators import consensus, ordered, rules
 from cueloom.plans.registry import query
+from cueloom.shared import pin
 from cueloom.sources import tables as t
 
 _POOLS = """pools AS (SELECT episode_id, owner_id, observer, pool_ord, pos, sha256(text) AS text_sha, length(text) AS n_chars, 'pool' AS origin
@@ -99,7 +100,7 @@ def consensus_repetition(spark, sf):
 def support_grade(spark, sf):
     """Support of each window's chosen reading; the choice joins back on the bounded window key."""
     usable = t.observation(spark, sf).filter("status = 'ok'").select("owner_id", "pos", "text")
-    chosen = consensus.choose_reading(usable, ["owner_id"], "pos").select("owner_id", "chosen")
+    chosen = pin(consensus.choose_reading(usable, ["owner_id"], "pos").select("owner_id", "chosen"), "chosen")
     return consensus.support_grade(usable.join(chosen, "owner_id"), ["owner_id"], "pos", "chosen")
 
 

@@ -102,3 +102,24 @@ def test_words_are_made_where_their_arcs_are(spark):
     assert [w.reading for w in read.first().words] == ["さんせん", "やま"]
     plan = read._jdf.queryExecution().executedPlan().toString()
     assert "_arcs" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_support_counts_pairs_with_the_chosen_only(spark):
+    from cueloom.operators import consensus
+
+    rows = [(1, 1, 2, "abcab"), (1, 2, 2, "abca"), (1, 3, 2, "xyz"), (1, 4, 2, "a"), (2, 5, 5, "ab")]
+    df = spark.createDataFrame(rows, "w long, id long, c long, _c string")
+    some = consensus._shared_bigrams(df, ["w"], "id", "c")
+    assert {tuple(r) for r in some.collect()} == {(1, 1, 2, 3), (1, 3, 2, 0), (1, 4, 2, 0)}
+    every = {tuple(r) for r in consensus._shared_bigrams(df, ["w"], "id").collect()}
+    assert len(every) == 12 and {(1, 1, 2, 3), (1, 2, 1, 3)} <= every
+
+
+def test_choice_does_not_join_texts(spark):
+    """Lengths stand for texts once bigrams are counted; texts too short for one are compared themselves."""
+    from cueloom.operators import consensus
+
+    rows = [(1, 1, "あ"), (1, 2, "あ"), (1, 3, "い"), (2, 1, "abcdef"), (2, 2, "abcdxx"), (3, 1, "")]
+    chosen = consensus.choose_reading(spark.createDataFrame(rows, "w long, id long, text string"), ["w"], "id")
+    assert {r.w: (r.chosen, r.score) for r in chosen.collect()} == {1: (1, 850_000), 2: (1, 600_000), 3: (1, 0)}
+    assert "MapInPandas" not in (plan := chosen._jdf.queryExecution().optimizedPlan().toString()) and "FlatMapGroups" not in plan
