@@ -189,8 +189,8 @@ SPEAKER = r"^\s*([^\s：:]{1,15})\s*[：:]\s*"
 
 def script_sentences(text: Column) -> Column:
     """Spoken sentences of a script: no stage lines, no speaker names."""
-    lines = F.filter(F.split(text, r"\r\n|\n|\r"), lambda s: (strip(s) != "") & ~strip(s).rlike(STAGE_ONLY))
-    spoken = F.transform(lines, lambda s: F.regexp_replace(strip(s), SPEAKER, ""))
+    lines = F.filter(F.transform(F.split(text, r"\r\n|\n|\r"), strip), lambda s: (s != "") & ~s.rlike(STAGE_ONLY))
+    spoken = F.transform(lines, lambda s: F.regexp_replace(s, SPEAKER, ""))
     parts = F.flatten(
         F.transform(spoken, lambda s: F.split(s, r"(?<=[。！？!?…])(?![。！？!?…])"))
     )

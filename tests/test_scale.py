@@ -135,3 +135,10 @@ def test_characters_of_a_text_are_no_rows(spark):
         got.setdefault(r.k, []).append(r.part)
     assert got == {1: ["One, two. ", "Three! … ", "Four"], 4: ["a. ", "b. ", "c."], 5: ["。あ。", "い"]}
     assert parts._jdf.queryExecution().optimizedPlan().toString().count("Generate posexplode") == 1
+
+
+def test_script_lines_are_stripped_once(spark):
+    from cueloom.functions import text as tx
+
+    trims = lambda c: str(c).lower().count("trim") + str(c).lower().count("regexp_replace")
+    assert trims(tx.script_sentences(F.col("t"))) <= 2 * trims(tx.strip(F.col("t"))) + 1
