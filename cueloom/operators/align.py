@@ -4,70 +4,138 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from cueloom.operators import ordered
 from cueloom.operators.segments import State, fold
-from cueloom.shared import pin
+from cueloom.shared import pin, ship
 
 MATCH, EQUIVALENT, CONTAINED = 600_000, 920_000, 930_000  # fixed values, in millionths
 JITTER, REACH, MAX_RUN = 5, 80, 4  # fixed values: window around the last accepted sentence
+#: Texts and bigrams in a block, tokens counted at once.
+CELL, CELL_TOKENS, CHUNK = 1024, 500_000, 4096
 
 
 def bigram_list(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("(?s)(?=(..))"), F.lit(1))
 
 
-def profiles(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Distinct numbered bigrams per text: the n-th copy of a bigram is a token of its own.
+def numbered(owner: np.ndarray, points: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, token) of all bigrams of texts laid end to end; ``gaps`` marks places where a text ends.
 
-    Multiset intersection then is plain set intersection.
+    The n-th copy of a bigram in an owner is a token of its own, so multiset intersection is plain set
+    intersection.  Two code points and the copy number are packed in one integer: exact, and cheap to compare.
     """
-    grams = df.select(key, F.explode(bigram_list(F.col(text))).alias("_g")).groupBy(key, "_g").agg(F.count("*").alias("_n"))
-    # Two code points and the copy number packed in one long: exact, and cheap to intersect.
-    packed = "shiftleft(cast(ascii(_g) AS bigint), 42) + shiftleft(cast(ascii(substring(_g, 2, 1)) AS bigint), 21)"
-    return grams.select(key, F.explode(F.expr(f"transform(sequence(1L, _n), i -> {packed} + i)")).alias("token"))
+    grams = (points[:-1].astype(np.int64) << 42) + (points[1:].astype(np.int64) << 21)
+    own, grams = owner[:-1][~gaps[:-1]], grams[~gaps[:-1]]
+    order = np.lexsort((grams, own))
+    own, grams = own[order], grams[order]
+    fresh = np.ones(len(own), bool)
+    fresh[1:] = (own[1:] != own[:-1]) | (grams[1:] != grams[:-1])
+    at = np.arange(len(own))
+    return own, grams + (at - np.maximum.accumulate(np.where(fresh, at, 0))) + 1
+
+
+def _tokens(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    parts = [(i, text) for i, own in enumerate(texts) for text in own if text]
+    if not parts:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    points = np.frombuffer("".join(text for _, text in parts).encode("utf-32-le", "surrogatepass"), "<u4")
+    sizes = np.array([len(text) for _, text in parts])
+    gaps = np.zeros(len(points), bool)
+    gaps[np.cumsum(sizes) - 1] = True
+    return numbered(np.repeat([i for i, _ in parts], sizes), points, gaps)
+
+
+def _shared(a: tuple[np.ndarray, np.ndarray], n: int, b: tuple[np.ndarray, np.ndarray], m: int) -> np.ndarray:
+    """n x m numbers of common tokens, some thousand tokens at a time."""
+    out = np.zeros((n, m), np.int64)
+    common = np.intersect1d(a[1], b[1])
+    sides = []
+    for (owner, token), rows in ((a, n), (b, m)):
+        at = np.searchsorted(common, token)
+        held = (at < len(common)) & (common[np.minimum(at, len(common) - 1)] == token) if len(common) else np.zeros(len(token), bool)
+        order = np.argsort(at[held], kind="stable")
+        sides.append((owner[held][order], at[held][order], rows))
+    for low in range(0, len(common), CHUNK):
+        dense = []
+        for owner, at, rows in sides:
+            first, last = np.searchsorted(at, (low, low + CHUNK))
+            part = np.zeros((rows, min(CHUNK, len(common) - low)), np.float32)
+            part[owner[first:last], at[first:last] - low] = 1
+            dense.append(part)
+        out += (dense[0] @ dense[1].T).astype(np.int64)
+    return out
 
 
-def dice_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, text: str) -> DataFrame:
-    """All pairs with Dice of at least 0.6, exact, without comparing all pairs.
+def _edges() -> list[int]:
+    """Least sizes of classes in which the largest size is less than 5/4 of the least, for all sizes of a text."""
+    edges = [1]
+    while edges[-1] < 1 << 31:
+        edges.append(max(edges[-1] + 1, edges[-1] * 5 // 4))
+    return edges
+
 
-    A text of n tokens shares at least o = ceil(3n/7) of them with any match.  With l = max(1, o/4),
-    the n - o + l rarest tokens of both sides then share at least the smaller l, so only those
-    are joined and a pair below that count is never looked at.  Equal texts must be collapsed
-    by the caller.
+def _blocks(df: DataFrame, key: str, text: str, tag: str) -> tuple[DataFrame, DataFrame]:
+    """Texts with their block, and the blocks with their least and largest size.
+
+    A block holds texts of about one size, ``CELL`` of them and ``CELL_TOKENS`` bigrams on average.
     """
-    a, b = pin(profiles(left, left_key, text), "grams"), pin(profiles(right, right_key, text), "grams")
-    weight = a.select("token").unionAll(b.select("token")).groupBy("token").agg(F.count("*").alias("_df"))
-
-    def rare(side: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-        line = Window.partitionBy(key)
-        ranked = side.join(weight, "token").withColumns(
-            {"_size": F.count("*").over(line), "_at": F.row_number().over(line.orderBy("_df", "token"))}
-        )
-        ranked = ranked.withColumn("_o", F.expr("(3 * _size + 6) div 7")).withColumn("_l", F.expr("greatest(1L, _o div 4)"))
-        prefix = ranked.filter("_at <= _size - _o + _l").select(
-            key, "token", F.col("_size").alias(f"_n_{key}"), F.col("_l").alias(f"_l_{key}")
-        )
-        sets = side.groupBy(key).agg(F.collect_list("token").alias(f"_t_{key}"))
-        return prefix, sets
-
-    (pa, sa), (pb, sb) = rare(a, left_key), rare(b, right_key)
-    na, nb = F.col(f"_n_{left_key}"), F.col(f"_n_{right_key}")
-    met = pa.join(pb, "token").filter((na * 3 <= nb * 7) & (nb * 3 <= na * 7))
-    few = F.least(F.first(f"_l_{left_key}"), F.first(f"_l_{right_key}"))
-    near = met.groupBy(left_key, right_key).agg(F.count("*").alias("_met"), few.alias("_few")).filter("_met >= _few")
-    # Verification is heavy per row, so it is spread by count, not by size.
-    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = near.select(left_key, right_key).repartition(parts, left_key)
-    both = near.join(sa, left_key).join(sb, right_key)
-    ta, tb = F.col(f"_t_{left_key}"), F.col(f"_t_{right_key}")
-    shared = F.size(F.array_intersect(ta, tb)).cast("bigint")
-    sized = both.select(
-        left_key, right_key, shared.alias("shared"), F.size(ta).cast("bigint").alias("left_size"),
-        F.size(tb).cast("bigint").alias("right_size"),
+    sized = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.collect_list(text).alias(f"_t_{tag}")).withColumn(
+        "_size", F.expr(f"aggregate(_t_{tag}, 0L, (n, t) -> n + greatest(0, char_length(t) - 1))")
+    ).filter("_size > 0")
+    edges = F.array(*[F.lit(e).cast("bigint") for e in _edges()])
+    classed = pin(sized.withColumn("_class", F.size(F.filter(edges, lambda e: e <= F.col("_size")))), "texts")
+    cuts = classed.groupBy("_class").agg(
+        F.expr(f"greatest((count(*) + {CELL - 1}) div {CELL}, (sum(_size) + {CELL_TOKENS - 1}) div {CELL_TOKENS})").alias("_cuts"),
+        F.min("_size").alias(f"_lo_{tag}"), F.max("_size").alias(f"_hi_{tag}"),
+    )
+    name = F.struct("_class", F.pmod(F.xxhash64(key), F.col("_cuts")).alias("_part")).alias(f"_b_{tag}")
+    texts = classed.join(F.broadcast(cuts.select("_class", "_cuts")), "_class").select(name, F.col(key), f"_t_{tag}")
+    blocks = cuts.withColumn("_part", F.explode(F.expr("sequence(0L, _cuts - 1)"))).select(
+        F.struct("_class", "_part").alias(f"_b_{tag}"), f"_lo_{tag}", f"_hi_{tag}"
     )
-    return sized.withColumn("dice", F.expr("2000000 * shared div (left_size + right_size)")).filter(f"dice >= {MATCH}")
+    return texts, blocks
+
+
+def dice_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, text: str) -> DataFrame:
+    """All pairs with Dice of at least 0.6, exact.
+
+    Both sides are cut into blocks of texts of about one size.  Sizes of a pair differ by less than 7/3, so only
+    blocks that hold such sizes make a cell; a cell counts the common bigrams of all its pairs in one matrix
+    product.  Only pairs that match become rows.  Cells are of bounded size, however many texts there are.
+    Equal texts must be collapsed by the caller.
+    """
+    ship(left.sparkSession)
+    (ta, ba), (tb, bb) = _blocks(left, left_key, text, "a"), _blocks(right, right_key, text, "b")
+    cells = ba.join(bb, F.expr("3 * _lo_a <= 7 * _hi_b AND 3 * _lo_b <= 7 * _hi_a")).select("_b_a", "_b_b")
+    sides = [
+        texts.join(cells, block).select("_b_a", "_b_b", F.col(key), F.col(own))
+        for texts, block, key, own in ((ta, "_b_a", left_key, "_t_a"), (tb, "_b_b", right_key, "_t_b"))
+    ]
+    kinds = [left.schema[left_key].dataType, right.schema[right_key].dataType]
+    schema = T.StructType([
+        T.StructField(left_key, kinds[0]), T.StructField(right_key, kinds[1]),
+        *[T.StructField(c, T.LongType()) for c in ("shared", "left_size", "right_size", "dice")],
+    ])
+    target = to_arrow_schema(schema)
+
+    def cell(a: pa.Table, b: pa.Table) -> pa.Table:
+        n, m = a.num_rows, b.num_rows
+        own, other = _tokens(a["_t_a"].to_pylist()), _tokens(b["_t_b"].to_pylist())
+        sizes, sizes_b = np.bincount(own[0], minlength=n), np.bincount(other[0], minlength=m)
+        shared = _shared(own, n, other, m)
+        dice = 2_000_000 * shared // (sizes[:, None] + sizes_b[None, :])
+        i, k = np.nonzero(dice >= MATCH)
+        columns = [a[left_key].combine_chunks().take(pa.array(i)), b[right_key].combine_chunks().take(pa.array(k))]
+        columns += [pa.array(c, pa.int64()) for c in (shared[i, k], sizes[i], sizes_b[k], dice[i, k])]
+        return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, target, strict=True)], schema=target)
+
+    by = ["_b_a", "_b_b"]
+    return sides[0].groupBy(*by).cogroup(sides[1].groupBy(*by)).applyInArrow(cell, schema)
 
 
 def match_status(exact: Column) -> Column:

@@ -80,31 +80,30 @@ sc AS (SELECT p.c, p.idx, p.span, shared, length(p.c) - 1 AS ls, length(r.c) - 1
 
 
 def _scored(spark, sf):
-    """Distinct lines against runs of script sentences; copies of a line are compared once."""
+    """Distinct lines against runs of script sentences; copies of a line or a run are compared once."""
     marked = t.table(spark, sf, "benchmark").select("item_id", F.posexplode(tx.sentences(F.replace("text", F.lit("."), F.lit("。")))).alias("n", "s"))
     placed = ordered.dense_rank_positions(marked, [], ["item_id", "n"], "idx")
     sentences = placed.select("item_id", "idx", tx.compact(F.col("s"), normalise=False).alias("c"))
-    runs = align.sentence_runs(sentences, "item_id", "idx", "c").withColumn("run_id", F.col("idx") * 10 + F.col("span"))
+    runs = align.sentence_runs(sentences, "item_id", "idx", "c").withColumn("run_sha", F.sha2("run", 256))
     lines = t.table(spark, sf, "conversations").select(tx.compact(F.col("text"), normalise=False).alias("c")).distinct()
     left = lines.withColumn("line", F.sha2("c", 256))
-    right = runs.select("run_id", F.col("run").alias("c"))
-    pairs = align.dice_join(left, right, "line", "run_id", "c")
-    return pairs.withColumns({"idx": F.expr("run_id div 10"), "span": F.expr("cast(run_id % 10 as int)")}), left, right
+    right = runs.select("run_sha", F.col("run").alias("c")).distinct()
+    pairs = align.dice_join(left, right, "line", "run_sha", "c")
+    return pairs.join(runs.select("run_sha", "idx", "span"), "run_sha")
 
 
 @query("jn11_script_dice", "WITH " + _SCRIPT + """
 SELECT sha256(c) AS line, idx, CAST(span AS INT) AS span, CAST(dice AS BIGINT) AS dice, CASE WHEN c = rc OR dice >= 920000 OR 1000000 * shared // ls >= 930000 OR 1000000 * shared // rs >= 930000 THEN 'high' ELSE 'mismatch' END AS status
 FROM sc WHERE dice >= 600000""")
 def script_dice(spark, sf):
-    pairs, _, right = _scored(spark, sf)
-    named = pairs.join(right.withColumn("rsha", F.sha2("c", 256)).drop("c"), "run_id")
-    return named.select("line", "idx", "span", "dice", align.match_status(F.col("line") == F.col("rsha")).alias("status"))
+    pairs = _scored(spark, sf)
+    return pairs.select("line", "idx", "span", "dice", align.match_status(F.col("line") == F.col("run_sha")).alias("status"))
 
 
 @query("jn11_monotone_anchors")
 def monotone_anchors(spark, sf):
     """Per conversation the anchors that keep (nearly) increasing script order."""
-    pairs, _, _ = _scored(spark, sf)
+    pairs = _scored(spark, sf)
     rows = t.table(spark, sf, "conversations").select(
         F.col("conv_id").alias("episode_id"), (F.col("turn") + 1).alias("cue_id"),
         F.sha2(tx.compact(F.col("text"), normalise=False), 256).alias("line"),
