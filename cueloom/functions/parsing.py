@@ -59,20 +59,24 @@ NO_ITEMS = ("无", "无。", "（无）", "(无)", "none", "None", "无可疑行
 
 
 def comments(df: DataFrame, ids: Sequence[str], answer: str, max_line: str, limit: int = 160) -> DataFrame:
-    """``line: note`` items of a critic answer; ``in_range`` is false for foreign line numbers."""
-    lines = df.select(*ids, max_line, F.posexplode(F.split(answer, r"\r\n|\n|\r")).alias("at", "_raw"))
-    item = tx.strip(F.regexp_replace("_raw", BULLET, ""))
-    rows = lines.withColumn("_item", item).filter((F.col("_item") != "") & ~F.col("_item").isin(*NO_ITEMS))
-    colon = F.col("_item").rlike(COMMENT)
-    rows = rows.filter(colon | F.col("_item").rlike(BRACKET)).select(
-        *ids, max_line, "at",
-        F.when(colon, F.regexp_extract("_item", COMMENT, 1)).otherwise(F.regexp_extract("_item", BRACKET, 1))
-        .try_cast("bigint").alias("line"),
-        tx.clip(
-            F.when(colon, F.regexp_extract("_item", COMMENT, 2)).otherwise(F.regexp_extract("_item", BRACKET, 2)), limit
-        ).alias("note"),
-    )
-    return rows.filter("note <> ''").select(*ids, "at", "line", "note", F.coalesce(F.col("line").between(1, F.col(max_line)), F.lit(False)).alias("in_range"))
+    """``line: note`` items of a critic answer; ``in_range`` is false for foreign line numbers.
+
+    Lines are read inside their array, step by step: as columns, the steps would be put into one another and every
+    pattern tried again wherever its result is used.
+    """
+    def shaped(s: Column, i: Column) -> Column:
+        return F.struct(i.alias("at"), tx.strip(F.regexp_replace(s, BULLET, "")).alias("item"))
+
+    def read(x: Column) -> Column:
+        part = lambda i: F.when(x["colon"], F.regexp_extract(x["item"], COMMENT, i)).otherwise(F.regexp_extract(x["item"], BRACKET, i))
+        return F.struct(x["at"].alias("at"), part(1).try_cast("bigint").alias("line"), tx.strip(part(2)).alias("note"))
+
+    items = F.filter(F.transform(F.split(answer, r"\r\n|\n|\r"), shaped), lambda x: (x["item"] != "") & ~x["item"].isin(*NO_ITEMS))
+    seen = F.transform(items, lambda x: F.struct(x["at"].alias("at"), x["item"].alias("item"), x["item"].rlike(COMMENT).alias("colon")))
+    notes = F.transform(F.filter(seen, lambda x: x["colon"] | x["item"].rlike(BRACKET)), read)
+    rows = df.select(*ids, max_line, F.inline(F.filter(notes, lambda x: x["note"] != "")))
+    note = F.when(F.length("note") <= limit, F.col("note")).otherwise(F.concat(F.substring("note", 1, limit - 1), F.lit("…")))
+    return rows.select(*ids, "at", "line", note.alias("note"), F.coalesce(F.col("line").between(1, F.col(max_line)), F.lit(False)).alias("in_range"))
 
 
 def json_rejection(text: Column) -> Column:

@@ -24,7 +24,8 @@ SPACE = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
+    """Without white space at both ends; a pattern would be tried at every space of the text."""
+    return F.btrim(text, F.lit(SPACES))
 
 
 def lexical(text: Column) -> Column:
