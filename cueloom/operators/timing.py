@@ -133,12 +133,15 @@ def repair(units: DataFrame, ids: Sequence[str], at: str, text: str, span: tuple
     characters implausible are flagged ``failed`` and keep their times.
     """
     lo, hi = span
-    whole = Window.partitionBy(*ids)
-    line = whole.orderBy(at)
+    # One order of all units and one back suffice: a run's values are carried along from its first and last unit.
+    line = Window.partitionBy(*ids).orderBy(at)
+    first, here, last = Window.unboundedPreceding, Window.currentRow, Window.unboundedFollowing
+    whole, upto = line.rowsBetween(first, last), line.rowsBetween(first, here)
+    back = Window.partitionBy(*ids).orderBy(F.desc(at)).rowsBetween(first, here)
     lex = tx.lexical_count(F.col(text))
     dur = F.col("end_ms") - F.col("start_ms")
-    rows = units.withColumn("_lex", lex).withColumn(
-        "_bad", (F.col("_lex") > 0) & (dur < CHAR_FLOOR * F.col("_lex") - QUANTUM)
+    rows = units.withColumn("_lex", lex).withColumns(
+        {"_bad": (F.col("_lex") > 0) & (dur < CHAR_FLOOR * F.col("_lex") - QUANTUM), "_w": F.greatest(F.lit(1), "_lex")}
     )
     bad_lex = F.sum(F.when(F.col("_bad"), F.col("_lex")).otherwise(0)).over(whole)
     rows = rows.withColumns(
@@ -146,16 +149,20 @@ def repair(units: DataFrame, ids: Sequence[str], at: str, text: str, span: tuple
             "failed": bad_lex * 2 > F.greatest(F.lit(1), F.sum("_lex").over(whole)),
             "_run": F.sum(F.when(F.col("_bad") != F.coalesce(F.lag("_bad").over(line), ~F.col("_bad")), 1).otherwise(0)).over(line),
             "_prev_end": F.lag("end_ms").over(line), "_next_start": F.lead("start_ms").over(line),
-            "_w": F.greatest(F.lit(1), "_lex"),
+            "_rows_w": F.sum("_w").over(upto), "_line_w": F.sum("_w").over(line),
         }
     )
-    run = Window.partitionBy(*ids, "_run")
-    inner = run.orderBy(at)
+    opens = ~F.col("_run").eqNullSafe(F.lag("_run").over(line))
+    closes = ~F.col("_run").eqNullSafe(F.lead("_run").over(line))
+    rows = rows.withColumns({"_opens": opens, "_closes": closes, "_low": F.max(F.struct("_run", -F.col("start_ms"))).over(upto)["col2"]})
+    head = F.struct((F.col("_rows_w") - F.col("_w")).alias("w"), F.col("_prev_end").alias("end"))
+    tail = F.struct(F.col("_rows_w").alias("w"), F.col("_next_start").alias("start"), (-F.col("_low")).alias("s"), F.col("end_ms").alias("e"))
+    rows = rows.withColumn("_head", F.last(F.when(F.col("_opens"), head), True).over(upto))
+    rows = rows.withColumn("_tail", F.last(F.when(F.col("_closes"), tail), True).over(back))
     rows = rows.withColumns(
         {
-            "_chars": F.sum("_w").over(run), "_upto": F.sum("_w").over(inner),
-            "_before": F.min_by("_prev_end", at).over(run), "_after": F.max_by("_next_start", at).over(run),
-            "_s": F.min("start_ms").over(run), "_e": F.max_by("end_ms", at).over(run),
+            "_chars": F.col("_tail.w") - F.col("_head.w"), "_upto": F.col("_line_w") - F.col("_head.w"),
+            "_before": F.col("_head.end"), "_after": F.col("_tail.start"), "_s": F.col("_tail.s"), "_e": F.col("_tail.e"),
         }
     ).withColumn("_need", F.col("_chars") * REPAIR_PER_CHAR)
     left = F.coalesce(F.col("_before"), F.greatest(F.col(lo), F.coalesce(F.col("_after") - F.col("_need"), F.col(lo))))

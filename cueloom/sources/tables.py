@@ -242,16 +242,16 @@ def token(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.filter(F.split(F.replace("text", F.lit("."), F.lit("。")), r"\s+"), lambda w: w != "")
     rows = cue(spark, sf_dir).select(
         "episode_id", "cue_id", "start_ms", "end_ms", F.posexplode(words).alias("at", "text")
-    )
-    one = Window.partitionBy("episode_id", "cue_id")
-    sized = rows.withColumn("n", F.length("text")).withColumns(
-        {"upto": F.sum("n").over(one.orderBy("at")), "tot": F.sum("n").over(one)}
-    )
+    ).withColumn("tok", (F.col("at") + 1).cast("bigint")).drop("at")
+    # Ordered by the number that goes out, so that users of that order need not sort again.
+    one = Window.partitionBy("episode_id", "cue_id").orderBy("tok")
+    whole = one.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sized = rows.withColumn("n", F.length("text")).withColumns({"upto": F.sum("n").over(one), "tot": F.sum("n").over(whole)})
     begin = F.expr("start_ms + (end_ms - start_ms) * (upto - n) div tot")
     finish = F.expr("start_ms + (end_ms - start_ms) * upto div tot")
     return sized.select(
-        "episode_id", "cue_id", (F.col("at") + 1).cast("bigint").alias("tok"), "text",
-        begin.alias("start_ms"), F.when(F.col("at") % 5 == 3, begin + 20).otherwise(finish).alias("end_ms"),
+        "episode_id", "cue_id", "tok", "text",
+        begin.alias("start_ms"), F.when(F.col("tok") % 5 == 4, begin + 20).otherwise(finish).alias("end_ms"),
         F.col("start_ms").alias("cue_start"), F.col("end_ms").alias("cue_end"),
     )
 
