@@ -137,7 +137,7 @@ def repair(units: DataFrame, ids: Sequence[str], at: str, text: str, span: tuple
     line = Window.partitionBy(*ids).orderBy(at)
     first, here, last = Window.unboundedPreceding, Window.currentRow, Window.unboundedFollowing
     whole, upto = line.rowsBetween(first, last), line.rowsBetween(first, here)
-    back = Window.partitionBy(*ids).orderBy(F.desc(at)).rowsBetween(first, here)
+    back = Window.partitionBy(*ids).orderBy(F.desc(at))  # units of one place see each other
     lex = tx.lexical_count(F.col(text))
     dur = F.col("end_ms") - F.col("start_ms")
     rows = units.withColumn("_lex", lex).withColumns(
@@ -155,14 +155,17 @@ def repair(units: DataFrame, ids: Sequence[str], at: str, text: str, span: tuple
     opens = ~F.col("_run").eqNullSafe(F.lag("_run").over(line))
     closes = ~F.col("_run").eqNullSafe(F.lead("_run").over(line))
     rows = rows.withColumns({"_opens": opens, "_closes": closes, "_low": F.max(F.struct("_run", -F.col("start_ms"))).over(upto)["col2"]})
-    head = F.struct((F.col("_rows_w") - F.col("_w")).alias("w"), F.col("_prev_end").alias("end"))
+    head = F.struct((F.col("_rows_w") - F.col("_w")).alias("w"), F.col(at).alias("at"))
     tail = F.struct(F.col("_rows_w").alias("w"), F.col("_next_start").alias("start"), (-F.col("_low")).alias("s"), F.col("end_ms").alias("e"))
     rows = rows.withColumn("_head", F.last(F.when(F.col("_opens"), head), True).over(upto))
+    # Of several units at a run's first place, the last one's neighbour counts.
+    before = F.when(F.col(at).eqNullSafe(F.col("_head.at")), F.struct(F.col("_prev_end").alias("end")))
+    rows = rows.withColumn("_lead_in", F.last(before, True).over(line))
     rows = rows.withColumn("_tail", F.last(F.when(F.col("_closes"), tail), True).over(back))
     rows = rows.withColumns(
         {
             "_chars": F.col("_tail.w") - F.col("_head.w"), "_upto": F.col("_line_w") - F.col("_head.w"),
-            "_before": F.col("_head.end"), "_after": F.col("_tail.start"), "_s": F.col("_tail.s"), "_e": F.col("_tail.e"),
+            "_before": F.col("_lead_in.end"), "_after": F.col("_tail.start"), "_s": F.col("_tail.s"), "_e": F.col("_tail.e"),
         }
     ).withColumn("_need", F.col("_chars") * REPAIR_PER_CHAR)
     left = F.coalesce(F.col("_before"), F.greatest(F.col(lo), F.coalesce(F.col("_after") - F.col("_need"), F.col(lo))))
