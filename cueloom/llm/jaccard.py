@@ -44,7 +44,7 @@ CHUNK = 1000  # sets compared with each other in one task
 PART = 500_000  # shingles of a group, or of the sets that ask for it, held at once
 BLOCKS = 3  # hash orders whose least shingle makes a block
 _SEEDS = mix(np.arange(1, BLOCKS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BATCH_KEYS = 2_000_000
+_BATCH_KEYS = 500_000  # pairs a worker sorts at once, some 100 bytes each
 _MANY = np.uint32(0xFFFFFFFF)
 
 

@@ -15,14 +15,19 @@ from pyspark.sql import DataFrame, SparkSession
 _local_fallback: dict[str, str] = {}
 _made: list[str] = []
 _shipped: set[str] = set()
+#: What goes to a Python worker at once, unless the session says otherwise.  Both sides hold a batch several times,
+#: and 64 MB, Spark's own limit, in every core leave little of an executor beside its heap.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application.
+    """Send this package to the Python workers, once per application, and bound the batches they get.
 
     Worker functions call helpers of the package; a session started from another folder, or on a
     cluster, has no other way to import them.
     """
+    if spark.conf.get(BATCH_BYTES[0], None) is None:
+        spark.conf.set(*BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
