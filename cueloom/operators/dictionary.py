@@ -6,7 +6,8 @@ an atom begins and ends with it, so ``Ann`` is not in ``Anna`` nor ``ハル`` in
 ideographs or before a particle of the other kana is found.  Of names inside each other the longest stays.
 
 The lexicon is cut into blocks of bounded size, each sent to the workers by itself; a block knows, for every
-first atom, the lengths of the names that begin with it.  A text makes one row whatever it holds: its places are an
+first atom, the lengths of the names that begin with it, and compares a text with them only where a hash of its next
+characters is one of a name's beginning.  A text makes one row whatever it holds: its places are an
 array, so nothing is shuffled to find them unless the lexicon has several blocks.  A worker holds the places of
 some texts of a batch at a time.
 """
@@ -14,9 +15,10 @@ some texts of a batch at a time.
 from __future__ import annotations
 
 import functools
-from collections import Counter, defaultdict
-from collections.abc import Iterator, Sequence
+from collections import defaultdict
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -38,15 +40,73 @@ def lowered(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
+#: Kinds of characters; runs of a kind make one atom but for ideographs and what is no letter or numeral.
+_OTHER, _KATAKANA, _HIRAGANA, _HAN, _LETTER, _NUMERAL, _HAN_NUMERAL = range(7)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+@functools.cache
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """Kind of every code point, and whether Python calls it a letter."""
+    every = "".join(map(chr, range(0x110000)))
+    kinds = np.zeros(len(every), np.uint8)
+    for kind, own in (
+        (_NUMERAL, r"\p{N}+"), (_LETTER, r"\p{L}+"), (_HAN, r"\p{Han}+"), (_HAN_NUMERAL, r"(?V1)[\p{Han}&&\p{N}]+"),
+        (_HIRAGANA, r"\p{Hiragana}+"), (_KATAKANA, r"[\p{Katakana}ー]+"),
+    ):
+        for run in regex.finditer(own, every):
+            kinds[run.start() : run.end()] = kind
+    return kinds, np.fromiter(map(str.isalpha, every), bool, len(every))
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def _atom_starts(text: str, kinds: np.ndarray) -> np.ndarray:
+    """Where the atoms of a text begin."""
+    if (kinds == _HAN_NUMERAL).any():  # part of a run of numerals, else an ideograph
+        return np.array([m.start() for m in ATOM.finditer(text)], np.int64)
+    begins = np.ones(len(kinds), bool)
+    begins[1:] = (kinds[1:] != kinds[:-1]) | (kinds[1:] == _HAN) | (kinds[1:] == _OTHER)
+    return np.flatnonzero(begins)
+
+
+def _beginnings(codes: np.ndarray, sizes: Iterable[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """Hashes of the 1, 2, 4 and 8 characters from each place on, for those of the ``sizes``, in increasing order."""
+    hashed, size = codes.astype(np.uint64) * _MIX, 1
+    for wanted in sorted(sizes):
+        while size < wanted:
+            hashed = hashed[:-size] * _MIX + hashed[size:] if len(hashed) > size else hashed[:0]
+            hashed, size = (hashed ^ (hashed >> np.uint64(29))) * _MIX, 2 * size
+        yield wanted, hashed
+
+
 class Lexicon:
-    """Names by first atom and length."""
+    """Names by first atom and length, and a table of the hashes of their beginnings: a text is compared with names only
+    where such a hash stands."""
 
     def __init__(self, names: list[str]):
         self.number = {name: i for i, name in enumerate(names) if name}
-        lengths = defaultdict(set)
+        lengths, begin = defaultdict(set), defaultdict(set)
         for name in self.number:
             lengths[ATOM.match(name)[0]].add(len(name))
+            size = min(8, 1 << len(name).bit_length() - 1)
+            begin[size].add(name[:size])
         self.lengths = {atom: sorted(found, reverse=True) for atom, found in lengths.items()}
+        self.shift = np.uint64(64 - max(12, (16 * len(self.number)).bit_length()))
+        self.begin = {}
+        for size, own in begin.items():
+            (_, hashed), = _beginnings(_codes("".join(own)), [size])
+            self.begin[size] = np.zeros(1 << 64 - int(self.shift), bool)
+            self.begin[size][hashed[::size] >> self.shift] = True
+
+    def _possible(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Numbers of the atoms with which a name may begin; only a comparison tells."""
+        hit = np.zeros(len(codes), bool)
+        for size, hashed in _beginnings(codes, self.begin):
+            hit[: len(hashed)] |= self.begin[size][hashed >> self.shift]
+        return np.flatnonzero(hit[starts])
 
     def places(self, text: str | None) -> list[tuple]:
         """(at, words, part, start, end, left, right, alone, number) of the longest names, by their start.
@@ -56,42 +116,55 @@ class Lexicon:
         name, ``alone`` is true if no other place of the text has them with as many letter atoms between.
         """
         low = lowered(text or "")
-        atoms = ATOM.findall(low)
-        begins, letters, at, words, part, gap = [], [], 0, 0, -1, False
-        for atom in atoms:
-            if atom[0].isalpha():
-                letters.append(atom)
-                words, part, gap = words + 1, part + 1, False
-            elif not gap:
-                part, gap = part + 1, True
-            begins.append((at, words, part))
-            at += len(atom)
-        edge = {start: i for i, (start, _, _) in enumerate(begins)}
-        edge[at] = len(atoms)
+        codes = _codes(low)
+        kinds, letter = _characters()
+        starts = _atom_starts(low, kinds[codes])
+        possible = self._possible(codes, starts)
+        if not len(possible):
+            return []
+        letters = letter[codes[starts]]
+        words, new = np.cumsum(letters), letters.copy()
+        new[0] = True
+        new[1:] |= letters[:-1]
+        parts, stops = np.cumsum(new) - 1, np.append(starts[1:], len(low))
+        edge = np.full(len(low) + 1, -1)
+        edge[starts], edge[len(low)] = np.arange(len(starts)), len(starts)
         found, reach = [], 0
-        for atom, (start, word, piece) in zip(atoms, begins, strict=True):
-            for length in self.lengths.get(atom, ()):
+        rows = (column[possible].tolist() for column in (starts, stops, letters, words, parts))
+        for start, stop, is_letter, word, part in zip(*rows, strict=True):
+            for length in self.lengths.get(low[start:stop], ()):
                 end = start + length
                 if end <= reach:
                     break
-                number = self.number.get(low[start:end])
-                if number is not None and end in edge:
-                    inside = begins[edge[end] - 1][1] - word + 1 if atom[0].isalpha() else begins[edge[end] - 1][1] - word
-                    found.append((word if atom[0].isalpha() else word + 1, inside, piece, start, end, number))
+                number = self.number.get(low[start:end]) if end < len(edge) else None
+                if number is not None and edge[end] >= 0:
+                    inside = int(words[edge[end] - 1]) - word + is_letter
+                    found.append((word + (not is_letter), inside, part, start, end, number))
                     reach = end
                     break
-        return _with_context(found, letters)
-
-
-def _with_context(found: list[tuple], letters: list[str]) -> list[tuple]:
-    pairs: dict[int, Counter] = {}
+        return _with_context(found, low, starts[letters], stops[letters])
+
+
+def _with_context(found: list[tuple], low: str, starts: np.ndarray, stops: np.ndarray) -> list[tuple]:
+    """``found`` with the letter atoms beside it; these begin and end at ``starts`` and ``stops``."""
+    if not found:
+        return []
+    numbers = _codes(low)[starts].astype(np.int64)
+    known: dict[str, int] = {}
+    for i in np.flatnonzero(stops - starts > 1).tolist():
+        numbers[i] = known.setdefault(low[starts[i] : stops[i]], 0x110000 + len(known))
+    pairs: dict[int, np.ndarray] = {}
     out = []
     for at, words, part, start, end, number in found:
         if words not in pairs:
-            pairs[words] = Counter(zip(letters, letters[words + 1 :], strict=False))
-        left = letters[at - 2] if at > 1 else None
-        right = letters[at + words - 1] if at + words <= len(letters) else None
-        alone = left is not None and right is not None and pairs[words][left, right] == 1
+            pairs[words] = np.sort(numbers[: max(0, len(numbers) - words - 1)] << 32 | numbers[words + 1 :])
+        left = low[starts[at - 2] : stops[at - 2]] if at > 1 else None
+        right = low[starts[at + words - 1] : stops[at + words - 1]] if at + words <= len(starts) else None
+        alone = False
+        if left is not None and right is not None:
+            pair = numbers[at - 2] << 32 | numbers[at + words - 1]
+            low_at, high_at = np.searchsorted(pairs[words], [pair, pair + 1])
+            alone = bool(high_at - low_at == 1)
         out.append((at, words, part, start, end, left, right, alone, number))
     return out
 

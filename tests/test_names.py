@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +73,31 @@ def test_masks_without_spaces(spark):
 def test_lower_case_keeps_places():
     assert len(dictionary.lowered("İstanbul ΣΑΣ")) == len("İstanbul ΣΑΣ")
     assert re.fullmatch(r".stanbul .*", dictionary.lowered("İstanbul ΣΑΣ"))
+
+
+def test_names_are_compared_where_they_may_begin():
+    """A text of ideographs has an edge at every character; that alone makes no comparison."""
+
+    class Asked(dict):
+        n = 0
+
+        def get(self, *key):
+            self.n += 1
+            return super().get(*key)
+
+    known = dictionary.Lexicon(["山川田山川田山川田", "山川田川田川田川田"])
+    known.number = Asked(known.number)
+    found = known.places("山" * 5000 + "山川田山川田山川田" + "川" * 5000)
+    assert [(p[3], p[4], p[-1]) for p in found] == [(5000, 5009, 0)]
+    assert known.number.n < 50
+
+
+def test_atoms_by_kind():
+    rng = random.Random(9)
+    kinds, _ = dictionary._characters()
+    for _ in range(300):
+        text = "".join(rng.choice("ソラーみな山〇〡ab1２Ⅳ .・㋐⺀々\n𠀀𝐀") for _ in range(rng.randint(0, 30)))
+        want = [m.start() for m in dictionary.ATOM.finditer(text)]
+        assert dictionary._atom_starts(text, kinds[dictionary._codes(text)]).tolist() == want
+        plain = text.replace("〇", "").replace("〡", "")
+        assert np.array_equal(dictionary._atom_starts(plain, kinds[dictionary._codes(plain)]), [m.start() for m in dictionary.ATOM.finditer(plain)])
