@@ -33,7 +33,7 @@ from cueloom.llm.unicode_classes import SPACE, byte_symbols, category, new_chara
 from cueloom.shared import ship
 
 LONG = 200
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000  # some 250 bytes each
 SLICE = 500  # rows whose results are held at once
 _NONE = 1 << 30
 

@@ -17,7 +17,7 @@ _made: list[str] = []
 _shipped: set[str] = set()
 #: What goes to a Python worker at once, unless the session says otherwise.  Both sides hold a batch several times,
 #: and 64 MB, Spark's own limit, in every core leave little of an executor beside its heap.
-BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
 def ship(spark: SparkSession) -> None:

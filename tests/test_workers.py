@@ -5,6 +5,10 @@ import pathlib
 import subprocess
 import sys
 
+import pyarrow as pa
+
+from cueloom import shared
+
 ROOT = pathlib.Path(__file__).resolve().parents[1]
 CODE = """
 import sys
@@ -31,3 +35,20 @@ def test_from_another_folder(tmp_path):
     code = CODE.format(root=str(ROOT), shared=str(tmp_path / "shared"))
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert done.stdout.count("ROWS") == 3, done.stderr[-2000:]
+
+
+def test_batches_are_bounded(spark):
+    """Large texts reach a worker some megabytes at a time, and a limit the session sets stays."""
+    own = spark.newSession()
+    own.conf.unset(shared.BATCH_BYTES[0])
+    shared.ship(own)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], ["n"])
+
+    texts = own.range(0, 40, 1, 1).selectExpr("repeat('x', 1000000 + int(id)) AS t")
+    assert max(r.n for r in texts.mapInArrow(sizes, "n bigint").collect()) < 10_000_000
+    own.conf.set(shared.BATCH_BYTES[0], "16m")
+    shared.ship(own)
+    assert own.conf.get(shared.BATCH_BYTES[0]) == "16m"
