@@ -113,7 +113,7 @@ def srt_sink(spark, sf):
     """Written per episode and read back by the lenient parser."""
     path = fresh_path(spark, "srt")
     files.write_srt(t.cue(spark, sf), path, "episode_id", "cue_id")
-    raw = spark.read.option("lineSep", "\n\n").text(path).select(F.col("episode_id").cast("bigint").alias("episode_id"), F.col("value").alias("raw"))
+    raw = files.read_records(spark, path).select(F.col("episode_id").cast("bigint").alias("episode_id"), F.col("value").alias("raw"))
     return files.parse_srt(raw, ["episode_id"])
 
 
