@@ -145,8 +145,8 @@ def pack(
         end = end_id.to_bytes(4, "little")
         packer = _Packer(TaskContext.get().partitionId() * TASK_IDS, capacity, windows, largest)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                packer.add(doc_id, encoder.encode(text.as_py()) + end)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1)), strict=True):
+                packer.add(doc_id, ids + end)
                 yield from packer.batches(ROWS)
         packer.close()
         yield from packer.batches(0)

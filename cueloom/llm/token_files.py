@@ -24,10 +24,11 @@ import json
 import os
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -36,15 +37,29 @@ from cueloom.llm.unicode_classes import SPACE, byte_symbols, category, odd
 from cueloom.shared import ship
 
 CACHED_PIECES = 300_000
+TOGETHER = 1 << 22  # bytes of texts that are encoded together
 NULL_ID = -(1 << 63)
 
 
+class _Kept(dict):
+    """Ids of pieces, made when first asked for."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make = make
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = self.make(piece)
+        return ids
+
+
 class PieceEncoder:
     """The tokenizers library behind a cache of pieces.
 
     A byte-level tokenizer encodes each piece of its splitting pattern by itself, so each distinct
-    piece goes to the library's model once.  Texts with a special token's string, and tokenizers with
-    any other pre-tokenizer, go to the library whole.
+    piece goes to the library's model once.  The pattern parts any other character from a space after
+    it and never looks back, so a space and all up to the next one, a run, has the same pieces in every
+    text; the texts of a batch are cut at spaces and each distinct run of theirs is parted once.  Texts
+    with a special token's string, and tokenizers with any other pre-tokenizer, go to the library whole.
     """
 
     def __init__(self, definition: str):
@@ -67,10 +82,11 @@ class PieceEncoder:
             self.usual = odd().isdisjoint
             self.quick = re.compile(rf"{ends}| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
             self.symbol = dict(enumerate(byte_symbols()))
+            self.space = self.symbol[ord(" ")]
             self.model = self.tokenizer.model
-        marks = [re.escape(t["content"]) for t in known.get("added_tokens", ())]
-        self.mark = re.compile("|".join(marks)).search if marks else None
-        self.cache: dict[str, bytes] = {}
+        self.marks = [t["content"] for t in known.get("added_tokens", ())]
+        self.mark = re.compile("|".join(map(re.escape, self.marks))).search if self.marks else None
+        self.cache = _Kept(self._ids)
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -78,14 +94,81 @@ class PieceEncoder:
             return b""
         if self.pieces is None or (self.mark and self.mark(text)):
             return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        pieces = self.quick(text) if self.usual(text) else self.pieces(text)
-        cache = self.cache
-        if len(cache) > CACHED_PIECES:
-            cache.clear()
-        for piece in set(pieces).difference(cache):
+        if len(self.cache) > CACHED_PIECES:
+            self.cache.clear()
+        return self._whole(text)
+
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text, as ``encode`` gives them."""
+        if self.pieces is None:
+            yield from map(self.encode, texts.to_pylist())
+            return
+        part = pc.cumulative_sum(pc.fill_null(pc.binary_length(texts), 0)).to_numpy(zero_copy_only=False) // TOGETHER
+        edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(texts)]
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            yield from self._together(texts.slice(low, high - low))
+
+    def _together(self, texts: pa.Array) -> Iterator[bytes]:
+        if len(self.cache) > CACHED_PIECES:
+            self.cache.clear()
+        cut = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        at = cut.offsets.to_numpy().astype(np.int64)
+        at -= at[0]
+        coded = cut.flatten().dictionary_encode()
+        names, run = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
+        # White space before a space is no run's end: the pattern looks at both together.
+        blank = np.array([not name or name[-1].isspace() for name in names], bool)
+        ended = blank[run]
+        ended[at[1:] - 1] = False
+        alone = np.add.reduceat(ended, at[:-1]) > 0 if len(run) else np.empty(0, bool)
+        for mark in self.marks:
+            alone |= pc.fill_null(pc.match_substring(texts, mark), False).to_numpy(zero_copy_only=False)
+        # A text's first run has no space before it.
+        run[at[:-1]] += len(names)
+        used = np.flatnonzero(np.bincount(run, minlength=2 * len(names)))
+        plain = (used < len(names)) & ~blank[used % max(1, len(names))]
+        spaced, others = used[plain], used[~plain]
+        ids, length = self._runs([names[n] for n in spaced.tolist()])
+        apart = [self._whole(names[n - len(names)] if n >= len(names) else " " + names[n]) for n in others.tolist()]
+        flat = np.concatenate([ids, np.frombuffer(b"".join(apart), "<u4")])
+        length = np.concatenate([length, np.fromiter(map(len, apart), np.int64, len(apart)) // 4])
+        start = np.cumsum(length) - length
+        place = np.empty(2 * len(names), np.int64)
+        place[np.concatenate([spaced, others])] = np.arange(len(used))
+        run = place[run]
+        own = length[run]
+        ends = np.cumsum(own)
+        total = int(ends[-1]) if len(ends) else 0
+        packed = flat[np.repeat(start[run] - (ends - own), own) + np.arange(total)].tobytes()
+        low = 0
+        for k, high in enumerate((4 * ends[at[1:] - 1]).tolist()):
+            yield self.encode(texts[k].as_py()) if alone[k] else packed[low:high]
+            low = high
+
+    def _runs(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all these runs, each with its space, and how many each has."""
+        if not names:
+            return np.empty(0, "<u4"), np.empty(0, np.int64)
+        pieces = self._pieces(f" {' '.join(names)}")
+        found = list(map(self.cache.__getitem__, pieces))
+        # A run has no other space, so a piece with one begins it.
+        owner = np.cumsum(np.array([piece[0] == " " for piece in pieces])) - 1
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        return np.frombuffer(b"".join(found), "<u4"), np.bincount(owner, sizes, len(names)).astype(np.int64)
+
+    def _pieces(self, text: str) -> list[str]:
+        return self.quick(text) if self.usual(text) else self.pieces(text)
+
+    def _whole(self, text: str) -> bytes:
+        return b"".join(map(self.cache.__getitem__, self._pieces(text)))
+
+    def _ids(self, piece: str) -> bytes:
+        # Of the printable characters of ASCII only the space has another symbol.
+        if piece.isascii() and piece.isprintable():
+            symbols = piece.replace(" ", self.space)
+        else:
             symbols = piece.encode().decode("latin-1").translate(self.symbol)
-            cache[piece] = array.array("I", [token.id for token in self.model.tokenize(symbols)]).tobytes()
-        return b"".join(map(cache.__getitem__, pieces))
+        return _packed([token.id for token in self.model.tokenize(symbols)])
 
 
 def _packed(ids: list[int]) -> bytes:
