@@ -212,8 +212,7 @@ def write_tokens(
         with store.open_output_stream(f"{home}/{name}.ids") as out:
             for batch in batches:
                 ids += batch.column("doc_id").to_pylist()
-                for text in batch.column("text").to_pylist():
-                    packed = encoder.encode(text)
+                for packed in encoder.encode_all(batch.column("text")):
                     if width == 2:
                         packed = np.frombuffer(packed, "<u4").astype("<u2").tobytes()
                     out.write(packed)
