@@ -249,10 +249,13 @@ def _blocks(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     shared = light.groupBy("block").agg(
         F.min("sid").alias("a"), F.max("sid").alias("b"), F.min("digest").alias("c"), F.max("digest").alias("d"),
         F.max("at").alias("at"), F.min("end").alias("end"),
-    ).filter("a <> b AND (c <> d OR at >= end)").select("block")
+        F.count("*").alias("n"), F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("sum"),
+    ).filter("a <> b AND (c <> d OR at >= end)")
+    # Near copies share most of their bands: of blocks with the same members one is compared.
+    shared = shared.groupBy("a", "b", "n", "sum").agg(F.min("block").alias("block")).select("block")
     bands = pin(light.join(shared, "block", "left_semi").groupBy("sid").agg(F.collect_set("block").alias("own")), "shared")
     # Rows of a repeated document bring a paragraph again.
-    tokens = made.join(bands, "sid").select("sid", "own", "tokens").dropDuplicates(["sid"])
+    tokens = pin(made.join(bands, "sid").select("sid", "own", "tokens").dropDuplicates(["sid"]), "blocks")
     return tokens.select("sid", F.explode("own").alias("block"), "tokens")
 
 
@@ -410,7 +413,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     wanted = kept.filter("near AND first.doc_id IS NOT NULL").groupBy("first.doc_id", "first.digest").agg(
         F.collect_list("name").alias("names")
     )
-    links = all_links(pin(_blocks(own, wanted), "blocks"), 3, 4)
+    links = all_links(_blocks(own, wanted), 3, 4)
     linked = components(links)
     rooted = kept.join(linked.select(F.col("node").alias("name"), "root"), "name", "left").select(
         "name", "first", F.coalesce("root", "name").alias("root")
