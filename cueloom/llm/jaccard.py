@@ -41,6 +41,7 @@ from cueloom.llm.hashing import mix, window_hashes, word_hashes
 from cueloom.shared import pin, ship
 
 CHUNK = 1000  # sets compared with each other in one task
+FEW = 8  # sets of a block up to which all pairs are counted, many blocks together
 PART = 500_000  # shingles of a group, or of the sets that ask for it, held at once
 BLOCKS = 3  # hash orders whose least shingle makes a block
 _SEEDS = mix(np.arange(1, BLOCKS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -228,7 +229,7 @@ def link_chunk(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> n
     start = np.concatenate([[0], np.cumsum(length)])
     at = np.empty(len(tokens), np.int64)
     at[order] = number
-    mine = np.split(at, np.cumsum(sizes)[:-1])
+    ends = np.cumsum(sizes)
     root, left = np.full(len(sets), -1), np.ones(len(sets), bool)
     for seed in np.argsort(ids, kind="stable"):
         if root[seed] >= 0:
@@ -236,14 +237,37 @@ def link_chunk(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> n
         root[seed], left[seed], front = seed, False, [seed]
         while front and left.any():
             x = front.pop()
-            held = np.concatenate([posting[start[t] : start[t + 1]] for t in mine[x] if length[t] > 1] or [np.empty(0, np.int64)])
-            met = np.bincount(held, minlength=len(sets))
+            mine = at[ends[x] - sizes[x] : ends[x]]
+            mine = mine[length[mine] > 1]
+            many = length[mine]
+            held = np.repeat(start[mine] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            met = np.bincount(posting[held], minlength=len(sets))
             linked = np.flatnonzero(left & (met > 0) & (den * met >= num * (sizes + sizes[x] - met)))
             root[linked], left[linked] = seed, False
             front += linked.tolist()
     return ids[root]
 
 
+def link_few(counts: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of the sets that link, for blocks of ``counts`` sets, FEW at most, one after the other."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    tokens, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(tokens, kind="stable")
+    # Owners of one token are in order, so those of one block stand together.
+    tokens, owners = tokens[order], owners[order]
+    block = np.repeat(np.arange(len(counts)), counts)[owners]
+    met = np.zeros(len(sets) * FEW, np.int64)
+    for step in range(1, int(counts.max())):
+        both = np.flatnonzero((tokens[step:] == tokens[:-step]) & (block[step:] == block[:-step]))
+        a, b = owners[both], owners[both + step]
+        met += np.bincount(a * FEW + b - a, minlength=len(met))
+    pair = np.flatnonzero(met)
+    a, met = pair // FEW, met[pair]
+    b = a + pair % FEW
+    linked = den * met >= num * (sizes[a] + sizes[b] - met)
+    return a[linked], b[linked]
+
+
 def block_links(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b): links inside the blocks of ``sets`` (sid, block, tokens), as set and root.
 
@@ -258,12 +282,18 @@ def block_links(sets: DataFrame, num: int, den: int) -> DataFrame:
         block, chunk, ids = (rows[c].to_numpy() for c in ("block", "chunk", "sid"))
         new = np.concatenate([[True], (block[1:] != block[:-1]) | (chunk[1:] != chunk[:-1]), [True]])
         edge, root = np.flatnonzero(new), ids.copy()
-        tokens = rows["tokens"].to_numpy()
-        for low, high in zip(edge[:-1], edge[1:], strict=True):
+        tokens, large, counts = rows["tokens"].to_numpy(), rows["large"].to_numpy(), np.diff(edge)
+        few = (counts > 1) & (counts <= FEW) & ~large[edge[:-1]]
+        for low, high in zip(edge[:-1][~few], edge[1:][~few], strict=True):
             if high - low > 1:
                 root[low:high] = link_chunk(ids[low:high], [np.frombuffer(t, np.uint64) for t in tokens[low:high]], num, den)
-        keep = (root != ids) | rows["large"].to_numpy()
-        return pd.DataFrame({"block": block[keep], "a": ids[keep], "b": root[keep]})
+        keep = (root != ids) | large
+        found = [pd.DataFrame({"block": block[keep], "a": ids[keep], "b": root[keep]})]
+        if few.any():
+            mine = np.flatnonzero(np.repeat(few, counts))
+            a, b = link_few(counts[few], [np.frombuffer(t, np.uint64) for t in tokens[mine]], num, den)
+            found.append(pd.DataFrame({"block": block[mine[a]], "a": ids[mine[b]], "b": ids[mine[a]]}))
+        return pd.concat(found)
 
     left, links, before = sets, None, None
     while True:

@@ -39,33 +39,38 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from cueloom.llm.components import components
-from cueloom.llm.hashing import mix, window_hashes, word_hashes
-from cueloom.llm.jaccard import all_links, shared_counts
-from cueloom.llm.winnow import winnow
-from cueloom.shared import pin, ship
+from cueloom.llm.hashing import batch_word_hashes, mix, window_hashes, word_hashes  # noqa: F401
+from cueloom.llm.jaccard import all_links
+from cueloom.llm.shared_keys import low_bits, shared_keys
+from cueloom.shared import by_size, discard, pin, ship, tidy
 
 WIDTH, SPREAD, SHINGLE, ROWS, BANDS, NATURAL_BANDS = 24, 22, 5, 2, 4, 6
 MARGIN = WIDTH + SPREAD + 2  # so many equal words hold a whole cut
+CUT_BYTES = 500_000  # of texts cut together
 NEAR = 2  # words between anchors whose paragraphs would reach the threshold by themselves
 SPANS = "array<struct<first:int,last:int>>"
 _SEEDS = mix(np.arange(1, ROWS * NATURAL_BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 class Units(NamedTuple):
-    """Paragraphs of a text: first word, number of words, name and band keys of each; keys of the first ``cuts``
-    (the content cuts) and of the natural ones are of different kinds."""
+    """Paragraphs of texts: first word and number of words, name and band keys of each; keys of ``cuts`` (the content
+    cuts) and of the natural ones are of different kinds.  Words and runs of all texts stand one after the other;
+    ``at`` counts from the first of them, ``begins`` from the first word of the own text ``row``.  A text's cuts stand
+    before its natural paragraphs."""
 
     at: np.ndarray
     n: np.ndarray
     names: np.ndarray
     keys: np.ndarray
-    cuts: int
+    cuts: np.ndarray
     runs: np.ndarray
-    hashed: np.ndarray
+    row: np.ndarray
+    begins: np.ndarray
 
     def tokens(self, k: int) -> np.ndarray:
         """The sorted shingles of paragraph ``k``."""
@@ -89,12 +94,34 @@ def natural(counts: list[int]) -> list[tuple[int, int]]:
     return sorted(set(found))
 
 
-def content_cuts(hashed: np.ndarray) -> np.ndarray:
-    """Start words of the content cuts."""
-    if len(hashed) < WIDTH:
+def content_cuts(hashed: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+    """Start words of the content cuts of texts of ``sizes`` words, one after the other."""
+    sizes = np.array([len(hashed)]) if sizes is None else sizes
+    begin = np.cumsum(sizes) - sizes
+    if not (sizes >= WIDTH).any():
         return np.empty(0, np.int64)
-    pairs = window_hashes(hashed, 2)[: len(hashed) - WIDTH + 1]
-    at = winnow(pairs, min(SPREAD, len(pairs)))
+    pairs = window_hashes(hashed, 2)
+    least, at, width = pairs, np.arange(len(pairs)), 1
+    while width < SPREAD:
+        # Rightmost least pair of twice as many, or of SPREAD.
+        step = min(width, SPREAD - width)
+        if len(least) <= step:
+            least, at = least[:0], at[:0]
+            break
+        nearer = least[step:] <= least[:-step]
+        at = np.where(nearer, at[step:], at[:-step])
+        least, width = np.minimum(least[step:], least[:-step]), width + step
+    whole = sizes >= WIDTH + SPREAD - 1
+    first, counts = begin[whole], sizes[whole] - (WIDTH + SPREAD - 2)
+    at = at[np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())]
+    at = at[np.append(True, at[1:] != at[:-1])] if len(at) else at
+    few = (sizes >= WIDTH) & ~whole
+    if few.any():
+        # From the last pair backwards, so the first of equal ones is the rightmost.
+        last, back = (begin + sizes)[few, None] - WIDTH, np.arange(SPREAD)
+        inside = back < (sizes[few, None] - WIDTH + 1)
+        chosen = np.where(inside, pairs[np.maximum(last - back, 0)], ~np.uint64(0)).argmin(axis=1)
+        at = np.sort(np.concatenate([at, last[:, 0] - chosen]))
     alone = np.ones(len(at), bool)
     for step in range(1, NEAR + 1):
         close = at[step:] - at[:-step] <= NEAR
@@ -104,40 +131,82 @@ def content_cuts(hashed: np.ndarray) -> np.ndarray:
     return at[alone]
 
 
-def paragraphs(text: str | None) -> Units | None:
-    lines = [line.split() for line in text.encode("utf-8", "surrogatepass").lower().split(b"\n")] if text else []
-    own = natural([len(line) for line in lines])
-    if not own:
-        return None
-    hashed = word_hashes([w for line in lines for w in line])
-    runs = window_hashes(hashed, min(SHINGLE, len(hashed)))
-    cut = content_cuts(hashed)
-    first, n = np.array(own, np.int64).T
-    ends = np.minimum(first + np.maximum(n - SHINGLE + 1, 1), len(runs))
-    edges = np.stack([np.minimum(first, len(runs) - 1), ends], axis=1).ravel()
-    window = cut[:, None] + np.arange(WIDTH - SHINGLE + 1)
+def _text_runs(hashed: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hash of the SHINGLE words from each word on, as far as they stand in its text; of all words of a shorter text."""
+    runs = np.zeros(len(hashed), np.uint64)
+    whole = window_hashes(hashed, SHINGLE)
+    runs[: len(whole)] = whole
+    begin = np.cumsum(sizes) - sizes
+    for k in range(1, SHINGLE):
+        at = begin[sizes == k]
+        if len(at):
+            runs[at] = window_hashes(hashed[at[:, None] + np.arange(k)].T, k)[0]
+    return runs
+
+
+def units(texts: list[str | None], natural_keys: bool = True) -> Units:
+    """The paragraphs of texts, cut together; without ``natural_keys`` those of natural paragraphs are 0."""
+    hashed, lines = batch_word_hashes(texts)
+    sizes, own, counts, before = [], [], [], 0
+    for line in lines:
+        made = natural(line)
+        own += [(before + a, m) for a, m in made]
+        counts.append(len(made))
+        sizes.append(sum(line))
+        before += sizes[-1]
+    sizes = np.array(sizes, np.int64)
+    begin = np.cumsum(sizes) - sizes
+    runs = _text_runs(hashed, sizes)
+    cut = content_cuts(hashed, sizes)
+    first, n = np.array(own, np.int64).reshape(-1, 2).T
+    row = np.repeat(np.arange(len(texts)), counts)
+    ends_at = (begin + np.maximum(sizes - SHINGLE + 1, 1))[row]
+    ends = np.minimum(first + np.maximum(n - SHINGLE + 1, 1), ends_at)
+    edges = np.stack([np.minimum(first, ends_at - 1), ends], axis=1).ravel()
     short, long = [], []
-    for k, seed in enumerate(_SEEDS):
+    for k, seed in enumerate(_SEEDS if len(own) else ()):
+        if not natural_keys and k >= ROWS * BANDS:
+            break
         mixed = mix(runs ^ seed)
         if k < ROWS * BANDS and len(cut):
-            short.append(mixed[window].min(axis=1))
-        long.append(np.minimum.reduceat(np.append(mixed, ~np.uint64(0)), edges)[::2])
+            short.append(_least(mixed, cut, WIDTH - SHINGLE + 1))
+        if natural_keys:
+            long.append(np.minimum.reduceat(np.append(mixed, ~np.uint64(0)), edges)[::2])
     keys = np.zeros((len(cut) + len(own), NATURAL_BANDS), np.uint64)
     if len(cut):
         keys[: len(cut), :BANDS] = bands(short, 0)
-    keys[len(cut) :] = bands(long, BANDS)
-    parts = [xxhash.xxh64_intdigest(hashed[a : a + m].tobytes(), 1) for a, m in own]
+    if long:
+        keys[len(cut) :] = bands(long, BANDS)
+    parts = [xxhash.xxh64_intdigest(hashed[a : a + m], 1) for a, m in own]
+    row = np.concatenate([np.searchsorted(begin + sizes, cut, "right"), row])
+    order = np.argsort(row, kind="stable")
+    at, row = np.concatenate([cut, first])[order], row[order]
     return Units(
-        np.concatenate([cut, first]), np.concatenate([np.full(len(cut), WIDTH), n]),
-        np.concatenate([names(runs[window]), np.array(parts, np.uint64).view(np.int64)]), keys, len(cut), runs, hashed,
+        at, np.concatenate([np.full(len(cut), WIDTH), n])[order],
+        np.concatenate([names(runs, cut), np.array(parts, np.uint64).view(np.int64)])[order], keys[order],
+        order < len(cut), runs, row, at - begin[row],
     )
 
 
-def names(sets: np.ndarray) -> np.ndarray:
+def paragraphs(text: str | None) -> Units | None:
+    own = units([text])
+    return own if len(own.at) else None
+
+
+def _least(values: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """The least of ``width`` values from each of ``at`` on."""
+    reach = 1
+    while 2 * reach <= width:
+        values = np.minimum(values[reach:], values[:-reach])
+        reach *= 2
+    return np.minimum(values[at], values[at + width - reach])
+
+
+def names(runs: np.ndarray, cut: np.ndarray) -> np.ndarray:
     """64-bit name of each cut's words."""
-    out = np.zeros(len(sets), np.uint64)
-    for column in sets.T:
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + column)
+    out = np.zeros(len(cut), np.uint64)
+    for k in range(WIDTH - SHINGLE + 1):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + runs[cut + k])
     return out.view(np.int64)
 
 
@@ -152,35 +221,47 @@ def bands(least: list[np.ndarray], kind: int) -> np.ndarray:
     return np.stack(keys, axis=1)
 
 
-def _spoken(at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Which of a text's band keys (flat) are sent, and (paragraph, speaker) for those that are not: an overlapping
+def _spoken(at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which band keys of paragraphs (flat) are sent, and (paragraph, speaker) for those that are not: an overlapping
     paragraph before it sends the same key.  Overlapping paragraphs of one text are no repetition."""
-    flat, owner = keys.ravel(), np.repeat(np.arange(len(at)), keys.shape[1])
-    order = np.lexsort((owner, flat))
-    sent, held, speaker, last = np.ones(len(flat), bool), set(), 0, -1
-    for k in (np.flatnonzero(flat[order[1:]] == flat[order[:-1]]) + 1).tolist():
-        if k != last + 1:
-            speaker = owner[order[k - 1]]
-        last, own = k, owner[order[k]]
-        if at[own] - at[speaker] < WIDTH:
-            sent[order[k]] = False
-            held.add((int(own), int(speaker)))
-        else:
-            speaker = own
-    return sent, sorted(held)
-
-
-def _band_pairs(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Paragraph names and the band keys they send; a natural paragraph under SHINGLE words has no near partner."""
-    own = paragraphs(text)
-    if own is None:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    keys = own.keys[: own.cuts, :BANDS]
-    sent, _ = _spoken(own.at[: own.cuts], keys)
-    long = np.flatnonzero(own.n[own.cuts :] >= SHINGLE) + own.cuts
+    flat = keys.ravel()
+    order = np.argsort(flat, kind="stable")
+    same = flat[order[1:]] == flat[order[:-1]]
+    edge = np.flatnonzero(np.append(True, ~same)) if len(flat) else np.empty(0, np.int64)
+    length = np.diff(np.append(edge, len(flat)))
+    longest = np.argsort(-length, kind="stable")
+    longest = longest[: np.count_nonzero(length > 1)]
+    edge, length = edge[longest], length[longest]
+    speaker = order[edge] // keys.shape[1]
+    sent, held = np.ones(len(flat), bool), [np.empty((0, 2), np.int64)]
+    for k in range(1, int(length[0]) if len(length) else 0):
+        # The next holder of every key that has so many.
+        m = np.searchsorted(-length, -k)
+        key = order[edge[:m] + k]
+        own = key // keys.shape[1]
+        near = at[own] - at[speaker[:m]] < WIDTH
+        sent[key[near]] = False
+        held.append(np.stack([own[near], speaker[:m][near]], axis=1))
+        speaker[:m] = np.where(near, speaker[:m], own)
+    held = np.concatenate(held)
+    pairs = np.unique(held[:, 0] * max(1, len(at)) + held[:, 1])
+    return sent, np.stack(np.divmod(pairs, max(1, len(at))), axis=1)
+
+
+def _name_keys(names: np.ndarray) -> np.ndarray:
+    """The only key of natural paragraphs under SHINGLE words, which have no near partner."""
+    return mix(names.view(np.uint64))
+
+
+def _sent_keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the text and key of all keys that the paragraphs of texts send."""
+    own = units(texts)
+    keys = own.keys[own.cuts, :BANDS]
+    sent, _ = _spoken(own.at[own.cuts], keys)
+    long, short = ~own.cuts & (own.n >= SHINGLE), ~own.cuts & (own.n < SHINGLE)
     return (
-        np.concatenate([np.repeat(own.names[: own.cuts], BANDS)[sent], np.repeat(own.names[long], NATURAL_BANDS)]),
-        np.concatenate([keys.ravel()[sent], own.keys[long].ravel()]),
+        np.concatenate([np.repeat(own.row[own.cuts], BANDS)[sent], np.repeat(own.row[long], NATURAL_BANDS), own.row[short]]),
+        np.concatenate([keys.ravel()[sent], own.keys[long].ravel(), _name_keys(own.names[short])]),
     )
 
 
@@ -188,64 +269,90 @@ def _digest(text: str | None) -> int:
     return xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, at, n, name, via): every paragraph; ``via`` names the paragraphs that send keys of its own."""
+def _occurrences(docs: DataFrame, met: DataFrame) -> DataFrame:
+    """(doc_id, digest, at, n, name, via, keys, sent): every paragraph of ``docs`` (doc, doc_id, text) with one of the
+    keys of ``met`` (doc, keys).  ``via`` names the paragraphs that send keys of its own; of its ``keys`` it sends
+    the first ``sent``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                part = batch.slice(low, 1000)
-                texts = part.column("text").to_pylist()
-                made, via = [paragraphs(t) for t in texts], []
-                row = np.repeat(np.arange(len(texts)), [0 if own is None else len(own.at) for own in made])
-                made = [own for own in made if own is not None]
-                for own in made:
-                    through = [None] * len(own.at)
-                    for k, speaker in _spoken(own.at[: own.cuts], own.keys[: own.cuts, :BANDS])[1]:
-                        through[k] = [*(through[k] or ()), own.names[speaker]]
-                    via += through
-                joined = lambda field: np.concatenate([np.empty(0, np.int64), *(getattr(own, field) for own in made)])
+            for part in by_size(batch, 1, CUT_BYTES):
+                texts, asked = part.column("text").to_pylist(), part.column("met").to_pylist()
+                own = units(texts)
+                cuts, short = np.flatnonzero(own.cuts), ~own.cuts & (own.n < SHINGLE)
+                asked = [np.frombuffer(k, "<u4") for k in asked]
+                place = np.repeat(np.arange(len(asked)), [len(k) for k in asked])
+                wanted = np.concatenate(asked) + (place.astype(np.uint64) << np.uint64(32))
+                keys = own.keys.copy()
+                keys[short] = _name_keys(own.names[short])[:, None]
+                there = np.isin(low_bits(keys) + (own.row.astype(np.uint64) << np.uint64(32))[:, None], wanted)
+                there[own.cuts, BANDS:] = False
+                chosen = np.flatnonzero(there.any(axis=1))
+                sent = np.ones(keys.shape, bool)
+                flat, held = _spoken(own.at[cuts], own.keys[cuts, :BANDS])
+                sent[cuts, :BANDS], sent[cuts, BANDS:] = flat.reshape(-1, BANDS), False
+                counts = np.where(own.cuts, BANDS, np.where(short, 0, NATURAL_BANDS))[chosen]
+                order = np.argsort(~sent[chosen], axis=1, kind="stable")
+                # The bands a cut does not have come last, as bands are in order among those not sent.
+                blocks = np.take_along_axis(keys[chosen], order, axis=1)[np.arange(NATURAL_BANDS) < counts[:, None]]
+                place, speaker = cuts[held].T
+                low, high = np.searchsorted(place, chosen), np.searchsorted(place, chosen, "right")
+                via = np.repeat(low - np.cumsum(high - low) + (high - low), high - low) + np.arange((high - low).sum())
+                edges = lambda n: pa.array(np.append(0, np.cumsum(n)), pa.int32())
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id").take(pa.array(row, pa.int64())),
-                    pa.array(np.array([_digest(t) for t in texts], np.int64)[row], pa.int64()),
-                    pa.array(joined("at"), pa.int32()), pa.array(joined("n"), pa.int32()),
-                    pa.array(joined("names"), pa.int64()), pa.array(via, pa.list_(pa.int64())),
-                ], ["doc_id", "digest", "at", "n", "name", "via"])
-
-    return docs.mapInArrow(run, "doc_id bigint, digest bigint, at int, n int, name bigint, via array<bigint>")
-
+                    part.column("doc_id").take(pa.array(own.row[chosen], pa.int64())),
+                    pa.array(np.array([_digest(t) for t in texts], np.int64)[own.row[chosen]], pa.int64()),
+                    pa.array(own.begins[chosen], pa.int32()), pa.array(own.n[chosen], pa.int32()),
+                    pa.array(own.names[chosen], pa.int64()),
+                    pa.ListArray.from_arrays(edges(high - low), pa.array(own.names[speaker[via]], pa.int64())),
+                    pa.ListArray.from_arrays(edges(counts), pa.array(blocks.view(np.int64), pa.int64())),
+                    pa.array(np.minimum(sent[chosen].sum(axis=1), counts), pa.int32()),
+                ], ["doc_id", "digest", "at", "n", "name", "via", "keys", "sent"])
+
+    texts = docs.join(met.withColumnRenamed("keys", "met").hint("merge"), "doc").select("doc_id", "text", "met")
+    return texts.mapInArrow(
+        run, "doc_id bigint, digest bigint, at int, n int, name bigint, via array<bigint>, keys array<bigint>, sent int"
+    )
 
-def _blocks(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sid, block, tokens): the wanted paragraphs (doc_id, digest, names) with each band they share.
 
-    Shingles are stored once for each paragraph and joined to those bands alone.  A band whose paragraphs all
-    overlap in one text is none: equal ones elsewhere are found by their names."""
+def _wanted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sid, digest, at, end, blocks, tokens): the wanted paragraphs (doc_id, digest, names) with their bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 200):
-                columns = [batch.column(c).slice(low, 200).to_pylist() for c in ("text", "digest", "names")]
-                sids, digests, ats, ends, blocks, tokens = [], [], [], [], [], []
-                for text, digest, wish in zip(*columns, strict=True):
-                    if _digest(text) != digest:
-                        continue
-                    own = paragraphs(text)
-                    for k in np.flatnonzero(np.isin(own.names, wish)).tolist():
-                        sids.append(own.names[k])
-                        digests.append(digest)
-                        ats.append(own.at[k])
-                        ends.append(own.at[k] + own.n[k])
-                        blocks.append(own.keys[k, : BANDS if k < own.cuts else NATURAL_BANDS].view(np.int64).tolist())
-                        tokens.append(own.tokens(k).tobytes())
+            for part in by_size(batch, 0, CUT_BYTES):
+                texts, digests, wish = (part.column(c).to_pylist() for c in ("text", "digest", "names"))
+                right = np.array([_digest(t) == d for t, d in zip(texts, digests, strict=True)])
+                own = units(texts)
+                edges = np.searchsorted(own.row, np.arange(len(texts) + 1))
+                chosen = np.concatenate([
+                    np.flatnonzero(np.isin(own.names[low:high], w)) + low
+                    for low, high, w in zip(edges[:-1], edges[1:], wish, strict=True)
+                ])
+                chosen = chosen[right[own.row[chosen]]]
+                counts = np.where(own.cuts[chosen], BANDS, NATURAL_BANDS)
+                blocks = own.keys[chosen][np.arange(NATURAL_BANDS) < counts[:, None]].view(np.int64)
+                edges = np.append(0, np.cumsum(counts))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(sids, pa.int64()), pa.array(digests, pa.int64()), pa.array(ats, pa.int32()),
-                    pa.array(ends, pa.int32()), pa.array(blocks, pa.list_(pa.int64())), pa.array(tokens, pa.binary()),
+                    pa.array(own.names[chosen], pa.int64()),
+                    pa.array(np.array(digests, np.int64)[own.row[chosen]], pa.int64()),
+                    pa.array(own.begins[chosen], pa.int32()), pa.array((own.begins + own.n)[chosen], pa.int32()),
+                    pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(blocks, pa.int64())),
+                    pa.array([own.tokens(k).tobytes() for k in chosen.tolist()], pa.binary()),
                 ], ["sid", "digest", "at", "end", "blocks", "tokens"])
 
     met = docs.join(wanted.hint("merge"), "doc_id").select("text", "digest", "names")
-    made = met.mapInArrow(run, "sid bigint, digest bigint, at int, end int, blocks array<bigint>, tokens binary")
-    made = pin(made, "candidates")
-    light = made.select("sid", "digest", "at", "end", F.explode("blocks").alias("block"))
+    return met.mapInArrow(run, "sid bigint, digest bigint, at int, end int, blocks array<bigint>, tokens binary")
+
+
+def _blocks(docs: DataFrame, wanted: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(sid, block, tokens): the wanted paragraphs (doc_id, digest, names) with each band they share; ``known`` has
+    their places and bands (sid, digest, at, end, blocks), if these were made before.
+
+    Shingles are made for paragraphs that share a band alone.  A band whose paragraphs all overlap in one text is
+    none: equal ones elsewhere are found by their names."""
+    made = _wanted(docs, wanted).drop("tokens") if known is None else known
+    light = pin(made.select("sid", "digest", "at", "end", F.explode("blocks").alias("block")), "candidates")
     shared = light.groupBy("block").agg(
         F.min("sid").alias("a"), F.max("sid").alias("b"), F.min("digest").alias("c"), F.max("digest").alias("d"),
         F.max("at").alias("at"), F.min("end").alias("end"),
@@ -254,8 +361,13 @@ def _blocks(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     # Near copies share most of their bands: of blocks with the same members one is compared.
     shared = shared.groupBy("a", "b", "n", "sum").agg(F.min("block").alias("block")).select("block")
     bands = pin(light.join(shared, "block", "left_semi").groupBy("sid").agg(F.collect_set("block").alias("own")), "shared")
+    discard(light)
+    named = wanted.select("doc_id", "digest", F.explode("names").alias("sid"))
+    needed = named.join(bands, "sid", "left_semi").groupBy("doc_id", "digest").agg(F.collect_set("sid").alias("names"))
     # Rows of a repeated document bring a paragraph again.
-    tokens = pin(made.join(bands, "sid").select("sid", "own", "tokens").dropDuplicates(["sid"]), "blocks")
+    tokens = _wanted(docs, needed).select("sid", "tokens").join(bands, "sid").dropDuplicates(["sid"])
+    tokens = pin(tokens.select("sid", "own", "tokens"), "blocks")
+    discard(bands)
     return tokens.select("sid", F.explode("own").alias("block"), "tokens")
 
 
@@ -263,35 +375,57 @@ def _stretches(repeats: DataFrame) -> DataFrame:
     """(doc_id, digest, first, last, to_id, to, to_first, to_last): stretches of a text's repeated paragraphs that
     touch or overlap and stand in the same way to words of an earlier place."""
 
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()] * 2
+    names = ["doc_id", "digest", "first", "last", "to_id", "to", "to_first", "to_last"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            columns = [batch.column(c).to_pylist() for c in ("doc_id", "digest", "places")]
-            for doc_id, digest, places in zip(*columns, strict=True):
-                held = {}
-                for p in sorted(places, key=lambda p: (p["at"], p["n"])):
-                    for to in (p["lead"], p["near"]):
-                        if to is None:
-                            continue
-                        where = to["doc_id"], to["digest"], p["at"] - to["at"]
-                        mine = held.setdefault(where, [])
-                        last, to_last = p["at"] + p["n"], to["at"] + to["n"]
-                        if mine and mine[-1][1] >= p["at"]:
-                            if last > mine[-1][1]:
-                                mine[-1][1], mine[-1][3] = last, to_last
-                        else:
-                            mine.append([p["at"], last, to["at"], to_last])
-                out += [(doc_id, digest, f, e, to, d, tf, te) for (to, d, _), mine in held.items() for f, e, tf, te in mine]
-            names = ["doc_id", "digest", "first", "last", "to_id", "to", "to_first", "to_last"]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()] * 2
-            columns = zip(*out, strict=True) if out else [[]] * 8
+            places = batch.column("places")
+            counts = pc.fill_null(pc.list_value_length(places), 0).to_numpy()
+            places = places.flatten()
+            at, n = (pc.struct_field(places, c).to_numpy() for c in ("at", "n"))
+            fields, row = [], np.repeat(np.arange(batch.num_rows), counts)
+            for name in ("lead", "near"):
+                there = pc.is_valid(pc.struct_field(places, name)).to_numpy(zero_copy_only=False)
+                to = places.filter(pa.array(there))
+                own, digest, begin, size = (pc.struct_field(to, [name, c]) for c in ("doc_id", "digest", "at", "n"))
+                fields.append((
+                    row[there], pc.is_null(own).to_numpy(zero_copy_only=False), pc.fill_null(own, 0).to_numpy(),
+                    digest.to_numpy(), at[there], n[there], begin.to_numpy(), size.to_numpy(),
+                ))
+            row, unnamed, own, digest, at, n, begin, size = map(np.concatenate, zip(*fields, strict=True))
+            where = row, unnamed, own, digest, at - begin
+            order = np.lexsort((size, n, at, *where[::-1]))
+            row, unnamed, own, digest, shift = where = [c[order] for c in where]
+            at, begin, last, to_last = at[order], begin[order], (at + n)[order], (begin + size)[order]
+            new = np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in where])) if len(row) else np.empty(0, bool)
+            # How far the places before reach, of those that stand in the same way.
+            group = np.cumsum(new).astype(np.int64) << 32
+            reached = np.maximum.accumulate(group + last)
+            new[1:] |= (group + at)[1:] > reached[:-1]
+            edge = np.flatnonzero(new)
+            if len(edge):
+                most = np.maximum.reduceat(last, edge)
+                full = last == np.repeat(most, np.diff(np.append(edge, len(last))))
+                to_last = to_last[np.minimum.reduceat(np.where(full, np.arange(len(last)), len(last)), edge)]
+                last = most
+            columns = [
+                batch.column("doc_id").take(pa.array(row[edge])), batch.column("digest").take(pa.array(row[edge])), at[edge],
+                last, pa.array(own[edge], pa.int64(), mask=unnamed[edge]), digest[edge], begin[edge], to_last,
+            ]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     return repeats.mapInArrow(run, "doc_id bigint, digest bigint, first int, last int, to_id bigint, to bigint, to_first int, to_last int")
 
 
-def _words(text: str | None) -> np.ndarray:
-    return word_hashes(text.encode("utf-8", "surrogatepass").lower().split()) if text else np.empty(0, np.uint64)
+def _with_words(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[list[tuple]]:
+    """(text, words, *columns) of the rows of stretches of CUT_BYTES; words as 32-bit hashes."""
+    for batch in batches:
+        for part in by_size(batch, batch.schema.get_field_index("text"), CUT_BYTES):
+            texts = part.column("text").to_pylist()
+            hashed, lines = batch_word_hashes(texts)
+            words = np.split(hashed.astype(np.uint32), np.cumsum([sum(own) for own in lines])[:-1])
+            yield list(zip(texts, words, *(part.column(c).to_pylist() for c in columns), strict=True))
 
 
 def common(mine: np.ndarray, other: np.ndarray) -> int:
@@ -319,13 +453,11 @@ def _spans(docs: DataFrame, stretches: DataFrame) -> DataFrame:
     place = ["to_first", "to_last"]
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for rows in _with_words(batches, "doc_id", "digest", "asked"):
             out = []
-            columns = [batch.column(c).to_pylist() for c in ("text", "doc_id", "digest", "asked")]
-            for text, doc_id, digest, asked in zip(*columns, strict=True):
+            for text, own, doc_id, digest, asked in rows:
                 if _digest(text) != digest:
                     continue
-                own = _words(text).astype(np.uint32)
                 for a in asked:
                     low, high = a["to_first"], a["to_last"]
                     left, right = own[max(0, low - MARGIN) : low + NEAR][::-1], own[max(0, high - NEAR) : high + MARGIN]
@@ -337,13 +469,12 @@ def _spans(docs: DataFrame, stretches: DataFrame) -> DataFrame:
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for rows in _with_words(batches, "doc_id", "digest", "held"):
             ids, digests, out = [], [], []
-            columns = [batch.column(c).to_pylist() for c in ("text", "doc_id", "digest", "held")]
-            for text, doc_id, digest, held in zip(*columns, strict=True):
+            for text, own, doc_id, digest, held in rows:
                 if _digest(text) != digest:
                     continue
-                own, found = _words(text).astype(np.uint32), []
+                found = []
                 for s in held:
                     left, right = (np.frombuffer(s[c], np.uint32) for c in ("left", "right"))
                     before = reach(own[max(0, s["first"] - MARGIN) : s["first"]][::-1], left, s["other"])
@@ -388,12 +519,23 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """One row per document: doc_id, digest (of the text), n_words, class_id (least id of the documents its
     passages connect it with), first_ids (ids where its repeated passages stand first) and spans of
     words to remove."""
+    ship(docs.sparkSession)
+    with tidy(docs.sparkSession):
+        return _passages(docs, id_col, text_col)
+
+
+def _passages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
-    ship(spark)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = pin(shared_counts(own, _band_pairs, buckets).select(F.col("sid").alias("name")), "met")
-    every = pin(_occurrences(own), "occurrences")
+    texts = own.withColumn("doc", F.xxhash64("doc_id", "text"))
+    asked = pin(shared_keys(texts, _sent_keys, buckets, CUT_BYTES), "met")
+    # A place is left out if no other one, not overlapping, sends any of its keys.
+    every = pin(_occurrences(texts, asked), "occurrences")
+    discard(asked)
+    sent = every.select("name", F.explode(F.slice("keys", F.lit(1), F.col("sent"))).alias("key")).distinct()
+    several = sent.groupBy("key").agg(F.min("name").alias("a"), F.max("name").alias("b")).filter("a <> b")
+    met = sent.join(several, "key", "left_semi").select("name").distinct()
     stands = F.struct("doc_id", "digest", "at", "n")
     named = every.groupBy("name").agg(F.min(stands).alias("first"), F.max(stands).alias("last"))
     # A paragraph matters if it stands in two places or shares a band with another one.
@@ -410,11 +552,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             (F.col("near").isNotNull() | F.col("stand").isNotNull()).alias("near"),
         ), "paragraphs"
     )
-    wanted = kept.filter("near AND first.doc_id IS NOT NULL").groupBy("first.doc_id", "first.digest").agg(
-        F.collect_list("name").alias("names")
+    discard(sure)
+    near = kept.filter("near AND first.doc_id IS NOT NULL").select("name", "first.doc_id", "first.digest")
+    wanted = near.groupBy("doc_id", "digest").agg(F.collect_list("name").alias("names"))
+    known = every.join(near, ["name", "doc_id", "digest"], "left_semi").select(
+        F.col("name").alias("sid"), "digest", "at", (F.col("at") + F.col("n")).alias("end"), F.col("keys").alias("blocks")
     )
-    links = all_links(_blocks(own, wanted), 3, 4)
+    blocks = _blocks(own, wanted, known)
+    links = all_links(blocks, 3, 4)
     linked = components(links)
+    discard(blocks, links)
     rooted = kept.join(linked.select(F.col("node").alias("name"), "root"), "name", "left").select(
         "name", "first", F.coalesce("root", "name").alias("root")
     )
@@ -432,6 +579,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             F.array_sort(F.collect_set("lead.doc_id")).alias("first_ids"),
         ), "repeats"
     )
+    discard(every, kept, linked)
     spans = _spans(own, pin(_stretches(repeats), "stretches"))
     joined = components(repeats.select(F.col("doc_id").alias("a"), F.explode("first_ids").alias("b")))
     sizes = _sizes(own)

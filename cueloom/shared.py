@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import pathlib
 import tempfile
 import uuid
@@ -18,6 +19,7 @@ _shipped: set[str] = set()
 #: What goes to a Python worker at once, unless the session says otherwise.  Both sides hold a batch several times,
 #: and 64 MB, Spark's own limit, in every core leave little of an executor beside its heap.
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession) -> None:
@@ -97,6 +99,30 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the pinned tables these read, as no plan still to run needs them."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if folder.rsplit("/", 1)[-1].startswith("cueloom-"):
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(conf).delete(path, True)
+
+
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of queries made meanwhile go when these end, not when the driver next collects its garbage."""
+    before = spark.conf.get(TIDY, None)
+    spark.conf.set(TIDY, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(TIDY)
+        else:
+            spark.conf.set(TIDY, before)
+
+
 def pin(df: DataFrame, tag: str = "table") -> DataFrame:
     """Write once, read back: downstream branches see one fixed set of rows.
 
