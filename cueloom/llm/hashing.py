@@ -55,21 +55,32 @@ def batch_word_hashes(texts: list[str | None]) -> tuple[np.ndarray, list[list[in
     """``word_hashes`` of all words of the texts, A-Z lowered, and the number of words of each line of each text.
 
     XXH64 of words under 32 bytes is computed on arrays; no word becomes an object."""
-    data = [text.encode("utf-8", "surrogatepass") if text else b"" for text in texts]
-    # White space on both sides of every text, and room to read eight bytes from the last word on.
-    whole = b"".join([b"\n", b"\n".join(data), b"\n\0\0\0\0\0\0\0\0"]).lower()
-    size = len(whole) - 8
-    space = _SPACE[np.frombuffer(whole, np.uint8, size)]
-    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
-    start, length = edges[::2], edges[1::2] - edges[::2]
-    breaks = np.flatnonzero(np.frombuffer(whole, np.uint8, size) == 10)
+    data, whole, start, end = _placed(texts)
+    breaks = np.flatnonzero(np.frombuffer(whole, np.uint8, len(whole) - 8) == 10)
     counts = np.diff(np.searchsorted(start, breaks)).tolist()
     lines, at = [], 0
     for own in data:
         n = own.count(b"\n") + 1
         lines.append(counts[at : at + n])
         at += n
-    return _xxh64(whole, start, length), lines
+    return _xxh64(whole, start, end - start), lines
+
+
+def word_counts(texts: list[str | None]) -> np.ndarray:
+    """The number of words of each text."""
+    data, _, start, _ = _placed(texts)
+    ends = np.cumsum([0, *(len(own) + 1 for own in data)])
+    return np.diff(np.searchsorted(start, ends + 1))
+
+
+def _placed(texts: list[str | None]) -> tuple[list[bytes], bytes, np.ndarray, np.ndarray]:
+    """The texts, all of them in a row with A-Z lowered, and where words begin and end in that."""
+    data = [text.encode("utf-8", "surrogatepass") if text else b"" for text in texts]
+    # White space on both sides of every text, and room to read eight bytes from the last word on.
+    whole = b"".join([b"\n", b"\n".join(data), b"\n\0\0\0\0\0\0\0\0"]).lower()
+    space = _SPACE[np.frombuffer(whole, np.uint8, len(whole) - 8)]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    return data, whole, edges[::2], edges[1::2]
 
 
 def _xxh64(whole: bytes, start: np.ndarray, length: np.ndarray) -> np.ndarray:

@@ -44,9 +44,9 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from cueloom.llm.components import components
-from cueloom.llm.hashing import batch_word_hashes, mix, window_hashes, word_hashes  # noqa: F401
+from cueloom.llm.hashing import batch_word_hashes, mix, window_hashes, word_counts, word_hashes  # noqa: F401
 from cueloom.llm.jaccard import all_links
-from cueloom.llm.shared_keys import low_bits, shared_keys
+from cueloom.llm.shared_keys import low_bits, shared_keys, sharing
 from cueloom.shared import by_size, discard, pin, ship, tidy
 
 WIDTH, SPREAD, SHINGLE, ROWS, BANDS, NATURAL_BANDS = 24, 22, 5, 2, 4, 6
@@ -60,8 +60,8 @@ _SEEDS = mix(np.arange(1, ROWS * NATURAL_BANDS + 1, dtype=np.uint64) * np.uint64
 class Units(NamedTuple):
     """Paragraphs of texts: first word and number of words, name and band keys of each; keys of ``cuts`` (the content
     cuts) and of the natural ones are of different kinds.  Words and runs of all texts stand one after the other;
-    ``at`` counts from the first of them, ``begins`` from the first word of the own text ``row``.  A text's cuts stand
-    before its natural paragraphs."""
+    ``at`` counts from the first of them, ``begins`` from the first word of the own text ``row``, whose runs end at
+    ``stop``.  A text's cuts stand before its natural paragraphs."""
 
     at: np.ndarray
     n: np.ndarray
@@ -71,10 +71,24 @@ class Units(NamedTuple):
     runs: np.ndarray
     row: np.ndarray
     begins: np.ndarray
+    stop: np.ndarray
 
     def tokens(self, k: int) -> np.ndarray:
         """The sorted shingles of paragraph ``k``."""
-        return np.unique(self.runs[self.at[k] : self.at[k] + max(1, self.n[k] - SHINGLE + 1)])
+        return np.unique(self.runs[self.at[k] : min(self.stop[k], self.at[k] + max(1, self.n[k] - SHINGLE + 1))])
+
+    def packed(self, chosen: np.ndarray) -> list[bytes]:
+        """The sorted shingles of paragraphs, as bytes; those of cuts are sorted together."""
+        size = WIDTH - SHINGLE + 1
+        own = np.sort(self.runs[self.at[chosen][self.cuts[chosen], None] + np.arange(size)], axis=1)
+        once, flat, width, at, out = (own[:, 1:] != own[:, :-1]).all(axis=1).tolist(), own.tobytes(), own.itemsize * size, 0, []
+        for k, cut in zip(chosen.tolist(), self.cuts[chosen].tolist(), strict=True):
+            if cut and once[at]:
+                out.append(flat[at * width : at * width + width])
+            else:
+                out.append(self.tokens(k).tobytes())
+            at += cut
+        return out
 
 
 def natural(counts: list[int]) -> list[tuple[int, int]]:
@@ -144,8 +158,8 @@ def _text_runs(hashed: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return runs
 
 
-def units(texts: list[str | None], natural_keys: bool = True) -> Units:
-    """The paragraphs of texts, cut together; without ``natural_keys`` those of natural paragraphs are 0."""
+def units(texts: list[str | None], keyed: bool = True) -> Units:
+    """The paragraphs of texts, cut together; if not ``keyed``, band keys are 0."""
     hashed, lines = batch_word_hashes(texts)
     sizes, own, counts, before = [], [], [], 0
     for line in lines:
@@ -160,20 +174,18 @@ def units(texts: list[str | None], natural_keys: bool = True) -> Units:
     cut = content_cuts(hashed, sizes)
     first, n = np.array(own, np.int64).reshape(-1, 2).T
     row = np.repeat(np.arange(len(texts)), counts)
-    ends_at = (begin + np.maximum(sizes - SHINGLE + 1, 1))[row]
+    stop = begin + np.maximum(sizes - SHINGLE + 1, 1)
+    ends_at = stop[row]
     ends = np.minimum(first + np.maximum(n - SHINGLE + 1, 1), ends_at)
     edges = np.stack([np.minimum(first, ends_at - 1), ends], axis=1).ravel()
     short, long = [], []
-    for k, seed in enumerate(_SEEDS if len(own) else ()):
-        if not natural_keys and k >= ROWS * BANDS:
-            break
+    for k, seed in enumerate(_SEEDS if keyed and own else ()):
         mixed = mix(runs ^ seed)
         if k < ROWS * BANDS and len(cut):
             short.append(_least(mixed, cut, WIDTH - SHINGLE + 1))
-        if natural_keys:
-            long.append(np.minimum.reduceat(np.append(mixed, ~np.uint64(0)), edges)[::2])
+        long.append(np.minimum.reduceat(np.append(mixed, ~np.uint64(0)), edges)[::2])
     keys = np.zeros((len(cut) + len(own), NATURAL_BANDS), np.uint64)
-    if len(cut):
+    if short:
         keys[: len(cut), :BANDS] = bands(short, 0)
     if long:
         keys[len(cut) :] = bands(long, BANDS)
@@ -184,7 +196,7 @@ def units(texts: list[str | None], natural_keys: bool = True) -> Units:
     return Units(
         at, np.concatenate([np.full(len(cut), WIDTH), n])[order],
         np.concatenate([names(runs, cut), np.array(parts, np.uint64).view(np.int64)])[order], keys[order],
-        order < len(cut), runs, row, at - begin[row],
+        order < len(cut), runs, row, at - begin[row], stop[row],
     )
 
 
@@ -253,16 +265,27 @@ def _name_keys(names: np.ndarray) -> np.ndarray:
     return mix(names.view(np.uint64))
 
 
-def _sent_keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Place of the text and key of all keys that the paragraphs of texts send."""
-    own = units(texts)
-    keys = own.keys[own.cuts, :BANDS]
-    sent, _ = _spoken(own.at[own.cuts], keys)
-    long, short = ~own.cuts & (own.n >= SHINGLE), ~own.cuts & (own.n < SHINGLE)
-    return (
-        np.concatenate([np.repeat(own.row[own.cuts], BANDS)[sent], np.repeat(own.row[long], NATURAL_BANDS), own.row[short]]),
-        np.concatenate([keys.ravel()[sent], own.keys[long].ravel(), _name_keys(own.names[short])]),
-    )
+def _sent_keys(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The texts (doc, text) of a batch, part by part, place of the text and key of all keys that their paragraphs send."""
+    for part in by_size(batch, 1, CUT_BYTES):
+        own = units(part.column("text").to_pylist())
+        keys = own.keys[own.cuts, :BANDS]
+        sent, _ = _spoken(own.at[own.cuts], keys)
+        long, short = ~own.cuts & (own.n >= SHINGLE), ~own.cuts & (own.n < SHINGLE)
+        yield (
+            part.column("doc").to_numpy(),
+            np.concatenate([np.repeat(own.row[own.cuts], BANDS)[sent], np.repeat(own.row[long], NATURAL_BANDS), own.row[short]]),
+            np.concatenate([keys.ravel()[sent], own.keys[long].ravel(), _name_keys(own.names[short])]),
+        )
+
+
+def _named_keys(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The names of a batch (doc, keys, sent), place of the name and key of the keys that are sent."""
+    keys, sent = batch.column("keys"), batch.column("sent").to_numpy()
+    counts = pc.list_value_length(keys).to_numpy()
+    keys, row = keys.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(counts)), counts)
+    first = np.arange(len(keys)) - (np.cumsum(counts) - counts)[row] < sent[row]
+    yield batch.column("doc").to_numpy(), row[first], keys[first]
 
 
 def _digest(text: str | None) -> int:
@@ -315,8 +338,8 @@ def _occurrences(docs: DataFrame, met: DataFrame) -> DataFrame:
     )
 
 
-def _wanted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sid, digest, at, end, blocks, tokens): the wanted paragraphs (doc_id, digest, names) with their bands."""
+def _bands(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sid, digest, at, end, blocks): the wanted paragraphs (doc_id, digest, names) with their bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -338,11 +361,44 @@ def _wanted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     pa.array(np.array(digests, np.int64)[own.row[chosen]], pa.int64()),
                     pa.array(own.begins[chosen], pa.int32()), pa.array((own.begins + own.n)[chosen], pa.int32()),
                     pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(blocks, pa.int64())),
-                    pa.array([own.tokens(k).tobytes() for k in chosen.tolist()], pa.binary()),
-                ], ["sid", "digest", "at", "end", "blocks", "tokens"])
+                ], ["sid", "digest", "at", "end", "blocks"])
 
     met = docs.join(wanted.hint("merge"), "doc_id").select("text", "digest", "names")
-    return met.mapInArrow(run, "sid bigint, digest bigint, at int, end int, blocks array<bigint>, tokens binary")
+    return met.mapInArrow(run, "sid bigint, digest bigint, at int, end int, blocks array<bigint>")
+
+
+def _tokens(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """(sid, own, tokens): shingles of the paragraphs needed (doc_id, digest, named: array of (sid, own))."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seen = None, set()
+        for batch in batches:
+            for part in by_size(batch, 0, CUT_BYTES):
+                texts, ids, digests = (part.column(c).to_pylist() for c in ("text", "doc_id", "digest"))
+                right = []
+                for text, doc_id, digest in zip(texts, ids, digests, strict=True):
+                    # Rows of a repeated document stand together.
+                    last, seen = doc_id, seen if last == doc_id else set()
+                    right.append(digest not in seen and _digest(text) == digest)
+                    if right[-1]:
+                        seen.add(digest)
+                part = part.filter(pa.array(right, pa.bool_()))
+                own = units([t for t, fits in zip(texts, right, strict=True) if fits], keyed=False)
+                named = part.column("named")
+                counts = pc.list_value_length(named).to_numpy()
+                named = named.flatten()
+                wish, ends = pc.struct_field(named, "sid").to_numpy(), np.cumsum(counts)
+                edges, chosen = np.searchsorted(own.row, np.arange(len(counts) + 1)), [np.empty(0, np.int64)]
+                for low, high, a, b in zip(edges[:-1], edges[1:], ends - counts, ends, strict=True):
+                    order = np.argsort(own.names[low:high], kind="stable")
+                    chosen.append(order[np.searchsorted(own.names[low:high], wish[a:b], sorter=order)] + low)
+                tokens = own.packed(np.concatenate(chosen))
+                yield pa.RecordBatch.from_arrays(
+                    [pc.struct_field(named, "sid"), pc.struct_field(named, "own"), pa.array(tokens, pa.binary())], ["sid", "own", "tokens"]
+                )
+
+    met = docs.join(needed.hint("merge"), "doc_id").select("text", "doc_id", "digest", "named")
+    return met.mapInArrow(run, "sid bigint, own array<bigint>, tokens binary")
 
 
 def _blocks(docs: DataFrame, wanted: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -351,22 +407,22 @@ def _blocks(docs: DataFrame, wanted: DataFrame, known: DataFrame | None = None)
 
     Shingles are made for paragraphs that share a band alone.  A band whose paragraphs all overlap in one text is
     none: equal ones elsewhere are found by their names."""
-    made = _wanted(docs, wanted).drop("tokens") if known is None else known
+    made = _bands(docs, wanted) if known is None else known
     light = pin(made.select("sid", "digest", "at", "end", F.explode("blocks").alias("block")), "candidates")
+    mixed = F.xxhash64("sid")
     shared = light.groupBy("block").agg(
         F.min("sid").alias("a"), F.max("sid").alias("b"), F.min("digest").alias("c"), F.max("digest").alias("d"),
         F.max("at").alias("at"), F.min("end").alias("end"),
-        F.count("*").alias("n"), F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("sum"),
+        F.count("*").alias("n"), F.sum(mixed.bitwiseAND(0x7FFFFFFF)).alias("low"),
+        F.sum(F.shiftrightunsigned(mixed, 31)).alias("high"),
     ).filter("a <> b AND (c <> d OR at >= end)")
     # Near copies share most of their bands: of blocks with the same members one is compared.
-    shared = shared.groupBy("a", "b", "n", "sum").agg(F.min("block").alias("block")).select("block")
+    shared = shared.groupBy("a", "b", "n", "low", "high").agg(F.min("block").alias("block")).select("block")
     bands = pin(light.join(shared, "block", "left_semi").groupBy("sid").agg(F.collect_set("block").alias("own")), "shared")
     discard(light)
     named = wanted.select("doc_id", "digest", F.explode("names").alias("sid"))
-    needed = named.join(bands, "sid", "left_semi").groupBy("doc_id", "digest").agg(F.collect_set("sid").alias("names"))
-    # Rows of a repeated document bring a paragraph again.
-    tokens = _wanted(docs, needed).select("sid", "tokens").join(bands, "sid").dropDuplicates(["sid"])
-    tokens = pin(tokens.select("sid", "own", "tokens"), "blocks")
+    needed = named.join(bands, "sid").groupBy("doc_id", "digest").agg(F.collect_list(F.struct("sid", "own")).alias("named"))
+    tokens = pin(_tokens(docs, needed), "blocks")
     discard(bands)
     return tokens.select("sid", F.explode("own").alias("block"), "tokens")
 
@@ -529,13 +585,12 @@ def _passages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = own.withColumn("doc", F.xxhash64("doc_id", "text"))
-    asked = pin(shared_keys(texts, _sent_keys, buckets, CUT_BYTES), "met")
+    asked = pin(shared_keys(texts.select("doc", "text"), _sent_keys, buckets), "met")
     # A place is left out if no other one, not overlapping, sends any of its keys.
     every = pin(_occurrences(texts, asked), "occurrences")
     discard(asked)
-    sent = every.select("name", F.explode(F.slice("keys", F.lit(1), F.col("sent"))).alias("key")).distinct()
-    several = sent.groupBy("key").agg(F.min("name").alias("a"), F.max("name").alias("b")).filter("a <> b")
-    met = sent.join(several, "key", "left_semi").select("name").distinct()
+    met = sharing(every.select(F.col("name").alias("doc"), "keys", "sent"), _named_keys, buckets)
+    met = met.select(F.col("doc").alias("name"))
     stands = F.struct("doc_id", "digest", "at", "n")
     named = every.groupBy("name").agg(F.min(stands).alias("first"), F.max(stands).alias("last"))
     # A paragraph matters if it stands in two places or shares a band with another one.
@@ -598,11 +653,11 @@ def _passages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _sizes(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array([_digest(t) for t in texts], pa.int64()),
-                pa.array([len(t.encode("utf-8", "surrogatepass").split()) if t else 0 for t in texts], pa.int64()),
-            ], ["doc_id", "digest", "n_words"])
+            for part in by_size(batch, 1, CUT_BYTES):
+                texts = part.column("text").to_pylist()
+                yield pa.RecordBatch.from_arrays([
+                    part.column("doc_id"), pa.array([_digest(t) for t in texts], pa.int64()), pa.array(word_counts(texts), pa.int64()),
+                ], ["doc_id", "digest", "n_words"])
 
     return docs.mapInArrow(run, "doc_id bigint, digest bigint, n_words bigint")
 

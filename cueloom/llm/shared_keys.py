@@ -1,9 +1,9 @@
-"""Keys that more than one text sends, without a row per key.
+"""Keys that more than one owner sends, without a row per key.
 
-Keys travel packed by bucket, five bytes and the number of their text in a list of the texts that the bucket gets
-from a batch.  Each task marks what it sees shared by itself and sends such a key once, without a text: a key that a
-third of the texts hold arrives once per task.  What is kept of a key may be equal for two keys, so a text may get a
-key too many, never one too few.
+Keys travel packed by bucket, five bytes and the number of their owner in a list of the owners that the bucket gets
+from a batch.  Each task marks what it sees shared by itself and sends such a key once, without an owner: a key that
+a third of the owners hold arrives once per task.  ``keys_of`` gives, for parts of a batch, the owners (int64), the
+place of an owner among these pair by pair, and the keys (uint64, spread evenly).
 """
 
 from __future__ import annotations
@@ -15,8 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cueloom.shared import by_size
-
+KeysOf = Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]
 _BATCH_KEYS = 500_000  # pairs a worker sorts at once, some 100 bytes each
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -36,7 +35,7 @@ def _by_home(docs: np.ndarray, low: np.ndarray, buckets: int) -> list[tuple[int,
     """(home, docs, low) of pairs, by the bucket of the text."""
     home = docs % buckets
     order = np.argsort(home, kind="stable")
-    docs, low = docs[order], low[order]
+    docs, low = docs[order], low[order] if len(low) else low
     ends = np.searchsorted(home[order], np.arange(buckets + 1))
     return [
         (b, docs[ends[b] : ends[b + 1]].tobytes(), low[ends[b] : ends[b + 1]].tobytes())
@@ -44,30 +43,45 @@ def _by_home(docs: np.ndarray, low: np.ndarray, buckets: int) -> list[tuple[int,
     ]
 
 
-def shared_keys(
-    docs: DataFrame, keys_of: Callable[[list[str | None]], tuple[np.ndarray, np.ndarray]], buckets: int, together: int
-) -> DataFrame:
-    """(doc, keys): of each text of ``docs`` (doc, text) the keys that another ``doc`` sends too or the text itself
-    twice, packed as ``low_bits``; texts without any are not listed.
+def shared_keys(table: DataFrame, keys_of: KeysOf, buckets: int) -> DataFrame:
+    """(doc, keys): of each owner the keys that another one sends too or itself twice, packed as ``low_bits``; owners
+    without any are not listed.  Five bytes and the bucket may be equal for two keys, so an owner may get a key too
+    many, never one too few."""
+    return _shared(table, keys_of, buckets, True)
+
+
+def sharing(table: DataFrame, keys_of: KeysOf, buckets: int) -> DataFrame:
+    """(doc): owners with a key that another one sends too; keys are compared whole."""
+    return _shared(table, keys_of, buckets, False)
+
 
-    ``keys_of`` gives, pair by pair, the place in a list of texts and a key of that text; a list has ``together``
-    bytes or one text.  Keys (uint64) are spread evenly.
-    """
+def _shared(table: DataFrame, keys_of: KeysOf, buckets: int, listed: bool) -> DataFrame:
+    kept = np.dtype("u1" if listed else "<u4")  # of a key's upper half
+
+    def marked(names: np.ndarray, owner: np.ndarray, keys: np.ndarray, chosen: np.ndarray) -> list[tuple[int, bytes, bytes]]:
+        if listed:
+            return _by_home(names[owner[chosen]], low_bits(keys[chosen]), buckets)
+        found = np.zeros(len(names), bool)
+        found[owner[chosen]] = True
+        return _by_home(names[found], np.empty(0, "<u4"), buckets)
 
     def flush(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        names, number = np.unique(np.concatenate([n for n, _, _ in held]), return_inverse=True)
+        names, at, number = np.unique(np.concatenate([n for n, _, _ in held]), return_index=True, return_inverse=True)
         base = np.cumsum([0, *(len(n) for n, _, _ in held)])
-        owner = number[np.concatenate([rows + b for b, (_, rows, _) in zip(base[:-1], held, strict=True)])]
-        keys = np.concatenate([k for _, _, k in held])
+        place = np.concatenate([rows + b for b, (_, rows, _) in zip(base[:-1], held, strict=True)])
+        keys, owner = np.concatenate([k for _, _, k in held]), number[place]
+        if listed:
+            # A row again is the same owner, not its key twice.
+            once = at[owner] == place
+            keys, owner = keys[once], owner[once]
         order = np.argsort(keys)
         keys, owner = keys[order], owner[order]
         edge, length = _edges(keys)
-        twice = np.repeat(length > 1, length)
+        least, most = np.minimum.reduceat(owner, edge), np.maximum.reduceat(owner, edge)
         rows = [
             (buckets + home, low, b"", b"", own)
-            for home, own, low in _by_home(names[owner[twice]], low_bits(keys[twice]), buckets)
+            for home, own, low in marked(names, owner, keys, np.repeat(length > 1 if listed else least != most, length))
         ]
-        least, most = np.minimum.reduceat(owner, edge), np.maximum.reduceat(owner, edge)
         keys, owner = keys[edge], np.where(least == most, least, -1)
         ends = np.searchsorted(((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1))
         for b in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
@@ -77,7 +91,7 @@ def shared_keys(
             kind = np.dtype("<u2" if len(own) < 0xFFFF else "<u4")
             places = np.full(len(o), np.iinfo(kind).max, kind)
             places[known] = place
-            high = (k >> np.uint64(32)).astype(np.uint8)
+            high = (k >> np.uint64(32)).astype(kept)
             rows.append((b, low_bits(k).tobytes(), high.tobytes(), places.tobytes(), names[own].tobytes()))
         kinds = (pa.int32(), *[pa.binary()] * 4)
         columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
@@ -87,11 +101,10 @@ def shared_keys(
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
         for batch in batches:
-            for part in by_size(batch, 1, together):
-                rows, keys = keys_of(part.column("text").to_pylist())
-                if len(keys):
-                    held.append((part.column("doc").to_numpy(), rows, keys))
-                    size += len(keys)
+            for part in keys_of(batch):
+                if len(part[2]):
+                    held.append(part)
+                    size += len(part[2])
                 if size > _BATCH_KEYS:
                     yield flush(held)
                     held, size = [], 0
@@ -104,8 +117,8 @@ def shared_keys(
             return pd.DataFrame({"home": bucket - buckets, "docs": parts["docs"], "low": parts["low"]})
         keys, owners, names, base = [], [], [], 0
         for low, high, places, own in zip(parts["low"], parts["high"], parts["places"], parts["docs"], strict=True):
-            keys.append(np.frombuffer(low, "<u4") | np.frombuffer(high, np.uint8).astype(np.uint64) << np.uint64(32))
-            kind = np.dtype(f"<u{len(places) // len(high)}")
+            keys.append(np.frombuffer(low, "<u4") | np.frombuffer(high, kept).astype(np.uint64) << np.uint64(32))
+            kind = np.dtype(f"<u{len(places) // (len(low) // 4)}")
             place = np.frombuffer(places, kind)
             owners.append(np.where(place == np.iinfo(kind).max, -1, place.astype(np.int64) + base))
             names.append(np.frombuffer(own, np.int64))
@@ -118,10 +131,12 @@ def shared_keys(
         edge, length = _edges(key)
         several = np.minimum.reduceat(owner, edge) != np.maximum.reduceat(owner, edge)
         chosen = np.repeat(several, length) & (owner >= 0)
-        return pd.DataFrame(_by_home(names[owner[chosen]], low_bits(key[chosen]), buckets), columns=["home", "docs", "low"])
+        return pd.DataFrame(marked(names, owner, key, chosen), columns=["home", "docs", "low"])
 
     def third(parts: pd.DataFrame) -> pd.DataFrame:
         docs = np.concatenate([np.frombuffer(d, np.int64) for d in parts["docs"]])
+        if not listed:
+            return pd.DataFrame({"doc": np.unique(docs)})
         low = np.concatenate([np.frombuffer(k, "<u4") for k in parts["low"]])
         order = np.lexsort((low, docs))
         docs, low = docs[order], low[order]
@@ -132,6 +147,6 @@ def shared_keys(
             "doc": docs[edge], "keys": [low[a : a + n].tobytes() for a, n in zip(edge.tolist(), length.tolist(), strict=True)]
         })
 
-    packed = docs.select("doc", "text").mapInArrow(first, "bucket int, low binary, high binary, places binary, docs binary")
+    packed = table.mapInArrow(first, "bucket int, low binary, high binary, places binary, docs binary")
     marked = packed.groupBy("bucket").applyInPandas(second, "home int, docs binary, low binary")
-    return marked.groupBy("home").applyInPandas(third, "doc bigint, keys binary")
+    return marked.groupBy("home").applyInPandas(third, "doc bigint, keys binary" if listed else "doc bigint")
