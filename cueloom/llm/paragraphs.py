@@ -23,8 +23,10 @@ touches or overlaps makes one span.
 
 Of overlapping paragraphs of one text that share a band key one sends it and speaks for the others: if it
 meets another paragraph, all of them are compared.
-Bands travel packed (``shared_counts``), so only paragraphs that meet another one become rows of the
-linking step; equal paragraphs are aggregated before they are shuffled.  No bucket is cut short; a block
+Texts are cut many at a time, and keys travel packed with the text that sends them (``shared_keys``); a text gets back
+those that are sent twice, is cut again, and only its paragraphs with such a key become rows.  Any place of a paragraph
+that stands in two is among them, as both send its keys or have them sent.  Names and bands are then compared whole,
+and shingles are made for paragraphs of shared bands only.  No bucket is cut short; a block
 of more than ``CHUNK`` paragraphs is linked chunk by chunk, and its groups are then joined exactly.
 
 Defined cases: null texts and texts without words have no paragraph, keep all words and are their own class; repeated

@@ -8,7 +8,7 @@ import pyarrow as pa
 import xxhash
 from test_passages import edited, frame, line
 
-from cueloom.llm import jaccard, paragraphs
+from cueloom.llm import components, jaccard, paragraphs
 from cueloom.llm.hashing import batch_word_hashes, word_counts
 from cueloom.llm.shared_keys import low_bits, shared_keys, sharing
 from cueloom.shared import shared_dir, ship
@@ -85,6 +85,16 @@ def test_few_sets_link_as_many():
     assert pairs == want and want
 
 
+def test_components_at_once_as_in_rounds(spark, monkeypatch):
+    rng = random.Random(27)
+    edges = [(rng.randrange(-90, 90), rng.randrange(-90, 90)) for _ in range(70)] + [(k, k + 1) for k in range(200, 260)] + [(None, 1), (5, 5)]
+    table = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    at_once = sorted(map(tuple, components.components(table).collect()))
+    monkeypatch.setattr(components, "ONCE", 0)
+    assert at_once == sorted(map(tuple, components.components(table).collect())) and (260, 200) in at_once
+    assert components.components(table.filter("a = b")).collect() == []
+
+
 def test_places_without_a_shared_key_make_no_row(spark):
     """Of texts without repeats nothing is kept; of near copies only their own places are."""
     rng = random.Random(25)
